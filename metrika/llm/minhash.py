@@ -11,8 +11,9 @@
 3. In each bucket all members are first compared with the smallest one (a star,
    not all pairs), on full sets. Buckets that then still hold several components
    go on: members outside the smallest member's component meet the whole bucket,
-   salted into parts of bounded size, under the signature distance and the size
-   ratio; what remains is compared on full sets. No pair is capped or sampled.
+   salted into parts of bounded size, under the signature distance and an exact
+   bound (a set's shingles that stand in no other of these sets cannot be
+   shared); what remains is compared on full sets. No pair is capped or sampled.
 4. Connected components give each document its class.
 """
 
@@ -160,8 +161,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .where("least <> most")
         .select("key", F.col("lead.comp").alias("main"))
     )
-    open_ = placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n")
-    open_ = written(open_.join(wide.drop("size"), "rep"), "open")
+    open_ = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
+    shared = _shared(written(open_.select("rep").distinct(), "ids"), texts, reps, n)
+    open_ = open_.join(wide.drop("size"), "rep").join(shared, "rep")
     parts = open_.withColumn("parts", salts(F.col("n"), PART))
     left = parts.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         & (F.col("a.salt") == F.col("b.salt"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
-        & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
+        & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.size") + F.col("b.size")))
         & (distance("a", "b") <= DISTANCE)
     )
     rest = a.join(b, near).select(
@@ -212,6 +214,36 @@ def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(rep, shingles) of the wanted ids, broadcast only while a count finds them few."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    return wanted.mapInArrow(_sets(n), "rep long, shingles array<long>")
+
+
+def _shared(ids: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(rep, shared): how many of a set's shingles stand in any other of the sets in question.
+
+    A pair's intersection is at most the smaller of its two counts, whatever else
+    holds, so (100 + percent) * least(shared) >= percent * (sum of sizes) is a
+    bound that loses no link; it settles most members of a large group of edited
+    copies without a pair. Ids that stand for several sets get their whole size.
+    """
+    single = F.explode("shingles").alias("s")
+    once = (
+        _of(ids, texts, n)
+        .select("rep", single)
+        .groupBy("s")
+        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+        .where("rep = last")
+    )
+    once = once.groupBy("rep").agg(F.count("*").alias("own"))
+    size = reps.groupBy("rep").agg(F.max("size").alias("size"), F.count("*").alias("sets"))
+    free = F.when(F.col("sets") > 1, F.lit(0)).otherwise(F.coalesce("own", F.lit(0)))
+    out = ids.join(size, "rep").join(once, "rep", "left").select("rep", (F.col("size") - free).alias("shared"))
+    return written(out, "shared")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) pairs of representatives that hold on full sets.
 
@@ -220,10 +252,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perc
     are joined by id. A representative with many partners is dealt into parts.
     """
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-    sets = written(wanted.mapInArrow(_sets(n), "rep long, shingles array<long>"), "sets")
+    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+    sets = written(_of(ids, texts, n), "sets")
     partners = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", salts(F.col("n"), 200)).drop("n")
     left = (
         sets.join(partners, sets.rep == partners.a)
