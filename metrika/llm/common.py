@@ -41,6 +41,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hold Arrow batches of whole texts to `rows` rows: both sides buffer a batch or two off the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def salts(count: Column, size: int) -> Column:
     """How many salted parts of about `size` rows a group of `count` rows is dealt into."""
     return F.greatest(F.lit(1), F.ceil(count / F.lit(size))).cast("int")

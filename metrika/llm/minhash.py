@@ -11,9 +11,9 @@
 3. In each bucket all members are first compared with the smallest one (a star,
    not all pairs), on full sets. Buckets that then still hold several components
    go on: members outside the smallest member's component meet the whole bucket,
-   salted into parts of bounded size, under the signature distance and an exact
-   bound (a set's shingles that stand in no other of these sets cannot be
-   shared); what remains is compared on full sets. No pair is capped or sampled.
+   salted into parts of bounded size, under the signature distance and two exact
+   bounds on what the sets can share; what remains is compared on full sets. No
+   pair is capped or sampled.
 4. Connected components give each document its class.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mixed, salts, shingle_sets, written
+from .common import bounded_batches, chunks, components, mixed, salts, shingle_sets, written
 
 WORDS, LANES, LANE_BITS, VALUE_BITS = 8, 5, 12, 11
 POSITIONS = WORDS * LANES
@@ -116,6 +116,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     doc_id takes no part in links and comes back with a null component and kept
     false. Other columns of `docs` are not read.
     """
+    bounded_batches(docs.sparkSession)
     signed = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             _signed(n), "doc_id long, n_shingles long, digest binary, " + ", ".join(f"s{k} long" for k in range(WORDS))
@@ -162,8 +163,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .select("key", F.col("lead.comp").alias("main"))
     )
     open_ = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
-    shared = _shared(written(open_.select("rep").distinct(), "ids"), texts, reps, n)
-    open_ = open_.join(wide.drop("size"), "rep").join(shared, "rep")
+    rarest = _rarest(written(open_.select("rep").distinct(), "ids"), texts, reps, n, percent)
+    rarest = rarest.join(wide, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
+    open_ = open_.drop("size").join(rarest, "rep")
     parts = open_.withColumn("parts", salts(F.col("n"), PART))
     left = parts.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -175,6 +177,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
         & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.size") + F.col("b.size")))
         & (distance("a", "b") <= DISTANCE)
+        & _may_share(percent)
     )
     rest = a.join(b, near).select(
         F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")
@@ -221,27 +224,39 @@ def _of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return wanted.mapInArrow(_sets(n), "rep long, shingles array<long>")
 
 
-def _shared(ids: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(rep, shared): how many of a set's shingles stand in any other of the sets in question.
+def _rarest(ids: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """(rep, shared, rare): how many shingles stand in another of these sets, and the rarest ones.
 
-    A pair's intersection is at most the smaller of its two counts, whatever else
-    holds, so (100 + percent) * least(shared) >= percent * (sum of sizes) is a
-    bound that loses no link; it settles most members of a large group of edited
-    copies without a pair. Ids that stand for several sets get their whole size.
+    A pair that links has at least need = percent / (100 + percent) * (sum of
+    sizes) shingles in common, so (1) each has as many that are not its own
+    alone, and (2) with the shingles of all sets ordered by rarity, the first
+    size - need + 1 of either hold a common one. Both lose no link and settle the
+    members of a large group of edited copies without a pair on full sets. Ids
+    that stand for several sets are never settled here (rare is null).
     """
-    single = F.explode("shingles").alias("s")
-    once = (
-        _of(ids, texts, n)
-        .select("rep", single)
-        .groupBy("s")
-        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-        .where("rep = last")
+    loose = written(_of(ids, texts, n).select("rep", F.explode("shingles").alias("s")).distinct(), "loose")
+    often = loose.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = (
+        loose.join(often, "s")
+        .groupBy("rep")
+        .agg(F.count(F.when(F.col("df") > 1, 1)).alias("known"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
     )
-    once = once.groupBy("rep").agg(F.count("*").alias("own"))
     size = reps.groupBy("rep").agg(F.max("size").alias("size"), F.count("*").alias("sets"))
-    free = F.when(F.col("sets") > 1, F.lit(0)).otherwise(F.coalesce("own", F.lit(0)))
-    out = ids.join(size, "rep").join(once, "rep", "left").select("rep", (F.col("size") - free).alias("shared"))
-    return written(out, "shared")
+    prefix = F.slice("r", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
+    one = F.col("sets") == 1
+    out = ranked.join(size, "rep").select(
+        "rep",
+        F.when(one, F.col("known")).otherwise(F.lit(1 << 40)).alias("shared"),
+        F.when(one, F.transform(prefix, lambda x: F.hash(x["s"]))).alias("rare"),
+    )
+    return written(out, "rare")
+
+
+def _may_share(percent: int) -> Column:
+    """Rows a and b have a common shingle among the rarest that the pair's sizes allow."""
+    need = F.ceil((F.col("a.size") + F.col("b.size")) * percent / (100 + percent) - 1e-9)
+    first = lambda x: F.slice(f"{x}.rare", F.lit(1), F.greatest(F.lit(1), F.col(f"{x}.size") - need + 1).cast("int"))
+    return F.coalesce(F.arrays_overlap(first("a"), first("b")), F.lit(True))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
