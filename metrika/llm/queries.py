@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontam, minhash, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned outside the held-out fold."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, similarity of 0.8 or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80).drop("n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_minhash": op5_minhash}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark item it holds, if any."""
+    return decontam.flagged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of all documents."""
+    return quality.rated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op5_minhash": op5_minhash,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
+}
 
 ORACLES: dict[str, str] = {}
