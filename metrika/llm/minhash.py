@@ -281,3 +281,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perc
     return (
         right.join(left, ["a", "salt"]).where(both * 100 >= whole * percent).select("a", "b").distinct()
     )
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with their columns as they are, of which one of each group of near duplicates stays.
+
+    The smallest doc_id of a group stays, with one row; documents with a null
+    doc_id take no part and stay. Groups are those of `near_duplicates`.
+    """
+    found = near_duplicates(docs, n, percent).select(F.col("doc_id").alias("id__"), "kept")
+    by_id = written(
+        found.where("id__ is not null").groupBy("id__").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "by_id"
+    )
+    gone = by_id.where("not kept").select("id__")
+    many = by_id.where("kept and rows > 1").select("id__")
+    key = F.col("doc_id").cast("long") == F.col("id__")
+    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(hint(gone), key, "left_anti")
+    if not many.take(1):
+        return left
+    many = hint(many)
+    single = left.join(many, key, "left_anti")
+    return single.unionByName(left.join(many, key, "left_semi").dropDuplicates(["doc_id"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, quality, sentencepiece_trie, sharding, topk_nra, toxicity
+from . import chat_tools, decontam, langid, minhash, pii, quality, sentencepiece_trie, sharding, topk_nra, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool calls read out of all conversations, linked, ordered, validated and serialised."""
+    return chat_tools.link_tool_calls(*chat_tools.calls_of_conversations(_table(spark, sf_dir, "conversations")))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors of every 50th vector."""
     return topk_nra.top_k(_table(spark, sf_dir, "embeddings"))
@@ -34,6 +39,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80).drop("n_links")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data and secrets: doc_id, text, n_mentions."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogated(docs, counts=True)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark item it holds, if any."""
     return decontam.flagged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -59,9 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_tool_calls": op2_tool_calls,
     "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_minhash": op5_minhash,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
