@@ -121,7 +121,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0
     items = items.withColumn("fp", fingerprint(F.col("lane"), F.col("m"))).drop("lane")
     vocabulary = items.select(F.explode("shingles").alias("s"), "item_id", "from", "m").distinct()
 
-    own = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), shingle_hashes(word_array(text), n).alias("sh"))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    own = texts.select("doc_id", "text_hash", shingle_hashes(word_array(F.col("text")), n).alias("sh"))
     found = own.select("doc_id", "text_hash", F.size("sh").alias("size"), F.posexplode("sh").alias("pos", "s"))
     matched = found.join(_hint(vocabulary), "s").select("doc_id", "text_hash", "size", "item_id", "from", "m", "pos")
     run = matched.groupBy("doc_id", "text_hash", "size", "item_id", "from", "m").agg(
@@ -141,10 +142,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0
         "windows",
     )
     per_doc = windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("m", "start", "len")).alias("w"))
-    key = own["doc_id"].eqNullSafe(per_doc["doc_id"]) & (own["text_hash"] == per_doc["text_hash"])
+    per_doc = written(per_doc, "per_doc")
+    key = texts["doc_id"].eqNullSafe(per_doc["doc_id"]) & (texts["text_hash"] == per_doc["text_hash"])
     cut = (
-        own.join(_hint(per_doc), key)
-        .select(own["doc_id"], own["text_hash"], "sh", F.explode("w").alias("w"))
+        texts.join(_hint(per_doc), key)
+        .select(texts["doc_id"], texts["text_hash"], shingle_hashes(word_array(texts["text"]), n).alias("sh"), "w")
+        .select("doc_id", "text_hash", "sh", F.explode("w").alias("w"))
         .select("doc_id", "text_hash", "w.m", "w.start", "w.len", F.slice("sh", F.col("w.start") + 1, F.col("w.len")).alias("sh"))
     )
     cut = written(cut.withColumn("lane", lanes(F.col("sh"))).withColumn("bag", bag(F.col("sh"))).drop("sh"), "cut")
