@@ -87,16 +87,24 @@ def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """
     names = meter.names
     total = sum((F.col(k) for k in names[1:]), F.col(names[0]))
+    if len(names) > 9:
+        raise ValueError("at most nine constraints can be bounded together")
+    # A vector packed into a long under its order: first, total, then five bits a count. Longs aggregate in hash maps.
     firsts = [total, *(F.col(k) for k in names)]
+    packed = F.lit(0).cast("long")
+    for k in names:
+        packed = packed * 32 + F.col(k)
+    whole = 32 ** len(names)
     leads = found.groupBy(*meter.key).agg(
-        *(F.min(F.struct(first.alias("first"), total.alias("total"), *names)).alias(f"lead{j}") for j, first in enumerate(firsts))
+        *(F.min((first.cast("long") * 256 + total) * F.lit(whole).cast("long") + packed).alias(f"lead{j}") for j, first in enumerate(firsts))
     )
     kept = F.lit(True)
     for j in range(len(firsts)):
         worse, same = F.lit(True), F.lit(True)
-        for k in names:
-            worse &= F.col(f"lead{j}.{k}") <= F.col(k)
-            same &= F.col(f"lead{j}.{k}") == F.col(k)
+        for at, k in enumerate(reversed(names)):
+            own = F.shiftright(F.col(f"lead{j}"), 5 * at).bitwiseAND(F.lit(31))
+            worse &= own <= F.col(k)
+            same &= own == F.col(k)
         kept &= ~worse | same
     left = found.join(leads, meter.key).where(kept).drop(*(f"lead{j}" for j in range(len(firsts))))
     a, b = left.alias("a"), left.select(*meter.key, *names).alias("b")

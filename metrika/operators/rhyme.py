@@ -49,8 +49,13 @@ def line_ends(lines: DataFrame) -> DataFrame:
     return lines.select("text_id", "line_num", word.alias("word")).withColumn("rime", rime_of_word(F.col("word")))
 
 
+# Accented letters and their base letters.
+ACCENTED, BASE = "àáâãäåæèéêëìíîïòóôõöøœùúûüÿçñß", "aaaaaaaeeeeiiiiooooooouuuuycns"
+
+
 def spelling_distance(a: Column, b: Column) -> Column:
-    """Edit distance over the longer length: the built-in stand-in for the feature edit distance."""
+    """Edit distance of base letters over the longer length: the built-in stand-in for the feature edit distance."""
+    a, b = F.translate(a, ACCENTED, BASE), F.translate(b, ACCENTED, BASE)
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
@@ -63,7 +68,7 @@ def neighbours(ends: DataFrame, window: int = WINDOW) -> DataFrame:
     offsets = [k for k in range(-window, window + 1) if k]
     sent = ends.where("rime is not null").select(
         "text_id", F.col("line_num").alias("i"), F.col("word").alias("wi"), F.col("rime").alias("ri"),
-        (F.col("line_num") + F.explode(F.array(*map(F.lit, offsets)))).alias("line_num"),
+        F.explode(F.array(*(F.col("line_num") + k for k in offsets))).alias("line_num"),
     )
     return (
         sent.join(ends.where("rime is not null"), ["text_id", "line_num"])
@@ -115,13 +120,11 @@ def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WI
 def rhyming_lines(lines: DataFrame) -> DataFrame:
     """text_id, line_num, partner: each line with an exact rhyme earlier in its text (nearest before; equal words don't rhyme)."""
     ends = line_ends(lines).where("rime is not null")
-    order = Window.partitionBy("text_id", "rime").orderBy("line_num").rowsBetween(Window.unboundedPreceding, -1)
     by_word = Window.partitionBy("text_id", "rime").orderBy("line_num")
     # The nearest earlier line of the rime with another word: the last change of word before this line.
     changed = F.when(F.lag("word").over(by_word) != F.col("word"), F.lag("line_num").over(by_word))
     rows = ends.withColumn("change", changed)
     last = F.last("change", ignorenulls=True).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
-    del order
     return rows.withColumn("partner", last).where("partner is not null").select("text_id", "line_num", "word", "rime", "partner")
 
 

@@ -13,7 +13,6 @@ from .text_queries import docs
 QUERIES, ORACLES = {}, {}
 ALL = tuple(S.VIOLATIONS)
 ALL_METER = parse.Meter(weights=dict.fromkeys(ALL, 1.0))
-SHORT = parse.Meter(longest=10)
 WEIGHTS = {"w_peak": 2.0, "w_stress": 1.5, "s_unstress": 0.5, "unres_across": 1.0, "unres_within": 1.0, "foot_size": 3.0}
 UNIT = ["text_id", "line_num", "linepart"]
 
@@ -101,65 +100,57 @@ def best_parse(spark, sf_dir):
 _DOMINATED = " AND ".join(f"b.{k} <= a.{k}" for k in S.DEFAULT)
 _LESS = " OR ".join(f"b.{k} < a.{k}" for k in S.DEFAULT)
 _ON = " AND ".join(f"b.{k} = a.{k}" for k in S.KEY.split(", "))
-_VECTORS = f"""vec AS (SELECT {S.KEY}, {', '.join(S.DEFAULT)}, score, count(*) AS scansions, min(scan_ord) AS scan_ord FROM scored GROUP BY ALL),
-perfect AS (SELECT DISTINCT {S.KEY} FROM vec WHERE score = 0),
-cand AS (SELECT v.* FROM vec v LEFT JOIN perfect p USING ({S.KEY}) WHERE v.score = 0 OR p.n IS NULL),
+_VECTORS = f"""vec AS MATERIALIZED (SELECT {S.KEY}, {', '.join(S.DEFAULT)}, score, count(*) AS scansions, min(scan_ord) AS scan_ord FROM scored GROUP BY ALL),
+led AS MATERIALIZED (SELECT {S.KEY}, {', '.join(f'arg_min({k}, score * 100000 + scan_ord) AS l_{k}' for k in S.DEFAULT)} FROM vec GROUP BY ALL),
+cand AS MATERIALIZED (SELECT v.* FROM vec v JOIN led USING ({S.KEY}) WHERE NOT ({' AND '.join(f'l_{k} <= {k}' for k in S.DEFAULT)}) OR ({' AND '.join(f'l_{k} = {k}' for k in S.DEFAULT)})),
 unb AS (SELECT a.* FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE {_ON} AND {_DOMINATED} AND ({_LESS})))"""
 
 
-@query(S.scored(None, 10) + f", {_VECTORS} SELECT {S.KEY}, {', '.join(S.DEFAULT)}, score, scansions, scan_ord FROM unb")
+@query(S.scored() + f", {_VECTORS} SELECT {S.KEY}, {', '.join(S.DEFAULT)}, score, scansions, scan_ord FROM unb")
 def unbounded(spark, sf_dir):
-    """Undominated violation vectors of every distinct rhythm of up to 10 syllables (the meter's limit here)."""
-    return parse.unbounded(parse.vectors(encoded(spark, sf_dir, 10), SHORT), SHORT).select(
-        *SHORT.key, *SHORT.names, "score", "scansions", "scan_ord"
+    """Undominated violation vectors of every distinct rhythm."""
+    return parse.unbounded(parse.vectors(encoded(spark, sf_dir), parse.DEFAULT), parse.DEFAULT).select(
+        *parse.DEFAULT.key, *parse.DEFAULT.names, "score", "scansions", "scan_ord"
     )
 
 
-def unbounded_full(spark, sf_dir):
-    """B4, B5 at the default limit of 18 syllables; tests hold it against brute force."""
-    return parse.unbounded(parse.vectors(encoded(spark, sf_dir))).select(*parse.DEFAULT.key, *C.DEFAULT, "score", "scansions", "scan_ord")
-
-
-QUERIES["unbounded_full"] = unbounded_full
-
-
 @query(
-    S.scored(None, 10)
+    S.scored()
     + f""", {_VECTORS}, rows AS (SELECT s.* FROM scored s JOIN unb u ON {' AND '.join(f's.{k} = u.{k}' for k in [*S.KEY.split(', '), *S.DEFAULT])})
     SELECT {S.KEY}, scan_ord, score, CAST(row_number() OVER (PARTITION BY {S.KEY} ORDER BY score, scan_ord) AS INTEGER) AS parse_rank FROM rows"""
 )
 def parse_rank(spark, sf_dir):
     """Undominated scansions ranked by score."""
-    return parse.ranked(encoded(spark, sf_dir, 10), SHORT).select(*SHORT.key, "scan_ord", "score", "parse_rank")
+    return parse.ranked(encoded(spark, sf_dir), parse.DEFAULT).select(*parse.DEFAULT.key, "scan_ord", "score", "parse_rank")
 
 
 @query(
-    S.scored(None, 10)
+    S.scored()
     + f""", {_VECTORS}, amb AS (SELECT {S.KEY}, CAST(sum(scansions) AS BIGINT) AS k FROM unb GROUP BY ALL),
     per AS (SELECT text_id, line_num, linepart, min(k) AS k FROM enc JOIN amb USING ({S.KEY}) GROUP BY ALL)
     SELECT text_id, count(*) AS n_units, round(exp(avg(ln(k))), 6) AS ambiguity, max(k) AS most FROM per GROUP BY text_id"""
 )
 def ambiguity_geomean(spark, sf_dir):
     """Geometric mean of the parse counts of each text's units."""
-    e = encoded(spark, sf_dir, 10)
-    per = e.join(parse.ambiguity(e, SHORT), SHORT.key).groupBy(*UNIT).agg(F.min("n_unbounded").alias("k"))
+    e = encoded(spark, sf_dir)
+    per = e.join(parse.ambiguity(e, parse.DEFAULT), parse.DEFAULT.key).groupBy(*UNIT).agg(F.min("n_unbounded").alias("k"))
     return per.groupBy("text_id").agg(
         F.count("*").alias("n_units"), F.round(stats.geometric_mean(F.col("k")), 6).alias("ambiguity"), F.max("k").alias("most")
     )
 
 
 @query(
-    S.scored(None, 10)
+    S.scored()
     + f""", {_VECTORS}, pairs AS (SELECT a.n, CASE WHEN {' AND '.join(f'a.{k} = b.{k}' for k in S.DEFAULT)} THEN 'equal'
     WHEN {' AND '.join(f'a.{k} <= b.{k}' for k in S.DEFAULT)} THEN 'bounds' WHEN {' AND '.join(f'a.{k} >= b.{k}' for k in S.DEFAULT)} THEN 'bounded' ELSE 'unequal' END AS relation
     FROM unb a JOIN vec b ON {_ON}) SELECT n, relation, count(*) AS n_pairs FROM pairs GROUP BY ALL"""
 )
 def bounding_relation(spark, sf_dir):
     """How undominated vectors stand to all vectors of their rhythm."""
-    v = parse.vectors(encoded(spark, sf_dir, 10), SHORT)
-    a = parse.unbounded(v, SHORT).select(*SHORT.key, *(F.col(k).alias(f"a_{k}") for k in SHORT.names))
-    pairs = a.join(v.select(*SHORT.key, *SHORT.names), SHORT.key)
-    return pairs.groupBy("n", parse.relation([f"a_{k}" for k in SHORT.names], list(SHORT.names)).alias("relation")).agg(F.count("*").alias("n_pairs"))
+    v = parse.vectors(encoded(spark, sf_dir), parse.DEFAULT)
+    a = parse.unbounded(v, parse.DEFAULT).select(*parse.DEFAULT.key, *(F.col(k).alias(f"a_{k}") for k in parse.DEFAULT.names))
+    pairs = a.join(v.select(*parse.DEFAULT.key, *parse.DEFAULT.names), parse.DEFAULT.key)
+    return pairs.groupBy("n", parse.relation([f"a_{k}" for k in parse.DEFAULT.names], list(parse.DEFAULT.names)).alias("relation")).agg(F.count("*").alias("n_pairs"))
 
 
 _SYLL = f"""pos AS (SELECT best.*, unnest(range(0, n)) AS i FROM best)
@@ -245,28 +236,31 @@ _ENERGY = " + ".join(f"{w} * {k}" for k, w in PREDICT.items())
 
 
 @query(
-    S.scored(None, 10)
-    + f""", {_VECTORS.split(',' + chr(10))[0]}, e AS (SELECT *, {_ENERGY} AS en FROM vec), z AS (SELECT {S.KEY}, sum(exp(-en) * scansions) AS z FROM e GROUP BY ALL)
-    SELECT {', '.join('e.' + k for k in S.KEY.split(', '))}, scan_ord, round(exp(-en) / z, 6) AS prob FROM e JOIN z USING ({S.KEY})"""
+    S.scored()
+    + f""", vec AS (SELECT {S.KEY}, {', '.join(S.DEFAULT)}, count(*) AS scansions FROM scored GROUP BY ALL), e AS (SELECT *, CAST({_ENERGY} AS DOUBLE) AS en FROM vec),
+    z AS (SELECT {S.KEY}, sum(exp(-en) * scansions) AS z FROM e GROUP BY ALL)
+    SELECT {', '.join('e.' + k for k in S.KEY.split(', '))}, round(max(exp(-en) / z), 6) AS top_prob, round(sum(scansions * exp(-en) / z * (en + ln(z))), 5) AS entropy FROM e JOIN z USING ({S.KEY}) GROUP BY ALL"""
 )
 def maxent_predict(spark, sf_dir):
-    """M5, M9: probabilities of scansions under fixed weights."""
-    rows = parse.vectors(encoded(spark, sf_dir, 10), SHORT)
-    out = maxent.predicted(rows, SHORT.key, list(SHORT.names), PREDICT)
-    return out.select(*SHORT.key, "scan_ord", F.round("prob", 6).alias("prob"))
+    """M5, M9: each rhythm's distribution over scansions under fixed weights: its likeliest one and its entropy."""
+    rows = parse.vectors(encoded(spark, sf_dir))
+    out = maxent.predicted(rows, parse.DEFAULT.key, list(parse.DEFAULT.names), PREDICT)
+    return out.groupBy(*parse.DEFAULT.key).agg(
+        F.round(F.max("prob"), 6).alias("top_prob"), F.round(-F.sum(F.col("scansions") * F.col("prob") * F.log("prob")), 5).alias("entropy")
+    )
 
 
 def observed_vectors(spark, sf_dir):
     """Vectors with the iambic scansion as each unit's observation, and how many units have the rhythm."""
-    e = encoded(spark, sf_dir, 10)
+    e = encoded(spark, sf_dir)
     from metrika.operators import scansion
 
-    table = scansion.scansions(spark, 10).where((F.col("meter") == scansion.iambic(F.col("n"))) & (F.col("cont") == 0))
+    table = scansion.scansions(spark).where((F.col("meter") == scansion.iambic(F.col("n"))) & (F.col("cont") == 0))
     marks = F.broadcast(table.select("n", F.col("scan_ord").alias("target")))
-    rows = parse.scored(e, SHORT).join(marks, "n").groupBy(*SHORT.key, *SHORT.names).agg(
+    rows = parse.scored(e, parse.DEFAULT).join(marks, "n").groupBy(*parse.DEFAULT.key, *parse.DEFAULT.names).agg(
         F.count("*").alias("scansions"), F.min("scan_ord").alias("scan_ord"), F.sum((F.col("scan_ord") == F.col("target")).cast("double")).alias("observed")
     )
-    return rows.join(e.groupBy(*SHORT.key).agg(F.count("*").alias("units")), SHORT.key)
+    return rows.join(e.groupBy(*parse.DEFAULT.key).agg(F.count("*").alias("units")), parse.DEFAULT.key)
 
 
 _OBSERVED = f"""tgt AS (SELECT n, scan_ord AS target FROM scan WHERE meter = substr(repeat('ws', n), 1, n) AND cont = 0),
@@ -276,36 +270,36 @@ en AS (SELECT obs.*, units, {_ENERGY} AS en FROM obs JOIN many USING ({S.KEY}))"
 
 
 @query(
-    S.scored(None, 10)
+    S.scored()
     + f""", {_OBSERVED}, per AS (SELECT {S.KEY}, max(units) AS units, sum(observed) AS seen, sum(exp(-en) * scansions) AS z, sum(observed * en) AS own FROM en GROUP BY ALL)
     SELECT CAST(sum(units) AS BIGINT) AS n_units, round(sum(units * (own + seen * ln(z))), 3) AS nll FROM per"""
 )
 def maxent_nll(spark, sf_dir):
     """M4, M6: negative log-likelihood of the iambic annotation under fixed weights."""
     rows = observed_vectors(spark, sf_dir)
-    mass = rows.withColumn("en", maxent.energy(list(SHORT.names), PREDICT))
-    per = mass.groupBy(*SHORT.key).agg(
+    mass = rows.withColumn("en", maxent.energy(list(parse.DEFAULT.names), PREDICT))
+    per = mass.groupBy(*parse.DEFAULT.key).agg(
         F.max("units").alias("units"), F.sum("observed").alias("seen"), F.sum(F.exp(-F.col("en")) * F.col("scansions")).alias("z"), F.sum(F.col("observed") * F.col("en")).alias("own")
     )
     return per.agg(F.sum("units").alias("n_units"), F.round(F.sum(F.col("units") * (F.col("own") + F.col("seen") * F.log("z"))), 3).alias("nll"))
 
 
 @query(
-    S.scored(None, 10)
+    S.scored()
     + f""", {_OBSERVED}, g AS (SELECT {S.KEY}, arg_min(scan_ord, en * 1000000 + scan_ord) AS guess, arg_max(scan_ord, observed * 1000000 - scan_ord) AS truth, sum(observed) AS seen FROM en GROUP BY ALL)
     SELECT count(*) AS n_units, round(avg(CASE WHEN guess = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g WHERE seen > 0"""
 )
 def maxent_accuracy(spark, sf_dir):
     """A10: share of rhythms whose likeliest vector is the annotated one."""
     rows = observed_vectors(spark, sf_dir)
-    energy = F.round(maxent.energy(list(SHORT.names), PREDICT), 9)
-    return maxent.accuracy(rows.withColumn("prob", -energy), SHORT.key)
+    energy = F.round(maxent.energy(list(parse.DEFAULT.names), PREDICT), 9)
+    return maxent.accuracy(rows.withColumn("prob", -energy), parse.DEFAULT.key)
 
 
 def maxent_fit(spark, sf_dir):
     """Weights learned from the iambic annotation; tests hold the optimum's conditions."""
     rows = observed_vectors(spark, sf_dir).persist()
-    model = maxent.fit(rows, SHORT.key, list(SHORT.names))
+    model = maxent.fit(rows, parse.DEFAULT.key, list(parse.DEFAULT.names))
     rows.unpersist()
     return spark.createDataFrame([(k, round(v, 4)) for k, v in model.weights.items()], "name string, weight double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import parse_queries, text_queries
+from . import analysis_queries, parse_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **parse_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **parse_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **parse_queries.QUERIES, **analysis_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **parse_queries.ORACLES, **analysis_queries.ORACLES}
