@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, parse_queries, text_queries
+from . import analysis_queries, parse_queries, phono_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **parse_queries.QUERIES, **analysis_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **parse_queries.ORACLES, **analysis_queries.ORACLES}
+GROUPS = (text_queries, parse_queries, analysis_queries, phono_queries)
+QUERIES = {name: f for group in GROUPS for name, f in group.QUERIES.items()}
+ORACLES = {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
