@@ -58,7 +58,15 @@ def best(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """
     if min(meter.weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    per_signature = scored(encoded, meter).groupBy(*meter.key).agg(F.min(F.struct("score", "scan_ord")).alias("b"))
+    # Score (to a millionth) and order packed into a long, which aggregates in a hash map.
+    code = (F.round(F.col("score") * 1_000_000).cast("long") * (1 << 20) + F.col("scan_ord")).alias("code")
+    per_signature = scored(encoded, meter).groupBy(*meter.key).agg(F.min(code).alias("code"))
+    per_signature = per_signature.select(
+        *meter.key,
+        F.struct(
+            (F.shiftright("code", 20) / 1_000_000).alias("score"), F.col("code").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("scan_ord")
+        ).alias("b"),
+    )
     keys = [c for c in encoded.columns if c not in ("variant", "n", *units.MASKS)]
     at = encoded.join(per_signature, meter.key).select(*keys, "variant", "n", *units.MASKS, "b.score", "b.scan_ord")
     ids = [k for k in keys if k != "words"]

@@ -29,43 +29,62 @@ def _full(n: Column) -> Column:
     return _shift(F.lit(1), n) - 1
 
 
-def word_masks(word: Column, form: Column) -> Column:
-    """struct(n, st, he, sg, wk, fn, wb, text) of one word; n is 0 without syllables."""
-
-    def made(chunks: Column) -> Column:
-        n = F.size(chunks)
-        he = F.aggregate(
-            F.transform(chunks, lambda c, i: F.when(ortho.heavy(c), _shift(F.lit(1), i)).otherwise(F.lit(0).cast("long"))),
-            F.lit(0).cast("long"),
-            lambda a, x: a.bitwiseOR(x),
-        )
-        st = F.aggregate(
-            F.transform(
-                chunks,
-                lambda c, i: F.when(ortho.stressed(word, n, i, form), _shift(F.lit(1), i)).otherwise(F.lit(0).cast("long")),
-            ),
-            F.lit(0).cast("long"),
-            lambda a, x: a.bitwiseOR(x),
-        )
+def word_parts(word: Column) -> Column:
+    """struct(n, he, kind) of one word from one pass over its letters.
 
-        def near(s: Column) -> Column:
-            full = _full(n)
-            un = full.bitwiseAND(F.bitwise_not(s))
-            beside = lambda m: F.shiftleft(m, 1).bitwiseOR(F.shiftright(m, 1)).bitwiseAND(full)
-            many = F.when(n > 1, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
-            return F.struct(
-                n.alias("n"),
-                s.alias("st"),
-                he.alias("he"),
-                s.bitwiseAND(beside(un)).bitwiseAND(many).alias("sg"),
-                un.bitwiseAND(beside(s)).bitwiseAND(many).alias("wk"),
-                F.when((n == 1) & (s == 0), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("fn"),
-                F.when(n > 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("wb"),
+    Every syllable has one run of vowel letters; it is heavy if the run has two,
+    the last also if the word ends in a consonant. kind is 0 for a stressed
+    monosyllable, 1 for a function word, 2 for an ambiguous one, 3 for more
+    syllables and 4 for none.
+    """
+
+    def made(lower: Column) -> Column:
+        def counted(runs: Column) -> Column:
+            n = F.size(runs)
+            long_ = F.aggregate(
+                F.reverse(runs), F.lit(0).cast("long"), lambda a, r: F.shiftleft(a, 1) + F.when(F.length(r) > 1, 1).otherwise(0)
+            )
+            closed = F.call_function("locate", F.right(lower, F.lit(1)), F.lit(ortho.VOWELS)) == 0
+            kind = (
+                F.when(n == 0, 4).when(n > 1, 3).when(lower.isin(ortho.FUNCTION_WORDS), 1).when(lower.isin(ortho.AMBIGUOUS_WORDS), 2).otherwise(0)
             )
+            last = F.when(closed & (n > 0), _shift(F.lit(1), n - 1)).otherwise(F.lit(0).cast("long"))
+            return F.struct(n.alias("n"), long_.bitwiseOR(last).alias("he"), kind.alias("kind"))
 
-        return let(st, near)
+        return let(F.regexp_extract_all(lower, F.lit(f"[{ortho.VOWELS}]+"), F.lit(0)), counted)
 
-    return let(ortho.syllables(word), made)
+    return let(F.lower(word), made)
+
+
+def word_masks(part: Column, form: Column) -> Column:
+    """struct(n, st, he, sg, wk, fn, wb) of a word's parts in one form: bit arithmetic alone.
+
+    Polysyllables are stressed on the first and every second syllable but the last.
+    """
+    n, one, zero = part["n"], F.lit(1).cast("long"), F.lit(0).cast("long")
+    alternate = F.lit(0x5555555555555555).bitwiseAND(_full(n - 1)).bitwiseOR(one)
+    st = F.when(n > 1, alternate).when((part["kind"] == 0) | ((part["kind"] == 2) & (form == 1)), one).otherwise(zero)
+
+    def near(s: Column) -> Column:
+        full = _full(n)
+        un = full.bitwiseAND(F.bitwise_not(s))
+        beside = lambda m: F.shiftleft(m, 1).bitwiseOR(F.shiftright(m, 1)).bitwiseAND(full)
+        many = F.when(n > 1, F.lit(-1).cast("long")).otherwise(zero)
+        return F.struct(
+            n.alias("n"),
+            s.alias("st"),
+            part["he"].alias("he"),
+            s.bitwiseAND(beside(un)).bitwiseAND(many).alias("sg"),
+            un.bitwiseAND(beside(s)).bitwiseAND(many).alias("wk"),
+            F.when((n == 1) & (s == 0), one).otherwise(zero).alias("fn"),
+            F.when(n > 0, one).otherwise(zero).alias("wb"),
+        )
+
+    return let(st, near)
+
+
+def word_masks_of(word: Column, form: Column) -> Column:
+    return let(word_parts(word), lambda p: word_masks(p, form))
 
 
 def joined(masks: Column) -> Column:
@@ -83,16 +102,50 @@ def encoded(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> Data
     Variants are aligned: variant 1 takes the second form of every ambiguous
     word. Units outside shortest..longest syllables are left out.
     """
-    variant = F.when(
-        F.exists("words", lambda w: F.lower(w).isin(ortho.AMBIGUOUS_WORDS) & (F.size(ortho.syllables(w)) == 1)),
-        F.array(F.lit(0), F.lit(1)),
-    ).otherwise(F.array(F.lit(0)))
-    keys = [c for c in units.columns]
-    out = units.withColumn("n", F.aggregate("words", F.lit(0), lambda a, w: a + F.size(ortho.syllables(w))))
-    out = out.where(F.col("n").between(shortest, longest)).drop("n")
-    out = out.select(*keys, F.explode(variant).alias("variant"))
-    out = out.withColumn("m", joined(F.transform("words", lambda w: word_masks(w, F.col("variant")))))
-    return out.select(*keys, "variant", "m.n", *(f"m.{k}" for k in MASKS))
+    keys = units.columns
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    start = F.struct(F.lit(0).alias("n"), *(zero.alias(k) for k in ("he", "wb", "st", "amb")))
+
+    def add(a: Column, w: Column) -> Column:
+        at = lambda mask: _shift(mask, a["n"])
+        poly = F.lit(0x5555555555555555).bitwiseAND(_full(w["n"] - 1)).bitwiseOR(one)
+        st = F.when(w["kind"] == 3, poly).when(w["kind"] == 0, one).otherwise(zero)
+        return F.struct(
+            (a["n"] + w["n"]).alias("n"),
+            a["he"].bitwiseOR(at(w["he"])).alias("he"),
+            a["wb"].bitwiseOR(F.when(w["n"] > 0, at(one)).otherwise(zero)).alias("wb"),
+            a["st"].bitwiseOR(at(st)).alias("st"),
+            a["amb"].bitwiseOR(F.when(w["kind"] == 2, at(one)).otherwise(zero)).alias("amb"),
+        )
+
+    def variants(m: Column) -> Column:
+        fits = m["n"].between(shortest, longest)
+        two = F.when(m["amb"] != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        wanted = F.when(fits, two).otherwise(F.array().cast("array<int>"))
+        return F.transform(wanted, lambda k: F.struct(k.alias("variant"), m.alias("m")))
+
+    # One expression under the generator: a filter on n in front of it would compute the words twice.
+    fold = F.aggregate("words", start, lambda a, w: let(word_parts(w), lambda p: add(a, p)))
+    out = units.select(*keys, F.explode(let(fold, variants)).alias("v")).select(*keys, "v.variant", "v.m.*")
+    # The rest is bit arithmetic on the unit: neighbours belong to one word unless the later one begins a word.
+    st = F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st"))
+    out = out.withColumn("st", st)
+    full = _full(F.col("n"))
+    inside = full.bitwiseAND(F.bitwise_not("wb"))
+    un = full.bitwiseAND(F.bitwise_not("st"))
+    beside = lambda m: F.shiftleft(m, 1).bitwiseAND(inside).bitwiseOR(F.shiftright(m.bitwiseAND(inside), 1))
+    alone = F.col("wb").bitwiseAND(F.shiftright(F.col("wb").bitwiseOR(_shift(one, F.col("n"))), 1))
+    return out.select(
+        *keys,
+        "variant",
+        "n",
+        "st",
+        "he",
+        F.col("st").bitwiseAND(beside(un)).alias("sg"),
+        un.bitwiseAND(beside(F.col("st"))).alias("wk"),
+        alone.bitwiseAND(un).alias("fn"),
+        "wb",
+    )
 
 
 def product_variants(units: DataFrame, most: int = 8) -> DataFrame:
@@ -110,6 +163,6 @@ def product_variants(units: DataFrame, most: int = 8) -> DataFrame:
         *keys, "r", F.explode(F.sequence(F.lit(0), _shift(F.lit(1), F.col("k")).cast("int") - 1)).alias("variant")
     )
     form = lambda r: F.call_function("shiftright", F.col("variant"), r).bitwiseAND(F.lit(1))
-    few = few.withColumn("m", joined(F.zip_with("words", "r", lambda w, r: word_masks(w, form(r)))))
+    few = few.withColumn("m", joined(F.zip_with("words", "r", lambda w, r: word_masks_of(w, form(r)))))
     few = few.select(*keys, "variant", "m.n", *(f"m.{k}" for k in MASKS)).where(F.col("n").between(2, LONGEST))
     return few.unionByName(encoded(units.where(count > most)))
