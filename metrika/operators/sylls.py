@@ -44,7 +44,7 @@ def syllables(tokens: DataFrame, lexicon: DataFrame | None = None, lang: str = "
         known = (
             lexicon.where(F.col("lang") == lang)
             .groupBy(F.lower("token").alias("word"))
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("form_idx").cast("int"), "sylls"))).alias("known"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("form_idx").cast("int").alias("form_idx"), "sylls"))).alias("known"))
         )
         known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
         rows = rows.join(known, "word", "left").withColumn("forms", F.when(F.col("is_punc") == 1, own).otherwise(F.coalesce("known", own)))
