@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, buffer, chunks
+from .common import LOWER, bounded_batches, buffer, chunks, span_hashes, words
 
 BITS, ORDERS = 20, (3, 4, 5, 6, 7, 8)
 #: Labelled rows of each class that training reads at most, smallest hash of doc_id first.
@@ -86,14 +86,22 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None, r
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)
     # First pass: how many texts of each half and class hold each bucket. The half
-    # follows what a text holds (its smallest bucket under a mixed order).
+    # follows what a text holds (its word of smallest hash), so that
+    # near copies stay together; the order decides where that leaves a half
+    # without a class.
     half = np.zeros(len(y), np.int64)
+    for first, part in chunks(texts):
+        raw, begins = buffer(part)
+        start, end, doc = words(raw, begins)
+        least = np.full(len(part), np.uint64((1 << 64) - 1))
+        np.minimum.at(least, doc, span_hashes(LOWER[raw], start, end))
+        half[first : first + len(part)] = (least & np.uint64(1)).astype(np.int64)
+    if any(len(set(y[half == h])) < 2 for h in (0, 1)):
+        for c in (0, 1):
+            half[y == c] = np.arange(int((y == c).sum())) % 2
     held = np.zeros((2, 2, 1 << BITS))
     for first, part in chunks(texts):
         row, col = present(part)
-        least = np.full(len(part), 1 << 62, np.int64)
-        np.minimum.at(least, row, (col * 0x9E3779B1) & 0x7FFFFFFF)
-        half[first : first + len(part)] = (least >> 7) & 1
         kind = half[first + row] * 2 + (y[first + row] > 0)
         for k in range(4):
             held[k // 2, k % 2] += np.bincount(col[kind == k], minlength=1 << BITS)
