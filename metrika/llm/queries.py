@@ -96,4 +96,35 @@ ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op5_minhash": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(a) >= 4 THEN list_transform(range(1, len(a) - 2), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] || ' ' || a[i + 3])
+      WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS s FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+side AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT x, x FROM side UNION SELECT r.x, s.y FROM reach r JOIN side s ON r.y = s.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, COALESCE(size.n, 0) AS n_shingles, COALESCE(component_id, d.doc_id) AS component_id, COALESCE(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.x = d.doc_id""",
+    "op7_decontamination": """
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT min(item_id) AS item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS a FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+dl AS (SELECT doc_id, CASE WHEN len(a) >= 5 THEN list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END AS l FROM dw),
+il AS (SELECT item_id, CASE WHEN len(a) >= 5 THEN list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END AS l FROM iw),
+ds AS (SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS pos FROM dl),
+ish AS (SELECT item_id, m, s, count(*) AS n FROM (SELECT item_id, len(l) AS m, unnest(l) AS s FROM il) GROUP BY ALL),
+start AS (SELECT DISTINCT doc_id, item_id, m, pos FROM ds JOIN ish USING (s)),
+win AS (SELECT t.doc_id, t.item_id, t.m, t.pos, d.s, count(*) AS n FROM start t JOIN ds d ON d.doc_id = t.doc_id AND d.pos >= t.pos AND d.pos < t.pos + t.m GROUP BY ALL),
+bag AS (SELECT w.doc_id, w.item_id, w.m, w.pos, sum(w.n) AS len, sum(least(w.n, COALESCE(i.n, 0))) AS both_n
+  FROM win w LEFT JOIN ish i ON i.item_id = w.item_id AND i.s = w.s GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, round(max(both_n / CAST(len + m - both_n AS DOUBLE)), 6) AS similarity FROM bag WHERE both_n / CAST(len + m - both_n AS DOUBLE) >= 0.8 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS n_items FROM hit)
+SELECT d.doc_id, r.doc_id IS NOT NULL AS contaminated, COALESCE(r.n_items, 0) AS n_items, r.item_id, r.similarity FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rn = 1""",
 }
