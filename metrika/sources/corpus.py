@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,10 +85,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def round_trip(rows: DataFrame) -> DataFrame:
-    """Rows saved to the warehouse as a table and read back."""
-    name = "metrika_round_trip"
-    rows.write.mode("overwrite").option("compression", "gzip").format("parquet").saveAsTable(name)
-    return rows.sparkSession.table(name)
+    """Rows saved in a new folder of the warehouse and read back."""
+    spark = rows.sparkSession
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/metrika-{uuid.uuid4().hex}"
+    save(rows, path)
+    return load(spark, path)[0]
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
