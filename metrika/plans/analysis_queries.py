@@ -259,6 +259,25 @@ def lexical_stress(spark, sf_dir):
     )
 
 
+def tree_stress(spark, sf_dir):
+    """stress over the derived trees, as sentence grids with normalised totals; tests hold small trees by hand."""
+    deps = dependency_rows(spark, sf_dir)
+    leaf = F.lit(1_000_000) + F.col("word_num")
+    phrases = deps.select(
+        "text_id", "sent_num", F.col("word_num").alias("node"), F.col("head").alias("parent"),
+        F.when(F.col("pos") == "NOUN", "NP").otherwise("VP").alias("label"), F.lit(None).cast("int").alias("word_num"), F.lit(0.0).alias("lstress"),
+    )
+    leaves = deps.select(
+        "text_id", "sent_num", leaf.alias("node"), F.col("word_num").alias("parent"), F.col("xpos").alias("label"), "word_num",
+        trees.lexical_stress(F.col("xpos"), F.lit("")).alias("lstress"),
+    )
+    words = trees.normalized(trees.sentence_grid(trees.tree_stress(phrases.unionByName(leaves))), "total")
+    return words.select("text_id", "sent_num", "word_num", "lstress", "pstress", "total", "grid", "grid_i", "norm_total", "relative_index")
+
+
+QUERIES["tree_stress"] = tree_stress
+
+
 @query(
     """SELECT CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN NOT regexp_matches(text, '\\p{L}') THEN 'no words' ELSE 'ok' END AS status, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1"""
 )
