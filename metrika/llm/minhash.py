@@ -6,14 +6,14 @@
    words split a signature distance of at most 15 by pigeonhole: some word of
    two such signatures has at most one differing position. Every word is
    enumerated with each of its five positions left out, so all pairs within the
-   distance share one of 40 keys. At a similarity of 0.8 a pair shares a key
-   with probability 0.99998 (above 0.8 more).
+   distance, and many beyond, share one of 40 keys. At a similarity of 0.8 a pair
+   shares a key with probability 0.99998 (above 0.8 more); nothing later drops it
+   but exact conditions.
 3. In each bucket all members are first compared with the smallest one (a star,
    not all pairs), on full sets. Buckets that then still hold several components
    go on: members outside the smallest member's component meet the whole bucket,
-   salted into parts of bounded size, under the signature distance and two exact
-   bounds on what the sets can share; what remains is compared on full sets. No
-   pair is capped or sampled.
+   salted into parts of bounded size, under two exact bounds on what the sets can
+   share; what remains is compared on full sets. No pair is capped or sampled.
 4. Connected components give each document its class.
 """
 
@@ -31,7 +31,6 @@ from .common import bounded_batches, chunks, components, mixed, salts, shingle_s
 
 WORDS, LANES, LANE_BITS, VALUE_BITS = 8, 5, 12, 11
 POSITIONS = WORDS * LANES
-DISTANCE = 2 * WORDS - 1
 #: Sets up to so many representatives are sought by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
 PART = 2_000
@@ -87,20 +86,6 @@ def _sets(n: int):
     return run
 
 
-def distance(left: str, right: str) -> Column:
-    """Differing positions of the signatures in columns left.s0.. and right.s0.."""
-    ones = sum(((1 << VALUE_BITS) - 1) << (LANE_BITS * k) for k in range(LANES))
-    tops = sum(1 << (LANE_BITS * k + VALUE_BITS) for k in range(LANES))
-    parts = [
-        F.bit_count((F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}")) + F.lit(ones)).bitwiseAND(F.lit(tops)))
-        for k in range(WORDS)
-    ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept, n_links).
 
@@ -148,8 +133,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    wide = reps.select("rep", "size", *(f"s{k}" for k in range(WORDS)))
-    links = written(_confirmed(_close(star, wide, percent), texts, reps, n, percent), "links")
+    sizes = reps.select("rep", "size").distinct()
+    links = written(_confirmed(_close(star, sizes, percent), texts, reps, n, percent), "links")
     label = components(links.select("a", "b"))
 
     # Buckets of several components: whoever is not with the smallest member meets the whole bucket.
@@ -164,7 +149,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
     open_ = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
     rarest = _rarest(written(open_.select("rep").distinct(), "ids"), texts, reps, n, percent)
-    rarest = rarest.join(wide, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
+    rarest = rarest.join(sizes, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
     open_ = open_.drop("size").join(rarest, "rep")
     parts = open_.withColumn("parts", salts(F.col("n"), PART))
     left = parts.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -176,7 +161,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
         & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.size") + F.col("b.size")))
-        & (distance("a", "b") <= DISTANCE)
         & _may_share(percent)
     )
     rest = a.join(b, near).select(
