@@ -17,7 +17,6 @@ from .common import written
 
 #: Rows of a conversation that are numbered together; longer ones are numbered in parts.
 PART = 1_024
-ROUNDS = 200
 #: The types of a schema and the variant types that satisfy them.
 TYPES = {
     "string": ["STRING"],
@@ -57,23 +56,43 @@ def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> Da
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) for conversations that have a dependency on a later call; level null on a cycle.
 
-    Each round settles the calls whose dependencies are settled, in every
-    conversation at once; there are as many rounds as the longest chain has
-    calls, and at most ROUNDS (what is left then counts as a cycle).
+    A call's level is the length of the longest chain of calls below it. Each
+    round settles the calls without an open dependency, in every conversation at
+    once. Where a call waits for a call that waits for one other alone, its
+    dependency is moved on to that other with the steps between added up, so a
+    plain chain takes as many rounds as its length has binary digits. There is no
+    limit on rounds: while any call is off the cycles a round settles one, and
+    when a round settles none the rest waits for a cycle.
     """
-    left = written(calls.select("conv_id", "call_id").distinct(), "calls")
-    open_ = written(edges.select("conv_id", "call_id", "needs").distinct(), "edges")
-    done = None
-    for k in range(ROUNDS):
-        free = written(left.join(open_, ["conv_id", "call_id"], "left_anti"), "free")
-        if not free.take(1):
+    key = ["conv_id", "call_id"]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    nodes = calls.select(*key).distinct().withColumn("level", zero)
+    open_ = written(edges.select(*key, "needs").distinct().withColumn("steps", one), "edges")
+    left = None
+    while True:
+        waits = open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("next"), F.max("steps").alias("more"))
+        state = written(nodes.join(waits, key, "left"), "calls")
+        now = state.where("n is not null").count()
+        if now == 0 or now == left:
             break
-        level = free.withColumn("level", F.lit(k).cast("long"))
-        done = level if done is None else done.unionByName(level)
-        left = written(left.join(free, ["conv_id", "call_id"], "left_anti"), "calls")
-        open_ = written(open_.join(free.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"), "edges")
-    rest = left.withColumn("level", F.lit(None).cast("long"))
-    return rest if done is None else done.unionByName(rest)
+        left = now
+        below = state.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("least"), "n", "next", "more")
+        # Steps round a cycle double for ever; the bound, far above any count of calls, keeps them within a long.
+        moved = F.least(F.col("steps") + F.col("more"), F.lit(1 << 60))
+        passed = F.col("n") == 1
+        stepped = written(
+            open_.join(below, ["conv_id", "needs"]).select(
+                *key,
+                F.when(F.col("n").isNull(), F.lit(None)).when(passed, F.col("next")).otherwise(F.col("needs")).alias("needs"),
+                F.when(passed, moved).otherwise(F.col("steps")).alias("steps"),
+                F.least(F.col("least") + F.col("steps"), F.lit(1 << 60)).alias("least"),
+            ),
+            "edges",
+        )
+        least = stepped.groupBy(*key).agg(F.max("least").alias("least"))
+        nodes = state.select(*key, "level").join(least, key, "left").select(*key, F.greatest("level", "least").alias("level"))
+        open_ = written(stepped.where("needs is not null").groupBy(*key, "needs").agg(F.max("steps").alias("steps")), "edges")
+    return state.select(*key, F.when(F.col("n").isNull(), F.col("level")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from metrika.llm import minhash
+from metrika.llm import chat_tools, minhash
 
 
 def docs(spark, texts):
@@ -26,3 +26,17 @@ def test_near_duplicates_far_apart_in_signature(spark):
     a, b, lead = edited(20, 60), edited(120, 160), edited(30, 70, 110, 150, 190, 196)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, {1: lead, 2: a, 3: b})).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+# ---- op2 ----
+
+
+def test_tool_calls_in_a_long_chain(spark):
+    """A chain of 230 calls, each needing the next in sequence, with side branches, beside a cycle."""
+    needs = {f"c{k:03}": [f"c{k + 1:03}"] for k in range(229)} | {"c229": [], "d": ["c100", "c050", "e"], "e": []}
+    needs |= {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x", "e"]}
+    calls = spark.createDataFrame([(1, k) for k in needs], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(1, k, n) for k, v in needs.items() for n in v], "conv_id long, call_id string, needs string")
+    got = {r.call_id: r.level for r in chat_tools.levels(calls, edges).collect()}
+    want = {f"c{k:03}": 229 - k for k in range(230)} | {"d": 180, "e": 0} | dict.fromkeys("xyzw")
+    assert got == want
