@@ -42,8 +42,8 @@ ENDINGS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "|".join([*FEMALE, *MALE, *NEUTRAL])
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<=(?i:token|secret|password|api_key|apikey)[^A-Za-z0-9\n]{1,10})(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "secret": r"(?<=(?i:token|secret|password|api_key|apikey)[^A-Za-z0-9\n]{1,10})(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{20,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -79,14 +79,14 @@ def canonical(kind: Column, mention: Column) -> Column:
 
 
 def _bytes(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """Hex text of keyed bytes, at least one for each character."""
+    """Blocks of 64 keyed bytes as hex texts, together at least one byte for each character."""
     block = lambda k: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), k.cast("string")), 512)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(canon) / 64).cast("int")), block), "")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(canon) / 64).cast("int")), block)
 
 
 def _byte(stream: Column, i: Column) -> Column:
     """The i-th keyed byte (from 0)."""
-    return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substring(F.get(stream, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(of: str, at: Column) -> Column:
@@ -187,9 +187,7 @@ def formatted(kind: Column, mention: Column, core: Column) -> Column:
     digits = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike(r"\d") & (at(i) >= 1), F.substring(core, at(i), F.lit(1))).otherwise(c)), ""
     )
-    cased = F.array_join(
-        F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(core, i + 1, F.lit(1)))).otherwise(F.substring(core, i + 1, F.lit(1)))), ""
-    )
+    cased = F.array_join(F.zip_with(chars, F.split(core, ""), lambda c, d: F.when(c.rlike("[A-Z]"), F.upper(d)).otherwise(d)), "")
     title = F.regexp_extract(mention, r"^\S+ ", 0)
     return (
         F.when(kind == "email", cased)

@@ -2,7 +2,7 @@
 
 import random
 
-from metrika.llm import chat_tools, minhash
+from metrika.llm import chat_tools, minhash, pii
 
 
 def docs(spark, texts):
@@ -40,3 +40,19 @@ def test_tool_calls_in_a_long_chain(spark):
     got = {r.call_id: r.level for r in chat_tools.levels(calls, edges).collect()}
     want = {f"c{k:03}": 229 - k for k in range(230)} | {"d": 180, "e": 0} | dict.fromkeys("xyzw")
     assert got == want
+
+
+# ---- op6 ----
+
+
+def test_long_secrets_and_mails(spark):
+    """Secrets of over 128 characters and e-mail local parts of over 64 are replaced too, wholly and in their format."""
+    secrets = {k: ("a1B2" * k)[:k] for k in (128, 129, 200, 5000)}
+    texts = {k: f"token = {s} end" for k, s in secrets.items()} | {1: f"to {'Ann.Lee' * 10}@mail.example.com now", 2: "x" * 50_000}
+    got = {r.doc_id: r for r in pii.surrogated(docs(spark, texts), counts=True).collect()}
+    for k, s in secrets.items():
+        made = got[k].text.removeprefix("token = ").removesuffix(" end")
+        assert got[k].n_mentions == 1 and len(made) == k
+        assert not any(s[i : i + 20] in made for i in range(k - 19))
+    assert got[1].n_mentions == 1 and got[1].text != texts[1] and len(got[1].text) == len(texts[1]) and "Ann.Lee" not in got[1].text
+    assert got[2].text == texts[2]
