@@ -11,11 +11,15 @@ window of L shingles with similarity t to an item of m needs t(m+L)/(1+t) of its
 shingles in the item, and may be taken to begin at one of them, since moving it
 there keeps what is shared and drops what is not. That is a lossless filter, not
 a sample: every window that could be a hit is fingerprinted.
+
+Items of over LONG shingles, which would overrun the fingerprint's 16-bit
+counters, stay whole and need no fingerprint: what each window shares with them
+is counted exactly, at a cost in proportion to their matches (`_long_hits`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -24,6 +28,8 @@ RADIUS, BLOCKS = 23, 8
 #: Tables up to so many narrow rows are broadcast after a count; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 LANE = 0x0001000100010001
+#: Items of more shingles are counted exactly; a fingerprint's counter holds 32,767.
+LONG = 30_000
 
 
 def let(value: Column, body) -> Column:
@@ -103,29 +109,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0
 
     Null, empty and word-less texts and items match nothing; an item or document
     of fewer than n words is one shingle. Equal items count as the smallest
-    item_id. Repeated documents give one row. An item of over 30,000 shingles is
-    cut to consecutive items of 30,000, since a counter holds 32,767.
+    item_id. Repeated documents give one row.
     """
     text = F.col("text").cast("string")
-    items = (
+    sized = (
         benchmark.where("text is not null")
         .groupBy(text.alias("text"))
         .agg(F.min("item_id").alias("item_id"))
-        .select("item_id", shingle_hashes(word_array(F.col("text")), n).alias("all"))
-        .where("size(all) > 0")
-        .select("item_id", F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(30_000))).alias("from"), "all")
-        .select("item_id", "from", F.slice("all", F.col("from"), F.lit(30_000)).alias("shingles"))
-        .select("item_id", "from", "shingles", F.size("shingles").alias("m"), lanes(F.col("shingles")).alias("lane"), bag(F.col("shingles")).alias("bag"))
+        .select("item_id", shingle_hashes(word_array(F.col("text")), n).alias("shingles"))
+        .where("size(shingles) > 0")
+        .withColumn("m", F.size("shingles"))
+    )
+    sized = written(sized, "sized")
+    items = sized.where(F.col("m") <= LONG).select(
+        "item_id", "shingles", "m", lanes(F.col("shingles")).alias("lane"), bag(F.col("shingles")).alias("bag")
     )
     items = written(items, "items")
     items = items.withColumn("fp", fingerprint(F.col("lane"), F.col("m"))).drop("lane")
-    vocabulary = items.select(F.explode("shingles").alias("s"), "item_id", "from", "m").distinct()
+    vocabulary = items.select(F.explode("shingles").alias("s"), "item_id", "m").distinct()
 
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = texts.select("doc_id", "text_hash", shingle_hashes(word_array(F.col("text")), n).alias("sh"))
     found = own.select("doc_id", "text_hash", F.size("sh").alias("size"), F.posexplode("sh").alias("pos", "s"))
-    matched = found.join(_hint(vocabulary), "s").select("doc_id", "text_hash", "size", "item_id", "from", "m", "pos")
-    run = matched.groupBy("doc_id", "text_hash", "size", "item_id", "from", "m").agg(
+    matched = found.join(_hint(vocabulary), "s").select("doc_id", "text_hash", "size", "item_id", "m", "pos")
+    run = matched.groupBy("doc_id", "text_hash", "size", "item_id", "m").agg(
         F.array_sort(F.collect_set("pos")).alias("p")
     )
     length = lambda i: F.least(F.col("m"), F.col("size") - F.element_at("p", i))
@@ -179,8 +186,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0
     )
     both = F.size(F.array_intersect("own_bag", "bag"))
     sim = both / (F.col("len") + F.col("m") - both)
+    judged = checked.select("doc_id", "text_hash", "item_id", "start", "len", sim.alias("similarity"))
+    long = sized.where(F.col("m") > LONG)
+    if long.take(1):
+        judged = judged.unionByName(_long_hits(found, long))
     return (
-        checked.select("doc_id", "text_hash", "item_id", "start", "len", sim.alias("similarity"))
+        judged
         .where(F.col("similarity") >= threshold)
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("best"))
@@ -195,6 +206,42 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0
     )
 
 
+def _long_hits(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, start, len, similarity) of the windows that begin at a shingle of a long item.
+
+    found: doc_id, text_hash, size, pos, s of every shingle; items: item_id,
+    shingles, m. A shingle that the item has c times counts in the windows it is
+    among the first c of: those that begin after the occurrence c places before
+    it, and less than m before it. Each occurrence adds one where these begin and
+    takes one off behind itself; a running sum gives what every window shares.
+    """
+    wanted = items.select("item_id", "m", F.explode("shingles").alias("s")).groupBy("item_id", "m", "s").agg(
+        F.count("*").cast("int").alias("c")
+    )
+    key = ["doc_id", "text_hash", "item_id", "size", "m"]
+    places = (
+        found.join(_hint(written(wanted, "wanted")), "s")
+        .groupBy(*key, "s", "c")
+        .agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    )
+
+    def steps(q: Column, j: Column) -> Column:
+        before = F.when(j >= F.col("c"), F.get("p", j - F.col("c"))).otherwise(F.lit(-1))
+        begin = F.greatest(before, q - F.col("m")) + 1
+        event = lambda at, add, here: F.struct(at.alias("start"), F.lit(add).alias("add"), F.lit(here).alias("here"))
+        return F.array(event(F.greatest(begin, F.lit(0)), 1, 0), event(q + 1, -1, 0), event(q, 0, 1))
+
+    events = places.select(*key, F.explode(F.flatten(F.transform("p", steps))).alias("e")).groupBy(*key, "e.start").agg(
+        F.sum("e.add").alias("add"), F.max("e.here").alias("here")
+    )
+    running = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.least(F.col("m"), F.col("size") - F.col("start"))
+    windows = events.withColumn("both", F.sum("add").over(running)).where("here = 1").withColumn("len", length)
+    return windows.select(
+        "doc_id", "text_hash", "item_id", "start", "len", (F.col("both") / (F.col("len") + F.col("m") - F.col("both"))).alias("similarity")
+    )
+
+
 def flagged(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_id (of the best hit, ties to the smallest), similarity."""
     found = hits(docs, benchmark, n, threshold)

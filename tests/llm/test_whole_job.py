@@ -1,8 +1,10 @@
 """Cases that a cut, cap or limit in an operator would lose."""
 
+import itertools
 import random
+from collections import Counter
 
-from metrika.llm import chat_tools, minhash, pii
+from metrika.llm import chat_tools, decontam, minhash, pii
 
 
 def docs(spark, texts):
@@ -56,3 +58,43 @@ def test_long_secrets_and_mails(spark):
         assert not any(s[i : i + 20] in made for i in range(k - 19))
     assert got[1].n_mentions == 1 and got[1].text != texts[1] and len(got[1].text) == len(texts[1]) and "Ann.Lee" not in got[1].text
     assert got[2].text == texts[2]
+
+
+# ---- op7 ----
+
+
+def test_long_items_stay_whole(spark):
+    """Of an item of 30,001 shingles, its last phrase or its half is no hit, nine tenths of it are."""
+    words = [f"w{k}" for k in range(30_005)]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    texts = {1: "see " + " ".join(words[-5:]) + " here", 2: " ".join(words[:15_000]), 3: "so " + " ".join(words[2_000:-1_000]), 4: " ".join(words)}
+    got = {r.doc_id: r for r in decontam.hits(docs(spark, texts), bench).collect()}
+    assert set(got) == {3, 4} and (got[4].similarity, got[4].window_start, got[4].window_shingles) == (1.0, 0, 30_001)
+    assert (got[3].similarity, got[3].window_start, got[3].window_shingles) == (round(27_001 / 30_001, 6), 1, 27_001)
+
+
+def test_long_items_equal_brute_force(spark, monkeypatch):
+    """The counted path by itself, on texts with repeated shingles."""
+    rng = random.Random(5)
+    item = [rng.choice("abc") for _ in range(40)]
+    texts = {}
+    for k in range(40):
+        copy = list(item)
+        for _ in range(k % 6):
+            copy[rng.randrange(40)] = rng.choice("abcd")
+        texts[k] = " ".join([*"abcab"[: k % 4], *copy[k % 3 : 40 - k % 5], *"bca"])
+    monkeypatch.setattr(decontam, "LONG", 0)
+    items = {1: " ".join(item), 2: "a b c", 3: " ".join(item[:20])}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.hits(docs(spark, texts), bench, 2).collect()}
+    want = {}
+    cut = lambda t: list(itertools.pairwise(t.split()))
+    for (d, t), (i, x) in itertools.product(texts.items(), items.items()):
+        s, need = cut(t), Counter(cut(x))
+        m = need.total()
+        windows = [s[k : k + m] for k in range(len(s))]
+        both = [(Counter(w) & need).total() for w in windows]
+        best = max(b / (len(w) + m - b) for w, b in zip(windows, both, strict=True))
+        if best >= 0.8:
+            want[d, i] = round(best, 6)
+    assert got == want and len(want) > 20
