@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,27 +23,61 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder, which must be set; only a local session without one (tests) gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    made = spark.sparkContext.getCheckpointDir()
-    if made is None:
-        made = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(made)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: The folders of written tables that are still in use.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more (what was made from them is itself written)."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path is not None:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name made from `name` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def broadcastable(table: DataFrame, rows: int, size: int = 64 << 20) -> bool:
+    """Whether a written table has at most `rows` rows and `size` bytes of content (as JSON text); the count comes first."""
+    if table.count() > rows:
+        return False
+    content = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in table.columns))))
+    return (table.agg(F.sum(content).alias("n")).first()["n"] or 0) <= size
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Hold Arrow batches of whole texts to `rows` rows: both sides buffer a batch or two off the heap."""
+    """Hold Arrow batches of whole texts to `rows` rows: both sides buffer a batch or two off the heap.
+
+    A setting of the session, in force when the lazy result is read, so it stays set.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
@@ -83,7 +118,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     seen = None
     for _ in range(rounds):
-        edges = written(small(large(edges).distinct()).distinct(), "edges")
+        last, edges = edges, written(small(large(edges).distinct()).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
