@@ -1,17 +1,17 @@
 """Exact top-k by inner product with no random access (NRA).
 
 Every vector component, floor(scale * x), is one sorted list; a query reads each
-list from the end that its own component favours. What has been read gives a
-vector a lower and an upper bound: unread entries lie between the list's far end
-and its present depth. Reading deepens in rounds; a vector whose upper bound is
-below the k-th best lower bound cannot qualify and is dropped, and a query stops
-when only its answers are left or all lists are read. Final scores are resolved
-exactly in 64-bit integers.
+list from the end that its own component favours, a step at a time. What has
+been read of a vector is summed up; an entry not yet read lies between the
+list's far end and the last entry read, which gives the vector a lower and an
+upper bound. A vector whose upper bound is below the k-th best lower bound
+cannot qualify and is dropped; a query stops its search once no more than k
+vectors are left, and goes on reading only to complete the scores of those. No
+score is ever computed from a vector by itself.
 
 Queries and vectors are dealt into blocks, and every block of queries meets
 every block of vectors once; a block's lists are sorted once for all its
-queries, and the bounds of many queries are computed together as products of
-matrices. Each pair of blocks keeps at most k rows a query, and the k best of
+queries. Each pair of blocks keeps at most k rows a query, and the k best of
 those are the result.
 """
 
@@ -26,80 +26,108 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-QUERY_BLOCK, VECTOR_BLOCK, TOGETHER = 2_048, 8_192, 128
-#: Shares of a list that the rounds have read at their end.
-DEPTHS = (0.05, 0.2, 0.5, 1.0)
-
-
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's k best vectors but itself, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    count, dims = vectors.shape
-    x = vectors.astype(np.float64)
-    rank = np.empty((count, dims), np.int64)
-    by = np.argsort(x, axis=0, kind="stable")
-    np.put_along_axis(rank, by, np.arange(count)[:, None], axis=0)
-    ascending = np.take_along_axis(x, by, axis=0)
-    low, high = ascending[0], ascending[-1]
-    for first in range(0, len(queries), TOGETHER):
-        q = queries[first : first + TOGETHER].astype(np.float64)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        alive = np.ones((len(q), count), bool)
-        own = query_ids[first : first + TOGETHER, None] == ids[None, :]
-        alive &= ~own
-        rows = np.arange(count)
-        for depth in DEPTHS:
-            read = min(count, max(k + 1, int(count * depth)))
-            if read >= count:
-                break
-            # Entry (v, d) has been read from the top by queries with a positive component, from the bottom by others.
-            part, place = x[rows], rank[rows]
-            top, bottom = place >= count - read, place < read
-            edge_top, edge_bottom = ascending[count - read], ascending[read - 1]
-            upper = up @ np.where(top, part, edge_top).T + down @ np.where(bottom, part, edge_bottom).T
-            lower = up @ np.where(top, part, low).T + down @ np.where(bottom, part, high).T
-            live = alive[:, rows]
-            lower[~live] = -np.inf
-            if len(rows) > k:
-                bar = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
-                live &= upper >= bar[:, None]
-                alive[:, rows] = live
-                rows = rows[live.any(axis=0)]
-        # Resolve: all lists read for what is left.
-        score = q @ x[rows].T
-        score[~alive[:, rows]] = -np.inf
-        for n in range(len(q)):
-            s = score[n]
-            if len(rows) > k:
-                bar = np.partition(s, len(rows) - k)[len(rows) - k]
-                pick = np.flatnonzero((s >= bar) & (s > -np.inf))
-            else:
-                pick = np.flatnonzero(s > -np.inf)
-            pick = pick[np.lexsort((ids[rows[pick]], -s[pick]))][:k]
-            exact = vectors[rows[pick]] @ queries[first + n]
-            for v, e in zip(ids[rows[pick]], exact, strict=True):
-                yield int(query_ids[first + n]), int(v), int(e)
+QUERY_BLOCK, VECTOR_BLOCK = 2_048, 8_192
+#: Entries of each list that the first step reads; every later step reads as many as were read before.
+FIRST_STEP = 32
+
+
+class Lists:
+    """The sorted lists of a block of vectors, one for each component, ascending."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        columns, self.ids = np.ascontiguousarray(vectors[order].T), ids[order]
+        self.rows = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(columns, self.rows, axis=1).astype(np.float64)
+
+    def read(self, rising: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries start..end of all lists, (row, value): of `rising` ones from their high end, of others from the low."""
+        n = len(self.ids)
+        row, value = self.rows[:, start:end].copy(), self.values[:, start:end].copy()
+        row[rising] = self.rows[rising, n - end : n - start][:, ::-1]
+        value[rising] = self.values[rising, n - end : n - start][:, ::-1]
+        return row, value
+
+
+def search(query: np.ndarray, own: int, lists: Lists, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, entries read): the k best vectors of the block for one query, but those with its own id.
+
+    Sums are exact: `top_k` keeps every inner product below 2**53.
+    """
+    n, width = len(lists.ids), len(query)
+    rising, factor = query > 0, query.astype(np.float64)[:, None]
+    open_ = np.flatnonzero(lists.ids != own)
+    score, seen = np.zeros(n), np.zeros((width, n), np.float32)
+    list_ = np.arange(width)[:, None]
+    far = (lists.read(rising, n - 1, n)[1] * factor)[:, 0]
+    at = 0
+    while at < n:
+        depth = min(n, max(FIRST_STEP, 2 * at))
+        row, value = lists.read(rising, at, depth)
+        value *= factor
+        score += np.bincount(row.ravel(), weights=value.ravel(), minlength=n)
+        at = depth
+        if depth == n:
+            break
+        seen[list_, row] = 1.0
+        edge = value[:, -1]
+        # What the unread entries can add at least and at most; sums of whole numbers below 2**53.
+        part = np.stack((far, edge)) @ seen.astype(np.float64)
+        lower, upper = score[open_] + (far.sum() - part[0, open_]), score[open_] + (edge.sum() - part[1, open_])
+        if len(open_) > k:
+            bar = np.partition(lower, len(open_) - k)[len(open_) - k]
+            open_ = open_[upper >= bar]
+        if len(open_) <= k:
+            break
+    # Resolve: read on, for the vectors that are left alone, until each of their entries has been met.
+    while at < n and not seen[:, open_].all():
+        depth = min(n, 2 * at)
+        row, value = lists.read(rising, at, depth)
+        left = np.zeros(n, bool)
+        left[open_] = True
+        where, place = np.nonzero(left[row])
+        found = row[where, place]
+        score += np.bincount(found, weights=value[where, place] * factor[where, 0], minlength=n)
+        seen[where, found] = 1.0
+        at = depth
+    best = open_[np.lexsort((lists.ids[open_], -score[open_]))][:k]
+    return best, score[best].astype(np.int64), at * width
+
+
+def answers(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query id, vector id, score, entries read by the query) for the k best vectors of every query."""
+    lists = Lists(vectors, ids)
+    for q, own in zip(queries, query_ids.tolist(), strict=True):
+        best, scores, read = search(q, own, lists, k)
+        for v, s in zip(lists.ids[best].tolist(), scores.tolist(), strict=True):
+            yield own, v, s, read
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """(vec_id, embedding) -> (query_id, rank, vec_id, score) for queries with vec_id divisible by `every`.
+    """(vec_id, embedding) -> (query_id, rank, vec_id, score, n_read) for queries with vec_id divisible by `every`.
+
+    n_read is the number of list entries that the query has read in the block of
+    the vector.
 
     Vectors that are null or empty, or hold a null or non-finite component, and
     null ids, take no part. Vectors of different lengths have no inner product
-    and never meet. Equal scores rank by the smaller vec_id; a repeated vec_id
-    with equal vectors counts once, with different ones each counts. A row never
-    answers a query of its own id. Components of 2**24 or more after scaling are
-    refused, since their scores might not be exact.
+    and never meet. Equal scores rank by the smaller vec_id; rows that repeat a
+    vec_id with equal vectors count as one row; rows of one vec_id with
+    different vectors never answer each other, each counts for other queries,
+    and as queries they share their k answers. Vectors whose squared largest
+    component times their length reaches 2**53 after scaling are refused, since
+    sums might not be exact. No rows, or none that take part, give an empty
+    table. Other columns are not read.
     """
     value = F.col("embedding").cast("array<double>")
     sound = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     whole = F.transform(value, lambda v: F.floor(v * scale))
-    small = F.forall("v", lambda v: F.abs(v) < F.lit(1 << 24))
+    size = F.array_max(F.transform("v", lambda v: F.abs(v))).cast("double")
+    exact = F.size("v") * size * size < F.lit(float(1 << 53))
     rows = (
         vectors.where(F.col("vec_id").isNotNull() & value.isNotNull() & sound & (F.size(value) > 0))
         .select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-        .withColumn("v", F.when(small, F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit("a component is too large"))))
+        .withColumn("v", F.when(exact, F.col("v")).otherwise(F.raise_error(F.lit("a component is too large"))))
         .distinct()
     )
     rows = written(rows.withColumn("dims", F.size("v")), "vectors")
@@ -114,21 +142,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        found = search(
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n_read": []}).astype("int64")
+        found = answers(
             np.array(left.v.tolist(), np.int64), left.vec_id.to_numpy(), np.array(right.v.tolist(), np.int64), right.vec_id.to_numpy(), k
         )
-        return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score", "n_read"]).astype("int64")
 
     best = (
         asked.groupBy("d", "q", "dims")
         .cogroup(data.groupBy("d", "q", "dims"))
-        .applyInPandas(run, "query_id long, vec_id long, score long")
+        .applyInPandas(run, "query_id long, vec_id long, score long, n_read long")
     )
+    # Queries that share an id may both have found a vector.
+    one = best.groupBy("query_id", "vec_id", "score").agg(F.max("n_read").alias("n_read"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        best.distinct()
-        .withColumn("rank", F.row_number().over(order))
+        one.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", "n_read")
     )
