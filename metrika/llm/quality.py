@@ -22,8 +22,8 @@ from .common import LOWER, bounded_batches, buffer, chunks, span_hashes, words
 
 WORD_BITS = 15
 SHAPES = 24
-#: Rated rows of each grade that training reads at most, smallest hash of doc_id first.
-SAMPLE = 1_500
+#: Rated rows of each grade that training reads at most, smallest hash of doc_id first, and the bytes of their texts at most.
+SAMPLE, SAMPLE_BYTES = 1_500, 1 << 18
 
 _CLASS = np.full(256, 23, np.uint32)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:256] = 0, 1, 2, 3
@@ -118,7 +118,6 @@ def fit(texts: list[str | None], grades: list[int], levels: int, counts: list[in
     used = value > 0
     row, col, value = row[used], col[used], value[used]
     weight = (1.0 / np.maximum(have, 1))[y] / (have > 0).sum()
-    ahead = y[:, None] > np.arange(levels - 1)[None, :]
     # Thresholds: the first free, then positive gaps; Adam on everything.
     gap = np.concatenate(([theta[0] if np.isfinite(theta[0]) else 0.0], np.log(np.maximum(np.diff(theta), 1e-2))))
     w = np.zeros(WIDTH)
@@ -142,7 +141,6 @@ def fit(texts: list[str | None], grades: list[int], levels: int, counts: list[in
             v += 0.001 * (g * g - v)
             x -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-10)
     theta = gap[0] + np.concatenate(([0.0], np.cumsum(np.exp(gap[1:]))))
-    assert ahead.shape[1] == len(theta)
     return Model((w * unit).astype(np.float32), theta)
 
 
@@ -171,7 +169,8 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = SAMPLE) -> Model:
     """Fit on (doc_id, grade) rows, at most `most` of each grade by the hash of doc_id.
 
-    Null grades, ids and texts are left out; an id rated twice counts with its lowest grade.
+    Null grades, ids and texts are left out, and texts of over SAMPLE_BYTES bytes; an
+    id rated twice counts with its lowest grade.
     """
     one = (
         ratings.where("doc_id is not null and grade between 0 and " + str(levels - 1))
@@ -185,7 +184,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = SAMP
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
-        texts.where("text is not null")
+        texts.where(F.octet_length("text") <= SAMPLE_BYTES)
         .join(F.broadcast(picked), "doc_id")  # at most levels * most ids
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("grade__").alias("grade__"))
@@ -212,7 +211,12 @@ def rated(docs: DataFrame, labels: DataFrame, level: int = 1, least: float = 0.5
 
 
 def selected(docs: DataFrame, labels: DataFrame, level: int = 1, least: float = 0.5) -> DataFrame:
-    """The documents, with their columns as they are, whose tail probability is at least `least`."""
+    """The documents, with their columns as they are, whose tail probability is at least `least` (ties stay).
+
+    Null, empty and blank texts have the score 0 and stay or go with it; repeated
+    rows are judged alike; no rows, or no ratings, give a table or a model of
+    shares alone. Columns of any name pass through.
+    """
     bounded_batches(docs.sparkSession)
     model = train(docs, labels.select("doc_id", grade().alias("grade")))
 
