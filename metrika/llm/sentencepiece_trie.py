@@ -135,14 +135,25 @@ class Encoder:
         return [None if t is None else [k for w in t for k in known[w]] for t in cut]
 
 
+def _runs(texts: list[str | None], rows: int = 200, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(index of the first, texts) in runs of at most `rows` texts and, but for a longer single text, `most` characters."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and (k - first >= rows or size + len(text or "") > most):
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def _encoded(path: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = wanted.value
         encoder = Encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for first in range(0, len(texts), 200):
-                part = texts[first : first + 200]
+            for first, part in _runs(texts):
                 ids = encoder(part)
                 columns = [batch.column(0).slice(first, len(part)), pa.array(ids, pa.list_(pa.int32()))]
                 names = ["doc_id", "ids"]
