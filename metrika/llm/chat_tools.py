@@ -13,10 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
-#: Rows of a conversation that are numbered together; longer ones are numbered in parts.
-PART = 1_024
 #: The types of a schema and the variant types that satisfy them.
 TYPES = {
     "string": ["STRING"],
@@ -33,24 +31,23 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds the position (from 1) of each row among those with its key, without a window over a whole key.
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds the position (from 1) of each row among those with its key, in the given order (no ties).
 
-    Rows are numbered within parts of at most about PART values of the first order column (a
-    whole number), and parts are offset by their predecessors' counts.
+    Rows are dealt by ranges of key and order, which also cut through a key that
+    has many; they are numbered within a range and offset by the ranges before.
+    A key has as many ranges as there are partitions at most.
     """
-    part = F.floor(F.coalesce(F.col(order[0]), F.lit(-1)) / PART).alias("part__")
-    dealt = rows.withColumn("part__", part)
-    sizes = dealt.groupBy(*key, "part__").agg(F.count("*").alias("n__"))
-    before = Window.partitionBy(*key).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(before), F.lit(0))).drop("n__")
-    inside = Window.partitionBy(*key, "part__").orderBy(*order)
-    offsets = offsets.select(*(F.col(k).alias(f"{k}__k") for k in key), F.col("part__").alias("p__"), "before__")
-    same = F.col("part__") == F.col("p__")
-    for k in key:
-        same &= F.col(k).eqNullSafe(F.col(f"{k}__k"))
+    dealt = written(rows.repartitionByRange(key, *order).withColumn("range__", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(key, "range__").agg(F.count("*").alias("n__"))
+    before = Window.partitionBy(key).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col(key).alias("key__"), F.col("range__").alias("r__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__")
+    )
+    inside = Window.partitionBy(key, "range__").orderBy(*order)
+    same = F.col(key).eqNullSafe(F.col("key__")) & (F.col("range__") == F.col("r__"))
     out = dealt.withColumn("at__", F.row_number().over(inside)).join(offsets, same)
-    return out.withColumn(name, (F.col("before__") + F.col("at__")).cast("long")).select(*rows.columns, name)
+    return out.select(*rows.columns, (F.col("before__") + F.col("at__")).cast("long").alias(name))
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,10 +65,12 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     nodes = calls.select(*key).distinct().withColumn("level", zero)
     open_ = written(edges.select(*key, "needs").distinct().withColumn("steps", one), "edges")
-    left = None
+    left = state = None
     while True:
         waits = open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("next"), F.max("steps").alias("more"))
-        state = written(nodes.join(waits, key, "left"), "calls")
+        last, state = state, written(nodes.join(waits, key, "left"), "calls")
+        if last is not None:
+            discard(last, stepped)  # noqa: F821  the round before has made both
         now = state.where("n is not null").count()
         if now == 0 or now == left:
             break
@@ -91,7 +90,9 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
         )
         least = stepped.groupBy(*key).agg(F.max("least").alias("least"))
         nodes = state.select(*key, "level").join(least, key, "left").select(*key, F.greatest("level", "least").alias("level"))
+        closed = open_
         open_ = written(stepped.where("needs is not null").groupBy(*key, "needs").agg(F.max("steps").alias("steps")), "edges")
+        discard(closed)
     return state.select(*key, F.when(F.col("n").isNull(), F.col("level")).alias("level"))
 
 
@@ -111,15 +112,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     an error; it does not hold up the order. Malformed or non-object arguments
     are the one error 'arguments: not an object', and serialise as null.
     Repeated rows of one call_id give as many rows. Of several results the
-    smallest output is serialised.
+    smallest output is serialised. Columns other than those named are not read,
+    whatever their names; empty tables give an empty result. A very long
+    argument or output text is one value of its row.
     """
+    calls = calls.select("conv_id", "seq", "call_id", "tool", "arguments", "depends_on")
+    results = results.select("conv_id", "call_id", "output")
+    schemas = schemas.select("tool", "field", "type", "required", "low", "high")
     found = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(
         F.count("*").alias("n_results"), F.min("output").alias("output")
     )
     again = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("copies"), F.min("seq").alias("first"))
-    calls = written(
-        calls.join(found, ["conv_id", "call_id"], "left").join(again, ["conv_id", "call_id"], "left"), "linked"
-    )
+    linked = calls.join(found, ["conv_id", "call_id"], "left").join(again, ["conv_id", "call_id"], "left")
+    calls = written(linked.withColumn("row", F.monotonically_increasing_id()), "linked")
 
     edges = (
         calls.where("call_id is not null")
@@ -143,7 +148,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     ranked = calls.join(hard, ["conv_id", "call_id"], "left").withColumn(
         "order", F.when(F.col("hard"), F.coalesce("level", F.lit(1 << 40))).otherwise(F.col("seq"))
     )
-    ranked = numbered(ranked, ["conv_id"], ["order", "seq", "call_id"], "position")
+    ranked = numbered(ranked, "conv_id", ["order", "seq", "call_id", "row"], "position")
     position = F.when(F.coalesce("hard", F.lit(False)) & F.col("level").isNull(), F.lit(None)).otherwise(F.col("position"))
 
     fields = schemas.groupBy("tool").agg(F.collect_list(F.struct("field", "type", "required", "low", "high")).alias("fields"))
@@ -211,7 +216,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     """The results whose conversation and identifier no call has (null identifiers too)."""
-    known = calls.select("conv_id", "call_id").distinct()
+    known = calls.select("conv_id", "call_id").where("call_id is not null").distinct()
     return results.join(known, ["conv_id", "call_id"], "left_anti")
 
 
