@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, mixed, salts, shingle_sets, written
+from .common import bounded_batches, chunks, components, discard, fresh, mixed, salts, shingle_sets, written
 
 WORDS, LANES, LANE_BITS, VALUE_BITS = 8, 5, 12, 11
 POSITIONS = WORDS * LANES
@@ -62,9 +62,9 @@ def _signed(n: int):
                     words.append(signature(s) if len(s) else np.zeros(WORDS, np.int64))
                 table = np.array(words, np.int64).reshape(-1, WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(part)), pa.array(size, pa.int64()), pa.array(digest, pa.binary())]
+                    [ids.slice(first, len(part)), batch.column(2).slice(first, len(part)), pa.array(size, pa.int64()), pa.array(digest, pa.binary())]
                     + [pa.array(table[:, k]) for k in range(WORDS)],
-                    names=["doc_id", "n_shingles", "digest", *(f"s{k}" for k in range(WORDS))],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", *(f"s{k}" for k in range(WORDS))],
                 )
 
     return run
@@ -86,14 +86,19 @@ def _sets(n: int):
     return run
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept, n_links).
+    """(doc_id, text, ...) -> (doc_id, text_hash, n_shingles, component_id, kept, n_links).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their
     sets of distinct n-word shingles (see `shingle_sets`). `component_id` is the
     smallest doc_id reachable, `kept` marks the document that carries it, and
     `n_links` counts the links that were confirmed for the document's set (a
     spanning choice within buckets, copies of one set counting as none).
+    `text_hash` is the xxhash64 of the row's text.
 
     Null and empty texts, and those of white space, have an empty set, no link
     and component_id = doc_id. Rows that repeat a doc_id count as one document
@@ -103,8 +108,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     bounded_batches(docs.sparkSession)
     signed = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _signed(n), "doc_id long, n_shingles long, digest binary, " + ", ".join(f"s{k} long" for k in range(WORDS))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(F.col("text")).alias("text_hash")
+        ).mapInArrow(
+            _signed(n), "doc_id long, text_hash long, n_shingles long, digest binary, " + ", ".join(f"s{k} long" for k in range(WORDS))
         ),
         "signed",
     )
@@ -134,7 +141,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     sizes = reps.select("rep", "size").distinct()
-    links = written(_confirmed(_close(star, sizes, percent), texts, reps, n, percent), "links")
+    links = _confirmed(_close(star, sizes, percent), texts, n, percent)
     label = components(links.select("a", "b"))
 
     # Buckets of several components: whoever is not with the smallest member meets the whole bucket.
@@ -147,11 +154,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .where("least <> most")
         .select("key", F.col("lead.comp").alias("main"))
     )
-    open_ = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
-    rarest = _rarest(written(open_.select("rep").distinct(), "ids"), texts, reps, n, percent)
-    rarest = rarest.join(sizes, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
-    open_ = open_.drop("size").join(rarest, "rep")
-    parts = open_.withColumn("parts", salts(F.col("n"), PART))
+    opened = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
+    discard(members)
+    found = _rarest(written(opened.select("rep").distinct(), "ids"), texts, reps, n, percent)
+    rarest = found.join(sizes, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
+    parts = opened.drop("size").join(rarest, "rep").withColumn("parts", salts(F.col("n"), PART))
     left = parts.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a, b = left.alias("a"), right.alias("b")
@@ -166,8 +173,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rest = a.join(b, near).select(
         F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")
     ).distinct()
-    more = written(_confirmed(rest, texts, reps, n, percent), "links")
+    more = _confirmed(rest, texts, n, percent)
     all_links = links.unionByName(more)
+    discard(opened, found)
     label = components(all_links.select("a", "b"))
 
     degree = (
@@ -175,7 +183,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
     of_set = reps.select("digest", "rep")
     out = (
-        signed.select("doc_id", "n_shingles", "digest")
+        signed.select("doc_id", "text_hash", "n_shingles", "digest")
         .join(of_set, "digest", "left")
         .join(label.withColumnRenamed("node", "rep"), "rep", "left")
         .join(degree, "rep", "left")
@@ -185,6 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
     return out.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
@@ -233,7 +242,9 @@ def _rarest(ids: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent:
         F.when(one, F.col("known")).otherwise(F.lit(1 << 40)).alias("shared"),
         F.when(one, F.transform(prefix, lambda x: F.hash(x["s"]))).alias("rare"),
     )
-    return written(out, "rare")
+    out = written(out, "rare")
+    discard(loose)
+    return out
 
 
 def _may_share(percent: int) -> Column:
@@ -243,8 +254,8 @@ def _may_share(percent: int) -> Column:
     return F.coalesce(F.arrays_overlap(first("a"), first("b")), F.lit(True))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) pairs of representatives that hold on full sets.
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) pairs of representatives that hold on full sets, written.
 
     The sets of the documents in question are made once from their texts. Their
     ids are broadcast only while they are few (a count decides); else the texts
@@ -262,28 +273,32 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perc
     right = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "salt", "b", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     whole = F.size("left") + F.size("right") - both
-    return (
-        right.join(left, ["a", "salt"]).where(both * 100 >= whole * percent).select("a", "b").distinct()
-    )
+    held = right.join(left, ["a", "salt"]).where(both * 100 >= whole * percent).select("a", "b").distinct()
+    held = written(held, "links")
+    discard(pairs, ids, sets)
+    return held
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with their columns as they are, of which one of each group of near duplicates stays.
 
-    The smallest doc_id of a group stays, with one row; documents with a null
-    doc_id take no part and stay. Groups are those of `near_duplicates`.
+    Groups are those of `near_duplicates`; the texts of the smallest doc_id of a
+    group stay. Each row is judged by its own text: of rows that repeat a doc_id
+    and a text one stays, while different texts under one doc_id that are kept
+    all stay. Documents with a null doc_id take no part and stay. Columns of any
+    name pass through.
     """
-    found = near_duplicates(docs, n, percent).select(F.col("doc_id").alias("id__"), "kept")
-    by_id = written(
-        found.where("id__ is not null").groupBy("id__").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "by_id"
+    id_, hash_ = fresh("id__", docs), fresh("hash__", docs)
+    found = near_duplicates(docs, n, percent).where("doc_id is not null").select(
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "kept"
     )
-    gone = by_id.where("not kept").select("id__")
-    many = by_id.where("kept and rows > 1").select("id__")
-    key = F.col("doc_id").cast("long") == F.col("id__")
+    judged = written(found.groupBy(id_, hash_).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "judged")
+    gone = judged.where("not kept").select(id_, hash_)
+    many = judged.where("kept and rows > 1").select(id_, hash_)
+    key = (F.col("doc_id").cast("long") == F.col(id_)) & (_text_hash(F.col("text")) == F.col(hash_))
     hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     left = docs.join(hint(gone), key, "left_anti")
     if not many.take(1):
         return left
     many = hint(many)
-    single = left.join(many, key, "left_anti")
-    return single.unionByName(left.join(many, key, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(many, key, "left_anti").unionByName(left.join(many, key, "left_semi").dropDuplicates(["doc_id", "text"]))
