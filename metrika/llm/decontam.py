@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcastable, fresh, written
 
 RADIUS, BLOCKS = 23, 8
-#: Tables up to so many narrow rows are broadcast after a count; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Tables up to so many rows and bytes are broadcast after a measurement; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 LANE = 0x0001000100010001
 #: Items of more shingles are counted exactly; a fingerprint's counter holds 32,767.
 LONG = 30_000
@@ -97,7 +97,7 @@ def _within(errors: int) -> list[int]:
 
 
 def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if broadcastable(df, BROADCAST_ROWS, BROADCAST_BYTES) else df
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -263,10 +263,13 @@ def flagged(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents, with their columns as they are, that hold no benchmark item."""
-    found = written(hits(docs, benchmark, n, threshold).select("doc_id", "text_hash").distinct(), "hits")
-    found = _hint(found.toDF("hit_doc_id__", "hit_text_hash__"))
-    key = F.col("doc_id").eqNullSafe(F.col("hit_doc_id__")) & (
-        F.xxhash64(F.col("text").cast("string")) == F.col("hit_text_hash__")
-    )
+    """The documents, with their columns as they are, that hold no benchmark item.
+
+    Null, empty and word-less texts hold none and stay, repeated rows stay or go
+    together, and columns of any name pass through. An empty benchmark keeps all.
+    """
+    id_, hash_ = fresh("hit_doc_id__", docs), fresh("hit_text_hash__", docs)
+    found = written(hits(docs, benchmark, n, threshold).select("doc_id", "text_hash").distinct().toDF(id_, hash_), "hits")
+    found = _hint(found)
+    key = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_))
     return docs.join(found, key, "left_anti")
