@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of PII surrogates: the setting spark.metrika.pii.key, or one that only suits test tables."""
+    return spark.conf.get("spark.metrika.pii.key", "not secret: for test tables")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned outside the held-out fold."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -26,7 +31,7 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors of every 50th vector."""
-    return topk_nra.top_k(_table(spark, sf_dir, "embeddings"))
+    return topk_nra.top_k(_table(spark, sf_dir, "embeddings")).drop("n_read")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +41,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, similarity of 0.8 or more."""
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80).drop("n_links")
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80).drop("n_links", "text_hash")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets: doc_id, text, n_mentions."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.surrogated(docs, counts=True)
+    return pii.surrogated(docs, surrogate_key(spark), counts=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
