@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrika.llm import decontam, minhash, pii, quality, sentencepiece_trie
+from metrika.llm import decontam, minhash, pii, quality, queries, sentencepiece_trie
 from metrika.llm.common import written
 
 
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and secrets replaced by surrogates; n_chars follows the text."""
-    return pii.surrogated(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.surrogated(docs, queries.surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
