@@ -103,11 +103,11 @@ def answers(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
             yield own, v, s, read
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """(vec_id, embedding) -> (query_id, rank, vec_id, score, n_read) for queries with vec_id divisible by `every`.
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, reads: bool = False) -> DataFrame:
+    """(vec_id, embedding) -> (query_id, rank, vec_id, score) for queries with vec_id divisible by `every`.
 
-    n_read is the number of list entries that the query has read in the block of
-    the vector.
+    With `reads`, n_read is the number of list entries that the query has read in
+    the block of the vector.
 
     Vectors that are null or empty, or hold a null or non-finite component, and
     null ids, take no part. Vectors of different lengths have no inner product
@@ -140,24 +140,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         "vec_id", "v", "dims", cell("q", query_blocks), F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("d")
     )
 
+    columns = ["query_id", "vec_id", "score", *["n_read"] * reads]
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n_read": []}).astype("int64")
+            return pd.DataFrame({c: [] for c in columns}).astype("int64")
         found = answers(
             np.array(left.v.tolist(), np.int64), left.vec_id.to_numpy(), np.array(right.v.tolist(), np.int64), right.vec_id.to_numpy(), k
         )
-        return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score", "n_read"]).astype("int64")
+        return pd.DataFrame([f[: len(columns)] for f in found], columns=columns).astype("int64")
 
     best = (
         asked.groupBy("d", "q", "dims")
         .cogroup(data.groupBy("d", "q", "dims"))
-        .applyInPandas(run, "query_id long, vec_id long, score long, n_read long")
+        .applyInPandas(run, ", ".join(f"{c} long" for c in columns))
     )
-    # Queries that share an id may both have found a vector.
-    one = best.groupBy("query_id", "vec_id", "score").agg(F.max("n_read").alias("n_read"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        one.withColumn("rank", F.row_number().over(order))
+        # Queries that share an id may both have found a vector.
+        best.dropDuplicates(["query_id", "vec_id", "score"])
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score", "n_read")
+        .select("query_id", "rank", "vec_id", "score", *["n_read"] * reads)
     )

@@ -193,6 +193,13 @@ def test_top_k_stops_early_on_skewed_vectors():
         assert [r[1:3] for r in got if r[0] == own] == [(int(o), int(s[o])) for o in order]
 
 
+def test_entries_read(spark):
+    rows = [(k, [float(k % 7), float(k % 5)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_nra.top_k(df, reads=True)
+    assert got.where("n_read between 1 and 240").count() == 15 and sorted(map(tuple, topk_nra.top_k(df).collect())) == sorted(tuple(r)[:4] for r in got.collect())
+
+
 def test_top_k_zero_query_and_small_blocks():
     x = np.array([[0, 0], [1, -1], [-3, 2], [0, 5]])
     got = [r[:3] for r in topk_nra.answers(x, np.arange(4), x, np.arange(4), 2)]
