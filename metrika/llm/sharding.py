@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcastable, written
+from .common import written
 
 #: The share of a shard above which a group is a class of its own; the share that a piece has
 #: at most, so that only larger groups are split.
@@ -30,8 +30,8 @@ LARGE, WHOLE = 1 / 400, 1 / 4
 #: Cells of the grid for each doubling of bytes, tokens and rows.
 CELLS = (4, 1, 1)
 OVERHEAD = 16
-#: Rows of a class or shard that are numbered together.
-PART = 50_000
+#: Rows that a salted part has about, and the parts that a class or shard is dealt into at most.
+PART, PARTS = 1_000, 4_096
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
         of_class += [(c["class"], s, int(ends[s] - w[s]), int(ends[s])) for s in range(shards) if w[s]]
     of_class = spark.createDataFrame(of_class, "class long, shard int, low long, high long")
 
-    many = max(1, -(-(whole["r"] or 0) // PART))
+    many = max(1, min(PARTS, (whole["r"] or 0) // PART))
     salt = F.pmod(F.xxhash64("group", F.lit(3)), F.lit(many)).cast("int")
     at = numbered(small.select("group", "class"), "class", salt, ["group"], "at")
     inside = (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
@@ -165,8 +165,8 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     keep = ["doc_id", "size", "text_crc32", "shard"]
     hot = rows.join(large, "group").withColumn("piece", piece).join(F.broadcast(of_piece), ["group", "piece"]).select(keep)
-    rest = rows.join(F.broadcast(of_small) if broadcastable(of_small, 500_000) else of_small, "group").select(keep)
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(max(1, many // shards))).cast("int")
+    rest = rows.join(large, "group", "left_anti").join(of_small, "group").select(keep)
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(many)).cast("int")
     out = numbered(hot.unionByName(rest), "shard", salt, ["doc_id", "size", "text_crc32"], "slot")
     return out.select(
         "doc_id",
