@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 
 class Masks:
-    """The masks of a unit and a scansion as Columns: f full, U unstressed, S strong, W weak, and those of the tables."""
+    """The masks of a unit and a scansion as Columns: f full, U unstressed, S strong, W weak, and those of the tables.
 
-    def __init__(self):
+    The scansion's masks may be given instead (S strong syllables, cont those
+    that continue a position, big those of positions longer than two).
+    """
+
+    def __init__(self, S: Column | None = None, cont: Column | None = None, big: Column | None = None):
         col = F.col
         self.n, self.st, self.he, self.sg = col("n"), col("st"), col("he"), col("sg")
         self.wk, self.fn, self.wb = col("wk"), col("fn"), col("wb")
-        self.S, self.cont, self.big = col("s"), col("cont"), col("big")
+        self.S, self.cont, self.big = (col(c) if given is None else given for c, given in (("s", S), ("cont", cont), ("big", big)))
         self.f = F.call_function("shiftleft", F.lit(1).cast("long"), self.n) - 1
         self.U = self.f.bitwiseAND(F.bitwise_not(self.st))
         self.W = self.f.bitwiseAND(F.bitwise_not(self.S))
@@ -47,48 +51,60 @@ class Constraint:
     mask: Callable[[Masks], Column]
     needs: tuple[str, ...]
     scope: str = "position"
+    local: bool = False
 
 
 REGISTRY: dict[str, Constraint] = {}
 
 
-def register(name: str, says: str, mask: Callable[[Masks], Column], needs: tuple[str, ...] = (), scope: str = "position") -> Constraint:
-    """Add or replace a constraint; `needs` are the unit masks it reads (st, he, sg, wk, fn, wb, ph_hi, ph_lo)."""
-    REGISTRY[name] = Constraint(name, says, mask, needs, scope)
+def register(
+    name: str, says: str, mask: Callable[[Masks], Column], needs: tuple[str, ...] = (), scope: str = "position", local: bool = False
+) -> Constraint:
+    """Add or replace a constraint; `needs` are the unit masks it reads (st, he, sg, wk, fn, wb, ph_hi, ph_lo).
+
+    A `local` one decides each syllable by itself and its predecessor alone
+    (whether they are strong, and continue a position), so that bounding can work
+    from left to right; others are bounded over all scansions.
+    """
+    REGISTRY[name] = Constraint(name, says, mask, needs, scope, local)
     return REGISTRY[name]
 
 
-register("w_stress", "no stressed syllable in a weak position", lambda m: both(m.st, m.W), ("st",))
-register("s_unstress", "no unstressed syllable in a strong position", lambda m: both(m.U, m.S), ("st",))
-register("w_peak", "no strong syllable of a polysyllable in a weak position", lambda m: both(m.sg, m.W), ("sg",))
-register("s_trough", "no weak syllable of a polysyllable in a strong position", lambda m: both(m.wk, m.S), ("wk",))
-register(
+def _local(name: str, says: str, mask: Callable[[Masks], Column], needs: tuple[str, ...] = ()) -> None:
+    register(name, says, mask, needs, local=True)
+
+
+_local("w_stress", "no stressed syllable in a weak position", lambda m: both(m.st, m.W), ("st",))
+_local("s_unstress", "no unstressed syllable in a strong position", lambda m: both(m.U, m.S), ("st",))
+_local("w_peak", "no strong syllable of a polysyllable in a weak position", lambda m: both(m.sg, m.W), ("sg",))
+_local("s_trough", "no weak syllable of a polysyllable in a strong position", lambda m: both(m.wk, m.S), ("wk",))
+_local(
     "unres_within",
     "two syllables of a word share a position only if the first is light and stressed",
     lambda m: both(m.cont, m.nf, F.bitwise_not(m.wb), up(m.he.bitwiseOR(m.U)), m.f),
     ("st", "he", "wb"),
 )
-register(
+_local(
     "unres_across",
     "two words share a position only if it is weak and both are function words",
     lambda m: both(m.cont, m.wb, m.S.bitwiseOR(both(m.f, F.bitwise_not(both(m.fn, up(m.fn)))))),
     ("fn", "wb"),
 )
-register("foot_size", "no position of more than two syllables", lambda m: m.big)
-register(
+_local("foot_size", "no position of more than two syllables", lambda m: m.big)
+_local(
     "clash", "no neighbouring stressed syllables with one in a weak position",
     lambda m: both(m.st, up(m.st), m.W.bitwiseOR(up(m.W)), m.f), ("st",),
 )
-register(
+_local(
     "lapse", "no neighbouring unstressed syllables with one in a strong position",
     lambda m: both(m.U, up(m.U), m.S.bitwiseOR(up(m.S)), m.nf), ("st",),
 )
-register("w_heavy", "no heavy syllable in a weak position", lambda m: both(m.he, m.W), ("he",))
-register("s_light", "no light syllable in a strong position", lambda m: both(m.f, F.bitwise_not(m.he), m.S), ("he",))
-register("s_func", "no function word in a strong position", lambda m: both(m.fn, m.S), ("fn",))
-register("word_foot", "no word boundary inside a position", lambda m: both(m.wb, m.cont), ("wb",))
-register("w_prom", "no phrasally prominent syllable in a weak position", lambda m: both(m.ph_hi, m.W), ("ph_hi",))
-register("s_demoted", "no phrasally demoted syllable in a strong position", lambda m: both(m.ph_lo, m.S), ("ph_lo",))
+_local("w_heavy", "no heavy syllable in a weak position", lambda m: both(m.he, m.W), ("he",))
+_local("s_light", "no light syllable in a strong position", lambda m: both(m.f, F.bitwise_not(m.he), m.S), ("he",))
+_local("s_func", "no function word in a strong position", lambda m: both(m.fn, m.S), ("fn",))
+_local("word_foot", "no word boundary inside a position", lambda m: both(m.wb, m.cont), ("wb",))
+_local("w_prom", "no phrasally prominent syllable in a weak position", lambda m: both(m.ph_hi, m.W), ("ph_hi",))
+_local("s_demoted", "no phrasally demoted syllable in a strong position", lambda m: both(m.ph_lo, m.S), ("ph_lo",))
 register("pentameter", "five strong positions", lambda m: (F.col("n_strong") != 5).cast("long"), scope="line")
 register("iambic", "begins weak, strong", lambda m: (both(m.S, F.lit(3).cast("long")) != 2).cast("long"), scope="line")
 

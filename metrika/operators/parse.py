@@ -1,19 +1,22 @@
-"""Parsing: every scansion of every distinct unit is scored; dominated ones are dropped; the rest are ranked.
+"""Parsing: scansions of every distinct unit are scored; dominated ones are dropped; the rest are ranked.
 
 Units are first reduced to distinct signatures (the masks that the constraints
-read), so equal rhythms are parsed once. Scansions join by syllable count
-(broadcast), and equal violation vectors collapse before dominance is tested.
+read), so equal rhythms are parsed once. For the best parse, scansions join by
+syllable count (broadcast) and the least score is one aggregation; undominated
+scansions are found from left to right, without making all scansions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bounding, scansion, units
 from . import constraints as C
-from . import scansion, units
 
 
 @dataclass(frozen=True)
@@ -49,32 +52,66 @@ def scored(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     return joined.select(*meter.key, "scan_ord", *C.counts(meter.names)).withColumn("score", C.score(meter.names, meter.weights))
 
 
-def best(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
-    """The best parse of every unit: lowest score, then enumeration order, then variant.
+def _code(meter: Meter, variant: Column | int = 0) -> Column:
+    """Score (to a millionth), variant and order packed into a long, which aggregates in a hash map."""
+    if min(meter.weights.values()) < 0:
+        raise ValueError("weights must not be negative")
+    score = F.round(F.col("score") * 1_000_000).cast("long")
+    return (score * (1 << 21) + (F.lit(variant) if isinstance(variant, int) else variant).cast("long") * (1 << 20) + F.col("scan_ord")).alias("code")
+
+
+def _decoded() -> list[Column]:
+    last = lambda bits: F.col("code").bitwiseAND(F.lit((1 << bits) - 1))
+    return [(F.shiftright("code", 21) / 1_000_000).alias("score"), F.shiftright(last(21), 20).cast("int").alias("variant"), last(20).cast("int").alias("scan_ord")]
+
+
+def _candidates(encoded: DataFrame, meter: Meter) -> DataFrame:
+    """Signatures with the scansions that may be their best parse.
 
-    A dominated scansion never has the lowest score when all weights are
-    positive, so dominance need not be tested here: one partial aggregation
-    after the broadcast join.
+    A dominated scansion never has the lowest score while all weights are
+    positive; with a weight of zero it may tie, so only undominated ones compete.
     """
-    if min(meter.weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    # Score (to a millionth) and order packed into a long, which aggregates in a hash map.
-    code = (F.round(F.col("score") * 1_000_000).cast("long") * (1 << 20) + F.col("scan_ord")).alias("code")
-    per_signature = scored(encoded, meter).groupBy(*meter.key).agg(F.min(code).alias("code"))
-    per_signature = per_signature.select(
-        *meter.key,
-        F.struct(
-            (F.shiftright("code", 20) / 1_000_000).alias("score"), F.col("code").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("scan_ord")
-        ).alias("b"),
-    )
-    keys = [c for c in encoded.columns if c not in ("variant", "n", *units.MASKS)]
-    at = encoded.join(per_signature, meter.key).select(*keys, "variant", "n", *units.MASKS, "b.score", "b.scan_ord")
-    ids = [k for k in keys if k != "words"]
+    if min(meter.weights.values()) > 0:
+        return scored(encoded, meter)
+    return undominated(encoded, meter).select(*meter.key, *meter.names, "score", "scan_ord")
+
+
+def best(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """The best parse of every encoded unit: lowest score, then variant, then enumeration order."""
+    per_signature = _candidates(encoded, meter).groupBy(*meter.key).agg(F.min(_code(meter)).alias("code"))
+    per_signature = per_signature.select(*meter.key, *_decoded()).drop("variant")
+    ids = [c for c in encoded.columns if c not in ("variant", "n", "words", *units.MASKS)]
+    at = encoded.join(per_signature, meter.key).select(*ids, "variant", "n", *units.MASKS, "score", "scan_ord")
     others = [c for c in at.columns if c not in (*ids, "score", "variant")]
     pick = at.groupBy(*ids).agg(F.min_by(F.struct("score", "variant", *others), F.struct("score", "variant")).alias("p"))
-    chosen = pick.select(*ids, "p.*")
     table = scansion.scansions(encoded.sparkSession, meter.longest, meter.max_s, meter.max_w)
-    return chosen.join(F.broadcast(table), ["n", "scan_ord"])
+    return pick.select(*ids, "p.*").join(F.broadcast(table), ["n", "scan_ord"])
+
+
+def best_of(lines: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """The best parse of every unit with `words`, as `best` gives it of the encoded units.
+
+    Both variants of a unit are told by its rhythm (n, he, wb, st, amb), so they
+    compete once a distinct rhythm: one aggregation and one join, none by unit.
+    """
+    if set(meter.key) - {"n", *units.MASKS}:
+        raise ValueError("the meter reads more than the words tell; encode the units and use best")
+    rows = units.rhythms(lines, meter.longest).drop("words")
+    key = ["n", "he", "wb", "st", "amb"]
+    distinct = rows.select(*key).distinct()
+    encoded = units.variants(distinct.select(*key, *(F.col(c).alias(f"{c}_") for c in key)))
+    of = [f"{c}_" for c in key]
+    if min(meter.weights.values()) > 0:
+        table = F.broadcast(scansion.scansions(lines.sparkSession, meter.longest, meter.max_s, meter.max_w))
+        found = encoded.join(table, "n").select(*of, "variant", "scan_ord", *C.counts(meter.names)).withColumn("score", C.score(meter.names, meter.weights))
+    else:
+        found = encoded.join(_candidates(encoded, meter).select(*meter.key, "score", "scan_ord"), meter.key)
+    per = found.groupBy(*of).agg(F.min(_code(meter, F.col("variant"))).alias("code")).select(*(F.col(f"{c}_").alias(c) for c in key), *_decoded())
+    at = rows.join(per, key)
+    at = at.withColumn("st", F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st")))
+    ids = [c for c in lines.columns if c != "words"]
+    chosen = units.masked(at, [*ids, "variant", "score", "scan_ord"])
+    return chosen.join(F.broadcast(scansion.scansions(lines.sparkSession, meter.longest, meter.max_s, meter.max_w)), ["n", "scan_ord"])
 
 
 def vectors(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
@@ -87,7 +124,7 @@ def vectors(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
 
 
 def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
-    """The vectors that no other dominates (as few of every violation, fewer of one).
+    """The vectors that no other dominates (as few of every violation, fewer of one), of any number of constraints.
 
     Each signature's vectors of least total and of least count in every
     constraint thin the rest first: what one of them dominates (everything, if
@@ -95,22 +132,16 @@ def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """
     names = meter.names
     total = sum((F.col(k) for k in names[1:]), F.col(names[0]))
-    if len(names) > 9:
-        raise ValueError("at most nine constraints can be bounded together")
-    # A vector packed into a long under its order: first, total, then five bits a count. Longs aggregate in hash maps.
+    vector = F.struct(*names)
     firsts = [total, *(F.col(k) for k in names)]
-    packed = F.lit(0).cast("long")
-    for k in names:
-        packed = packed * 32 + F.col(k)
-    whole = 32 ** len(names)
     leads = found.groupBy(*meter.key).agg(
-        *(F.min((first.cast("long") * 256 + total) * F.lit(whole).cast("long") + packed).alias(f"lead{j}") for j, first in enumerate(firsts))
+        *(F.min(F.struct(first.alias("f"), total.alias("t"), vector.alias("v"))).alias(f"lead{j}") for j, first in enumerate(firsts))
     )
     kept = F.lit(True)
     for j in range(len(firsts)):
         worse, same = F.lit(True), F.lit(True)
-        for at, k in enumerate(reversed(names)):
-            own = F.shiftright(F.col(f"lead{j}"), 5 * at).bitwiseAND(F.lit(31))
+        for k in names:
+            own = F.col(f"lead{j}.v.{k}")
             worse &= own <= F.col(k)
             same &= own == F.col(k)
         kept &= ~worse | same
@@ -125,19 +156,66 @@ def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     return a.join(b, on & less, "left_anti")
 
 
+def undominated(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """signature, counts, score, scansions (how many share the counts), scan_ord (the first) and places (all, ascending).
+
+    Where all constraints are local and positions have at most two syllables, a
+    distinct signature is walked once from left to right (see `bounding`); else
+    all scansions are scored and compared.
+    """
+    if meter.max_s == meter.max_w == 2 and all(C.REGISTRY[k].local for k in meter.names):
+        found = _walked(encoded, meter)
+    else:
+        kept = unbounded(vectors(encoded, meter), meter).select(*meter.key, *meter.names)
+        rows = scored(encoded, meter).join(kept, [*meter.key, *meter.names], "left_semi")
+        found = rows.groupBy(*meter.key, *meter.names).agg(F.array_sort(F.collect_list("scan_ord")).alias("places"))
+    return found.select(
+        *meter.key, *meter.names, C.score(meter.names, meter.weights).alias("score"), F.size("places").cast("long").alias("scansions"),
+        F.col("places")[0].alias("scan_ord"), "places",
+    )
+
+
+def _walked(encoded: DataFrame, meter: Meter) -> DataFrame:
+    spark, key, names, longest = encoded.sparkSession, meter.key, meter.names, meter.longest
+    rows = signatures(encoded, meter)
+    kinds = dict(rows.dtypes)
+    # Signatures are few bytes but much work each: as many parts as a shuffle has, not as few as their size suggests.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).select(*key, *bounding.costs(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2_000):
+                part = batch.slice(first, 2_000)
+                n = part.column(0).to_numpy()
+                masks = [part.column(k).to_numpy() for k in range(len(key), part.num_columns)]
+                found = list(bounding.walk(n, masks, len(names), longest))
+                row = pa.array([r for r, _, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(k).take(row) for k in range(len(key))]
+                    + [pa.array([c[k] for _, c, _ in found], pa.int32()) for k in range(len(names))]
+                    + [pa.array([p for _, _, p in found], pa.list_(pa.int32()))],
+                    names=[*key, *names, "places"],
+                )
+
+    schema = [f"{k} {kinds[k]}" for k in key] + [f"`{k}` int" for k in names] + ["places array<int>"]
+    return rows.mapInArrow(run, ", ".join(schema))
+
+
 def ranked(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
-    """signature, scan_ord, counts, score, parse_rank: the undominated scansions of every signature, one row each."""
-    from pyspark.sql import Window
+    """signature, counts, score, scan_ord, parse_rank: the undominated scansions of every signature, one row each.
 
-    kept = unbounded(vectors(encoded, meter), meter).select(*meter.key, *meter.names)
-    rows = scored(encoded, meter).join(kept, [*meter.key, *meter.names], "left_semi")
-    order = Window.partitionBy(*meter.key).orderBy("score", "scan_ord")
-    return rows.withColumn("parse_rank", F.row_number().over(order))
+    A signature's undominated scansions are one array in its row, so ranking needs no window.
+    """
+    each = F.transform("places", lambda p: F.struct(F.col("score").alias("score"), p.alias("scan_ord"), F.struct(*meter.names).alias("v")))
+    rows = undominated(encoded, meter).groupBy(*meter.key).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("r"))
+    return rows.select(*meter.key, F.posexplode("r").alias("at", "x")).select(
+        *meter.key, *(F.col(f"x.v.{k}") for k in meter.names), "x.score", "x.scan_ord", (F.col("at") + 1).alias("parse_rank")
+    )
 
 
 def ambiguity(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """How many undominated scansions each signature has."""
-    return unbounded(vectors(encoded, meter), meter).groupBy(*meter.key).agg(F.sum("scansions").alias("n_unbounded"))
+    return undominated(encoded, meter).groupBy(*meter.key).agg(F.sum("scansions").alias("n_unbounded"))
 
 
 def relation(u: list[str], v: list[str]) -> Column:

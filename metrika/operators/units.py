@@ -1,12 +1,14 @@
 """Parse units as bit masks: bit i of a mask is syllable i of the unit.
 
-Everything is computed within the unit's row from its words, so encoding needs
-no shuffle. Masks: st stressed, he heavy, sg strong, wk weak, fn function word,
+Everything is computed within the unit's row by string replacements and bit
+arithmetic, so encoding needs no shuffle and stays in generated code. Masks: st stressed, he heavy, sg strong, wk weak, fn function word,
 wb a word begins; n is the number of syllables.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,115 +31,82 @@ def _full(n: Column) -> Column:
     return _shift(F.lit(1), n) - 1
 
 
-def word_parts(word: Column) -> Column:
-    """struct(n, he, kind) of one word from one pass over its letters.
+#: Signs of a syllable in a unit's code: light and heavy, stressed (small) or not; then function and ambiguous words, light and heavy.
+SIGNS = "lhLHPQRS"
 
-    Every syllable has one run of vowel letters; it is heavy if the run has two,
-    the last also if the word ends in a consonant. kind is 0 for a stressed
-    monosyllable, 1 for a function word, 2 for an ambiguous one, 3 for more
-    syllables and 4 for none.
-    """
 
-    def made(lower: Column) -> Column:
-        def counted(runs: Column) -> Column:
-            n = F.size(runs)
-            long_ = F.aggregate(
-                F.reverse(runs), F.lit(0).cast("long"), lambda a, r: F.shiftleft(a, 1) + F.when(F.length(r) > 1, 1).otherwise(0)
-            )
-            closed = F.call_function("locate", F.right(lower, F.lit(1)), F.lit(ortho.VOWELS)) == 0
-            kind = (
-                F.when(n == 0, 4).when(n > 1, 3).when(lower.isin(ortho.FUNCTION_WORDS), 1).when(lower.isin(ortho.AMBIGUOUS_WORDS), 2).otherwise(0)
-            )
-            last = F.when(closed & (n > 0), _shift(F.lit(1), n - 1)).otherwise(F.lit(0).cast("long"))
-            return F.struct(n.alias("n"), long_.bitwiseOR(last).alias("he"), kind.alias("kind"))
+def _listed(words: list[str], heavy: bool) -> str:
+    """The monosyllables of a word list of one weight, as alternatives."""
+    runs = {w: re.findall(f"[{ortho.VOWELS}]+", w) for w in words}
+    return "|".join(w for w, r in runs.items() if len(r) == 1 and (len(r[0]) > 1 or w[-1] not in ortho.VOWELS) == heavy)
+
 
-        return let(F.regexp_extract_all(lower, F.lit(f"[{ortho.VOWELS}]+"), F.lit(0)), counted)
+def code(words: Column) -> Column:
+    """A unit's syllables as signs, a space before each word: a few replacements over the unit's whole text."""
+    t = F.concat(F.lit(" "), F.lower(F.array_join(words, " ")), F.lit(" "))
+    for sign, listed, heavy in (("P", ortho.FUNCTION_WORDS, False), ("Q", ortho.FUNCTION_WORDS, True), ("R", ortho.AMBIGUOUS_WORDS, False), ("S", ortho.AMBIGUOUS_WORDS, True)):
+        t = F.regexp_replace(t, f"(?<= )(?:{_listed(listed, heavy)})(?= )", sign)
+    t = F.translate(t, ortho.VOWELS, "L" * len(ortho.VOWELS))
+    t = F.regexp_replace(t, "LL+", "H")
+    t = F.regexp_replace(t, "[LH][^LHPQRS ]+(?= )", "H")  # closed by the word's end
+    t = F.regexp_replace(t, "[^LHPQRS ]+", "")
+    t = F.regexp_replace(t, " {2,}", " ")
+    # Stress: monosyllables, and the first of each pair of a longer word's syllables.
+    t = F.regexp_replace(t, "(?<= )([LH])(?= )", "$1+")
+    t = F.regexp_replace(t, "([LH])([LH])", "$1+$2")
+    return F.rtrim(F.replace(F.replace(t, F.lit("L+"), F.lit("l")), F.lit("H+"), F.lit("h")))
 
-    return let(F.lower(word), made)
 
+def _mask(signs: Column, ones: str) -> Column:
+    """The bit mask of the signs (first sign: bit 0) that are in `ones`."""
+    bits = F.translate(F.reverse(signs), SIGNS, "".join("1" if c in ones else "0" for c in SIGNS))
+    return F.conv(bits, 2, 10).cast("long")
 
-def word_masks(part: Column, form: Column) -> Column:
-    """struct(n, st, he, sg, wk, fn, wb) of a word's parts in one form: bit arithmetic alone.
 
-    Polysyllables are stressed on the first and every second syllable but the last.
+def rhythms(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> DataFrame:
+    """Adds n, he, wb, st and amb to units with `words`, one row a unit: heavy, word beginnings, stressed, ambiguous.
+
+    Units outside shortest..longest syllables are left out.
     """
-    n, one, zero = part["n"], F.lit(1).cast("long"), F.lit(0).cast("long")
-    alternate = F.lit(0x5555555555555555).bitwiseAND(_full(n - 1)).bitwiseOR(one)
-    st = F.when(n > 1, alternate).when((part["kind"] == 0) | ((part["kind"] == 2) & (form == 1)), one).otherwise(zero)
-
-    def near(s: Column) -> Column:
-        full = _full(n)
-        un = full.bitwiseAND(F.bitwise_not(s))
-        beside = lambda m: F.shiftleft(m, 1).bitwiseOR(F.shiftright(m, 1)).bitwiseAND(full)
-        many = F.when(n > 1, F.lit(-1).cast("long")).otherwise(zero)
-        return F.struct(
-            n.alias("n"),
-            s.alias("st"),
-            part["he"].alias("he"),
-            s.bitwiseAND(beside(un)).bitwiseAND(many).alias("sg"),
-            un.bitwiseAND(beside(s)).bitwiseAND(many).alias("wk"),
-            F.when((n == 1) & (s == 0), one).otherwise(zero).alias("fn"),
-            F.when(n > 0, one).otherwise(zero).alias("wb"),
-        )
-
-    return let(st, near)
-
-
-def word_masks_of(word: Column, form: Column) -> Column:
-    return let(word_parts(word), lambda p: word_masks(p, form))
-
-
-def joined(masks: Column) -> Column:
-    """The masks of a unit from those of its words in order."""
-    zero = F.struct(F.lit(0).alias("n"), *(F.lit(0).cast("long").alias(k) for k in MASKS))
-    add = lambda a, w: F.struct(
-        (a["n"] + w["n"]).alias("n"), *(a[k].bitwiseOR(_shift(w[k], a["n"])).alias(k) for k in MASKS)
-    )
-    return F.aggregate(masks, zero, add)
+    keys = units.columns
+    size = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
+    def fitting(c: Column) -> Column:
+        n = F.length(c) - size(c)
+        one = F.array(F.struct(c.alias("c"), n.alias("n")))
+        return F.filter(one, lambda x: x["n"].between(shortest, longest))
 
-def encoded(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> DataFrame:
-    """Adds variant, n and the masks to units with `words`: one row per distinct variant.
+    # One expression under the generator: a filter on n in front of it would compute the code twice.
+    out = units.select(*keys, F.explode(let(code(F.col("words")), fitting)).alias("v")).select(*keys, "v.n", "v.c")
+    signs = F.replace("c", F.lit(" "), F.lit(""))
+    begins = F.replace(F.replace(F.translate("c", SIGNS, "0" * len(SIGNS)), F.lit(" 0"), F.lit("1")), F.lit(" "), F.lit(""))
+    return out.select(
+        *keys, "n", _mask(signs, "hHQS").alias("he"), F.conv(F.reverse(begins), 2, 10).cast("long").alias("wb"),
+        _mask(signs, "lh").alias("st"), _mask(signs, "RS").alias("amb"),
+    )
+
+
+def variants(rows: DataFrame) -> DataFrame:
+    """Rows with n, he, wb, st and amb -> variant, n and the masks: one row per distinct variant.
 
-    Variants are aligned: variant 1 takes the second form of every ambiguous
-    word. Units outside shortest..longest syllables are left out.
+    Variants are aligned: variant 1 takes the second form of every ambiguous word.
     """
-    keys = units.columns
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    start = F.struct(F.lit(0).alias("n"), *(zero.alias(k) for k in ("he", "wb", "st", "amb")))
-
-    def add(a: Column, w: Column) -> Column:
-        at = lambda mask: _shift(mask, a["n"])
-        poly = F.lit(0x5555555555555555).bitwiseAND(_full(w["n"] - 1)).bitwiseOR(one)
-        st = F.when(w["kind"] == 3, poly).when(w["kind"] == 0, one).otherwise(zero)
-        return F.struct(
-            (a["n"] + w["n"]).alias("n"),
-            a["he"].bitwiseOR(at(w["he"])).alias("he"),
-            a["wb"].bitwiseOR(F.when(w["n"] > 0, at(one)).otherwise(zero)).alias("wb"),
-            a["st"].bitwiseOR(at(st)).alias("st"),
-            a["amb"].bitwiseOR(F.when(w["kind"] == 2, at(one)).otherwise(zero)).alias("amb"),
-        )
-
-    def variants(m: Column) -> Column:
-        fits = m["n"].between(shortest, longest)
-        two = F.when(m["amb"] != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        wanted = F.when(fits, two).otherwise(F.array().cast("array<int>"))
-        return F.transform(wanted, lambda k: F.struct(k.alias("variant"), m.alias("m")))
-
-    # One expression under the generator: a filter on n in front of it would compute the words twice.
-    fold = F.aggregate("words", start, lambda a, w: let(word_parts(w), lambda p: add(a, p)))
-    out = units.select(*keys, F.explode(let(fold, variants)).alias("v")).select(*keys, "v.variant", "v.m.*")
-    # The rest is bit arithmetic on the unit: neighbours belong to one word unless the later one begins a word.
-    st = F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st"))
-    out = out.withColumn("st", st)
+    keys = [c for c in rows.columns if c not in ("n", "he", "wb", "st", "amb")]
+    two = F.when(F.col("amb") != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = rows.withColumn("variant", F.explode(two))
+    return masked(out.withColumn("st", F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st"))), [*keys, "variant"])
+
+
+def masked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(n, st, he, wb) -> keys, n and all masks: neighbours belong to one word unless the later one begins a word."""
+    one = F.lit(1).cast("long")
     full = _full(F.col("n"))
     inside = full.bitwiseAND(F.bitwise_not("wb"))
     un = full.bitwiseAND(F.bitwise_not("st"))
     beside = lambda m: F.shiftleft(m, 1).bitwiseAND(inside).bitwiseOR(F.shiftright(m.bitwiseAND(inside), 1))
     alone = F.col("wb").bitwiseAND(F.shiftright(F.col("wb").bitwiseOR(_shift(one, F.col("n"))), 1))
-    return out.select(
+    return rows.select(
         *keys,
-        "variant",
         "n",
         "st",
         "he",
@@ -148,21 +117,35 @@ def encoded(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> Data
     )
 
 
-def product_variants(units: DataFrame, most: int = 8) -> DataFrame:
-    """Every combination of word forms (a full product) for units with at most `most` ambiguous words.
+def encoded(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> DataFrame:
+    """Adds variant, n and the masks to units with `words`: one row per distinct variant of shortest..longest syllables."""
+    return variants(rhythms(units, longest, shortest))
+
+
+def product_variants(units: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Every combination of word forms (a full product) of every unit of 2 to `longest` syllables.
 
     Returns the unit's columns, variant (bit k is the form of the k-th ambiguous
-    word) and masks. Units with more ambiguous words keep their two aligned variants.
+    word) and the masks. A unit has at most 2**longest variants; they are made
+    from `parts` (a number in 0..2**k - 1 for units of over eight ambiguous
+    words), so that one row never expands into more than 256 at once.
     """
-    ambiguous = lambda w: F.lower(w).isin(ortho.AMBIGUOUS_WORDS) & (F.size(ortho.syllables(w)) == 1)
-    count = F.size(F.filter("words", ambiguous))
     keys = units.columns
-    rank = F.transform("words", lambda w, i: F.size(F.filter(F.slice("words", F.lit(1), i), ambiguous)))
-    few = units.withColumn("k", count).withColumn("r", rank)
-    few = few.where(F.col("k") <= most).select(
-        *keys, "r", F.explode(F.sequence(F.lit(0), _shift(F.lit(1), F.col("k")).cast("int") - 1)).alias("variant")
+    rows = rhythms(units, longest).withColumn("k", F.bit_count("amb").cast("int"))
+    low, high = F.least(F.col("k"), F.lit(8)), F.greatest(F.col("k") - 8, F.lit(0))
+    upto = lambda bits: F.sequence(F.lit(0), _shift(F.lit(1), bits).cast("int") - 1)
+    rows = rows.withColumn("high", F.explode(upto(high))).withColumn("low", F.explode(upto(low)))
+    rows = rows.withColumn("variant", F.col("low").bitwiseOR(_shift(F.col("high"), F.lit(8)).cast("int")))
+    # Deal the variant's bits to the places of the ambiguous syllables, lowest first.
+    zero = F.lit(0).cast("long")
+    step = lambda a, i: F.struct(
+        a["m"].bitwiseOR(_shift(_bit(a["v"], F.lit(0)).bitwiseAND(_bit(F.col("amb"), i)), i)).alias("m"),
+        F.when(_bit(F.col("amb"), i) == 1, F.shiftright(a["v"], 1)).otherwise(a["v"]).alias("v"),
     )
-    form = lambda r: F.call_function("shiftright", F.col("variant"), r).bitwiseAND(F.lit(1))
-    few = few.withColumn("m", joined(F.zip_with("words", "r", lambda w, r: word_masks_of(w, form(r)))))
-    few = few.select(*keys, "variant", "m.n", *(f"m.{k}" for k in MASKS)).where(F.col("n").between(2, LONGEST))
-    return few.unionByName(encoded(units.where(count > most)))
+    start = F.struct(zero.alias("m"), F.col("variant").cast("long").alias("v"))
+    dealt = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, step)["m"]
+    return masked(rows.withColumn("st", F.col("st").bitwiseOR(dealt)), [*keys, "variant"])
+
+
+def _bit(mask: Column, at: Column) -> Column:
+    return F.call_function("shiftright", mask, at.cast("int")).bitwiseAND(F.lit(1).cast("long"))

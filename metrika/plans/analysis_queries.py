@@ -156,7 +156,7 @@ def syllable_scheme(spark, sf_dir):
 
 def feet_lengths(spark, sf_dir):
     """Feet of every line: those of its parsed parts."""
-    best = parse.with_properties(parse.best(encoded(spark, sf_dir)))
+    best = parse.with_properties(parse.best_of(tokens.line_parts(docs(spark, sf_dir))))
     return best.groupBy("text_id", "line_num").agg(F.sum(F.size(F.split("feet", " "))).cast("int").alias("length"))
 
 
@@ -182,7 +182,7 @@ def line_scheme(spark, sf_dir):
 )
 def meter_type(spark, sf_dir):
     """The meter type of each text."""
-    return form.meter_type(parse.best(encoded(spark, sf_dir)))
+    return form.meter_type(parse.best_of(tokens.line_parts(docs(spark, sf_dir))))
 
 
 @query(
@@ -323,7 +323,7 @@ QUERIES["product_variants"] = product_variants
 def combine_neighbours(spark, sf_dir):
     """Best parses of neighbouring parts combined."""
     w = Window.partitionBy("text_id", "line_num").orderBy("linepart")
-    rows = parse.best(encoded(spark, sf_dir)).select(
+    rows = parse.best_of(tokens.line_parts(docs(spark, sf_dir))).select(
         "text_id", "line_num", "linepart", (F.col("score") + F.lead("score").over(w)).alias("pair_score"), (F.col("n") + F.lead("n").over(w)).alias("pair_sylls")
     )
     return rows.where("pair_score is not null")

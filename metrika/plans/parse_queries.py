@@ -32,7 +32,7 @@ def encoded(spark, sf_dir, longest: int = units.LONGEST):
 
 
 def best(spark, sf_dir):
-    return parse.with_properties(parse.best(encoded(spark, sf_dir)))
+    return parse.with_properties(parse.best_of(tokens.line_parts(docs(spark, sf_dir))))
 
 
 @query(f"WITH {S.encoded()} SELECT text_id, line_num, linepart, variant, n, st, he, sg, wk, fn, wb FROM enc")
@@ -109,7 +109,7 @@ unb AS (SELECT a.* FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE {_ON
 @query(S.scored() + f", {_VECTORS} SELECT {S.KEY}, {', '.join(S.DEFAULT)}, score, scansions, scan_ord FROM unb")
 def unbounded(spark, sf_dir):
     """Undominated violation vectors of every distinct rhythm."""
-    return parse.unbounded(parse.vectors(encoded(spark, sf_dir), parse.DEFAULT), parse.DEFAULT).select(
+    return parse.undominated(encoded(spark, sf_dir)).select(
         *parse.DEFAULT.key, *parse.DEFAULT.names, "score", "scansions", "scan_ord"
     )
 
@@ -148,7 +148,7 @@ def ambiguity_geomean(spark, sf_dir):
 def bounding_relation(spark, sf_dir):
     """How undominated vectors stand to all vectors of their rhythm."""
     v = parse.vectors(encoded(spark, sf_dir), parse.DEFAULT)
-    a = parse.unbounded(v, parse.DEFAULT).select(*parse.DEFAULT.key, *(F.col(k).alias(f"a_{k}") for k in parse.DEFAULT.names))
+    a = parse.undominated(encoded(spark, sf_dir)).select(*parse.DEFAULT.key, *(F.col(k).alias(f"a_{k}") for k in parse.DEFAULT.names))
     pairs = a.join(v.select(*parse.DEFAULT.key, *parse.DEFAULT.names), parse.DEFAULT.key)
     return pairs.groupBy("n", parse.relation([f"a_{k}" for k in parse.DEFAULT.names], list(parse.DEFAULT.names)).alias("relation")).agg(F.count("*").alias("n_pairs"))
 
@@ -176,7 +176,7 @@ def parses_long(spark, sf_dir):
 )
 def parse_stats_line(spark, sf_dir):
     """Raw and normalised violation statistics by line."""
-    rows = parse.best(encoded(spark, sf_dir))
+    rows = parse.best_of(tokens.line_parts(docs(spark, sf_dir)))
     return stats.parse_stats(rows.select(*UNIT, "n", "score", *C.counts(C.DEFAULT)), ["text_id", "line_num"])
 
 

@@ -20,7 +20,7 @@ def parse_stream(stream: DataFrame, path: str, checkpoint: str, text_id: str = "
     """Parse every batch of a stream and append the best parses as Parquet at `path`, once per batch number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        best = parse.with_properties(parse.best(units.encoded(tokens.line_parts(rows, text_id)), meter))
-        best.drop("words").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        best = parse.with_properties(parse.best_of(tokens.line_parts(rows, text_id), meter))
+        best.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
