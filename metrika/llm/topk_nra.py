@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 QUERY_BLOCK, VECTOR_BLOCK = 2_048, 8_192
-#: Entries of each list that the first step reads; every later step reads as many as were read before.
-FIRST_STEP = 32
+#: Entries of each list that the first step reads, and how many times as deep every later step goes.
+FIRST_STEP, FACTOR = 64, 4
 
 
 class Lists:
@@ -37,8 +37,10 @@ class Lists:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         columns, self.ids = np.ascontiguousarray(vectors[order].T), ids[order]
-        self.rows = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.rows = np.argsort(columns, axis=1, kind="stable")
         self.values = np.take_along_axis(columns, self.rows, axis=1).astype(np.float64)
+        self.place = np.empty(self.rows.shape, np.int16 if len(ids) < 1 << 15 else np.int32)
+        np.put_along_axis(self.place, self.rows, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
 
     def read(self, rising: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries start..end of all lists, (row, value): of `rising` ones from their high end, of others from the low."""
@@ -48,6 +50,12 @@ class Lists:
         value[rising] = self.values[rising, n - end : n - start][:, ::-1]
         return row, value
 
+    def places(self, rising: np.ndarray) -> np.ndarray:
+        """How many entries come before each vector's own in every list; an entry has been read if they are fewer than the depth."""
+        out = self.place.copy()
+        out[rising] = len(self.ids) - 1 - out[rising]
+        return out
+
 
 def search(query: np.ndarray, own: int, lists: Lists, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, entries read): the k best vectors of the block for one query, but those with its own id.
@@ -57,38 +65,37 @@ def search(query: np.ndarray, own: int, lists: Lists, k: int) -> tuple[np.ndarra
     n, width = len(lists.ids), len(query)
     rising, factor = query > 0, query.astype(np.float64)[:, None]
     open_ = np.flatnonzero(lists.ids != own)
-    score, seen = np.zeros(n), np.zeros((width, n), np.float32)
-    list_ = np.arange(width)[:, None]
+    score, place = np.zeros(n), lists.places(rising)
     far = (lists.read(rising, n - 1, n)[1] * factor)[:, 0]
     at = 0
     while at < n:
-        depth = min(n, max(FIRST_STEP, 2 * at))
+        depth = min(n, max(FIRST_STEP, FACTOR * at))
         row, value = lists.read(rising, at, depth)
         value *= factor
         score += np.bincount(row.ravel(), weights=value.ravel(), minlength=n)
         at = depth
         if depth == n:
             break
-        seen[list_, row] = 1.0
         edge = value[:, -1]
-        # What the unread entries can add at least and at most; sums of whole numbers below 2**53.
-        part = np.stack((far, edge)) @ seen.astype(np.float64)
-        lower, upper = score[open_] + (far.sum() - part[0, open_]), score[open_] + (edge.sum() - part[1, open_])
+        # What the unread entries can add at least and at most, less and more by what single precision may be off.
+        ends = np.stack((far, edge))
+        part = ends.astype(np.float32) @ (place < depth).astype(np.float32)
+        slack = np.abs(ends).sum() * (width + 2) * 1e-7
+        lower = score[open_] + (far.sum() - slack - part[0, open_])
+        upper = score[open_] + (edge.sum() + slack - part[1, open_])
         if len(open_) > k:
             bar = np.partition(lower, len(open_) - k)[len(open_) - k]
             open_ = open_[upper >= bar]
         if len(open_) <= k:
             break
     # Resolve: read on, for the vectors that are left alone, until each of their entries has been met.
-    while at < n and not seen[:, open_].all():
-        depth = min(n, 2 * at)
+    while at < n and (place[:, open_] >= at).any():
+        depth = min(n, FACTOR * at)
         row, value = lists.read(rising, at, depth)
         left = np.zeros(n, bool)
         left[open_] = True
-        where, place = np.nonzero(left[row])
-        found = row[where, place]
-        score += np.bincount(found, weights=value[where, place] * factor[where, 0], minlength=n)
-        seen[where, found] = 1.0
+        where, entry = np.nonzero(left[row])
+        score += np.bincount(row[where, entry], weights=value[where, entry] * factor[where, 0], minlength=n)
         at = depth
     best = open_[np.lexsort((lists.ids[open_], -score[open_]))][:k]
     return best, score[best].astype(np.int64), at * width
