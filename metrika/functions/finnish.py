@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 VOWELS = "aeiouyäöå"
 # The diphthongs, and letters whose IPA sign differs.
 DIPHTHONGS = ["ai", "ei", "oi", "ui", "yi", "äi", "öi", "au", "eu", "iu", "ou", "ey", "iy", "äy", "öy", "ie", "uo", "yö"]
-IPA = {"ä": "æ", "ö": "ø", "å": "o", "a": "ɑ", "v": "ʋ", "š": "ʃ", "ž": "ʒ", "c": "k", "q": "k", "w": "ʋ", "x": "ks", "z": "ts"}
+IPA = {"ä": "æ", "ö": "ø", "å": "o", "a": "ɑ", "u": "ʊ", "š": "ʃ", "ž": "ʒ", "c": "k", "q": "k", "w": "v", "x": "z"}
 SUFFIXES = ["kin", "kaan", "kään", "han", "hän"]
 
 
@@ -101,7 +101,7 @@ def compounds(word: str, first_parts: tuple[str, ...] = ()) -> list[str]:
 def ipa(syllable: str) -> str:
     """A syllable's letters as IPA; a doubled vowel is long."""
     out = "".join(IPA.get(c, c) for c in syllable.replace("nk", "ŋk").replace("ng", "ŋ"))
-    return re.sub(r"([ɑeiouyæø])\1", r"\1ː", out)
+    return re.sub(r"([ɑeioyæø])\1", r"\1ː", out.replace("ʊʊ", "uː"))
 
 
 def annotate(word: str, first_parts: tuple[str, ...] = ()) -> list[dict]:

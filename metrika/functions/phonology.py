@@ -22,7 +22,7 @@ FEATURES = [
     "syl", "son", "cons", "cont", "delrel", "lat", "nas", "strid", "voi", "sg", "cg", "ant", "cor", "distr", "lab",
     "hi", "lo", "back", "round", "velaric", "tense", "long",
 ]
-RIME_FEATURES = ["syl", "son", "cons", "cont", "nas", "hi", "lo", "back", "round", "tense"]
+RIME_FEATURES = ["hi", "lo", "back", "round", "tense", "long", "son", "cons", "nas", "voi"]
 # Consonants as place, manner, voice.
 CONSONANTS = {
     "p": "labial stop -", "b": "labial stop +", "t": "alveolar stop -", "d": "alveolar stop +", "k": "velar stop -",

@@ -7,12 +7,16 @@ over all units; only these few numbers come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bounding
+
 
 @dataclass(frozen=True)
 class MeterModel:
@@ -72,10 +76,17 @@ def loss(vectors: DataFrame, key: list[str], names: list[str], weights: dict[str
 
 
 def fit(vectors: DataFrame, key: list[str], names: list[str], regularization: float = 100.0, rounds: int = 60, tolerance: float = 1e-4) -> MeterModel:
-    """Weights >= 0 that minimise loss + |w|^2 / (2 * regularization), by projected quasi-Newton steps from 0."""
+    """Weights >= 0 that minimise loss + |w|^2 / (2 * regularization), from rows of vectors (see `loss`)."""
+    return _minimised(lambda w: loss(vectors, key, names, dict(zip(names, w.tolist(), strict=True))), names, regularization, rounds, tolerance)
+
+
+def _minimised(
+    sums: Callable[[np.ndarray], tuple[float, np.ndarray]], names: list[str], regularization: float, rounds: int, tolerance: float
+) -> MeterModel:
+    """Projected quasi-Newton steps from 0."""
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        f, g = loss(vectors, key, names, dict(zip(names, w.tolist(), strict=True)))
+        f, g = sums(w)
         return f + float(w @ w) / (2 * regularization), g + w / regularization
 
     w = np.zeros(len(names))
@@ -105,6 +116,98 @@ def fit(vectors: DataFrame, key: list[str], names: list[str], regularization: fl
     return MeterModel(dict(zip(names, w.tolist(), strict=True)), f, k)
 
 
+# ---- sums over all scansions, without making them ----
+
+
+def _forward_backward(n: np.ndarray, masks: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of the sum of exp(-energy) over all scansions of each rhythm, and the expected counts (rhythms, constraints).
+
+    masks are the columns of `bounding.costs`. Syllable by syllable over the pairs
+    of neighbouring states, for a whole batch at once.
+    """
+    k, size = len(weight), int(n.max(initial=0))
+    states, pairs = bounding.STATES, bounding.PAIRS
+    bit = lambda p, i: np.stack([(masks[p * k + c] >> i) & 1 for c in range(k)], axis=1)
+    rows = np.arange(len(n))
+    forward = np.full((size + 1, len(states), len(n)), -np.inf)
+    cost = {}
+    for i in range(size):
+        for p, (before, here) in enumerate(pairs):
+            if (before is None) != (i == 0):
+                continue
+            cost[i, p] = -(bit(p, i) @ weight)
+            to = states.index(here)
+            came = 0.0 if before is None else forward[i - 1, states.index(before)]
+            forward[i, to] = np.logaddexp(forward[i, to], came + cost[i, p])
+    log_z = np.logaddexp.reduce(forward[n - 1, :, rows], axis=1)
+    backward = np.full((size + 1, len(states), len(n)), -np.inf)
+    expected = np.zeros((len(n), k))
+    for i in range(size - 1, -1, -1):
+        backward[i][:, n == i + 1] = 0.0
+        for p, (before, here) in enumerate(pairs):
+            if before is not None and i + 1 < size:
+                come, go = states.index(before), backward[i + 1, states.index(here)] + cost[i + 1, p]
+                backward[i, come] = np.logaddexp(backward[i, come], go)
+        for p, (before, here) in enumerate(pairs):
+            if (i, p) in cost:
+                came = 0.0 if before is None else forward[i - 1, states.index(before)]
+                share = np.exp(came + cost[i, p] + backward[i, states.index(here)] - log_z)
+                expected += np.where(i < n, share, 0.0)[:, None] * bit(p, i)
+    return log_z, expected
+
+
+def expectations(rhythms: DataFrame, key: list[str], names: list[str], weights: dict[str, float]) -> DataFrame:
+    """Distinct rhythms with their `bounding.costs` columns -> key, log_z and e_<name>, summed over all scansions of each.
+
+    For local constraints and positions of at most two syllables; in time
+    proportional to the syllables, not to the scansions.
+    """
+    weight = np.array([float(weights.get(k, 0.0)) for k in names])
+    columns = [f"c{k}" for k in range(len(bounding.PAIRS) * len(names))]
+    kinds = dict(rhythms.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                masks = [batch.column(len(key) + k).to_numpy() for k in range(len(columns))]
+                log_z, expected = _forward_backward(batch.column(key.index("n")).to_numpy(), masks, weight)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k) for k in range(len(key))), pa.array(log_z), *(pa.array(expected[:, k]) for k in range(len(names)))],
+                    names=[*key, "log_z", *(f"e_{k}" for k in names)],
+                )
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), "log_z double", *(f"e_{k} double" for k in names)])
+    return rhythms.select(*key, *columns).mapInArrow(run, schema)
+
+
+def fit_rhythms(rhythms: DataFrame, key: list[str], names: list[str], regularization: float = 100.0, rounds: int = 60, tolerance: float = 1e-4) -> MeterModel:
+    """Weights learned from rhythms with costs, `units` (how many observations) and o_<name> (their counts of violations, summed).
+
+    Each step is one pass over the distinct rhythms; only the sums come to the driver.
+    """
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = dict(zip(names, w.tolist(), strict=True))
+        seen = rhythms.select(*key, "units", *(f"o_{k}" for k in names))
+        both = expectations(rhythms, key, names, weights).join(seen, key)
+        out = both.agg(
+            F.sum(F.col("units") * F.col("log_z")).alias("z"),
+            *(F.sum(F.col(f"o_{k}")).alias(f"o_{k}") for k in names),
+            *(F.sum(F.col("units") * F.col(f"e_{k}")).alias(f"e_{k}") for k in names),
+        ).first()
+        seen = np.array([float(out[f"o_{k}"] or 0.0) for k in names])
+        return float(out["z"] or 0.0) + float(seen @ w), seen - np.array([float(out[f"e_{k}"] or 0.0) for k in names])
+
+    return _minimised(sums, names, regularization, rounds, tolerance)
+
+
+def report(model: MeterModel) -> str:
+    """The learned weights, the heaviest first, and how the fit ended."""
+    width = max(map(len, model.weights), default=0)
+    rows = sorted(model.weights.items(), key=lambda x: (-x[1], x[0]))
+    return "\n".join([f"{name:<{width}}  {weight:.4f}" for name, weight in rows] + [f"loss {model.loss:.4f} after {model.iterations} iterations"])
+
+
 def accuracy(predictions: DataFrame, key: list[str]) -> DataFrame:
     """One row: n units with an observation, share whose likeliest scansion (ties to the first) is the most observed one."""
     rows = predictions.groupBy(*key).agg(

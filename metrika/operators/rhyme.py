@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,19 +90,16 @@ def rhyme_edges(ends: DataFrame, max_dist: float = MAX_DISTANCE, window: int = W
 
 
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(pdf.a, pdf.b, strict=True):
-        ra, rb = find(a), find(b)
-        parent[max(ra, rb)] = min(ra, rb)
-    lines = sorted(parent)
-    return pd.DataFrame({"text_id": pdf.text_id.iloc[0], "line_num": lines, "root": [find(x) for x in lines]})
+    """Each linked line of a text with the first line of its group: least labels move along links and are then followed."""
+    lines, at = np.unique(np.concatenate((pdf.a, pdf.b)), return_inverse=True)
+    left, right = at[: len(pdf)], at[len(pdf) :]
+    label, last = np.arange(len(lines)), None
+    while last is None or (label != last).any():
+        last = label.copy()
+        np.minimum.at(label, left, last[right])
+        np.minimum.at(label, right, last[left])
+        label = label[label]
+    return pd.DataFrame({"text_id": pdf.text_id.iloc[0], "line_num": lines, "root": lines[label]})
 
 
 def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW) -> DataFrame:
@@ -141,40 +139,52 @@ def scheme_letters(ids: Column) -> Column:
     return F.array_join(F.transform(ids, letter), "")
 
 
-def edges_of(ids: Column) -> Column:
-    """Pairs i < j with the same non-zero id, as 1000 * i + j from 1."""
-    pairs = lambda i: F.transform(
-        F.filter(F.sequence(i, F.size(ids)), lambda j: (j > i) & (F.element_at(ids, i) == F.element_at(ids, j)) & (F.element_at(ids, i) != 0)),
-        lambda j: i * 1000 + j,
-    )
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ids)), pairs))
+def _edges(numbers: list[int]) -> list[tuple[int, int]]:
+    """Pairs i < j (from 1) of one letter."""
+    return [(i + 1, j + 1) for i, x in enumerate(numbers) for j in range(i + 1, len(numbers)) if x and x == numbers[j]]
 
 
 def scheme_scores(ids: DataFrame) -> DataFrame:
     """(text_id, line_num, rhyme_id) -> text_id, ord, form, scheme, score for all named schemes.
 
     Rhyme ids are cut into windows of the scheme's length; a window scores the
-    Jaccard similarity of its edges with the scheme's, a text the mean, less one
-    for a last window that is too short.
+    Jaccard similarity of its edges (pairs of lines that rhyme) with the scheme's,
+    a text the mean, less one for a last window that is too short. Only windows
+    with an edge score, so the work goes by pairs of rhyming lines that are near
+    enough to share a window; they meet by an equi-join on the line.
     """
-    rows = [(k, name, scheme, scheme_numbers(scheme)) for k, (name, scheme) in enumerate(SCHEMES)]
-    table = F.broadcast(ids.sparkSession.createDataFrame(rows, "ord int, form string, scheme string, target array<int>"))
-    texts = ids.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("line_num", "rhyme_id"))).alias("r"))
-    texts = texts.select("text_id", F.transform("r", lambda x: x["rhyme_id"]).alias("ids"))
-    size = F.size("target")
-    windows = texts.crossJoin(table).select(
-        "text_id", "ord", "form", "scheme", "target",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("ids"), size), lambda k: F.slice("ids", k, size))).alias("win"),
+    spark = ids.sparkSession
+    rows = []
+    for k, (name, scheme) in enumerate(SCHEMES):
+        pairs = _edges(scheme_numbers(scheme))
+        size = len(scheme_numbers(scheme))
+        rows.append((k, name, scheme, size, [1000 * i + j for i, j in pairs], [sum(j <= c for _, j in pairs) for c in range(size + 1)]))
+    table = F.broadcast(spark.createDataFrame(rows, "ord int, form string, scheme string, size int, codes array<int>, upto array<int>"))
+    longest = max(r[3] for r in rows)
+    order = Window.partitionBy("text_id").orderBy("line_num")
+    placed = ids.select("text_id", "rhyme_id", (F.row_number().over(order) - 1).alias("at"))
+    whole = placed.groupBy("text_id").agg(F.count("*").cast("int").alias("lines"))
+    rhymed = placed.where("rhyme_id <> 0")
+    sent = rhymed.select("text_id", "rhyme_id", F.col("at").alias("i"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + longest - 1)).alias("at"))
+    pairs = sent.join(rhymed, ["text_id", "rhyme_id", "at"]).select("text_id", "i", F.col("at").alias("j"))
+    sizes = F.broadcast(spark.createDataFrame([(n,) for n in sorted({r[3] for r in rows})], "size int"))
+    in_window = pairs.crossJoin(sizes).where(F.floor(F.col("i") / F.col("size")) == F.floor(F.col("j") / F.col("size"))).select(
+        "text_id", "size", F.floor(F.col("i") / F.col("size")).cast("int").alias("w"), ((F.col("i") % F.col("size") + 1) * 1000 + F.col("j") % F.col("size") + 1).alias("code")
+    )
+    per = (
+        in_window.join(table.select("size", "ord", "codes"), "size")
+        .groupBy("text_id", "ord", "w")
+        .agg(F.count("*").alias("mine"), F.count(F.when(F.array_contains("codes", F.col("code")), 1)).alias("both"))
+    )
+    full = whole.crossJoin(table)
+    length = F.least(F.col("size"), F.col("lines") - F.col("w") * F.col("size"))
+    wanted = F.get("upto", length.cast("int"))
+    hit = per.join(full, ["text_id", "ord"]).groupBy("text_id", "ord").agg(F.sum(F.col("both") / (F.col("mine") + wanted - F.col("both"))).alias("hit"))
+    windows = F.ceil(F.col("lines") / F.col("size"))
+    short = (F.col("lines") % F.col("size") != 0).cast("int")
+    return full.join(hit, ["text_id", "ord"], "left").select(
+        "text_id", "ord", "form", "scheme", (F.coalesce("hit", F.lit(0.0)) / windows - short).alias("score")
     )
-
-    def jaccard(a: Column) -> Column:
-        return let(
-            edges_of(F.slice("target", F.lit(1), F.size("win"))),
-            lambda b: F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))),
-        )
-
-    one = windows.select("text_id", "ord", "form", "scheme", let(edges_of(F.col("win")), jaccard).alias("match"), (F.size("win") < size).cast("int").alias("short"))
-    return one.groupBy("text_id", "ord", "form", "scheme").agg((F.avg("match") - F.sum("short")).alias("score"))
 
 
 def scheme_match(ids: DataFrame, top: int = 1) -> DataFrame:

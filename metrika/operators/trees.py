@@ -17,17 +17,30 @@ AMBIGUOUS_DEPS = ["cop", "neg", "aux", "auxpass"]
 
 
 def depths(deps: DataFrame) -> DataFrame:
-    """(text_id, sent_num, word_num, head) -> adds depth; heads are word_nums, -1 the root. One recursive query."""
-    deps.createOrReplaceTempView("metrika_deps")
-    return deps.sparkSession.sql(
-        """
-        WITH RECURSIVE walk AS (
-          SELECT text_id, sent_num, word_num, 0 AS depth FROM metrika_deps WHERE head = -1
-          UNION ALL
-          SELECT d.text_id, d.sent_num, d.word_num, w.depth + 1
-          FROM metrika_deps d JOIN walk w ON d.text_id = w.text_id AND d.sent_num = w.sent_num AND d.head = w.word_num
-        ) SELECT * FROM walk"""
+    """(text_id, sent_num, word_num, head) -> text_id, sent_num, word_num, depth; heads are word_nums, -1 the root.
+
+    A sentence's heads come together in one row, where every word's path to the
+    root doubles in each of log2(words) steps; a tree of any depth takes one
+    shuffle. Words whose path ends at a head that is not there, or in a circle,
+    are left out.
+    """
+    whole = deps.groupBy("text_id", "sent_num").agg(F.array_sort(F.collect_list(F.struct("word_num", "head"))).alias("w"))
+    first, size = F.col("w")[0]["word_num"], F.size("w")
+    words = F.transform("w", lambda x: x["word_num"])
+    dense = F.element_at("w", -1)["word_num"] - first + 1 == size
+    place = lambda h: F.when(dense, F.when(h.between(first, first + size - 1), h - first).otherwise(-2)).otherwise(
+        F.nullif(F.array_position(words, h), F.lit(0)) - 1
+    )
+    up = F.transform("w", lambda x: F.when(x["head"] < 0, -1).otherwise(F.coalesce(place(x["head"]), F.lit(-2))).cast("int"))
+    start = F.struct(up.alias("up"), F.transform("w", lambda x: F.when(x["head"] < 0, 0).otherwise(1)).alias("steps"))
+    step = lambda a, _: F.struct(
+        F.transform(a["up"], lambda u: F.when(u >= 0, F.get(a["up"], u)).otherwise(u)).alias("up"),
+        F.zip_with(a["up"], a["steps"], lambda u, d: F.when(u >= 0, d + F.get(a["steps"], u)).otherwise(d)).alias("steps"),
     )
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    found = whole.withColumn("f", F.aggregate(rounds, start, step))
+    rows = found.select("text_id", "sent_num", F.explode(F.arrays_zip(words.alias("word_num"), F.col("f.up").alias("up"), F.col("f.steps").alias("depth"))).alias("x"))
+    return rows.where("x.up = -1").select("text_id", "sent_num", "x.word_num", "x.depth")
 
 
 def phrasal_stress(deps: DataFrame) -> DataFrame:

@@ -122,6 +122,27 @@ def encoded(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> Data
     return variants(rhythms(units, longest, shortest))
 
 
+def with_phrasal(units: DataFrame, stress: str = "phrasal_stress") -> DataFrame:
+    """Units with `words` and an array of their words' phrasal stress -> adds ph_hi and ph_lo, the syllables of prominent and demoted words.
+
+    A word of phrasal stress -1 or more (or none) is prominent, one of -2 or less
+    demoted; where no word of a unit has a stress but 0, nothing is either.
+    """
+    level = F.transform(stress, lambda p: F.coalesce(p, F.lit(0)))
+    n = F.transform("words", lambda w: F.regexp_count(F.lower(w), F.lit(f"[{ortho.VOWELS}]+")))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("at"), zero.alias("hi"), zero.alias("lo"))
+
+    def add(a: Column, w: Column) -> Column:
+        bits = _shift(_full(w["n"]), a["at"])
+        some = lambda test, m: m.bitwiseOR(F.when(test, bits).otherwise(zero))
+        return F.struct((a["at"] + w["n"]).alias("at"), some(w["p"] >= -1, a["hi"]).alias("hi"), some(w["p"] <= -2, a["lo"]).alias("lo"))
+
+    pairs = F.zip_with(n, level, lambda k, p: F.struct(k.alias("n"), p.alias("p")))
+    found = F.when(F.exists(level, lambda p: p != 0), F.aggregate(pairs, start, add)).otherwise(start)
+    return units.withColumn("ph", found).select(*units.columns, F.col("ph.hi").alias("ph_hi"), F.col("ph.lo").alias("ph_lo"))
+
+
 def product_variants(units: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Every combination of word forms (a full product) of every unit of 2 to `longest` syllables.
 

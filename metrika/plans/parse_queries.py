@@ -263,6 +263,18 @@ def observed_vectors(spark, sf_dir):
     return rows.join(e.groupBy(*parse.DEFAULT.key).agg(F.count("*").alias("units")), parse.DEFAULT.key)
 
 
+def observed_rhythms(spark, sf_dir):
+    """Distinct rhythms with their costs, how many units have each, and the violations of their iambic scansions, summed over the units."""
+    from metrika.operators import bounding, scansion
+
+    key, names = parse.DEFAULT.key, parse.DEFAULT.names
+    many = encoded(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("units"))
+    many = many.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    table = scansion.scansions(spark).where((F.col("meter") == scansion.iambic(F.col("n"))) & (F.col("cont") == 0))
+    rows = many.join(F.broadcast(table), "n")
+    return rows.select(*key, *bounding.costs(names), "units", *((c * F.col("units")).alias(f"o_{k}") for k, c in zip(names, C.counts(names), strict=True)))
+
+
 _OBSERVED = f"""tgt AS (SELECT n, scan_ord AS target FROM scan WHERE meter = substr(repeat('ws', n), 1, n) AND cont = 0),
 obs AS (SELECT {S.KEY}, {', '.join(S.DEFAULT)}, count(*) AS scansions, min(scan_ord) AS scan_ord, sum(CASE WHEN scan_ord = target THEN 1.0 ELSE 0.0 END) AS observed FROM scored JOIN tgt USING (n) GROUP BY ALL),
 many AS (SELECT {S.KEY}, count(*) AS units FROM enc GROUP BY ALL),
@@ -276,12 +288,12 @@ en AS (SELECT obs.*, units, {_ENERGY} AS en FROM obs JOIN many USING ({S.KEY}))"
 )
 def maxent_nll(spark, sf_dir):
     """M4, M6: negative log-likelihood of the iambic annotation under fixed weights."""
-    rows = observed_vectors(spark, sf_dir)
-    mass = rows.withColumn("en", maxent.energy(list(parse.DEFAULT.names), PREDICT))
-    per = mass.groupBy(*parse.DEFAULT.key).agg(
-        F.max("units").alias("units"), F.sum("observed").alias("seen"), F.sum(F.exp(-F.col("en")) * F.col("scansions")).alias("z"), F.sum(F.col("observed") * F.col("en")).alias("own")
-    )
-    return per.agg(F.sum("units").alias("n_units"), F.round(F.sum(F.col("units") * (F.col("own") + F.col("seen") * F.log("z"))), 3).alias("nll"))
+    rows = observed_rhythms(spark, sf_dir)
+    names = list(parse.DEFAULT.names)
+    own = sum((F.col(f"o_{k}") * w for k, w in PREDICT.items()), F.lit(0.0))
+    seen = rows.select(*parse.DEFAULT.key, "units", own.alias("own"))
+    both = maxent.expectations(rows, parse.DEFAULT.key, names, PREDICT).join(seen, parse.DEFAULT.key)
+    return both.agg(F.sum("units").alias("n_units"), F.round(F.sum(F.col("own") + F.col("units") * F.col("log_z")), 3).alias("nll"))
 
 
 @query(
@@ -298,8 +310,8 @@ def maxent_accuracy(spark, sf_dir):
 
 def maxent_fit(spark, sf_dir):
     """Weights learned from the iambic annotation; tests hold the optimum's conditions."""
-    rows = observed_vectors(spark, sf_dir).persist()
-    model = maxent.fit(rows, parse.DEFAULT.key, list(parse.DEFAULT.names))
+    rows = observed_rhythms(spark, sf_dir).persist()
+    model = maxent.fit_rhythms(rows, parse.DEFAULT.key, list(parse.DEFAULT.names))
     rows.unpersist()
     return spark.createDataFrame([(k, round(v, 4)) for k, v in model.weights.items()], "name string, weight double")
 

@@ -81,7 +81,8 @@ def collapsed_words(spark, sf_dir):
 
 @query(
     f"""WITH {_SEG}, {S.PARTS}, w AS (SELECT DISTINCT lower(unnest(words)) AS word FROM units), l AS (SELECT word, unnest(string_split(word, '')) AS ipa FROM w)
-    SELECT word AS word_id, {', '.join(f'round(avg({f}), 6) AS {f}' for f in P.RIME_FEATURES)} FROM l JOIN seg USING (ipa) GROUP BY word"""
+    SELECT word AS word_id, round(avg(hi), 6) AS hi, round(avg(lo), 6) AS lo, round(avg(back), 6) AS back, round(avg("round"), 6) AS "round", round(avg(tense), 6) AS tense,
+    round(avg("long"), 6) AS "long", round(avg(son), 6) AS son, round(avg(cons), 6) AS cons, round(avg(nas), 6) AS nas, round(avg(voi), 6) AS voi FROM l JOIN seg USING (ipa) GROUP BY word"""
 )
 def feature_profiles(spark, sf_dir):
     """Mean features of distinct words, letters read as segments."""
