@@ -124,17 +124,21 @@ def vectors(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
 
 
 def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
-    """The vectors that no other dominates (as few of every violation, fewer of one), of any number of constraints.
+    """The vectors of `vectors` that no other of their signature dominates."""
+    return undominated_of(found, meter.key, meter.names)
+
+
+def undominated_of(found: DataFrame, key: list[str], names: tuple[str, ...]) -> DataFrame:
+    """The rows that no other of their key dominates (as few of every violation, fewer of one), of any number of constraints.
 
     Each signature's vectors of least total and of least count in every
     constraint thin the rest first: what one of them dominates (everything, if
     one is perfect) is gone without a pair. The anti-join decides what is left.
     """
-    names = meter.names
     total = sum((F.col(k) for k in names[1:]), F.col(names[0]))
     vector = F.struct(*names)
     firsts = [total, *(F.col(k) for k in names)]
-    leads = found.groupBy(*meter.key).agg(
+    leads = found.groupBy(*key).agg(
         *(F.min(F.struct(first.alias("f"), total.alias("t"), vector.alias("v"))).alias(f"lead{j}") for j, first in enumerate(firsts))
     )
     kept = F.lit(True)
@@ -145,10 +149,10 @@ def unbounded(found: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
             worse &= own <= F.col(k)
             same &= own == F.col(k)
         kept &= ~worse | same
-    left = found.join(leads, meter.key).where(kept).drop(*(f"lead{j}" for j in range(len(firsts))))
-    a, b = left.alias("a"), left.select(*meter.key, *names).alias("b")
+    left = found.join(leads, key).where(kept).drop(*(f"lead{j}" for j in range(len(firsts))))
+    a, b = left.alias("a"), left.select(*key, *names).alias("b")
     on, less = F.lit(True), F.lit(False)
-    for k in meter.key:
+    for k in key:
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
     for k in names:
         on &= F.col(f"b.{k}") <= F.col(f"a.{k}")
