@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrika.functions import ortho
+from metrika.functions import ortho, phonology
 
 from .units import let
 
@@ -60,6 +60,23 @@ def spelling_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def rime_distances(pairs: DataFrame, max_dist: float | None = MAX_DISTANCE) -> DataFrame:
+    """(w1, w2, r1, r2: words and their rimes as segments) -> adds dist, by features.
+
+    Null for equal words and missing rimes, 0 for equal rimes; else the feature
+    edit distance of the rimes, null beyond max_dist (0: equal rimes alone; None:
+    no limit). Distances are computed once for each distinct pair of rimes.
+    """
+    rows = pairs.withColumns({"a": F.least("r1", "r2"), "b": F.greatest("r1", "r2")})
+    able = (F.col("w1") != F.col("w2")) & F.col("r1").isNotNull() & F.col("r2").isNotNull()
+    if max_dist == 0:
+        return rows.withColumn("dist", F.when(able & (F.col("r1") == F.col("r2")), 0.0)).drop("a", "b")
+    far = phonology.distances(rows.where(able & (F.col("r1") != F.col("r2"))).select("a", "b")).withColumnRenamed("dist", "far")
+    dist = F.when(able & (F.col("r1") == F.col("r2")), 0.0).when(able, F.col("far"))
+    out = rows.join(far, ["a", "b"], "left").withColumn("dist", dist).drop("a", "b", "far")
+    return out if max_dist is None else out.withColumn("dist", F.when(F.col("dist") <= max_dist, F.col("dist")))
+
+
 def neighbours(ends: DataFrame, window: int = WINDOW) -> DataFrame:
     """text_id, i, j, dist of lines at most `window` apart, both ways; equal words and missing rimes give no row.
 

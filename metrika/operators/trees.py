@@ -14,6 +14,8 @@ UNSTRESSED_TAGS = ["CC", "PRP$", "TO", "UH", "DT"]
 UNSTRESSED_DEPS = ["det", "expl", "cc", "mark"]
 AMBIGUOUS_TAGS = ["MD", "IN", "PRP", "WP$", "PDT", "WDT", "WP", "WRB"]
 AMBIGUOUS_DEPS = ["cop", "neg", "aux", "auxpass"]
+# Dependencies at which a long part is split.
+CLAUSE_DEPS = ["cc", "mark", "advcl", "ccomp", "relcl", "conj", "parataxis"]
 
 
 def depths(deps: DataFrame) -> DataFrame:
@@ -161,3 +163,37 @@ def normalized(words: DataFrame, value: str) -> DataFrame:
 def pause_split(text: Column) -> Column:
     """Clauses of a text: broken after : ; -- and dashes, then after sentence ends."""
     return F.split(F.regexp_replace(text, r"((?:--|[:;–—]|[.!?]))(\s+)", "$1\u0001"), "\u0001")
+
+
+def heads(nodes: DataFrame) -> DataFrame:
+    """Constituency nodes (text_id, sent_num, node, parent, word_num) -> phrases with head_word, their last word.
+
+    Every word is sent to all phrases above it, found along the sentence's own
+    array of parents.
+    """
+    whole = nodes.groupBy("text_id", "sent_num").agg(F.collect_list(F.struct("node", "parent", "word_num")).alias("w"))
+    above = F.map_from_entries(F.transform("w", lambda x: F.struct(x["node"], x["parent"])))
+    rows = whole.select("text_id", "sent_num", above.alias("up"), F.explode(F.filter("w", lambda x: x["word_num"].isNotNull())).alias("x"))
+    steps = F.sequence(F.lit(1), F.size("up"))
+    climb = lambda a, _: F.when(F.element_at(a, -1).isNull(), a).otherwise(F.array_append(a, F.try_element_at("up", F.element_at(a, -1))))
+    path = F.aggregate(steps, F.array(F.col("x.parent")), climb)
+    phrases = rows.select("text_id", "sent_num", F.explode(F.array_compact(path)).alias("node"), F.col("x.word_num").alias("word_num"))
+    known = phrases.join(nodes.select("text_id", "sent_num", "node"), ["text_id", "sent_num", "node"], "left_semi")
+    return known.groupBy("text_id", "sent_num", "node").agg(F.max("word_num").alias("head_word"), F.count("*").alias("n_words"))
+
+
+def arto(total: Column, lexical: Column) -> Column:
+    """The alternative scale of prominence: one less the stress, 0 for words without lexical stress."""
+    return F.when(lexical == -1, F.lit(0.0)).otherwise(-(total - 1))
+
+
+def joined_features(deps: DataFrame, constituents: DataFrame) -> DataFrame:
+    """Dependency and constituency features of the words that have both."""
+    return deps.join(constituents, ["text_id", "sent_num", "word_num"])
+
+
+def clause_starts(deps: DataFrame) -> DataFrame:
+    """Adds clause (from 1 in each sentence): a new one begins at every word that opens a clause or a conjunct but the first."""
+    begins = F.col("dep").isin(CLAUSE_DEPS) & (F.row_number().over(Window.partitionBy("text_id", "sent_num").orderBy("word_num")) > 1)
+    w = Window.partitionBy("text_id", "sent_num").orderBy("word_num").rowsBetween(Window.unboundedPreceding, 0)
+    return deps.withColumn("begins__", begins.cast("int")).withColumn("clause", (1 + F.sum("begins__").over(w)).cast("int")).drop("begins__")
