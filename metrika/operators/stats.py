@@ -43,7 +43,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     counts = rows.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(score).alias("s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n")
     )
-    # Distinct scores fall into 1,024 buckets by rank-free hashing of their order: percentiles of the scores.
+    # Distinct scores fall into 64 ranges between approximate percentiles.
     cut = counts.agg(F.percentile_approx("s", [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
     dealt = counts.crossJoin(F.broadcast(cut)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
     whole = dealt.groupBy("part").agg(F.sum("n").alias("part_n"))

@@ -9,7 +9,7 @@ from metrika.functions import text as T
 
 
 def tokens(texts: DataFrame, text_id: str = "doc_id", clean: bool = True) -> DataFrame:
-    """One row per token with the reference's counters.
+    """One row per token with the numbers of the stanza, line, sentence, phrase and line part that it stands in.
 
     text_id, word_num, word_txt, is_punc, para_num, line_num, sent_num,
     sentpart_num, linepart_num. A token that carries a line feed begins a line

@@ -231,7 +231,7 @@ def dependency_rows(spark, sf_dir):
     SELECT text_id, sent_num, word_num, CAST(-depth + CASE WHEN head < 0 OR sib < 2 THEN 0 WHEN nn >= 2 THEN CASE WHEN word_num = f THEN 1 ELSE 0 END WHEN cn >= 2 THEN CASE WHEN word_num = l THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS phrasal_stress FROM j"""
 )
 def phrasal_stress(spark, sf_dir):
-    """phrasal stress from dependency depth, compound and nuclear stress rules (recursive query)."""
+    """phrasal stress from dependency depth, compound and nuclear stress rules (one row a sentence)."""
     return trees.phrasal_stress(dependency_rows(spark, sf_dir)).select("text_id", "sent_num", "word_num", "phrasal_stress")
 
 
@@ -307,7 +307,7 @@ def html_text(spark, sf_dir):
 
 
 def product_variants(spark, sf_dir):
-    """1.6#4, J10: every combination of word forms, with the number of distinct rhythms a unit can take; tests check it by brute force."""
+    """1.6#4: every combination of word forms, with the number of distinct rhythms a unit can take; tests check it by brute force."""
     rows = units.product_variants(tokens.line_parts(docs(spark, sf_dir)))
     return rows.groupBy("text_id", "line_num", "linepart", "n").agg(F.count("*").alias("n_variants"), F.countDistinct("st").alias("n_rhythms"))
 
@@ -321,7 +321,7 @@ QUERIES["product_variants"] = product_variants
     SELECT text_id, line_num, linepart, score + ns AS pair_score, n + nn AS pair_sylls FROM nxt WHERE np IS NOT NULL"""
 )
 def combine_neighbours(spark, sf_dir):
-    """Best parses of neighbouring parts combined."""
+    """The best scores of neighbouring parts added up (combine_parses has the product of J10)."""
     w = Window.partitionBy("text_id", "line_num").orderBy("linepart")
     rows = parse.best_of(tokens.line_parts(docs(spark, sf_dir))).select(
         "text_id", "line_num", "linepart", (F.col("score") + F.lead("score").over(w)).alias("pair_score"), (F.col("n") + F.lead("n").over(w)).alias("pair_sylls")

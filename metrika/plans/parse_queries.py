@@ -175,7 +175,7 @@ def parses_long(spark, sf_dir):
     round(avg({' + '.join(S.DEFAULT)}), 6) AS mean_total, round(avg(score), 6) AS mean_score FROM v GROUP BY text_id, line_num"""
 )
 def parse_stats_line(spark, sf_dir):
-    """Raw and normalised violation statistics by line."""
+    """A3-A5: raw and normalised violation statistics of best parses by line (export_unbounded has A9)."""
     rows = parse.best_of(tokens.line_parts(docs(spark, sf_dir)))
     return stats.parse_stats(rows.select(*UNIT, "n", "score", *C.counts(C.DEFAULT)), ["text_id", "line_num"])
 
@@ -186,7 +186,7 @@ def parse_stats_line(spark, sf_dir):
     string_agg(translate(meter, 'ws', '-+'), '|' ORDER BY linepart) AS meter_str FROM best GROUP BY text_id, line_num) SELECT * FROM agg"""
 )
 def export_rows(spark, sf_dir):
-    """A line's parts put together: score summed, meters joined."""
+    """A line's best parses put together: score summed, meters joined."""
     rows = best(spark, sf_dir).groupBy("text_id", "line_num").agg(
         F.count("*").alias("n_parts"), F.sum("n").alias("n_sylls"), F.round(F.sum("score"), 6).alias("score"),
         F.array_sort(F.collect_list(F.struct("linepart", "meter_str"))).alias("m"),
