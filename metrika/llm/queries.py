@@ -26,7 +26,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tool calls read out of all conversations, linked, ordered, validated and serialised."""
-    return chat_tools.link_tool_calls(*chat_tools.calls_of_conversations(_table(spark, sf_dir, "conversations")))
+    linked = chat_tools.link_tool_calls(*chat_tools.calls_of_conversations(_table(spark, sf_dir, "conversations")))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_tool_calls": """
+WITH t AS (SELECT conv_id, turn, role, text, COALESCE(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, said, 'c' || conv_id || '-' || turn AS call_id, CASE WHEN length(said) < 200 THEN 'brief' ELSE 'reply' END AS tool,
+  length(said) AS chars, len(string_split(said, chr(10))) AS lines, count(*) OVER (PARTITION BY conv_id, turn) AS copies,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS output FROM t WHERE role = 'user' AND turn > 0 GROUP BY ALL),
+known AS (SELECT DISTINCT conv_id, turn + 2 AS turn, 1 AS yes FROM t WHERE role = 'assistant'),
+j AS (SELECT c.*, COALESCE(n_results, 0) AS n_results, output, yes FROM c LEFT JOIN r USING (conv_id, turn) LEFT JOIN known USING (conv_id, turn))
+SELECT conv_id, call_id, turn AS seq, CAST(position AS BIGINT) AS position, CAST(n_results AS BIGINT) AS n_results,
+  CASE WHEN copies > 1 THEN 'duplicate' WHEN n_results = 0 THEN 'missing' WHEN n_results > 1 THEN 'ambiguous' ELSE 'linked' END AS link,
+  array_to_string(list_filter([CASE WHEN turn >= 3 AND yes IS NULL THEN 'depends_on: unknown c' || conv_id || '-' || (turn - 2) END, CASE WHEN lines > 20 THEN 'lines: out of bounds' END,
+    CASE WHEN chars < 1 THEN 'n_chars: out of bounds' END, CASE WHEN chars < 1 THEN 'text: out of bounds' END], lambda x: x IS NOT NULL), '; ') AS errors,
+  '{"arguments":{"at":{"conv":' || conv_id || ',"turn":' || turn || '},"lines":' || lines || ',"n_chars":' || chars || ',"text":' || CAST(to_json(said) AS VARCHAR)
+    || '},"id":"' || call_id || '","position":' || position || ',"result":' || COALESCE(CAST(to_json(output) AS VARCHAR), 'null') || ',"tool":"' || tool || '"}' AS json
+FROM j""",
     "op3_topk": """
 WITH sound AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

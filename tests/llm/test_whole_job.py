@@ -7,11 +7,12 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metrika.llm import chat_tools, common, decontam, langid, minhash, pii, quality, sharding, topk_nra, toxicity
+from metrika.llm import chat_tools, common, decontam, langid, minhash, pii, quality, queries, sharding, topk_nra, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -383,3 +384,16 @@ def test_superseded_tables_are_deleted(spark):
     assert [w.exists() for w in where] == [False, True]
     assert common.broadcastable(two, 9) and not common.broadcastable(two, 8) and not common.broadcastable(two, 9, size=5)
     assert common.fresh("A", spark.range(1).toDF("a")) == "A_"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(found.columns)
+    order = [names.index(c) for c in sorted(names)]
+    assert sorted(repr(tuple(r[c] for c in sorted(names))) for r in found.collect()) == sorted(repr(tuple(r[k] for k in order)) for r in cursor.fetchall())
