@@ -306,15 +306,16 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.size(F.split(text, " ")).alias("n_words"))
 
 
+@query(
+    f"""WITH {S.encoded()}, k AS (SELECT text_id, line_num, linepart, CAST(max(n) AS INTEGER) AS n, count(*) FILTER (wn = 1 AND lw IN {S.in_list(ortho.AMBIGUOUS_WORDS)}) AS k FROM sized GROUP BY ALL)
+    SELECT text_id, line_num, linepart, n, CAST(power(2, k) AS BIGINT) AS n_variants, CAST(power(2, k) AS BIGINT) AS n_rhythms FROM k WHERE n BETWEEN 2 AND 18"""
+)
 def product_variants(spark, sf_dir):
-    """1.6#4: every combination of word forms, with the number of distinct rhythms a unit can take; tests check it by brute force."""
+    """1.6#4: every combination of word forms, with the number of distinct rhythms a unit can take; tests list them one by one."""
     rows = units.product_variants(tokens.line_parts(docs(spark, sf_dir)))
     return rows.groupBy("text_id", "line_num", "linepart", "n").agg(F.count("*").alias("n_variants"), F.countDistinct("st").alias("n_rhythms"))
 
 
-QUERIES["product_variants"] = product_variants
-
-
 @query(
     f"""WITH RECURSIVE {S.best().removeprefix('WITH RECURSIVE ')}, u AS (SELECT DISTINCT text_id, line_num, linepart, score, n FROM best),
     nxt AS (SELECT text_id, line_num, linepart, score, n, lead(linepart) OVER w AS np, lead(score) OVER w AS ns, lead(n) OVER w AS nn FROM u WINDOW w AS (PARTITION BY text_id, line_num ORDER BY linepart))
