@@ -20,7 +20,7 @@ def tokens(texts: DataFrame, text_id: str = "doc_id", clean: bool = True) -> Dat
     One shuffle on the text's id; counters are running sums within a text.
     """
     source = T.clean_text(F.col("text")) if clean else F.col("text")
-    rows = texts.select(F.col(text_id).alias("text_id"), F.posexplode(T.token_array(source)).alias("at", "word_txt"))
+    rows = texts.select(F.col(text_id).alias("text_id"), F.posexplode_outer(T.token_array(source)).alias("at", "word_txt")).where("at is not null")
     breaks = F.length("word_txt") - F.length(F.replace("word_txt", F.lit("\n"), F.lit("")))
     core = F.regexp_replace("word_txt", r"^\s+", "")
     rows = rows.select(
@@ -56,6 +56,16 @@ def tokens(texts: DataFrame, text_id: str = "doc_id", clean: bool = True) -> Dat
     )
 
 
+#: What has a letter has a word.
+LETTER = r"\p{L}"
+
+
+def _lines(texts: DataFrame, text_id: str) -> DataFrame:
+    """text_id, line (from 0), line_txt. An outer generator: for an inner one a filter would split every text a second time."""
+    split = F.split(T.normalize_dashes(T.clean_text(F.col("text"))), r"\s*\n\s*")
+    return texts.select(F.col(text_id).alias("text_id"), F.posexplode_outer(split).alias("line", "line_txt")).where("line_txt is not null")
+
+
 def line_parts(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
     """text_id, line_num, linepart, words: the parse units, made row by row without a shuffle.
 
@@ -63,28 +73,20 @@ def line_parts(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
     each phrase separator; linepart counts from 1 within its line. Parts without
     a word are left out.
     """
-    lines = texts.select(
-        F.col(text_id).alias("text_id"),
-        F.posexplode(F.split(T.normalize_dashes(T.clean_text(F.col("text"))), r"\s*\n\s*")).alias("line", "line_txt"),
-    )
-    parts = lines.select("text_id", "line", F.posexplode(F.split("line_txt", T.SEPARATOR_CLASS)).alias("part", "part_txt"))
-    return parts.select(
+    lines = _lines(texts, text_id)
+    parts = lines.select("text_id", "line", F.posexplode_outer(F.split("line_txt", T.SEPARATOR_CLASS)).alias("part", "part_txt"))
+    return parts.where(F.col("part_txt").rlike(LETTER)).select(
         "text_id",
         (F.col("line") + 1).alias("line_num"),
         (F.col("part") + 1).alias("linepart"),
         T.word_array(F.col("part_txt")).alias("words"),
-    ).where(F.size("words") > 0)
+    )
 
 
 def whole_lines(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
     """text_id, line_num, words of every line with a word."""
-    lines = texts.select(
-        F.col(text_id).alias("text_id"),
-        F.posexplode(F.split(T.normalize_dashes(T.clean_text(F.col("text"))), r"\s*\n\s*")).alias("line", "line_txt"),
-    )
-    return lines.select("text_id", (F.col("line") + 1).alias("line_num"), T.word_array(F.col("line_txt")).alias("words")).where(
-        F.size("words") > 0
-    )
+    lines = _lines(texts, text_id)
+    return lines.where(F.col("line_txt").rlike(LETTER)).select("text_id", (F.col("line") + 1).alias("line_num"), T.word_array(F.col("line_txt")).alias("words"))
 
 
 def sentences(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:

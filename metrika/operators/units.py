@@ -76,8 +76,8 @@ def rhythms(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> Data
         one = F.array(F.struct(c.alias("c"), n.alias("n")))
         return F.filter(one, lambda x: x["n"].between(shortest, longest))
 
-    # One expression under the generator: a filter on n in front of it would compute the code twice.
-    out = units.select(*keys, F.explode(let(code(F.col("words")), fitting)).alias("v")).select(*keys, "v.n", "v.c")
+    # An outer generator: for an inner one a filter on its input would compute the code a second time.
+    out = units.select(*keys, F.explode_outer(let(code(F.col("words")), fitting)).alias("v")).where("v is not null").select(*keys, "v.n", "v.c")
     signs = F.replace("c", F.lit(" "), F.lit(""))
     begins = F.replace(F.replace(F.translate("c", SIGNS, "0" * len(SIGNS)), F.lit(" 0"), F.lit("1")), F.lit(" "), F.lit(""))
     return out.select(
