@@ -92,7 +92,7 @@ def salts(count: Column, size: int) -> Column:
 # ---- connected components -------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star contraction: every round is two
@@ -117,15 +117,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
     seen = None
-    for _ in range(rounds):
+    while True:
         last, edges = edges, written(small(large(edges).distinct()).distinct(), "edges")
         discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
