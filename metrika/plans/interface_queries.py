@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from metrika.functions import ortho
 from metrika.operators import constraints as C
-from metrika.operators import parse, texts, tokens, trees, units
+from metrika.operators import parse, products, texts, tokens, trees, units
 
 from . import sql as S
 from .analysis_queries import _DEPS, dependency_rows
@@ -85,6 +86,46 @@ def combine_parses(spark, sf_dir):
     return texts.combined(tokens.line_parts(docs(spark, sf_dir)))
 
 
+def _merged(k: int, last: int) -> str:
+    """SQL of round k: pairs of neighbouring fronts added, dominated sums dropped; the odd one waits."""
+    u = "text_id, line_num, linepart"
+    return f"""
+m{k} AS (SELECT a.text_id, a.line_num, a.linepart, a.seq // 2 AS seq, {', '.join(f'a.{x} + b.{x} AS {x}' for x in NAMES)}, sum(a.many * b.many) AS many
+  FROM f{k - 1} a JOIN f{k - 1} b ON a.text_id = b.text_id AND a.line_num = b.line_num AND a.linepart = b.linepart AND a.seq % 2 = 0 AND b.seq = a.seq + 1 GROUP BY ALL),
+f{k} AS (SELECT a.* FROM m{k} a WHERE NOT EXISTS (SELECT 1 FROM m{k} b WHERE a.text_id = b.text_id AND a.line_num = b.line_num AND a.linepart = b.linepart AND a.seq = b.seq AND {_DOMINATED} AND ({_LESS}))
+  UNION ALL SELECT {u}, seq // 2 AS seq, {', '.join(NAMES)}, many FROM f{k - 1} JOIN (SELECT {u}, max(seq) AS top FROM f{k - 1} GROUP BY ALL) USING ({u}) WHERE seq = top AND seq % 2 = 0)"""
+
+
+#: Long parts cut at clause openers, the pieces numbered as line parts of their own (part * 1000 + piece).
+_CLAUSES = S.PARTS.removesuffix("units AS (SELECT * FROM parts WHERE len(words) > 0)") + f"""long AS (SELECT * FROM parts WHERE len(words) > 0 AND (
+  SELECT sum(len(regexp_extract_all(lower(w), '{ortho.CHUNK}'))) FROM (SELECT unnest(words) AS w)) > 18),
+lw AS (SELECT text_id, line_num, linepart, unnest(words) AS w, unnest(range(0, len(words))) AS k FROM long),
+op AS (SELECT *, sum(CASE WHEN k > 0 AND lower(w) IN {S.in_list(products.OPENERS)} THEN 1 ELSE 0 END) OVER (PARTITION BY text_id, line_num, linepart ORDER BY k) + 1 AS piece FROM lw),
+units AS (SELECT text_id, line_num, CAST(linepart * 1000 + piece AS BIGINT) AS linepart, list(w ORDER BY k) AS words FROM op GROUP BY ALL)"""
+
+
+@query(
+    S.scored().replace(S.PARTS, _CLAUSES)
+    + f""", {LISTS}, side AS (SELECT {UNIT}, {', '.join(NAMES)}, CAST(sum(scansions) AS DOUBLE) AS many FROM pool GROUP BY ALL),
+    sz AS (SELECT {UNIT}, sum(many) AS size FROM side GROUP BY ALL),
+    ns AS (SELECT text_id, line_num, linepart, max(n) AS n FROM enc GROUP BY ALL),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY text_id, line_num, linepart // 1000 ORDER BY linepart) - 1 AS seq FROM sz JOIN ns USING (text_id, line_num, linepart)),
+    tot AS (SELECT text_id, line_num, CAST(linepart // 1000 AS INTEGER) AS linepart, CAST(count(*) AS INTEGER) AS n_pieces, CAST(sum(n) AS INTEGER) AS n, product(size) AS n_product FROM numbered GROUP BY ALL),
+    f0 AS (SELECT text_id, line_num, linepart // 1000 AS linepart, seq, {', '.join(f'CAST({k} AS BIGINT) AS {k}' for k in NAMES)}, many FROM side JOIN (SELECT text_id, line_num, linepart, seq FROM numbered) USING (text_id, line_num, linepart)),"""
+    + ",".join(_merged(k, 7) for k in range(1, 8))
+    + f""",
+    won AS (SELECT text_id, line_num, linepart, sum(many) AS n_kept FROM f7 GROUP BY ALL),
+    top AS (SELECT * FROM (SELECT *, CAST({' + '.join(NAMES)} AS DOUBLE) AS best_score, row_number() OVER (PARTITION BY text_id, line_num, linepart ORDER BY {' + '.join(NAMES)}, {', '.join(NAMES)}) AS rn FROM f7) WHERE rn = 1)
+    SELECT text_id, line_num, linepart, n_pieces, n, n_product, n_kept, best_score, {', '.join(f'CAST(top.{k} AS INTEGER) AS {k}' for k in NAMES)}
+    FROM tot JOIN won USING (text_id, line_num, linepart) JOIN top USING (text_id, line_num, linepart)"""
+)
+def clause_products(spark, sf_dir):
+    """Line parts of more than 18 syllables cut before clause openers; the pieces' parses multiplied, bounded and ranked again."""
+    parts = tokens.line_parts(docs(spark, sf_dir))
+    chunks = F.size(F.regexp_extract_all(F.lower(F.array_join("words", " ")), F.lit(ortho.CHUNK), F.lit(0)))
+    return products.combined(products.clause_pieces(parts.where(chunks > 18)))
+
+
 @query(
     """WITH s AS (SELECT doc_id, CASE WHEN length(trim(text)) = 0 OR text IS NULL THEN 'empty' WHEN NOT regexp_matches(text, '\\p{L}') THEN 'no words' ELSE 'ok' END AS status,
       doc_id IN (SELECT doc_id FROM labels) AS early FROM documents)
