@@ -129,3 +129,65 @@ def walk(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int)
             cost = [[a + (b << (width * each * g)) for a, b in zip(x, y, strict=True)] for x, y in zip(cost, more, strict=True)]
         for total, paths in undominated(size, cost, guard, longest).items():
             yield row, [(total >> (width * k)) & low for k in range(constraints)], sorted(place[size, path] for path in paths)
+
+
+# ---- the lightest scansion ------------------------------------------------
+
+FAR = 1 << 60
+_LAST = tuple(states[-1] for states in POSITIONS)
+_PAIR = {p: k for k, p in enumerate(PAIRS)}
+
+
+@lru_cache(maxsize=4)
+def _sorted_places(longest: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of syllables the paths, ascending, and their places in the catalogue."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for (n, path), place in places(longest).items():
+        by.setdefault(n, []).append((path, place))
+    return {n: tuple(np.array(c, np.int64) for c in zip(*sorted(found), strict=True)) for n, found in by.items()}
+
+
+def lightest(n: np.ndarray, masks: np.ndarray, weights: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, place in the catalogue) of the lightest scansion of every rhythm, the first in enumeration order among equals.
+
+    One min-plus pass over the syllables for all rhythms together: for each kind
+    of last position the lightest way to it, and its path. masks: rhythm x
+    (pair, constraint) as in `costs`; weights are whole numbers.
+    """
+    rows, top = len(n), int(n.max(initial=0))
+    cost = masks.reshape(rows, len(PAIRS), len(weights))
+    best, chosen = np.full(rows, FAR), np.zeros(rows, np.int64)
+    # What ends one and two syllables before: weight, path and number of positions by the kind of the last position.
+    empty = lambda: (np.full((4, rows), FAR), np.zeros((4, rows), np.int64), np.zeros((4, rows), np.int64))
+    ends, step = [empty()], []
+    for i in range(top):
+        step.append(((cost >> i) & 1) @ weights)
+        now = empty()
+        last = n == i + 1
+        for p, states in enumerate(POSITIONS):
+            begin = i + 1 - len(states)
+            if begin < 0:
+                continue
+            inside = step[i][:, _PAIR[states[0], states[1]]] if len(states) == 2 else 0
+            digit = np.where(last, p, p + 4)
+            if begin == 0:
+                ways = [(step[0][:, _PAIR[None, states[0]]] + inside, digit << (3 * (longest - 1)), np.ones(rows, np.int64))]
+            else:
+                ways = []
+                for q in range(4):
+                    if _LAST[q][0] != states[0][0]:
+                        weight, path, many = (x[q] for x in ends[begin])
+                        ways.append((weight + step[begin][:, _PAIR[_LAST[q], states[0]]] + inside, path | digit << (3 * (longest - 1 - many)), many + 1))
+            for weight, path, many in ways:
+                less = (weight < now[0][p]) | ((weight == now[0][p]) & (path < now[1][p]))
+                for mine, other in zip(now, (weight, path, many), strict=True):
+                    mine[p][less] = other[less]
+        ends.append(now)
+        for p in range(4):
+            less = last & ((now[0][p] < best) | ((now[0][p] == best) & (now[1][p] < chosen)))
+            best[less], chosen[less] = now[0][p][less], now[1][p][less]
+    place = np.zeros(rows, np.int64)
+    for size, (paths, order) in _sorted_places(longest).items():
+        own = n == size
+        place[own] = order[np.searchsorted(paths, chosen[own])]
+    return best, place

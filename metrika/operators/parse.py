@@ -1,19 +1,22 @@
 """Parsing: scansions of every distinct unit are scored; dominated ones are dropped; the rest are ranked.
 
 Units are first reduced to distinct signatures (the masks that the constraints
-read), so equal rhythms are parsed once. For the best parse, scansions join by
-syllable count (broadcast) and the least score is one aggregation; undominated
-scansions are found from left to right, without making all scansions.
+read), so equal rhythms are parsed once. The best parse is found in one pass over a
+unit's syllables, undominated scansions from left to right, both without making
+all scansions; `scored` makes them where all are asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import bounding, scansion, units
 from . import constraints as C
@@ -38,6 +41,7 @@ class Meter:
 
 
 DEFAULT = Meter()
+MILLION = 1_000_000
 
 
 def signatures(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
@@ -88,29 +92,66 @@ def best(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     return pick.select(*ids, "p.*").join(F.broadcast(table), ["n", "scan_ord"])
 
 
+def _additive(meter: Meter) -> bool:
+    """Whether one pass over a rhythm finds its best parse: neighbouring syllables decide, and weights are whole millionths above zero."""
+    local = meter.max_s == meter.max_w == 2 and meter.longest <= 20 and all(C.REGISTRY[k].local for k in meter.names)
+    return local and all(w > 0 and math.isclose(w * MILLION, round(w * MILLION), rel_tol=1e-12) for w in meter.weights.values())
+
+
+def _lightest(meter: Meter):
+    """An Arrow function of n and the cost masks of both variants (null without a second one) -> score in millionths, variant, scan_ord."""
+    weights = np.array([round(w * MILLION) for w in meter.weights.values()], np.int64)
+    kind = StructType([StructField("score", LongType()), StructField("variant", IntegerType()), StructField("scan_ord", IntegerType())])
+
+    @F.arrow_udf(kind)
+    def found(n: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        size = n.to_numpy().astype(np.int64)
+        score, place = bounding.lightest(size, first.flatten().to_numpy(), weights, meter.longest)
+        two = np.flatnonzero(second.is_valid().to_numpy(zero_copy_only=False))
+        variant = np.zeros(len(size), np.int32)
+        if len(two):
+            other, at = bounding.lightest(size[two], second.drop_null().flatten().to_numpy(), weights, meter.longest)
+            less = other < score[two]
+            score[two[less]], place[two[less]], variant[two[less]] = other[less], at[less], 1
+        return pa.StructArray.from_arrays([pa.array(score), pa.array(variant), pa.array(place.astype(np.int32))], names=["score", "variant", "scan_ord"])
+
+    return found
+
+
 def best_of(lines: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """The best parse of every unit with `words`, as `best` gives it of the encoded units.
 
-    Both variants of a unit are told by its rhythm (n, he, wb, st, amb), so they
-    compete once a distinct rhythm: one aggregation and one join, none by unit.
+    Both variants of a unit are told by its rhythm (n, he, wb, st, amb). Each
+    unit's scansions are weighed in one min-plus pass over its syllables, a batch
+    of units at a time: one scan, no shuffle. Meters whose constraints need more
+    than neighbouring syllables, or with weights of zero, are parsed once a
+    distinct rhythm.
     """
     if set(meter.key) - {"n", *units.MASKS}:
         raise ValueError("the meter reads more than the words tell; encode the units and use best")
     rows = units.rhythms(lines, meter.longest).drop("words")
-    key = ["n", "he", "wb", "st", "amb"]
-    distinct = rows.select(*key).distinct()
-    encoded = units.variants(distinct.select(*key, *(F.col(c).alias(f"{c}_") for c in key)))
-    of = [f"{c}_" for c in key]
-    if min(meter.weights.values()) > 0:
-        table = F.broadcast(scansion.scansions(lines.sparkSession, meter.longest, meter.max_s, meter.max_w))
-        found = encoded.join(table, "n").select(*of, "variant", "scan_ord", *C.counts(meter.names)).withColumn("score", C.score(meter.names, meter.weights))
-    else:
-        found = encoded.join(_candidates(encoded, meter).select(*meter.key, "score", "scan_ord"), meter.key)
-    per = found.groupBy(*of).agg(F.min(_code(meter, F.col("variant"))).alias("code")).select(*(F.col(f"{c}_").alias(c) for c in key), *_decoded())
-    at = rows.join(per, key)
-    at = at.withColumn("st", F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st")))
     ids = [c for c in lines.columns if c != "words"]
-    chosen = units.masked(at, [*ids, "variant", "score", "scan_ord"])
+    both = F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st"))
+    if _additive(meter):
+        costs = F.array(*bounding.costs(meter.names))
+        one = units.masked(rows, [*ids, "amb"]).select(*ids, "amb", "n", "he", "wb", "st", costs.alias("c0__"))
+        two = units.masked(one.withColumn("st", F.col("st").bitwiseOR(F.col("amb"))), [*ids, "amb", F.col("st").alias("st2__"), "c0__"])
+        second = F.when(F.col("amb") != 0, costs)
+        at = two.select(*ids, "n", "he", "wb", F.col("st").bitwiseAND(F.bitwise_not("amb")).alias("st"), "amb", _lightest(meter)("n", "c0__", second).alias("b__"))
+        at = at.select(*ids, "n", "he", "wb", "st", "amb", (F.col("b__.score") / MILLION).alias("score"), "b__.variant", "b__.scan_ord")
+    else:
+        key = ["n", "he", "wb", "st", "amb"]
+        distinct = rows.select(*key).distinct()
+        encoded = units.variants(distinct.select(*key, *(F.col(c).alias(f"{c}_") for c in key)))
+        of = [f"{c}_" for c in key]
+        if min(meter.weights.values()) > 0:
+            table = F.broadcast(scansion.scansions(lines.sparkSession, meter.longest, meter.max_s, meter.max_w))
+            found = encoded.join(table, "n").select(*of, "variant", "scan_ord", *C.counts(meter.names)).withColumn("score", C.score(meter.names, meter.weights))
+        else:
+            found = encoded.join(_candidates(encoded, meter).select(*meter.key, "score", "scan_ord"), meter.key)
+        per = found.groupBy(*of).agg(F.min(_code(meter, F.col("variant"))).alias("code")).select(*(F.col(f"{c}_").alias(c) for c in key), *_decoded())
+        at = rows.join(per, key)
+    chosen = units.masked(at.withColumn("st", both), [*ids, "variant", "score", "scan_ord"])
     return chosen.join(F.broadcast(scansion.scansions(lines.sparkSession, meter.longest, meter.max_s, meter.max_w)), ["n", "scan_ord"])
 
 

@@ -1,16 +1,22 @@
 """Parse units as bit masks: bit i of a mask is syllable i of the unit.
 
-Everything is computed within the unit's row by string replacements and bit
-arithmetic, so encoding needs no shuffle and stays in generated code. Masks: st stressed, he heavy, sg strong, wk weak, fn function word,
-wb a word begins; n is the number of syllables.
+Everything is computed within the unit's row: distinct words of an Arrow batch
+give their syllables once, masks are arithmetic over all words of the batch, and
+what follows is bit arithmetic in generated code; encoding needs no shuffle.
+Masks: st stressed, he heavy, sg strong, wk weak, fn function word, wb a word
+begins; n is the number of syllables.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from metrika.functions import ortho
 
@@ -31,59 +37,71 @@ def _full(n: Column) -> Column:
     return _shift(F.lit(1), n) - 1
 
 
-#: Signs of a syllable in a unit's code: light and heavy, stressed (small) or not; then function and ambiguous words, light and heavy.
-SIGNS = "lhLHPQRS"
+#: What a word adds to its unit: syllables, and the masks of heavy, stressed and ambiguous ones.
+Shape = tuple[int, int, int, int]
 
 
-def _listed(words: list[str], heavy: bool) -> str:
-    """The monosyllables of a word list of one weight, as alternatives."""
-    runs = {w: re.findall(f"[{ortho.VOWELS}]+", w) for w in words}
-    return "|".join(w for w, r in runs.items() if len(r) == 1 and (len(r[0]) > 1 or w[-1] not in ortho.VOWELS) == heavy)
+@lru_cache(maxsize=1 << 18)
+def shape(word: str) -> Shape:
+    """The syllables of a lower-cased word and their masks, by the orthographic rules."""
+    chunks = _CHUNKS(word)
+    n = len(chunks)
+    heavy = sum(1 << i for i, c in enumerate(chunks[:LIMIT]) if c[-1] not in ortho.VOWELS or _LONG(c))
+    if n == 1:
+        return n, heavy, int(word not in _UNSTRESSED and word not in _AMBIGUOUS), int(word in _AMBIGUOUS)
+    return n, heavy, sum(1 << i for i in range(0, min(n, LIMIT), 2) if i == 0 or i < n - 1), 0
 
 
-def code(words: Column) -> Column:
-    """A unit's syllables as signs, a space before each word: a few replacements over the unit's whole text."""
-    t = F.concat(F.lit(" "), F.lower(F.array_join(words, " ")), F.lit(" "))
-    for sign, listed, heavy in (("P", ortho.FUNCTION_WORDS, False), ("Q", ortho.FUNCTION_WORDS, True), ("R", ortho.AMBIGUOUS_WORDS, False), ("S", ortho.AMBIGUOUS_WORDS, True)):
-        t = F.regexp_replace(t, f"(?<= )(?:{_listed(listed, heavy)})(?= )", sign)
-    t = F.translate(t, ortho.VOWELS, "L" * len(ortho.VOWELS))
-    t = F.regexp_replace(t, "LL+", "H")
-    t = F.regexp_replace(t, "[LH][^LHPQRS ]+(?= )", "H")  # closed by the word's end
-    t = F.regexp_replace(t, "[^LHPQRS ]+", "")
-    t = F.regexp_replace(t, " {2,}", " ")
-    # Stress: monosyllables, and the first of each pair of a longer word's syllables.
-    t = F.regexp_replace(t, "(?<= )([LH])(?= )", "$1+")
-    t = F.regexp_replace(t, "([LH])([LH])", "$1+$2")
-    return F.rtrim(F.replace(F.replace(t, F.lit("L+"), F.lit("l")), F.lit("H+"), F.lit("h")))
+_CHUNKS = re.compile(ortho.CHUNK).findall
+_LONG = re.compile(f"[{ortho.VOWELS}]{{2}}").search
+_AMBIGUOUS = frozenset(ortho.AMBIGUOUS_WORDS) - frozenset(ortho.FUNCTION_WORDS)
+_UNSTRESSED = frozenset(ortho.FUNCTION_WORDS)
+#: Syllables that a mask has room for.
+LIMIT = 62
 
 
-def _mask(signs: Column, ones: str) -> Column:
-    """The bit mask of the signs (first sign: bit 0) that are in `ones`."""
-    bits = F.translate(F.reverse(signs), SIGNS, "".join("1" if c in ones else "0" for c in SIGNS))
-    return F.conv(bits, 2, 10).cast("long")
+def _masks(words: pa.Array) -> tuple[np.ndarray, ...]:
+    """(n, he, wb, st, amb) of a batch of units: each distinct word is looked at once, the rest is arithmetic over all."""
+    flat = words.flatten()
+    size = np.diff(words.offsets.to_numpy()) if isinstance(words, pa.ListArray) else np.zeros(0, np.int64)
+    coded = flat.dictionary_encode()
+    known = np.array([shape(w.lower()) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 4)
+    n, heavy, stressed, ambiguous = known[coded.indices.to_numpy()].T
+    unit = np.repeat(np.arange(len(size)), size)
+    total = np.bincount(unit, weights=n, minlength=len(size)).astype(np.int64)
+    before = np.cumsum(n) - n
+    first = np.cumsum(size) - size
+    at = before - (before[np.minimum(first, max(len(n) - 1, 0))] if len(n) else np.zeros(len(size), np.int64))[unit]
+    fits = (total <= LIMIT)[unit] & (n > 0)
+    at, unit = at[fits], unit[fits]
+    out = []
+    for bits in (heavy, np.ones_like(n), stressed, ambiguous):
+        mask = np.zeros(len(size), np.int64)
+        np.add.at(mask, unit, bits[fits] << at)  # bits of different words never meet
+        out.append(mask)
+    return total, *out
+
+
+_RHYTHM = StructType([StructField("n", IntegerType()), *(StructField(k, LongType()) for k in ("he", "wb", "st", "amb"))])
+
+
+@F.arrow_udf(_RHYTHM)
+def _rhythm(words: pa.Array) -> pa.Array:
+    total, *masks = _masks(words)
+    columns = [pa.array(total.astype(np.int32)), *(pa.array(m) for m in masks)]
+    return pa.StructArray.from_arrays(columns, names=["n", "he", "wb", "st", "amb"])
 
 
 def rhythms(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> DataFrame:
     """Adds n, he, wb, st and amb to units with `words`, one row a unit: heavy, word beginnings, stressed, ambiguous.
 
-    Units outside shortest..longest syllables are left out.
+    Units outside shortest..longest syllables are left out. Only the words leave
+    the JVM, in Arrow batches; measured against ten replacements over each unit's
+    text, it takes a fraction of the time.
     """
     keys = units.columns
-    size = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-
-    def fitting(c: Column) -> Column:
-        n = F.length(c) - size(c)
-        one = F.array(F.struct(c.alias("c"), n.alias("n")))
-        return F.filter(one, lambda x: x["n"].between(shortest, longest))
-
-    # An outer generator: for an inner one a filter on its input would compute the code a second time.
-    out = units.select(*keys, F.explode_outer(let(code(F.col("words")), fitting)).alias("v")).where("v is not null").select(*keys, "v.n", "v.c")
-    signs = F.replace("c", F.lit(" "), F.lit(""))
-    begins = F.replace(F.replace(F.translate("c", SIGNS, "0" * len(SIGNS)), F.lit(" 0"), F.lit("1")), F.lit(" "), F.lit(""))
-    return out.select(
-        *keys, "n", _mask(signs, "hHQS").alias("he"), F.conv(F.reverse(begins), 2, 10).cast("long").alias("wb"),
-        _mask(signs, "lh").alias("st"), _mask(signs, "RS").alias("amb"),
-    )
+    out = units.where(F.col("words").isNotNull()).select(*keys, _rhythm("words").alias("v"))
+    return out.where(F.col("v.n").between(shortest, longest)).select(*keys, "v.*")
 
 
 def variants(rows: DataFrame) -> DataFrame:
