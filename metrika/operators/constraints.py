@@ -137,15 +137,15 @@ def parse_weight(text: str) -> tuple[str, float]:
     return name, float(weight) if weight else 1.0
 
 
-def zones_of(n: Column, zones: str | int | None) -> list[tuple[str, Column]]:
-    """(suffix, mask) of the zones: None, 'initial' (first two, rest), or a number of equal steps (the last takes the rest)."""
+def zones_of(n: Column, zones: str | int | None, longest: int = 18) -> list[tuple[str, Column]]:
+    """(suffix, mask) of the zones: None, 'initial' (first two, rest), 'foot' (pairs of syllables), or a number of equal steps (the last takes the rest)."""
     full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
     if zones is None:
         return [("", full)]
     if zones == "initial":
         return [("_init", both(full, F.lit(3).cast("long"))), ("_rest", both(full, F.lit(-4).cast("long")))]
     if zones == "foot":
-        return [(f"_f{k + 1}", both(full, F.lit(3 << (2 * k)).cast("long"))) for k in range(9)]
+        return [(f"_f{k + 1}", both(full, F.lit(3 << (2 * k)).cast("long"))) for k in range((longest + 1) // 2)]
     step = F.greatest(F.lit(1), F.floor(n / zones)).cast("int")
     bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")) - 1
     out = []
@@ -163,3 +163,32 @@ def zone_counts(names: tuple[str, ...], zones: str | int | None) -> list[Column]
         for suffix, mask in zones_of(F.col("n"), zones)
         for k in names
     ]
+
+
+def zoned(names: tuple[str, ...], zones: str | int | None, longest: int = 18) -> tuple[str, ...]:
+    """Registers the constraints by zone and gives their names, constraint + suffix, zone-major.
+
+    A zoned constraint is one like any other: it has a weight of its own in
+    scores, bounding, best parses and learning, and is local if the whole one is.
+    """
+    out = []
+    for at, suffix in enumerate(zone_suffixes(zones, longest)):
+        for k in names:
+            whole = REGISTRY[k]
+            if suffix:
+                mask = lambda m, whole=whole, at=at: both(whole.mask(m), zones_of(m.n, zones, longest)[at][1])
+                register(k + suffix, f"{whole.says} (zone {suffix[1:]})", mask, whole.needs, whole.scope, whole.local)
+            out.append(k + suffix)
+    return tuple(out)
+
+
+def zone_suffixes(zones: str | int | None, longest: int = 18) -> list[str]:
+    if zones is None:
+        return [""]
+    if zones == "initial":
+        return ["_init", "_rest"]
+    if zones == "foot":
+        return [f"_f{k + 1}" for k in range((longest + 1) // 2)]
+    if isinstance(zones, int) and zones > 0:
+        return [f"_z{z + 1}" for z in range(zones)]
+    raise ValueError(f"unknown zones: {zones!r}")

@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bounding
+from metrika.functions import text
+from metrika.sources.scratch import written
+
+from . import bounding, scansion, units
+from . import constraints as C
 
 
 @dataclass(frozen=True)
@@ -201,11 +205,57 @@ def fit_rhythms(rhythms: DataFrame, key: list[str], names: list[str], regulariza
     return _minimised(sums, names, regularization, rounds, tolerance)
 
 
-def report(model: MeterModel) -> str:
-    """The learned weights, the heaviest first, and how the fit ended."""
+def annotated_rhythms(annotations: DataFrame, names: list[str], longest: int = units.LONGEST) -> DataFrame:
+    """(text, scansion, frequency) -> distinct rhythms for `fit_rhythms`: n and the masks, cost columns, units, o_<name>.
+
+    A scansion has a sign a syllable: w, W or - weak, s, S or + strong, anything else left out.
+    Each text weighs one: its scansions have their shares of its frequencies (a
+    null one counts 1; below zero is refused). Scansions that the text's
+    syllables cannot have are left out, and so are texts without any other.
+    Texts are read by their first forms. Names may be zoned ones.
+    """
+    signs = F.regexp_replace(F.translate(F.lower("scansion"), "+-", "sw"), "[^ws]", "")
+    often = F.coalesce(F.col("frequency").cast("double"), F.lit(1.0))
+    often = F.when(often >= 0, often).otherwise(F.raise_error(F.lit("a frequency below zero")).cast("double"))
+    rows = annotations.select("text", signs.alias("meter"), often.alias("often")).groupBy("text", "meter").agg(F.sum("often").alias("often"))
+    words = rows.select("text").distinct().where(F.col("text").isNotNull()).select("text", text.word_array(F.col("text")).alias("words"))
+    encoded = units.masked(units.rhythms(words, longest), ["text"])
+    catalogue = scansion.scansions(annotations.sparkSession, longest)
+    found = rows.join(encoded, "text").join(F.broadcast(catalogue), ["n", "meter"]).select("text", "often", "n", *units.MASKS, *C.counts(tuple(names)))
+    total = found.groupBy("text").agg(F.sum("often").alias("all__")).where("all__ > 0")
+    share = F.col("often") / F.col("all__")
+    key = ["n", *units.MASKS]
+    sums = found.join(total, "text").groupBy(*key).agg(F.sum(share).alias("units"), *(F.sum(share * F.col(k)).alias(f"o_{k}") for k in names))
+    return sums.select(*key, *bounding.costs(tuple(names)), "units", *(f"o_{k}" for k in names))
+
+
+def fit_annotations(
+    annotations: DataFrame, names: tuple[str, ...] = C.DEFAULT, zones: str | int | None = None, regularization: float = 100.0, rounds: int = 60, longest: int = units.LONGEST
+) -> tuple[MeterModel, DataFrame]:
+    """Weights (by zone, if there are zones) learned from annotated scansions, and the rhythms they were learned from, written.
+
+    The model's weights are a meter's: parse.Meter(model.weights).
+    """
+    every = list(C.zoned(names, zones, longest))
+    rhythms = written(annotated_rhythms(annotations, every, longest), "annotated")
+    return fit_rhythms(rhythms, ["n", *units.MASKS], every, regularization, rounds), rhythms
+
+
+def violations(rhythms: DataFrame, key: list[str], names: list[str], weights: dict[str, float]) -> DataFrame:
+    """(name, weight, observed, predicted): each constraint's violations as annotated and as the weights predict them, over all units."""
+    seen = rhythms.select(*key, "units", *(f"o_{k}" for k in names))
+    both = expectations(rhythms, key, names, weights).join(seen, key)
+    sums = both.agg(*(F.sum(f"o_{k}").alias(f"o_{k}") for k in names), *(F.sum(F.col("units") * F.col(f"e_{k}")).alias(f"e_{k}") for k in names))
+    one = lambda k: F.struct(F.lit(k).alias("name"), F.lit(float(weights.get(k, 0.0))).alias("weight"), F.col(f"o_{k}").cast("double").alias("observed"), F.col(f"e_{k}").alias("predicted"))
+    return sums.select(F.inline(F.array(*map(one, names))))
+
+
+def report(model: MeterModel, totals: DataFrame | None = None) -> str:
+    """The learned weights, the heaviest first, with the `violations` observed and predicted if given, and how the fit ended."""
     width = max(map(len, model.weights), default=0)
+    seen = {r.name: f"  observed {r.observed or 0:.2f}  predicted {r.predicted or 0:.2f}" for r in totals.collect()} if totals is not None else {}
     rows = sorted(model.weights.items(), key=lambda x: (-x[1], x[0]))
-    return "\n".join([f"{name:<{width}}  {weight:.4f}" for name, weight in rows] + [f"loss {model.loss:.4f} after {model.iterations} iterations"])
+    return "\n".join([f"{name:<{width}}  {weight:.4f}{seen.get(name, '')}" for name, weight in rows] + [f"loss {model.loss:.4f} after {model.iterations} iterations"])
 
 
 def accuracy(predictions: DataFrame, key: list[str]) -> DataFrame:

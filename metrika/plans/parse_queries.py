@@ -263,16 +263,16 @@ def observed_vectors(spark, sf_dir):
     return rows.join(e.groupBy(*parse.DEFAULT.key).agg(F.count("*").alias("units")), parse.DEFAULT.key)
 
 
-def observed_rhythms(spark, sf_dir):
+def observed_rhythms(spark, sf_dir, names=parse.DEFAULT.names):
     """Distinct rhythms with their costs, how many units have each, and the violations of their iambic scansions, summed over the units."""
     from metrika.operators import bounding, scansion
 
-    key, names = parse.DEFAULT.key, parse.DEFAULT.names
+    key = parse.DEFAULT.key
     many = encoded(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("units"))
     many = many.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
     table = scansion.scansions(spark).where((F.col("meter") == scansion.iambic(F.col("n"))) & (F.col("cont") == 0))
     rows = many.join(F.broadcast(table), "n")
-    return rows.select(*key, *bounding.costs(names), "units", *((c * F.col("units")).alias(f"o_{k}") for k, c in zip(names, C.counts(names), strict=True)))
+    return rows.select(*key, *bounding.costs(tuple(names)), "units", *((c * F.col("units")).alias(f"o_{k}") for k, c in zip(names, C.counts(tuple(names)), strict=True)))
 
 
 _OBSERVED = f"""tgt AS (SELECT n, scan_ord AS target FROM scan WHERE meter = substr(repeat('ws', n), 1, n) AND cont = 0),
@@ -317,3 +317,51 @@ def maxent_fit(spark, sf_dir):
 
 
 QUERIES["maxent_fit"] = maxent_fit
+
+
+# ---- weights by zone ----
+
+ZONES = [f"{k}{z}" for z in ("_init", "_rest") for k in S.DEFAULT]
+#: Fixed weights: the first two syllables count less.
+ZONE_WEIGHTS = {k: 0.25 * (1 + at % 3) if k.endswith("_init") else 1.0 + 0.5 * (at % 2) for at, k in enumerate(ZONES)}
+_ZONE_SCORE = " + ".join(f"{w} * {k}" for k, w in ZONE_WEIGHTS.items())
+_ZONED = S.scored(ZONES).replace(f"CAST({' + '.join(ZONES)} AS DOUBLE) AS score", f"CAST({_ZONE_SCORE} AS DOUBLE) AS score")
+
+
+def zone_meter() -> parse.Meter:
+    C.zoned(C.DEFAULT, "initial")
+    return parse.Meter({k: ZONE_WEIGHTS[k] for k in ZONES})
+
+
+@query(
+    _ZONED
+    + f""", lead AS (SELECT {S.KEY}, min(score) AS score FROM scored GROUP BY ALL),
+    first AS (SELECT {S.KEY}, score, min(scan_ord) AS scan_ord FROM scored JOIN lead USING ({S.KEY}, score) GROUP BY ALL),
+    pick AS (SELECT enc.text_id, enc.line_num, enc.linepart, variant, score, scan_ord, n, row_number() OVER (PARTITION BY text_id, line_num, linepart ORDER BY score, variant) AS rn FROM enc JOIN first USING ({S.KEY}))
+    SELECT text_id, line_num, linepart, variant, round(score, 6) AS score, scan_ord, positions FROM pick JOIN scan USING (n, scan_ord) WHERE rn = 1"""
+)
+def zone_best(spark, sf_dir):
+    """The best parse of every line part under weights by zone."""
+    found = parse.best_of(tokens.line_parts(docs(spark, sf_dir)), zone_meter())
+    return found.select("text_id", "line_num", "linepart", "variant", F.round("score", 6).alias("score"), "scan_ord", "positions")
+
+
+_ZONE_SUMS = ", ".join(f"sum(units * o_{k}) AS o_{k}, sum(units * e_{k} / z) AS e_{k}" for k in ZONES)
+
+
+@query(
+    _ZONED
+    + f""", tgt AS (SELECT n, scan_ord AS target FROM scan WHERE meter = substr(repeat('ws', n), 1, n) AND cont = 0),
+    many AS (SELECT {S.KEY}, count(*) AS units FROM enc GROUP BY ALL),
+    per AS (SELECT {S.KEY}, sum(exp(-score)) AS z, {', '.join(f'sum(exp(-score) * {k}) AS e_{k}, sum(CASE WHEN scan_ord = target THEN {k} ELSE 0 END) AS o_{k}' for k in ZONES)} FROM scored JOIN tgt USING (n) GROUP BY ALL),
+    tot AS (SELECT {_ZONE_SUMS} FROM per JOIN many USING ({S.KEY}))
+    SELECT name, weight, CAST(observed AS DOUBLE) AS observed, round(predicted, 2) AS predicted FROM (
+    """
+    + " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({w} AS DOUBLE) AS weight, o_{k} AS observed, e_{k} AS predicted FROM tot" for k, w in ZONE_WEIGHTS.items())
+    + ")"
+)
+def zone_report(spark, sf_dir):
+    """Violations by zone, observed in the iambic annotation and predicted by fixed weights."""
+    meter = zone_meter()
+    rows = observed_rhythms(spark, sf_dir, list(meter.names))
+    return maxent.violations(rows, meter.key, list(meter.names), meter.weights).withColumn("predicted", F.round("predicted", 2))

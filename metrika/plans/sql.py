@@ -107,12 +107,14 @@ VIOLATIONS = {
     "s_func": "fn & s",
     "word_foot": "wb & cont",
 }
+#: By zone: the first two syllables and the rest.
+ZONED = {f"{k}{z}": f"({v}) & {m}" for k, v in VIOLATIONS.items() for z, m in (("_init", 3), ("_rest", -4))}
 DEFAULT = ["w_peak", "w_stress", "s_unstress", "unres_across", "unres_within", "foot_size"]
 KEY = "n, fn, he, sg, st, wb"
 
 
 def counts(names: list[str]) -> str:
-    return ", ".join(f"CAST(bit_count({VIOLATIONS[k]}) AS INTEGER) AS {k}" for k in names)
+    return ", ".join(f"CAST(bit_count({(VIOLATIONS | ZONED)[k]}) AS INTEGER) AS {k}" for k in names)
 
 
 def scored(names: list[str] | None = None, longest: int = 18, key: str = KEY) -> str:
