@@ -7,9 +7,9 @@ too. Everything is an expression on a string column.
 
 from __future__ import annotations
 
-import json
-import sys
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,21 +34,38 @@ PHONE = f"[{STRESS}]?{SEGMENT}"
 VOWELS = f"[{''.join(P.VOWELS)}]"
 
 
-def _constant(values: dict, kind: str) -> Column:
-    """A map as one literal."""
-    return F.from_json(F.lit(json.dumps(values)), f"map<string, {kind}>")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def decompositions(last: int = sys.maxunicode) -> dict[str, str]:
-    """Characters up to `last` that are a base and combining marks."""
-    found = ((chr(k), unicodedata.normalize("NFD", chr(k))) for k in range(0xC0, min(last, 0x1FFF) + 1))
+def _constant(values: dict[str, list[int | None]]) -> Column:
+    """A map of arrays of small numbers, written as SQL so that it is folded into one literal."""
+    numbers = lambda v: ", ".join("CAST(NULL AS INT)" if x is None else str(x) for x in v)
+    return F.expr("map(" + ", ".join(f"'{k}', array({numbers(v)})" for k, v in values.items()) + ")")
+
+
+def decompositions(last: int = 0x1FFF) -> dict[str, str]:
+    """Characters up to `last` that are a base and combining marks, in full."""
+    found = ((chr(k), unicodedata.normalize("NFD", chr(k))) for k in range(0xC0, last + 1))
     return {c: d for c, d in found if d != c}
 
 
+@lru_cache(maxsize=1)
+def _pairs() -> tuple[str, str, str]:
+    """Characters with their first and second half, in the order of the code points; a half may come apart once more."""
+    halves = {c: unicodedata.decomposition(c).split() for c in decompositions()}
+    pairs = {c: h for c, h in halves.items() if len(h) == 2 and "<" not in h[0]}
+    return "".join(pairs), *("".join(chr(int(h[k], 16)) for h in pairs.values()) for k in (0, 1))
+
+
 def decomposed(text: Column) -> Column:
     """Characters of the Latin, Greek and Cyrillic blocks as base and combining marks."""
-    table = _constant(decompositions(), "string")
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole, base, mark = _pairs()
+    cut = lambda c: F.concat(F.translate(c, whole, base), F.when(F.contains(F.lit(whole), c) & (c != ""), F.translate(c, whole, mark)).otherwise(""))
+    for _ in range(3):  # no character has more than three marks
+        text = F.when(text.rlike("[\u00c0-\u1fff]"), F.array_join(F.transform(F.split(text, ""), cut), "")).otherwise(text)
+    return text
 
 
 def segments(ipa: Column) -> Column:
@@ -68,8 +85,8 @@ def _overlay(text: str) -> list[int | None]:
 
 def features(segment: Column) -> Column:
     """The 24 features of a segment (-1, 0, 1), the marks' own over the base's; null for what is no segment."""
-    bases = _constant({k: [*P.inventory()[k], 0, 0] for k in _BASES}, "array<int>")
-    marks = _constant({k: _overlay(v) for k, v in (AFTER | BEFORE).items()}, "array<int>")
+    bases = _constant({k: [*P.inventory()[k], 0, 0] for k in _BASES})
+    marks = _constant({k: _overlay(v) for k, v in (AFTER | BEFORE).items()})
     part = lambda k: F.regexp_extract(segment, f"^{SEGMENT}$", k)
     # Marks in front go from the base outwards, those behind in their order.
     order = F.filter(F.concat(F.reverse(F.split(part(1), "")), F.split(part(3), "")), lambda m: m != "")
@@ -79,18 +96,22 @@ def features(segment: Column) -> Column:
 
 def sonority(vector: Column) -> Column:
     """1 (voiceless stops) to 9 (vowels that are not high) from the features."""
-    f = {k: F.element_at(vector, FEATURES.index(k) + 1) for k in ("syl", "hi", "cons", "son", "nas", "cont", "voi")}
-    return (
-        F.when((f["syl"] > 0) & (f["hi"] < 0), 9).when(f["syl"] > 0, 8).when(f["cons"] < 0, 7)
-        .when((f["son"] > 0) & (f["nas"] < 0), 6).when(f["son"] > 0, 5)
-        .when((f["cont"] > 0) & (f["voi"] > 0), 4).when(f["cont"] > 0, 3).when(f["voi"] > 0, 2).otherwise(1)
-    )
+
+    def level(v: Column) -> Column:
+        f = {k: F.element_at(v, FEATURES.index(k) + 1) for k in ("syl", "hi", "cons", "son", "nas", "cont", "voi")}
+        return (
+            F.when((f["syl"] > 0) & (f["hi"] < 0), 9).when(f["syl"] > 0, 8).when(f["cons"] < 0, 7)
+            .when((f["son"] > 0) & (f["nas"] < 0), 6).when(f["son"] > 0, 5)
+            .when((f["cont"] > 0) & (f["voi"] > 0), 4).when(f["cont"] > 0, 3).when(f["voi"] > 0, 2).otherwise(1)
+        )
+
+    return let(vector, level)
 
 
 def _level(phone: Column) -> Column:
     """Sonority in the classes of syllabification: vowels are one class, and so are all obstruents."""
-    s = sonority(features(F.regexp_replace(phone, f"^[{STRESS}]", "")))
-    return F.when(s >= 8, 9).when(s <= 4, 4).otherwise(s)
+    found = sonority(features(F.regexp_replace(phone, f"^[{STRESS}]", "")))
+    return let(found, lambda s: F.when(s >= 8, 9).when(s <= 4, 4).otherwise(s))
 
 
 def begins(level: Column) -> Column:
@@ -100,15 +121,19 @@ def begins(level: Column) -> Column:
     (2a) or the word ends (2b), nor within three equal ones (3; at the second
     place the one before the first is the last).
     """
-    n = F.size(level)
-    at = lambda k: F.get(level, k)
 
-    def one(s: Column, i: Column) -> Column:
-        last, earlier = at(i - 1), at(F.when(i == 1, n - 1).otherwise(i - 2))
-        falls = (last > s) & ((i == n - 1) | (s >= at(i + 1)))
-        return (i == 0) | ~((last < s) | F.coalesce(falls, F.lit(False)) | ((earlier == last) & (last == s)))
+    def whole(levels: Column) -> Column:
+        n = F.size(levels)
+        at = lambda k: F.get(levels, k)
+
+        def one(s: Column, i: Column) -> Column:
+            last, earlier = at(i - 1), at(F.when(i == 1, n - 1).otherwise(i - 2))
+            falls = (last > s) & ((i == n - 1) | (s >= at(i + 1)))
+            return (i == 0) | ~((last < s) | F.coalesce(falls, F.lit(False)) | ((earlier == last) & (last == s)))
+
+        return F.transform(levels, one)
 
-    return F.transform(level, one)
+    return let(level, whole)
 
 
 def syllables(ipa: Column) -> Column:
@@ -117,17 +142,50 @@ def syllables(ipa: Column) -> Column:
     Pieces without a vowel join the next one that has one, at the end the last;
     nothing if there is no vowel; null for null.
     """
-    phones = F.regexp_extract_all(decomposed(ipa), F.lit(PHONE), F.lit(0))
-    starts = begins(F.transform(phones, _level))
-    marked = F.zip_with(phones, starts, lambda p, s: F.concat(F.when(s, "\u0001").otherwise(""), p))
-    pieces = F.split(F.regexp_replace(F.array_join(marked, ""), "^\u0001", ""), "\u0001")
-    # A cut stays after a piece with a vowel if another one follows: from the left, every vowel-less run goes to what comes after it.
-    joined = F.array_join(F.transform(pieces, lambda p: F.concat(p, F.when(p.rlike(VOWELS), "\u0001").otherwise(""))), "")
-    whole = F.regexp_replace(joined, f"\u0001([^\u0001]*)$", "$1")
+
+    def cut(phones: Column) -> Column:
+        starts = begins(F.transform(phones, _level))
+        marked = F.zip_with(phones, starts, lambda p, s: F.concat(F.when(s, "\u0001").otherwise(""), p))
+        pieces = F.split(F.regexp_replace(F.array_join(marked, ""), "^\u0001", ""), "\u0001")
+        # A cut stays after a piece with a vowel if another one follows: from the left, every vowel-less run goes to what comes after it.
+        joined = F.array_join(F.transform(pieces, lambda p: F.concat(p, F.when(p.rlike(VOWELS), "\u0001").otherwise(""))), "")
+        return F.regexp_replace(joined, "\u0001([^\u0001]*)$", "$1")
 
     def dressed(s: Column) -> Column:
         mark = F.when(s.contains("ˌ") | s.contains("`"), "`").when(s.contains("ˈ") | s.contains("'"), "'").otherwise("")
         return F.concat(mark, F.regexp_replace(s, f"[{STRESS}]", ""))
 
-    cut = F.transform(F.split(whole, "\u0001"), dressed)
-    return F.when(ipa.isNotNull(), F.when(whole.rlike(VOWELS), cut).otherwise(F.array().cast("array<string>")))
+    whole = let(F.regexp_extract_all(decomposed(ipa), F.lit(PHONE), F.lit(0)), cut)
+    found = let(whole, lambda w: F.when(w.rlike(VOWELS), F.transform(F.split(w, "\u0001"), dressed)).otherwise(F.array().cast("array<string>")))
+    return F.when(ipa.isNotNull(), found)
+
+
+def rime_distance(a: Column, b: Column) -> Column:
+    """Feature edit distance of two rimes over the longer one's segments, 0 for equal texts and 1 if either has no segment.
+
+    A substitution costs the mean difference of the features (0 to 2), deletion
+    and insertion cost 1. Null if either is null.
+    """
+
+
+    def cost(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d) / F.lit(len(FEATURES))
+
+    def aligned(both: Column) -> Column:
+        u, v = both["u"], both["v"]
+        m = F.size(v)
+
+        def next_row(row: Column, x: Column) -> Column:
+            def cell(new: Column, j: Column) -> Column:
+                left, up, across = F.get(new, j - 1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + cost(x, F.get(v, j - 1))
+                return F.concat(new, F.array(F.least(left, up, across)))
+
+            return F.aggregate(F.sequence(F.lit(1), m), F.array(F.get(row, F.lit(0)) + 1), cell)
+
+        first = F.transform(F.sequence(F.lit(0), m), lambda j: j.cast("double"))
+        found = F.get(F.aggregate(u, first, next_row), m) / F.greatest(F.size(u), m)
+        return F.when((F.size(u) == 0) | (m == 0), F.lit(1.0)).otherwise(found)
+
+    read = lambda x: F.transform(segments(x), features)
+    far = let(F.struct(read(a).alias("u"), read(b).alias("v")), aligned)
+    return F.when(a == b, F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), far)

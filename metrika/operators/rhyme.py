@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrika.functions import ortho, phonology
+from metrika.functions import ortho, segments
+from metrika.sources.scratch import discard, written
 
 from .units import let
 
@@ -60,6 +59,13 @@ def spelling_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def distinct_distances(pairs: DataFrame) -> DataFrame:
+    """(a, b) -> a, b, dist: the feature edit distance, once for each distinct pair."""
+    # Few bytes but much work each: as many parts as a shuffle has.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("a", "b").distinct().repartition(parts, "a", "b").withColumn("dist", segments.rime_distance(F.col("a"), F.col("b")))
+
+
 def rime_distances(pairs: DataFrame, max_dist: float | None = MAX_DISTANCE) -> DataFrame:
     """(w1, w2, r1, r2: words and their rimes as segments) -> adds dist, by features.
 
@@ -71,15 +77,16 @@ def rime_distances(pairs: DataFrame, max_dist: float | None = MAX_DISTANCE) -> D
     able = (F.col("w1") != F.col("w2")) & F.col("r1").isNotNull() & F.col("r2").isNotNull()
     if max_dist == 0:
         return rows.withColumn("dist", F.when(able & (F.col("r1") == F.col("r2")), 0.0)).drop("a", "b")
-    far = phonology.distances(rows.where(able & (F.col("r1") != F.col("r2"))).select("a", "b")).withColumnRenamed("dist", "far")
+    far = distinct_distances(rows.where(able & (F.col("r1") != F.col("r2")))).withColumnRenamed("dist", "far")
     dist = F.when(able & (F.col("r1") == F.col("r2")), 0.0).when(able, F.col("far"))
     out = rows.join(far, ["a", "b"], "left").withColumn("dist", dist).drop("a", "b", "far")
     return out if max_dist is None else out.withColumn("dist", F.when(F.col("dist") <= max_dist, F.col("dist")))
 
 
-def neighbours(ends: DataFrame, window: int = WINDOW) -> DataFrame:
+def neighbours(ends: DataFrame, window: int = WINDOW, by: str = "spelling") -> DataFrame:
     """text_id, i, j, dist of lines at most `window` apart, both ways; equal words and missing rimes give no row.
 
+    Distances by 'spelling' (of base letters) or by 'features' (of segments).
     An equi-join on (text, line): each line is sent to the 2 * window places
     where it is wanted, so no text's lines meet in one task.
     """
@@ -88,46 +95,59 @@ def neighbours(ends: DataFrame, window: int = WINDOW) -> DataFrame:
         "text_id", F.col("line_num").alias("i"), F.col("word").alias("wi"), F.col("rime").alias("ri"),
         F.explode(F.array(*(F.col("line_num") + k for k in offsets))).alias("line_num"),
     )
-    return (
-        sent.join(ends.where("rime is not null"), ["text_id", "line_num"])
-        .where("wi <> word")
-        .select("text_id", "i", F.col("line_num").alias("j"), F.when(F.col("ri") == F.col("rime"), 0.0).otherwise(spelling_distance(F.col("ri"), F.col("rime"))).alias("dist"))
-    )
-
-
-def rhyme_edges(ends: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW) -> DataFrame:
-    """text_id, a, b (a < b): a line and its nearest neighbour, if mutual within max_dist or one-way within half of it."""
-    near = neighbours(ends, window).groupBy("text_id", "i").agg(F.min(F.struct("dist", "j")).alias("m"))
+    both = sent.join(ends.where("rime is not null"), ["text_id", "line_num"]).where("wi <> word")
+    same = F.col("ri") == F.col("rime")
+    if by == "spelling":
+        far = spelling_distance(F.col("ri"), F.col("rime"))
+        return both.select("text_id", "i", F.col("line_num").alias("j"), F.when(same, 0.0).otherwise(far).alias("dist"))
+    if by != "features":
+        raise ValueError(f"unknown distance: {by}")
+    both = both.withColumns({"a": F.least("ri", "rime"), "b": F.greatest("ri", "rime")})
+    return both.join(distinct_distances(both), ["a", "b"]).select("text_id", "i", F.col("line_num").alias("j"), "dist")
+
+
+def _nearest(ends: DataFrame, max_dist: float, window: int, by: str) -> DataFrame:
+    """text_id, i, j, mutual: each line's nearest neighbour (ties to the earlier line), if it links with it."""
+    near = neighbours(ends, window, by).groupBy("text_id", "i").agg(F.min(F.struct("dist", "j")).alias("m"))
     near = near.select("text_id", "i", "m.dist", "m.j")
     back = near.select("text_id", F.col("i").alias("j"), F.col("j").alias("back"))
-    good = near.join(back, ["text_id", "j"], "left").where(
-        (F.col("dist") <= max_dist) & (F.coalesce(F.col("back") == F.col("i"), F.lit(False)) | (F.col("dist") <= max_dist / 2))
-    )
-    return good.select("text_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    rows = near.join(back, ["text_id", "j"], "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("i"), F.lit(False)))
+    return rows.where((F.col("dist") <= max_dist) & (F.col("mutual") | (F.col("dist") <= max_dist / 2))).select("text_id", "i", "j", "mutual")
 
 
-def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each linked line of a text with the first line of its group: least labels move along links and are then followed."""
-    lines, at = np.unique(np.concatenate((pdf.a, pdf.b)), return_inverse=True)
-    left, right = at[: len(pdf)], at[len(pdf) :]
-    label, last = np.arange(len(lines)), None
-    while last is None or (label != last).any():
-        last = label.copy()
-        np.minimum.at(label, left, last[right])
-        np.minimum.at(label, right, last[left])
-        label = label[label]
-    return pd.DataFrame({"text_id": pdf.text_id.iloc[0], "line_num": lines, "root": lines[label]})
+def rhyme_edges(ends: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW, by: str = "spelling") -> DataFrame:
+    """text_id, a, b (a < b): a line and its nearest neighbour, if mutual within max_dist or one-way within half of it."""
+    return _nearest(ends, max_dist, window, by).select("text_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW) -> DataFrame:
-    """text_id, line_num, rhyme_id for every line: 0 without rhyme, else groups from 1 by first appearance."""
+def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW, by: str = "spelling") -> DataFrame:
+    """text_id, line_num, rhyme_id for every line: 0 without rhyme, else groups from 1 by first appearance.
+
+    Every line links with one other at most, and such links end in a mutual pair
+    or in a line without a link of its own (ties go to the earlier line, so there
+    are no longer circles). So a group is where its lines lead to: pointers are
+    doubled in joins by line until none moves, whatever the length of a text.
+    """
     ends = line_ends(lines)
-    edges = rhyme_edges(ends, max_dist, window)
-    kind = dict(edges.dtypes)
-    roots = edges.groupBy("text_id").applyInPandas(_groups, f"text_id {kind['text_id']}, line_num int, root int")
-    order = Window.partitionBy("text_id").orderBy("root")
-    roots = roots.withColumn("rhyme_id", F.dense_rank().over(order))
-    return ends.select("text_id", "line_num").join(roots, ["text_id", "line_num"], "left").select(
+    near = _nearest(ends, max_dist, window, by)
+    # The earlier line of a mutual pair points to itself, as does a line that others lead to and that leads nowhere.
+    out = near.select("text_id", "i", F.when(F.col("mutual") & (F.col("i") < F.col("j")), F.col("i")).otherwise(F.col("j")).alias("to"))
+    at = written(out, "rhymes")
+    while True:
+        on = at.select("text_id", F.col("i").alias("to"), F.col("to").alias("next"))
+        last, at = at, written(
+            at.join(on, ["text_id", "to"], "left").select("text_id", "i", F.coalesce("next", "to").alias("next"), "to"), "rhymes"
+        )
+        moved = at.where("next <> to").limit(1).count()
+        discard(last)
+        at = at.select("text_id", "i", F.col("next").alias("to"))
+        if not moved:
+            break
+    members = at.select("text_id", F.col("i").alias("line_num"), F.col("to").alias("end")).unionByName(at.select("text_id", F.col("to").alias("line_num"), F.col("to").alias("end"))).distinct()
+    first = members.groupBy("text_id", "end").agg(F.min("line_num").alias("root"))
+    first = first.withColumn("rhyme_id", F.row_number().over(Window.partitionBy("text_id").orderBy("root")))
+    ids = members.join(first, ["text_id", "end"]).select("text_id", "line_num", "rhyme_id")
+    return ends.select("text_id", "line_num").join(ids, ["text_id", "line_num"], "left").select(
         "text_id", "line_num", F.coalesce("rhyme_id", F.lit(0)).alias("rhyme_id")
     )
 
