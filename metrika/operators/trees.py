@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrika.sources.scratch import discard, written
+
 # Tags of content words and common nouns.
 CONTENT_UPOS = ["NOUN", "VERB", "ADJ", "ADV", "PROPN"]
 NOUN_XPOS = ["NN", "NNS", "NNP", "NNPS"]
@@ -96,52 +97,73 @@ def prominence(rows: DataFrame, value: str, by: list[str], order: str) -> DataFr
     return rows.withColumn("strength", F.when(F.col("peak"), 1).when(F.col("valley"), -1).otherwise(0))
 
 
+def _doubled(state: DataFrame, rounds: int, merge) -> DataFrame:
+    """(keys, node, up, ...) with every pointer doubled until it leaves the tree; `merge` tells what a node takes from where it points and from who points to it.
+
+    Written in each round, so a tree of any depth takes as many joins as its
+    depth has binary digits. Nodes that still point somewhere after `rounds` stand
+    in a circle or lead into one and are left out.
+    """
+    for _ in range(rounds):
+        if not state.where("up is not null").take(1):
+            break
+        last, state = state, written(merge(state), "tree")
+        discard(last)
+    return state.where("up is null")
+
+
+_NODE = ["text_id", "sent_num", "node"]
+
+
 def tree_stress(nodes: DataFrame) -> DataFrame:
     """Constituency nodes (text_id, sent_num, node, parent, label, word_num, lstress) -> adds pstress and total to words.
 
     Within a phrase the rightmost stressed daughter keeps its prominence and the
     others lose one; in a noun phrase that ends in nouns the first of them does.
-    `total` is a word's lexical stress plus the sum of losses on its path. An
-    Arrow function per sentence.
+    `total` is a word's lexical stress plus the sum of losses on its path. A
+    daughter is stressed if a word below it is (lstress over -1; null counts as
+    not stressed). Nodes whose path runs in a circle are left out; a parent that
+    is not there is the root.
     """
-
-    def sentence(pdf: pd.DataFrame) -> pd.DataFrame:
-        children: dict[int, list[int]] = {}
-        info = pdf.set_index("node").to_dict("index")
-        for node in sorted(info):
-            children.setdefault(info[node]["parent"], []).append(node)
-        loss = dict.fromkeys(info, 0)
-
-        def stressed(node: int) -> bool:
-            below = children.get(node, [])
-            return any(map(stressed, below)) if below else info[node]["lstress"] > -1
-
-        for node, below in children.items():
-            if len(below) < 2 or node not in info:
-                continue
-            tail = []
-            for c in reversed(below):
-                if not str(info[c]["label"]).startswith("NN"):
-                    break
-                tail.insert(0, c)
-            able = [c for c in below if stressed(c)]
-            head = tail[0] if str(info[node]["label"]) == "NP" and len(tail) > 1 else (able[-1] if able else below[-1])
-            for c in below:
-                loss[c] = 0 if c == head else -1
-        out = []
-        for node, x in info.items():
-            if children.get(node):
-                continue
-            total, at = float(x["lstress"]), node
-            while at in info:
-                total += loss[at]
-                at = info[at]["parent"]
-            out.append((pdf.text_id.iloc[0], int(pdf.sent_num.iloc[0]), int(x["word_num"]), float(x["lstress"]), float(loss[node]), total))
-        return pd.DataFrame(out, columns=["text_id", "sent_num", "word_num", "lstress", "pstress", "total"])
-
-    kind = dict(nodes.dtypes)["text_id"]
-    schema = f"text_id {kind}, sent_num int, word_num int, lstress double, pstress double, total double"
-    return nodes.groupBy("text_id", "sent_num").applyInPandas(sentence, schema)
+    keys = _NODE[:2]
+    most = nodes.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds = int(most).bit_length() + 1
+    inner = nodes.select(*keys, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    there = nodes.select(*keys, F.col("node").alias("parent"), F.col("node").alias("up"), F.col("label").alias("above"))
+    rows = nodes.join(inner, _NODE, "left").join(there, [*keys, "parent"], "left")
+    leaf = F.col("inner").isNull()
+    rows = written(rows.select(*_NODE, "up", "above", "label", "word_num", F.col("lstress").cast("double").alias("lstress"), leaf.alias("leaf")), "nodes")
+
+    # Whether a stressed word stands below a node: what the nodes that point to it know.
+    def gathered(state: DataFrame) -> DataFrame:
+        below = state.where("up is not null").groupBy(*keys, F.col("up").alias("node")).agg(F.max("has").alias("below"))
+        further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
+        out = state.join(further, [*keys, "up"], "left").join(below, _NODE, "left")
+        return out.select(*_NODE, F.col("next").alias("up"), (F.col("has") | F.coalesce("below", F.lit(False))).alias("has"))
+
+    start = rows.select(*_NODE, "up", (F.col("leaf") & F.coalesce(F.col("lstress") > -1, F.lit(False))).alias("has"))
+    known = _doubled(written(start, "tree"), rounds, gathered).select(*_NODE, "has")
+
+    daughters = rows.join(known, _NODE).where("up is not null").select(*keys, "up", "above", "node", F.coalesce(F.col("label").startswith("NN"), F.lit(False)).alias("noun"), "has")
+    family = daughters.groupBy(*keys, "up").agg(F.first("above").alias("above"), F.array_sort(F.collect_list(F.struct("node", "noun", "has"))).alias("d"))
+    last = lambda test: F.coalesce(F.array_max(F.transform("d", lambda x, k: F.when(test(x), k).otherwise(-1))), F.lit(-1))
+    other, able = last(lambda x: ~x["noun"]), last(lambda x: x["has"])
+    nouns = F.coalesce(F.col("above") == "NP", F.lit(False)) & (F.size("d") - 1 - other > 1)
+    at = F.when(nouns, other + 1).when(able >= 0, able).otherwise(F.size("d") - 1)
+    lost = family.where(F.size("d") > 1).withColumn("head", F.get("d", at)["node"]).select(*keys, "head", F.explode("d").alias("x"))
+    lost = lost.select(*keys, F.col("x.node").alias("node"), F.when(F.col("x.node") == F.col("head"), 0).otherwise(-1).alias("loss"))
+    loss = written(rows.join(lost, _NODE, "left").select(*_NODE, "up", F.coalesce("loss", F.lit(0)).alias("loss")), "loss")
+
+    def added(state: DataFrame) -> DataFrame:
+        further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
+        out = state.join(further, [*keys, "up"], "left")
+        return out.select(*_NODE, F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"))
+
+    sums = _doubled(written(loss.withColumnRenamed("loss", "sum"), "tree"), rounds, added).select(*_NODE, "sum")
+    words = rows.where("leaf").join(loss.select(*_NODE, "loss"), _NODE).join(sums, _NODE)
+    return words.select(
+        *keys, F.col("word_num").cast("int").alias("word_num"), "lstress", F.col("loss").cast("double").alias("pstress"), (F.col("lstress") + F.col("sum")).alias("total")
+    )
 
 
 def sentence_grid(words: DataFrame) -> DataFrame:

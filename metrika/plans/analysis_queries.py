@@ -259,8 +259,33 @@ def lexical_stress(spark, sf_dir):
     )
 
 
+_TREE = f"""{_DEPS},
+nod AS (SELECT text_id, sent_num, word_num AS node, head AS parent, CASE WHEN pos = 'NOUN' THEN 'NP' ELSE 'VP' END AS label, CAST(NULL AS INTEGER) AS word_num, 0.0 AS lstress FROM deps
+  UNION ALL SELECT text_id, sent_num, 1000000 + word_num, word_num, xpos, word_num, CASE WHEN xpos IN {S.in_list(trees.UNSTRESSED_TAGS)} THEN -1.0 WHEN xpos IN {S.in_list(trees.AMBIGUOUS_TAGS)} THEN -0.5 ELSE 0.0 END FROM deps),
+up(text_id, sent_num, node) AS (SELECT text_id, sent_num, node FROM nod WHERE word_num IS NOT NULL AND lstress > -1
+  UNION SELECT n.text_id, n.sent_num, n.parent FROM up JOIN nod n USING (text_id, sent_num, node)),
+kids AS (SELECT n.*, EXISTS (SELECT 1 FROM up u WHERE u.text_id = n.text_id AND u.sent_num = n.sent_num AND u.node = n.node) AS has, p.label AS above,
+  label_noun FROM (SELECT *, label LIKE 'NN%' AS label_noun FROM nod) n JOIN (SELECT text_id, sent_num, node AS parent, label FROM nod) p USING (text_id, sent_num, parent)),
+fam AS (SELECT text_id, sent_num, parent, count(*) AS size, max(above) AS above, max(node) AS final, max(CASE WHEN has THEN node END) AS able, COALESCE(max(CASE WHEN NOT label_noun THEN node END), -1) AS other FROM kids GROUP BY ALL),
+tail AS (SELECT f.*, (SELECT count(*) FROM kids k WHERE k.text_id = f.text_id AND k.sent_num = f.sent_num AND k.parent = f.parent AND k.node > f.other) AS nouns,
+  (SELECT min(node) FROM kids k WHERE k.text_id = f.text_id AND k.sent_num = f.sent_num AND k.parent = f.parent AND k.node > f.other) AS noun FROM fam f),
+los AS (SELECT k.text_id, k.sent_num, k.node, CASE WHEN size > 1 AND k.node <> CASE WHEN t.above = 'NP' AND nouns > 1 THEN noun ELSE COALESCE(able, final) END THEN -1 ELSE 0 END AS loss
+  FROM kids k JOIN tail t USING (text_id, sent_num, parent)),
+climb(text_id, sent_num, word_num, lstress, own, node_at, total) AS (SELECT n.text_id, n.sent_num, n.word_num, n.lstress, COALESCE(loss, 0), n.parent, n.lstress + COALESCE(loss, 0)
+    FROM nod n LEFT JOIN los USING (text_id, sent_num, node) WHERE n.word_num IS NOT NULL
+  UNION ALL SELECT c.text_id, c.sent_num, c.word_num, c.lstress, c.own, n.parent, c.total + COALESCE(l.loss, 0) FROM climb c JOIN nod n ON n.text_id = c.text_id AND n.sent_num = c.sent_num AND n.node = c.node_at
+    LEFT JOIN los l ON l.text_id = n.text_id AND l.sent_num = n.sent_num AND l.node = n.node),
+done AS (SELECT c.* FROM climb c WHERE NOT EXISTS (SELECT 1 FROM nod n WHERE n.text_id = c.text_id AND n.sent_num = c.sent_num AND n.node = c.node_at))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_TREE} SELECT text_id, sent_num, CAST(word_num AS INTEGER) AS word_num, CAST(lstress AS DOUBLE) AS lstress, CAST(own AS DOUBLE) AS pstress, CAST(total AS DOUBLE) AS total,
+    CAST(total - min(total) OVER w + 1 AS DOUBLE) AS grid, CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS INTEGER) AS grid_i,
+    round(CASE WHEN max(total) OVER w > min(total) OVER w THEN CAST(total - min(total) OVER w AS DOUBLE) / CAST(max(total) OVER w - min(total) OVER w AS DOUBLE) ELSE 0.0 END, 6) AS norm_total,
+    round(CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS DOUBLE) / count(*) OVER w, 6) AS relative_index FROM done WINDOW w AS (PARTITION BY text_id, sent_num)"""
+)
 def tree_stress(spark, sf_dir):
-    """stress over the derived trees, as sentence grids with normalised totals; tests hold small trees by hand."""
+    """stress over the derived trees, as sentence grids with normalised totals."""
     deps = dependency_rows(spark, sf_dir)
     leaf = F.lit(1_000_000) + F.col("word_num")
     phrases = deps.select(
@@ -275,9 +300,6 @@ def tree_stress(spark, sf_dir):
     return words.select("text_id", "sent_num", "word_num", "lstress", "pstress", "total", "grid", "grid_i", "norm_total", "relative_index")
 
 
-QUERIES["tree_stress"] = tree_stress
-
-
 @query(
     """SELECT CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN NOT regexp_matches(text, '\\p{L}') THEN 'no words' ELSE 'ok' END AS status, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1"""
 )
