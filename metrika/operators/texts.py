@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrika.sources import corpus
+from metrika.sources import corpus, scratch
 
 from . import constraints as C
 from . import parse, scansion, tokens, units
@@ -141,30 +141,72 @@ def combined(lines: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
     return pairs.join(found, ["r", "r2"]).drop("r", "r2")
 
 
-def parse_corpus(rows: DataFrame, path: str, meter: parse.Meter = parse.DEFAULT, mode: str = "best", on_error: str = "log") -> dict[str, int]:
+def parse_corpus(
+    rows: DataFrame, path: str, meter: parse.Meter = parse.DEFAULT, mode: str = "best", on_error: str = "log", most_errors: int = 100
+) -> dict[str, int]:
     """Parse the items (id, text) that `path` does not have yet, save their parses there, and count what happened.
 
-    Returns n_done, n_skipped (done before) and n_failed (empty or without a
-    word; kept with their status, so that they are not tried again). With
-    on_error='raise' a bad item raises and nothing of the run counts. A run
-    writes its parses to a folder of its own and then, in one write, the status
-    of its items with that folder's name: a run that dies leaves nothing that
-    `load_parses` or a later run would see.
+    Returns n_done, n_skipped (done before) and n_failed (empty, without a word,
+    or raising an error when read or parsed; kept with their status, so that they
+    are not tried again). An item that raises doesn't stop the others: the items
+    are halved by a hash of their ids until it stands alone, and it goes to the
+    side table `errors` with its message. More than `most_errors` of them are no
+    accident and raise, as any bad item does with on_error='raise'; then nothing
+    of the run counts. Each part writes its parses to a folder of its own and
+    then, in one write, the status of its items with that folder's name: a run
+    that dies leaves nothing that `load_parses` or a later run would see.
     """
     spark = rows.sparkSession
     found = corpus.items(rows, rows.columns[0])
     before = statuses(spark, path)
     left = found if before is None else corpus.pending(found, before)
-    checked = corpus.with_status(left, on_error)
-    batch = uuid.uuid4().hex
+    errors: list[tuple[str, str]] = []
+    batches: list[str] = []
+
+    def work(items: DataFrame) -> None:
+        batch = uuid.uuid4().hex
+        checked = corpus.with_status(items)
+        good = checked.where("status = 'ok'").select(F.col("text_id").alias("doc_id"), "text")
+        parse_texts(good, meter, mode).write.parquet(f"{path}/parses/batch={batch}")
+        checked.select("text_id", "status", F.lit(batch).alias("batch")).write.parquet(f"{path}/tried/{batch}")
+        batches.append(batch)
+
+    def isolated(items: DataFrame, depth: int) -> None:
+        try:
+            work(items)
+        except Exception as error:
+            alone = items.select("text_id").distinct().limit(2).collect()
+            if len(alone) < 2:
+                errors.extend((r.text_id, str(error).splitlines()[0][:500]) for r in alone)
+                if len(errors) > most_errors:
+                    raise
+                return
+            side = F.shiftright(F.xxhash64("text_id"), depth).bitwiseAND(F.lit(1))
+            for half in (0, 1):
+                isolated(items.where(side == half), depth + 1)
+
     if on_error == "raise":
-        checked.write.format("noop").mode("overwrite").save()
-    good = checked.where("status = 'ok'").select(F.col("text_id").alias("doc_id"), "text")
-    parse_texts(good, meter, mode).write.parquet(f"{path}/parses/batch={batch}")
-    checked.select("text_id", "status", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{path}/status")
-    now = statuses(spark, path).where(F.col("batch") == batch)
-    done, failed = (now.where(test).count() for test in ("status = 'ok'", "status <> 'ok'"))
-    return {"n_done": done, "n_skipped": found.count() - done - failed, "n_failed": failed}
+        corpus.with_status(left, on_error).write.format("noop").mode("overwrite").save()
+        work(left)
+    else:
+        isolated(left, 0)
+    batch = uuid.uuid4().hex
+    kind = dict(found.dtypes)["text_id"]
+    failed = spark.createDataFrame(errors, f"text_id {kind}, error string")
+    failed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/errors")
+    now = failed.select("text_id", F.lit("error").alias("status"), F.lit(batch).alias("batch"))
+    if batches:
+        now = now.unionByName(spark.read.parquet(*(f"{path}/tried/{b}" for b in batches)))
+    now.write.mode("append").parquet(f"{path}/status")
+    scratch.delete(spark, f"{path}/tried")
+    now = statuses(spark, path).where(F.col("batch").isin([*batches, batch]))
+    done, bad = (now.where(test).count() for test in ("status = 'ok'", "status <> 'ok'"))
+    return {"n_done": done, "n_skipped": found.select("text_id").count() - done - bad, "n_failed": bad}
+
+
+def errors(spark, path: str) -> DataFrame:
+    """text_id, error of the items below `path` that raised one."""
+    return spark.read.parquet(f"{path}/errors").select("text_id", "error")
 
 
 def statuses(spark, path: str) -> DataFrame | None:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from metrika.functions import ortho
 from metrika.operators import constraints as C
 from metrika.operators import parse, products, texts, tokens, trees, units
+from metrika.sources import scratch
 
 from . import sql as S
 from .analysis_queries import _DEPS, dependency_rows
@@ -134,10 +133,11 @@ def clause_products(spark, sf_dir):
 )
 def bulk_parse(spark, sf_dir):
     """A bulk run over the labelled texts, then one over all that resumes; what each has done, skipped and refused."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/metrika-bulk-{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, "bulk")
     rows = docs(spark, sf_dir).select("doc_id", "text")
     first = rows.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     found = [(k, *texts.parse_corpus(part, path).values()) for k, part in enumerate((first, rows), 1)]
+    scratch.delete(spark, path)
     return spark.createDataFrame(found, "run int, n_done long, n_skipped long, n_failed long")
 
 

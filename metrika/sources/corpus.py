@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import posixpath
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def from_strings(spark: SparkSession, texts: list[str], lang: str | None = None) -> DataFrame:
     """text_id, text, lang from strings; an error if there are none."""
@@ -85,9 +86,9 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def round_trip(rows: DataFrame) -> DataFrame:
-    """Rows saved in a new folder of the warehouse and read back."""
+    """Rows saved in a new folder of the shared scratch folder and read back."""
     spark = rows.sparkSession
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/metrika-{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, "round-trip")
     save(rows, path)
     return load(spark, path)[0]
 

@@ -122,6 +122,17 @@ def test_bulk_runs_resume(spark, tmp_path):
     assert texts.statuses(spark, path).count() == 4 and texts.statuses(spark, str(tmp_path / "none")) is None
 
 
+def test_one_poisoned_item_is_isolated(spark, tmp_path):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.when(F.col("id").isin(17, 40), F.raise_error(F.lit("poison"))).otherwise(F.lit("the cat sat on the mat")).alias("text"))
+    path = str(tmp_path / "out")
+    assert texts.parse_corpus(rows, path) == {"n_done": 58, "n_skipped": 0, "n_failed": 2}
+    assert {r.text_id for r in texts.errors(spark, path).collect()} == {"17", "40"} and all("poison" in r.error for r in texts.errors(spark, path).collect())
+    assert texts.load_parses(spark, path).select("text_id").distinct().count() == 58
+    assert texts.parse_corpus(rows, path) == {"n_done": 0, "n_skipped": 60, "n_failed": 0}
+    with pytest.raises(Exception, match="poison"):
+        texts.parse_corpus(rows.where("id = '17' or id = '40'"), str(tmp_path / "other"), most_errors=1)
+
+
 def test_all_combinations_of_forms(spark):
     """Twelve ambiguous words give 4,096 variants; small units equal an enumeration."""
     many = " ".join(["all"] * 6 + ["cat"] + ["will"] * 6)
