@@ -107,6 +107,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_vector_codes": op13_vector_codes,
 }
 
+def _assigned(k: int) -> str:
+    """SQL: every part with the nearest entry of codebooks b<k> and its squared distance."""
+    far = "list_sum(list_transform(range(1, len(x.c) + 1), lambda i: (x.c[i] - b.c[i]) * (x.c[i] - b.c[i])))"
+    return f"a{k} AS MATERIALIZED (SELECT x.vec_id, x.label, x.p, any_value(x.c) AS c, min({{'d': CAST({far} AS BIGINT), 'e': b.e}}) AS m FROM part x JOIN b{k} b USING (p) GROUP BY x.vec_id, x.label, x.p)"
+
+
+def _moved(k: int) -> str:
+    """SQL: codebooks b<k>, the entries of the round before moved to the floors of their parts' means."""
+    return f"""u{k} AS (SELECT p, e, list(x ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+  FROM (SELECT p, m.e AS e, unnest(c) AS x, unnest(range(0, len(c))) AS i FROM a{k - 1}) GROUP BY p, e, i) GROUP BY p, e),
+b{k} AS (SELECT b.p, b.e, COALESCE(u{k}.c, b.c) AS c FROM b{k - 1} b LEFT JOIN u{k} ON u{k}.p = b.p AND u{k}.e = b.e)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_tool_calls": """
 WITH t AS (SELECT conv_id, turn, role, text, COALESCE(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
@@ -168,4 +181,24 @@ bag AS (SELECT w.doc_id, w.item_id, w.m, w.pos, sum(w.n) AS len, sum(least(w.n,
 hit AS (SELECT doc_id, item_id, round(max(both_n / CAST(len + m - both_n AS DOUBLE)), 6) AS similarity FROM bag WHERE both_n / CAST(len + m - both_n AS DOUBLE) >= 0.8 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS n_items FROM hit)
 SELECT d.doc_id, r.doc_id IS NOT NULL AS contaminated, COALESCE(r.n_items, 0) AS n_items, r.item_id, r.similarity FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rn = 1""",
+    "op11_embedding_dedup": """
+WITH RECURSIVE s AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(x, y) AS (SELECT x, x FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT e.vec_id, COALESCE(n, 0) AS n_links, COALESCE(component_id, e.vec_id) AS component_id, COALESCE(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least ON least.x = e.vec_id LEFT JOIN degree ON degree.x = e.vec_id""",
+    "op13_vector_codes": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS c FROM (SELECT *, unnest(range(0, 16)) AS p FROM kept)),
+b0 AS (SELECT p, e, c FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_assigned(0)}, {_moved(1)}, {_assigned(1)}, {_moved(2)}, {_assigned(2)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book""",
 }
