@@ -31,7 +31,8 @@ from .decontam import let
 
 #: Tables of mentions and of texts with mentions are broadcast up to so many rows and 64 MB.
 BROADCAST_ROWS = 200_000
-ATTEMPTS = 40
+#: So many draws in a row that leave as many entities without a surrogate as before end a run with an error.
+PATIENCE = 40
 
 # Titles by the gender they tell.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
@@ -53,6 +54,9 @@ GIVEN_FEMALE = (
 # Words that introduce a name, and capitalised words that are none.
 CONTEXTS = ["my name is ", "name: ", "contact ", "signed, ", "regards, ", "dear "]
 NO_NAMES = "Sir|Madam|All|Team|Friends|Customer|Sirs|Us|The|Our|Your|Support"
+# Particles of family names, and words that tell a secret.
+PARTICLES = "van von der den dem de del della di da dos du la le ten ter zu zum bin al af av".split()
+TELLING = "token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|bearer"
 # Syllables and endings of made-up names by script.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo".split(),
@@ -77,22 +81,29 @@ def _alternatives(words: list[str]) -> str:
 
 _GIVEN = _alternatives([*GIVEN_MALE, *GIVEN_FEMALE])
 _NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{L}+)*"
+_BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}) )"
+#: Further words of a name, however many, with the particles before them; possessive, so that no length of name needs stack.
+_FURTHER = rf"(?: {_BEFORE}*+{_NAME})"
 _CONTEXTS = "|".join(f"(?i:{c})" for c in CONTEXTS)
 # Cheap tests of the neighbouring characters come first, so that most places of a text are passed by at once.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "key": r"A(?<![A-Za-z0-9]A)KIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=[^A-Za-z0-9\n])(?=[A-Za-z+/_-]*\d)(?=[A-Za-z0-9+/_-]{6})(?<=(?i:token|secret|password|passwd|api_key|apikey)[^A-Za-z0-9\n]{1,10})[A-Za-z0-9+/_-]++",
+    # After a colon or an equals sign whatever stands there; else what has a digit and six characters.
+    "secret": rf"(?<=[\s\"'=:>])(?=[^\s\"',;:=<>(){{}}\[\]])(?<=[:=][ \"'=>]{{0,12}}|(?i:bearer|basic) )(?!(?i:bearer|basic) )"
+    rf"(?<=(?i:{TELLING})[ \"']{{0,3}}[:=][ \"'=>]{{0,12}}|(?i:{TELLING}|authorization)[ \"']{{0,3}}[:=][ \"'=>]{{0,12}}(?i:bearer|basic) )"
+    r"(?=[^\s\"',;<>(){}\[\]]*[\p{L}\p{N}])[^\s\"',;<>(){}\[\]]+(?<!\.)"
+    rf"|(?<=[^A-Za-z0-9\n])(?=[A-Za-z+/_.-]*\d)(?=[A-Za-z0-9+/_.-]{{6}})(?<=(?i:{TELLING})[^A-Za-z0-9\n]{{1,10}})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+",
     "iban": r"[A-Z](?<![A-Za-z0-9].)[A-Z]\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?=[\d+(])(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d(?:[ ./()-]{0,2}\d){7,14})(?!\d)",
     "card": r"(?=\d)(?<![\d+])(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}-])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN})(?:[-'’]\p{{L}}+)*(?: \p{{Lu}}\.)?(?: {_NAME}){{1,2}}(?!\p{{L}})|(?<=(?:{_CONTEXTS}))(?!(?:{NO_NAMES})\b){_NAME}(?: {_NAME}){{0,2}})",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}-])(?:(?:{_TITLES})\.? {_BEFORE}*+{_NAME}{_FURTHER}*+|(?:{_GIVEN})(?:[-'’]\p{{L}}+)*(?: \p{{Lu}}\.)*+{_FURTHER}++|(?<=(?:{_CONTEXTS}))(?!(?:{NO_NAMES})\b){_NAME}{_FURTHER}*+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without a digit, an at sign, an access key or a name holds no entity.
-HINT, NAMES = "[0-9@]", f"AKIA|{KINDS['name']}"
+#: A text without a digit, an at sign, an access key, a word that tells a secret or a name holds no entity.
+HINT, NAMES = "[0-9@]", rf"AKIA|(?i:{TELLING}|authorization)[ \"']{{0,3}}[:=]|{KINDS['name']}"
 # Country calling codes of one and two digits; all others have three.
 CALLING = (
     "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 "
@@ -121,10 +132,12 @@ def entities(kind: Column, mention: Column) -> Column:
 
     The last word of a name of several words, or after a title, is the family
     name ('family'), others are given names ('given'); both have the gender that
-    the name itself or the title tells ('n' if neither does). Initials are no entity.
+    the name itself or the title tells ('n' if neither does). Initials and particles
+    are no entity. A number after '+' is one with the same digits after '+' only,
+    but for country code 1, which national numbers of ten digits leave out.
     """
     digits = F.regexp_replace(mention, r"\D", "")
-    national = (F.length(digits) == 10) | ((F.length(digits) == 11) & digits.startswith("1"))
+    national = (~mention.startswith("+") & (F.length(digits) == 10)) | ((F.length(digits) == 11) & digits.startswith("1"))
     canon = (
         F.when(kind == "email", F.lower(mention))
         .when((kind == "phone") & national, F.right(digits, F.lit(10)))
@@ -143,6 +156,7 @@ def entities(kind: Column, mention: Column) -> Column:
 
         def word(c: Column, i: Column) -> Column:
             last = (i == F.size(w) - 1) & ((F.size(w) > 1) | titled | known(c).isNull())
+            c = _bare(c)
             return one(F.when(last, "family").otherwise("given"), F.lower(c), F.when(last, _family_gender(c, told)).otherwise(F.coalesce(known(c), told)))
 
         return F.transform(w, word)
@@ -151,9 +165,14 @@ def entities(kind: Column, mention: Column) -> Column:
 
 
 def _words(mention: Column) -> Column:
-    """The words of a name without title and initials."""
+    """The words of a name without title and initials, each with the particles before it."""
     bare = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
-    return F.filter(F.split(bare, " "), lambda w: ~w.rlike(r"^\p{Lu}\.$"))
+    return F.filter(F.split(bare, rf"(?<!(?:^| )(?:{'|'.join(PARTICLES)})) "), lambda w: ~w.rlike(r"^\p{Lu}\.$"))
+
+
+def _bare(word: Column) -> Column:
+    """A word of a name without particles."""
+    return F.regexp_replace(word, rf"^{_BEFORE}+", "")
 
 
 def _family_gender(word: Column, told: Column) -> Column:
@@ -191,7 +210,7 @@ def _pick(of: str, at: Column) -> Column:
 
 
 def _characters(canon: Column, stream: Column, hexadecimal: Column) -> Column:
-    """Digits, small and capital letters replaced by their own kind, everything else kept."""
+    """Digits, small and capital letters replaced by ASCII ones of their own kind, everything else kept."""
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
@@ -199,7 +218,9 @@ def _characters(canon: Column, stream: Column, hexadecimal: Column) -> Column:
             F.when(c.rlike("[1-9]"), _pick("123456789", b))
             .when(c == "0", _pick("0123456789", b))
             .when(c.rlike("[a-z]"), F.when(hexadecimal, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b)))
-            .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b))
+            .when(c.rlike(r"\p{N}"), _pick("123456789", b))
             .otherwise(c)
         )
 
@@ -258,6 +279,8 @@ def surrogate(key: bytes, kind: Column, canon: Column, gender: Column, attempt:
         email = F.concat(plain(F.regexp_replace(canon, r"\.[^.]+$", "")), top)
         ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
         body = plain(canon)
+        # Short secrets may be more than their format has room for: later attempts are longer.
+        grown = F.concat(body, F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 4).cast("int") + 1), lambda i: F.when(i * 4 <= attempt, _pick("abcdefghijklmnopqrstuvwxyz", _byte(stream, F.pmod(i, F.lit(64))))).otherwise("")), ""))
         after = lambda n: F.substring(body, n + 1, F.length(body))
         head = F.substring(body, F.lit(1), F.length(body) - 1)
         card = F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0")))) % 10).cast("string"))
@@ -273,6 +296,7 @@ def surrogate(key: bytes, kind: Column, canon: Column, gender: Column, attempt:
             .when(kind == "iban", iban)
             .when(kind == "phone", phone)
             .when(kind.isin("given", "family"), _name(canon, gender, stream, attempt))
+            .when(kind == "secret", grown)
             .otherwise(body)
         )
 
@@ -290,14 +314,15 @@ def formatted(kind: Column, mention: Column, cores: Column) -> Column:
     digits = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike(r"\d") & (at(i) >= 1), F.substring(plain, at(i), F.lit(1))).otherwise(c)), ""
     )
-    cased = F.array_join(F.zip_with(chars, F.split(core, ""), lambda c, d: F.when(c.rlike("[A-Z]"), F.upper(d)).otherwise(d)), "")
+    cased = F.array_join(F.zip_with(chars, F.split(core, ""), lambda c, d: F.when(c.rlike(r"\p{Lu}"), F.upper(d)).otherwise(d)), "")
     letters = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(core, letters(i) + 1, F.lit(1)))), "")
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
+    ahead_of = lambda w: F.regexp_extract(w, rf"^{_BEFORE}+", 0)
     capital = lambda w, c: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(c)).otherwise(
         F.array_join(F.transform(F.split(c, "-"), lambda x: F.initcap(x)), "-")
     )
-    name = F.concat(title, F.array_join(F.zip_with(_words(mention), cores, capital), " "))
+    name = F.concat(title, F.array_join(F.zip_with(_words(mention), cores, lambda w, c: F.concat(ahead_of(w), capital(_bare(w), c))), " "))
     return (
         F.when(kind == "email", cased)
         .when(kind.isin("phone", "card", "ssn"), digits)
@@ -312,8 +337,9 @@ def entity_map(mentions: DataFrame, key: str) -> DataFrame:
     """(mention) -> (mention, kind, surrogate), one row per distinct mention; kind 'none' for what is no entity after all.
 
     Entities of one kind have distinct surrogates, none of which is an entity
-    that was found; a few draws settle that, and after ATTEMPTS an error tells
-    that a format is too small for its entities. A name with titles of both
+    that was found; a few draws settle that. Draws go on while they settle
+    entities; after PATIENCE that settle none an error tells that a format is too
+    small for its entities. A name with titles of both
     genders has neither.
     """
     secret = key.encode()
@@ -329,7 +355,8 @@ def entity_map(mentions: DataFrame, key: str) -> DataFrame:
     drawn = drawn.select("kind", "canon", F.when(F.size("g") == 1, F.element_at("g", 1)).otherwise("n").alias("gender"), F.lit(0).alias("attempt"))
     fresh_core = surrogate(secret, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"))
     drawn = written(drawn.withColumn("core", fresh_core), "drawn")
-    for _ in range(ATTEMPTS):
+    least, idle = None, 0
+    while True:
         first = drawn.groupBy("kind", "core").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1")
         found = drawn.select("kind", F.col("canon").alias("core"), F.lit(True).alias("found"))
         judged = (
@@ -338,15 +365,17 @@ def entity_map(mentions: DataFrame, key: str) -> DataFrame:
             .withColumn("bad", (F.coalesce("first", "canon") != F.col("canon")) | F.col("found").isNotNull())
         )
         judged = written(judged.select("kind", "canon", "gender", "attempt", "core", "bad"), "judged")
-        if not judged.where("bad").take(1):
+        bad = judged.where("bad").count()
+        if not bad:
             discard(judged)
             break
+        least, idle = (bad, 0) if least is None or bad < least else (least, idle + 1)
+        if idle > PATIENCE:
+            raise RuntimeError("no distinct surrogates for some kind of entity")
         again = judged.withColumn("attempt", F.when(F.col("bad"), F.col("attempt") + 1).otherwise(F.col("attempt")))
         old = drawn
         drawn = written(again.withColumn("core", F.when(F.col("bad"), fresh_core).otherwise(F.col("core"))).drop("bad"), "drawn")
         discard(old, judged)
-    else:
-        raise RuntimeError("no distinct surrogates for some kind of entity")
     whole = parts.join(drawn.select("kind", "canon", "core"), ["kind", "canon"], "left").groupBy("mention", "shape").agg(
         F.array_sort(F.collect_list(F.struct("at", "core"))).alias("c")
     )
