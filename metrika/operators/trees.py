@@ -219,3 +219,41 @@ def clause_starts(deps: DataFrame) -> DataFrame:
     begins = F.col("dep").isin(CLAUSE_DEPS) & (F.row_number().over(Window.partitionBy("text_id", "sent_num").orderBy("word_num")) > 1)
     w = Window.partitionBy("text_id", "sent_num").orderBy("word_num").rowsBetween(Window.unboundedPreceding, 0)
     return deps.withColumn("begins__", begins.cast("int")).withColumn("clause", (1 + F.sum("begins__").over(w)).cast("int")).drop("begins__")
+
+
+def statistics(nodes: DataFrame) -> DataFrame:
+    """Constituency nodes with n_syll -> a row a word with its stress under three disambiguations, as in `tree_stress`.
+
+    m1 takes ambiguous words (lstress -0.5) as stressed, m2b as unstressed, m2a
+    as unstressed if they have one syllable; `mean` is theirs. norm_<m> is scaled
+    between the least and greatest of the sentence (null where all are equal or
+    a word has no stress). word_index counts from 1 and relative_index is its
+    part of the sentence; lexstress is yes, ambig or no; ambig_words and
+    ambig_monosyll count the sentence's ambiguous words; contour writes the means
+    in order. A null n_syll counts as several syllables.
+    """
+    keys = _NODE[:2]
+    how = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for k, m in enumerate(("m1", "m2a", "m2b")))))
+    mono = F.coalesce(F.col("n_syll") == 1, F.lit(False))
+    low = (F.col("how.m") == "m2b") | ((F.col("how.m") == "m2a") & mono)
+    three = nodes.withColumn("how", how)
+    three = three.withColumn("lstress", F.when(F.col("lstress") == -0.5, F.when(low, -1.0).otherwise(0.0)).otherwise(F.col("lstress")))
+    # The disambiguations are trees of their own, so all three take the joins of one.
+    found = tree_stress(three.withColumn("text_id", F.struct("text_id", "how.m"))).select("text_id.*", "sent_num", "word_num", "total")
+    pick = lambda m: F.max(F.when(F.col("m") == m, F.col("total"))).alias(m)
+    wide = found.groupBy(*keys, "word_num").agg(*map(pick, ("m1", "m2a", "m2b")))
+    wide = wide.withColumn("mean", (F.col("m1") + F.col("m2a") + F.col("m2b")) / 3)
+    own = nodes.where("word_num is not null").select(*keys, F.col("word_num").cast("int").alias("word_num"), F.col("lstress").alias("lexical"), mono.alias("mono"))
+    rows = wide.join(own, [*keys, "word_num"])
+    w = Window.partitionBy(*keys)
+    ordered = w.orderBy("word_num")
+    ambiguous = F.col("lexical") == -0.5
+    scaled = lambda m: ((F.col(m) - F.min(m).over(w)) / F.nullif(F.max(m).over(w) - F.min(m).over(w), F.lit(0.0))).alias(f"norm_{m}")
+    means = F.array_sort(F.collect_list(F.struct("word_num", F.format_string("%.2f", F.col("mean")).alias("x"))).over(w))
+    return rows.select(
+        *keys, "word_num", F.row_number().over(ordered).alias("word_index"), (F.row_number().over(ordered) / F.count("*").over(w)).alias("relative_index"),
+        F.when(F.col("lexical") == 0, "yes").when(ambiguous, "ambig").when(F.col("lexical") == -1, "no").alias("lexstress"),
+        "m1", "m2a", "m2b", "mean", *map(scaled, ("m1", "m2a", "m2b", "mean")),
+        F.sum(ambiguous.cast("int")).over(w).alias("ambig_words"), F.sum((ambiguous & F.col("mono")).cast("int")).over(w).alias("ambig_monosyll"),
+        F.array_join(F.transform(means, lambda x: x["x"]), " ").alias("contour"),
+    )

@@ -278,14 +278,8 @@ climb(text_id, sent_num, word_num, lstress, own, node_at, total) AS (SELECT n.te
 done AS (SELECT c.* FROM climb c WHERE NOT EXISTS (SELECT 1 FROM nod n WHERE n.text_id = c.text_id AND n.sent_num = c.sent_num AND n.node = c.node_at))"""
 
 
-@query(
-    f"""WITH RECURSIVE {_TREE} SELECT text_id, sent_num, CAST(word_num AS INTEGER) AS word_num, CAST(lstress AS DOUBLE) AS lstress, CAST(own AS DOUBLE) AS pstress, CAST(total AS DOUBLE) AS total,
-    CAST(total - min(total) OVER w + 1 AS DOUBLE) AS grid, CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS INTEGER) AS grid_i,
-    round(CASE WHEN max(total) OVER w > min(total) OVER w THEN CAST(total - min(total) OVER w AS DOUBLE) / CAST(max(total) OVER w - min(total) OVER w AS DOUBLE) ELSE 0.0 END, 6) AS norm_total,
-    round(CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS DOUBLE) / count(*) OVER w, 6) AS relative_index FROM done WINDOW w AS (PARTITION BY text_id, sent_num)"""
-)
-def tree_stress(spark, sf_dir):
-    """stress over the derived trees, as sentence grids with normalised totals."""
+def tree_nodes(spark, sf_dir):
+    """Constituency nodes of the derived trees."""
     deps = dependency_rows(spark, sf_dir)
     leaf = F.lit(1_000_000) + F.col("word_num")
     phrases = deps.select(
@@ -296,7 +290,18 @@ def tree_stress(spark, sf_dir):
         "text_id", "sent_num", leaf.alias("node"), F.col("word_num").alias("parent"), F.col("xpos").alias("label"), "word_num",
         trees.lexical_stress(F.col("xpos"), F.lit("")).alias("lstress"),
     )
-    words = trees.normalized(trees.sentence_grid(trees.tree_stress(phrases.unionByName(leaves))), "total")
+    return phrases.unionByName(leaves)
+
+
+@query(
+    f"""WITH RECURSIVE {_TREE} SELECT text_id, sent_num, CAST(word_num AS INTEGER) AS word_num, CAST(lstress AS DOUBLE) AS lstress, CAST(own AS DOUBLE) AS pstress, CAST(total AS DOUBLE) AS total,
+    CAST(total - min(total) OVER w + 1 AS DOUBLE) AS grid, CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS INTEGER) AS grid_i,
+    round(CASE WHEN max(total) OVER w > min(total) OVER w THEN CAST(total - min(total) OVER w AS DOUBLE) / CAST(max(total) OVER w - min(total) OVER w AS DOUBLE) ELSE 0.0 END, 6) AS norm_total,
+    round(CAST(row_number() OVER (PARTITION BY text_id, sent_num ORDER BY word_num) AS DOUBLE) / count(*) OVER w, 6) AS relative_index FROM done WINDOW w AS (PARTITION BY text_id, sent_num)"""
+)
+def tree_stress(spark, sf_dir):
+    """stress over the derived trees, as sentence grids with normalised totals."""
+    words = trees.normalized(trees.sentence_grid(trees.tree_stress(tree_nodes(spark, sf_dir))), "total")
     return words.select("text_id", "sent_num", "word_num", "lstress", "pstress", "total", "grid", "grid_i", "norm_total", "relative_index")
 
 
