@@ -73,6 +73,16 @@ def broadcastable(table: DataFrame, rows: int, size: int = 64 << 20) -> bool:
     return (table.agg(F.sum(content).alias("n")).first()["n"] or 0) <= size
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """The table as a side of a join that both sides are shuffled for, whatever size Spark takes it for.
+
+    Spark sizes a side by the bytes of its files, which are compressed, and counts
+    an exploded row once; a side so mistaken for small is broadcast from the
+    driver with all its rows. For sides that grow with the input.
+    """
+    return table.hint("merge")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Hold Arrow batches of whole texts to `rows` rows: both sides buffer a batch or two off the heap.
 
@@ -108,12 +118,12 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        return both.join(dealt(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = down.join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
     seen = None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, discard, fresh, mixed, salts, shingle_sets, written
+from .common import bounded_batches, chunks, components, dealt, discard, fresh, mixed, salts, shingle_sets, written
 
 WORDS, LANES, LANE_BITS, VALUE_BITS = 8, 5, 12, 11
 POSITIONS = WORDS * LANES
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     buckets = (
         keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1 and lead is not null")
     )
-    members = written(keyed.join(buckets, "key").select("key", "rep", "size", "lead", "n"), "members")
+    members = written(keyed.join(dealt(buckets), "key").select("key", "rep", "size", "lead", "n"), "members")
 
     star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     label = components(links.select("a", "b"))
 
     # Buckets of several components: whoever is not with the smallest member meets the whole bucket.
-    placed = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    placed = members.join(dealt(label.withColumnRenamed("node", "rep")), "rep", "left").withColumn(
         "comp", F.coalesce("component", "rep")
     )
     mixed_buckets = (
@@ -154,11 +154,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .where("least <> most")
         .select("key", F.col("lead.comp").alias("main"))
     )
-    opened = written(placed.join(mixed_buckets, "key").select("key", "rep", "size", "comp", "main", "n"), "open")
+    opened = written(placed.join(dealt(mixed_buckets), "key").select("key", "rep", "size", "comp", "main", "n"), "open")
     discard(members)
     found = _rarest(written(opened.select("rep").distinct(), "ids"), texts, reps, n, percent)
-    rarest = found.join(sizes, "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
-    parts = opened.drop("size").join(rarest, "rep").withColumn("parts", salts(F.col("n"), PART))
+    rarest = found.join(dealt(sizes), "rep").where(F.col("shared") * 100 >= F.col("size") * percent)
+    parts = opened.drop("size").join(dealt(rarest), "rep").withColumn("parts", salts(F.col("n"), PART))
     left = parts.where("comp <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a, b = left.alias("a"), right.alias("b")
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         & ((100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.size") + F.col("b.size")))
         & _may_share(percent)
     )
-    rest = a.join(b, near).select(
+    rest = a.join(dealt(b), near).select(
         F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")
     ).distinct()
     more = _confirmed(rest, texts, n, percent)
@@ -184,9 +184,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     of_set = reps.select("digest", "rep")
     out = (
         signed.select("doc_id", "text_hash", "n_shingles", "digest")
-        .join(of_set, "digest", "left")
-        .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
+        .join(dealt(of_set), "digest", "left")
+        .join(dealt(label.withColumnRenamed("node", "rep")), "rep", "left")
+        .join(dealt(degree), "rep", "left")
     )
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(
         F.coalesce("component", "rep", "doc_id")
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets' sizes allow the similarity."""
     size = reps.groupBy("rep").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    joined = pairs.join(size.toDF("a", "la", "ha"), "a").join(size.toDF("b", "lb", "hb"), "b")
+    joined = pairs.join(dealt(size.toDF("a", "la", "ha")), "a").join(dealt(size.toDF("b", "lb", "hb")), "b")
     return joined.where(
         f"100 * least(ha, hb) >= {percent} * greatest(la, lb)"
     ).select("a", "b")
@@ -213,7 +213,7 @@ def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(rep, shingles) of the wanted ids, broadcast only while a count finds them few."""
     few = ids.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    wanted = texts.join(F.broadcast(ids) if few else dealt(ids), "rep", "left_semi")
     return wanted.mapInArrow(_sets(n), "rep long, shingles array<long>")
 
 
@@ -230,14 +230,14 @@ def _rarest(ids: DataFrame, texts: DataFrame, reps: DataFrame, n: int, percent:
     loose = written(_of(ids, texts, n).select("rep", F.explode("shingles").alias("s")).distinct(), "loose")
     often = loose.groupBy("s").agg(F.count("*").alias("df"))
     ranked = (
-        loose.join(often, "s")
+        loose.join(dealt(often), "s")
         .groupBy("rep")
         .agg(F.count(F.when(F.col("df") > 1, 1)).alias("known"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
     )
     size = reps.groupBy("rep").agg(F.max("size").alias("size"), F.count("*").alias("sets"))
     prefix = F.slice("r", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
     one = F.col("sets") == 1
-    out = ranked.join(size, "rep").select(
+    out = ranked.join(dealt(size), "rep").select(
         "rep",
         F.when(one, F.col("known")).otherwise(F.lit(1 << 40)).alias("shared"),
         F.when(one, F.transform(prefix, lambda x: F.hash(x["s"]))).alias("rare"),
@@ -266,14 +266,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     sets = written(_of(ids, texts, n), "sets")
     partners = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", salts(F.col("n"), 200)).drop("n")
     left = (
-        sets.join(partners, sets.rep == partners.a)
+        sets.join(dealt(partners), sets.rep == partners.a)
         .select("a", F.col("shingles").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     )
-    dealt = pairs.join(partners, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    right = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "salt", "b", F.col("shingles").alias("right"))
+    salted = pairs.join(dealt(partners), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = salted.join(dealt(sets.withColumnRenamed("rep", "b")), "b").select("a", "salt", "b", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     whole = F.size("left") + F.size("right") - both
-    held = right.join(left, ["a", "salt"]).where(both * 100 >= whole * percent).select("a", "b").distinct()
+    held = right.join(dealt(left), ["a", "salt"]).where(both * 100 >= whole * percent).select("a", "b").distinct()
     held = written(held, "links")
     discard(pairs, ids, sets)
     return held
@@ -296,7 +296,7 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     gone = judged.where("not kept").select(id_, hash_)
     many = judged.where("kept and rows > 1").select(id_, hash_)
     key = (F.col("doc_id").cast("long") == F.col(id_)) & (_text_hash(F.col("text")) == F.col(hash_))
-    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else dealt(ids)
     left = docs.join(hint(gone), key, "left_anti")
     if not many.take(1):
         return left
