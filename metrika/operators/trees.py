@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrika.sources.scratch import discard, written
+from metrika.sources.scratch import dealt, discard, written
 
 # Tags of content words and common nouns.
 CONTENT_UPOS = ["NOUN", "VERB", "ADJ", "ADV", "PROPN"]
@@ -53,7 +53,7 @@ def phrasal_stress(deps: DataFrame) -> DataFrame:
     else the rightmost content word of two or more (nuclear stress).
     """
     keys = ["text_id", "sent_num"]
-    rows = deps.join(depths(deps), [*keys, "word_num"])
+    rows = deps.join(dealt(depths(deps)), [*keys, "word_num"])
     group = Window.partitionBy(*keys, "head")
     noun = F.col("xpos").isin(NOUN_XPOS)
     content = F.col("pos").isin(CONTENT_UPOS)
@@ -130,7 +130,7 @@ def tree_stress(nodes: DataFrame) -> DataFrame:
     rounds = int(most).bit_length() + 1
     inner = nodes.select(*keys, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
     there = nodes.select(*keys, F.col("node").alias("parent"), F.col("node").alias("up"), F.col("label").alias("above"))
-    rows = nodes.join(inner, _NODE, "left").join(there, [*keys, "parent"], "left")
+    rows = nodes.join(dealt(inner), _NODE, "left").join(dealt(there), [*keys, "parent"], "left")
     leaf = F.col("inner").isNull()
     rows = written(rows.select(*_NODE, "up", "above", "label", "word_num", F.col("lstress").cast("double").alias("lstress"), leaf.alias("leaf")), "nodes")
 
@@ -138,13 +138,13 @@ def tree_stress(nodes: DataFrame) -> DataFrame:
     def gathered(state: DataFrame) -> DataFrame:
         below = state.where("up is not null").groupBy(*keys, F.col("up").alias("node")).agg(F.max("has").alias("below"))
         further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
-        out = state.join(further, [*keys, "up"], "left").join(below, _NODE, "left")
+        out = state.join(dealt(further), [*keys, "up"], "left").join(dealt(below), _NODE, "left")
         return out.select(*_NODE, F.col("next").alias("up"), (F.col("has") | F.coalesce("below", F.lit(False))).alias("has"))
 
     start = rows.select(*_NODE, "up", (F.col("leaf") & F.coalesce(F.col("lstress") > -1, F.lit(False))).alias("has"))
     known = _doubled(written(start, "tree"), rounds, gathered).select(*_NODE, "has")
 
-    daughters = rows.join(known, _NODE).where("up is not null").select(*keys, "up", "above", "node", F.coalesce(F.col("label").startswith("NN"), F.lit(False)).alias("noun"), "has")
+    daughters = rows.join(dealt(known), _NODE).where("up is not null").select(*keys, "up", "above", "node", F.coalesce(F.col("label").startswith("NN"), F.lit(False)).alias("noun"), "has")
     family = daughters.groupBy(*keys, "up").agg(F.first("above").alias("above"), F.array_sort(F.collect_list(F.struct("node", "noun", "has"))).alias("d"))
     last = lambda test: F.coalesce(F.array_max(F.transform("d", lambda x, k: F.when(test(x), k).otherwise(-1))), F.lit(-1))
     other, able = last(lambda x: ~x["noun"]), last(lambda x: x["has"])
@@ -152,15 +152,15 @@ def tree_stress(nodes: DataFrame) -> DataFrame:
     at = F.when(nouns, other + 1).when(able >= 0, able).otherwise(F.size("d") - 1)
     lost = family.where(F.size("d") > 1).withColumn("head", F.get("d", at)["node"]).select(*keys, "head", F.explode("d").alias("x"))
     lost = lost.select(*keys, F.col("x.node").alias("node"), F.when(F.col("x.node") == F.col("head"), 0).otherwise(-1).alias("loss"))
-    loss = written(rows.join(lost, _NODE, "left").select(*_NODE, "up", F.coalesce("loss", F.lit(0)).alias("loss")), "loss")
+    loss = written(rows.join(dealt(lost), _NODE, "left").select(*_NODE, "up", F.coalesce("loss", F.lit(0)).alias("loss")), "loss")
 
     def added(state: DataFrame) -> DataFrame:
         further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
-        out = state.join(further, [*keys, "up"], "left")
+        out = state.join(dealt(further), [*keys, "up"], "left")
         return out.select(*_NODE, F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"))
 
     sums = _doubled(written(loss.withColumnRenamed("loss", "sum"), "tree"), rounds, added).select(*_NODE, "sum")
-    words = rows.where("leaf").join(loss.select(*_NODE, "loss"), _NODE).join(sums, _NODE)
+    words = rows.where("leaf").join(dealt(loss.select(*_NODE, "loss")), _NODE).join(dealt(sums), _NODE)
     return words.select(
         *keys, F.col("word_num").cast("int").alias("word_num"), "lstress", F.col("loss").cast("double").alias("pstress"), (F.col("lstress") + F.col("sum")).alias("total")
     )
@@ -200,7 +200,7 @@ def heads(nodes: DataFrame) -> DataFrame:
     climb = lambda a, _: F.when(F.element_at(a, -1).isNull(), a).otherwise(F.array_append(a, F.try_element_at("up", F.element_at(a, -1))))
     path = F.aggregate(steps, F.array(F.col("x.parent")), climb)
     phrases = rows.select("text_id", "sent_num", F.explode(F.array_compact(path)).alias("node"), F.col("x.word_num").alias("word_num"))
-    known = phrases.join(nodes.select("text_id", "sent_num", "node"), ["text_id", "sent_num", "node"], "left_semi")
+    known = phrases.join(dealt(nodes.select("text_id", "sent_num", "node")), ["text_id", "sent_num", "node"], "left_semi")
     return known.groupBy("text_id", "sent_num", "node").agg(F.max("word_num").alias("head_word"), F.count("*").alias("n_words"))
 
 
@@ -211,7 +211,7 @@ def arto(total: Column, lexical: Column) -> Column:
 
 def joined_features(deps: DataFrame, constituents: DataFrame) -> DataFrame:
     """Dependency and constituency features of the words that have both."""
-    return deps.join(constituents, ["text_id", "sent_num", "word_num"])
+    return deps.join(dealt(constituents), ["text_id", "sent_num", "word_num"])
 
 
 def clause_starts(deps: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def statistics(nodes: DataFrame) -> DataFrame:
     wide = found.groupBy(*keys, "word_num").agg(*map(pick, ("m1", "m2a", "m2b")))
     wide = wide.withColumn("mean", (F.col("m1") + F.col("m2a") + F.col("m2b")) / 3)
     own = nodes.where("word_num is not null").select(*keys, F.col("word_num").cast("int").alias("word_num"), F.col("lstress").alias("lexical"), mono.alias("mono"))
-    rows = wide.join(own, [*keys, "word_num"])
+    rows = wide.join(dealt(own), [*keys, "word_num"])
     w = Window.partitionBy(*keys)
     ordered = w.orderBy("word_num")
     ambiguous = F.col("lexical") == -0.5
