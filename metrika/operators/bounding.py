@@ -131,6 +131,106 @@ def walk(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int)
             yield row, [(total >> (width * k)) & low for k in range(constraints)], sorted(place[size, path] for path in paths)
 
 
+# ---- undominated scansions of a batch ----------------------------------
+
+#: Rhythms that are walked together.
+TOGETHER = 4_096
+
+
+def _packed(masks: list[np.ndarray], rows: int, constraints: int, longest: int, width: int) -> np.ndarray:
+    """rhythm x syllable x pair: the counts of all constraints in one long."""
+    at = np.arange(longest, dtype=np.int64)
+    out = np.zeros((rows, longest, len(PAIRS)), np.int64)
+    for p in range(len(PAIRS)):
+        for k in range(constraints):
+            out[:, :, p] += ((masks[p * constraints + k][:, None] >> at[None, :]) & 1) << (width * k)
+    return out
+
+
+def _kept(group: np.ndarray, total: np.ndarray, bits: int, guard: int) -> np.ndarray:
+    """Which rows no other of their group dominates; equal ones all stay."""
+    key = group << bits | total
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    value, of = key[fresh] & ((1 << bits) - 1), key[fresh] >> bits
+    kept, left = np.zeros(len(value), bool), np.arange(len(value))
+    # The smallest number of a group that is left is dominated by none: what dominates is the smaller number.
+    while len(left):
+        first = np.ones(len(left), bool)
+        first[1:] = of[left[1:]] != of[left[:-1]]
+        leads = left[first]
+        kept[leads] = True
+        lead = value[leads][np.cumsum(first) - 1]
+        left = left[((value[left] | guard) - lead) & guard != guard]
+    out = np.zeros(len(order), bool)
+    out[order] = kept[np.cumsum(fresh) - 1]
+    return out
+
+
+def walk_together(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `walk` finds, for all rhythms together: (rhythm, counts) of every undominated vector, offsets and places.
+
+    The places of vector v are places[offsets[v]:offsets[v + 1]], ascending. For
+    counts that fit a long beside the rhythm's number, see `fits`.
+    """
+    width = longest.bit_length() + 1
+    bits = width * constraints
+    guard = sum(1 << (width * k + width - 1) for k in range(constraints))
+    cost = _packed(masks, len(n), constraints, longest, width)
+    shift = 3 * (longest - 1)
+    last = np.array([s[-1][0] == "s" for s in POSITIONS])
+    none = np.zeros(0, np.int64)
+    # Rows (rhythm, packed counts, path, number of positions, kind of the last position) that end one and two syllables before.
+    ends: list[tuple[np.ndarray, ...]] = [(none,) * 5]
+    done = []
+    for end in range(1, int(n.max(initial=0)) + 1):
+        parts = []
+        for p, states in enumerate(POSITIONS):
+            begin = end - len(states)
+            if begin < 0:
+                continue
+            if begin == 0:
+                row = np.flatnonzero(n >= end)
+                total, path, many = cost[row, 0, _PAIR[None, states[0]]], np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            else:
+                own = np.flatnonzero((last[ends[begin][4]] != last[p]) & (n[ends[begin][0]] >= end))
+                row, total, path, many, kind = (x[own] for x in ends[begin])
+                step = np.array([_PAIR.get((other[-1], states[0]), 0) for other in POSITIONS])
+                total = total + cost[row, begin, step[kind]]
+            if len(states) == 2:
+                total = total + cost[row, begin + 1, _PAIR[states]]
+            digit = np.where(n[row] > end, p + 4, p)
+            parts.append((row, total, path | digit << (shift - 3 * many), many + 1, np.full(len(row), p)))
+        found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        kept = np.flatnonzero(_kept(found[0] * len(POSITIONS) + found[4], found[1], bits, guard))
+        found = tuple(x[kept] for x in found)
+        whole = n[found[0]] == end
+        done.append(tuple(x[whole] for x in found[:3]))
+        ends.append(tuple(x[~whole] for x in found))
+        ends[end - 2 if end >= 2 else 0] = (none,) * 5
+    row, total, path = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (none,) * 3
+    kept = _kept(row, total, bits, guard)
+    row, total, path = row[kept], total[kept], path[kept]
+    place = np.zeros(len(row), np.int64)
+    for size, (paths, order) in _sorted_places(longest).items():
+        own = n[row] == size
+        place[own] = order[np.searchsorted(paths, path[own])]
+    order = np.lexsort((place, total, row))
+    row, total, place = row[order], total[order], place[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (total[1:] != total[:-1])
+    begins = np.flatnonzero(fresh)
+    counts = (total[begins][:, None] >> (width * np.arange(constraints))[None, :]) & ((1 << (width - 1)) - 1)
+    return row[begins], counts, np.append(begins, len(row)), place
+
+
+def fits(constraints: int, longest: int) -> bool:
+    """Whether packed counts and the numbers of TOGETHER rhythms with their kinds share a long."""
+    return (longest.bit_length() + 1) * constraints + (TOGETHER * len(POSITIONS)).bit_length() <= 63
+
+
 # ---- the lightest scansion ------------------------------------------------
 
 FAR = 1 << 60

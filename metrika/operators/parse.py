@@ -227,20 +227,24 @@ def _walked(encoded: DataFrame, meter: Meter) -> DataFrame:
     # Signatures are few bytes but much work each: as many parts as a shuffle has, not as few as their size suggests.
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).select(*key, *bounding.costs(names))
 
+    together = bounding.fits(len(names), longest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2_000):
-                part = batch.slice(first, 2_000)
-                n = part.column(0).to_numpy()
+            for first in range(0, batch.num_rows, bounding.TOGETHER):
+                part = batch.slice(first, bounding.TOGETHER)
+                n = part.column(0).to_numpy().astype(np.int64)
                 masks = [part.column(k).to_numpy() for k in range(len(key), part.num_columns)]
-                found = list(bounding.walk(n, masks, len(names), longest))
-                row = pa.array([r for r, _, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k).take(row) for k in range(len(key))]
-                    + [pa.array([c[k] for _, c, _ in found], pa.int32()) for k in range(len(names))]
-                    + [pa.array([p for _, _, p in found], pa.list_(pa.int32()))],
-                    names=[*key, *names, "places"],
-                )
+                if together:
+                    row, counts, offsets, places = bounding.walk_together(n, masks, len(names), longest)
+                    columns = [pa.array(counts[:, k].astype(np.int32)) for k in range(len(names))]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places.astype(np.int32)))
+                else:
+                    found = list(bounding.walk(n, masks, len(names), longest))
+                    row = [r for r, _, _ in found]
+                    columns = [pa.array([c[k] for _, c, _ in found], pa.int32()) for k in range(len(names))]
+                    lists = pa.array([p for _, _, p in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row, pa.int64())) for k in range(len(key))), *columns, lists], names=[*key, *names, "places"])
 
     schema = [f"{k} {kinds[k]}" for k in key] + [f"`{k}` int" for k in names] + ["places array<int>"]
     return rows.mapInArrow(run, ", ".join(schema))
