@@ -118,6 +118,17 @@ def _lightest(meter: Meter):
     return found
 
 
+def likeliest(rhythms: DataFrame, meter: Meter) -> DataFrame:
+    """Distinct rhythms (meter.key) -> adds least, the lowest score, and scan_ord, the first scansion that has it.
+
+    One min-plus pass, for meters as in `best_of` (see `_additive`).
+    """
+    if not _additive(meter):
+        raise ValueError("weights are whole millionths above zero, constraints local")
+    found = _lightest(meter)("n", F.array(*bounding.costs(meter.names)), F.lit(None).cast("array<bigint>"))
+    return rhythms.withColumn("b__", found).select(*rhythms.columns, (F.col("b__.score") / MILLION).alias("least"), "b__.scan_ord")
+
+
 def best_of(lines: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """The best parse of every unit with `words`, as `best` gives it of the encoded units.
 
