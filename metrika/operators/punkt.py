@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrika.functions import text as T
+from metrika.sources.scratch import dealt, written
 
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}.'’-]*[!?]*"
 NUMBER = "##"
@@ -59,6 +60,11 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     )
 
 
+def learned(texts: DataFrame) -> DataFrame:
+    """`pair_counts`, written: what is learned reads the counts many times, the texts once."""
+    return written(pair_counts(texts), "pairs")
+
+
 def _log_times(k: Column, p: Column) -> Column:
     """k * ln(p), nothing for no trials."""
     return F.when(k == 0, F.lit(0.0)).otherwise(k * F.log(p))
@@ -166,7 +172,7 @@ def sentences(texts: DataFrame, text_id: str = "doc_id", learn_from: DataFrame |
     an empty one has one empty sentence; rows that repeat an id and a text count
     once. Verdicts are broadcast only while a count finds them few.
     """
-    verdicts = held(pair_counts(texts if learn_from is None else learn_from), known).withColumn("hold", F.lit(True))
+    verdicts = written(held(learned(texts if learn_from is None else learn_from), known).withColumn("hold", F.lit(True)), "verdicts")
     few = verdicts.limit(FEW + 1).count() <= FEW
     plain = T.normalize_dashes(F.replace("text", F.lit("\u0001"), F.lit("")))
     marked = F.regexp_replace(plain, "([.!?]+[\"'”’)\\]]*)(\\s+)", "$1\u0001$2")
@@ -178,7 +184,7 @@ def sentences(texts: DataFrame, text_id: str = "doc_id", learn_from: DataFrame |
     ending = F.regexp_replace("x.piece", "[\"'”’)\\]]+$", "")
     dotted = last.rlike(r"\.$") & F.endswith(ending, last)
     rows = rows.select("text_id", "hash", "k", F.col("x.piece").alias("piece"), F.when(dotted, token_type(last)).alias("a"), token_type(first).alias("b"), _case(first).alias("case"))
-    rows = rows.join(F.broadcast(verdicts) if few else verdicts, ["a", "b", "case"], "left")
+    rows = rows.join(F.broadcast(verdicts) if few else dealt(verdicts), ["a", "b", "case"], "left")
     pieces = F.array_sort(F.collect_list(F.struct("k", "piece", F.coalesce("hold", F.lit(False)).alias("hold"))))
     # Pieces of one text: what is held goes on in the next one.
     whole = F.array_join(F.transform(pieces, lambda x: F.concat(x["piece"], F.when(x["hold"], "").otherwise("\u0001"))), "")

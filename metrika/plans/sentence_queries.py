@@ -63,13 +63,13 @@ def punkt_types(spark, sf_dir):
 @query(f"WITH {STATS} SELECT type, n, n_begin, round(score, 4) + 0.0 AS score FROM starters")
 def punkt_starters(spark, sf_dir):
     """Sentence starters."""
-    return punkt.starters(punkt.pair_counts(docs(spark, sf_dir))).withColumn("score", F.round("score", 4) + 0.0)
+    return punkt.starters(punkt.learned(docs(spark, sf_dir))).withColumn("score", F.round("score", 4) + 0.0)
 
 
 @query(f"WITH {STATS} SELECT a, b, n, round(score, 4) + 0.0 AS score FROM collocations")
 def punkt_collocations(spark, sf_dir):
     """Pairs of types around a full stop that belong together."""
-    return punkt.collocations(punkt.pair_counts(docs(spark, sf_dir))).withColumn("score", F.round("score", 4) + 0.0)
+    return punkt.collocations(punkt.learned(docs(spark, sf_dir))).withColumn("score", F.round("score", 4) + 0.0)
 
 
 @query(
