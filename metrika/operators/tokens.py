@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from metrika.functions import text as T
 
@@ -17,43 +24,74 @@ def tokens(texts: DataFrame, text_id: str = "doc_id", clean: bool = True) -> Dat
     separator a new sentence part and line part begin. A sentence begins after
     `.`, `!` or `?` (and up to one closing quote or bracket) before white space.
 
-    One shuffle on the text's id; counters are running sums within a text.
+    Texts are dealt out by id once; then each text's tokens are numbered in its
+    own row, a batch of texts at a time: what a token is (a break, a stop, a
+    separator) is told once a distinct token, counters are running sums over
+    the batch. No token is shuffled or sorted. Texts that share an id are
+    numbered each by itself.
     """
     source = T.clean_text(F.col("text")) if clean else F.col("text")
-    rows = texts.select(F.col(text_id).alias("text_id"), F.posexplode_outer(T.token_array(source)).alias("at", "word_txt")).where("at is not null")
-    breaks = F.length("word_txt") - F.length(F.replace("word_txt", F.lit("\n"), F.lit("")))
-    core = F.regexp_replace("word_txt", r"^\s+", "")
-    rows = rows.select(
-        "text_id",
-        (F.col("at") + 1).alias("word_num"),
-        "word_txt",
-        T.is_punctuation(F.col("word_txt")).alias("is_punc"),
-        breaks.alias("breaks"),
-        core.alias("core"),
-    )
-    order = Window.partitionBy("text_id").orderBy("word_num")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    stop = lambda c: F.coalesce(c.isin(".", "!", "?"), F.lit(False))
-    closed = F.coalesce(F.lag("core").over(order).isin('"', "'", ")", "]"), F.lit(False))
-    begins = (F.col("word_txt") != F.col("core")) & (
-        stop(F.lag("core").over(order)) | (closed & stop(F.lag("core", 2).over(order)))
-    )
-    separator = F.col("word_txt").rlike(T.SEPARATOR_CLASS).cast("int")
-    rows = rows.withColumn("begins", begins.cast("int")).withColumn("separator", separator)
-    line = (F.col("breaks") > 0).cast("int")
-    seps = F.coalesce(F.sum("separator").over(before), F.lit(0))
-    return rows.select(
-        "text_id",
-        "word_num",
-        "word_txt",
-        "is_punc",
-        (1 + F.sum((F.col("breaks") > 1).cast("int")).over(so_far)).cast("int").alias("para_num"),
-        (1 + F.sum(line).over(so_far)).cast("int").alias("line_num"),
-        (1 + F.sum("begins").over(so_far)).cast("int").alias("sent_num"),
-        (1 + seps).cast("int").alias("sentpart_num"),
-        (1 + seps + F.sum(line).over(so_far)).cast("int").alias("linepart_num"),
+    rows = spread(texts.select(F.col(text_id).alias("text_id"), "text"), "text_id").select("text_id", _numbered(T.token_array(source)).alias("t"))
+    # An outer generator: for an inner one a filter would number every text a second time, before they are dealt out.
+    return rows.select("text_id", F.inline_outer("t")).where("word_num is not null")
+
+
+def spread(texts: DataFrame, text_id: str) -> DataFrame:
+    """Texts dealt out by id to as many parts as a shuffle has: a token makes much more work than the bytes that it is read from."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_id)
+
+
+_COUNTERS = ["para_num", "line_num", "sent_num", "sentpart_num", "linepart_num"]
+_TOKEN = ArrayType(
+    StructType(
+        [StructField("word_num", IntegerType()), StructField("word_txt", StringType())]
+        + [StructField(k, IntegerType()) for k in ("is_punc", *_COUNTERS)]
     )
+)
+_SPACE = " \t\n\x0b\f\r"
+_SEPARATOR = re.compile(T.SEPARATOR_CLASS).search
+
+
+@lru_cache(maxsize=1 << 18)
+def _facts(token: str) -> tuple[int, int, int, int, int, int]:
+    """is_punc, line feeds, separator, white space in front, stop, closing sign."""
+    core = token.lstrip(_SPACE)
+    return (
+        int(not any(map(str.isalpha, token))), token.count("\n"), int(_SEPARATOR(token) is not None), int(core != token),
+        int(core in (".", "!", "?")), int(core in ('"', "'", ")", "]")),
+    )
+
+
+def _number(found: pa.Array) -> pa.Array:
+    """The tokens of each text with their numbers; none for a null text."""
+    flat = found.flatten()
+    coded = flat.dictionary_encode()
+    facts = np.array([_facts(w) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 6)
+    punctuation, breaks, separator, spaced, stop, closing = facts[coded.indices.to_numpy()].T
+    size = pc.fill_null(pc.list_value_length(found), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    first = np.repeat(ends - size, size)
+    at = np.arange(len(flat)) - first
+
+    def before(x: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros_like(x)
+        out[k:] = x[: max(len(x) - k, 0)]
+        return np.where(at >= k, out, 0)
+
+    def so_far(x: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(x)])
+        return sums[1:] - sums[first]
+
+    begins = spaced & (before(stop, 1) | (before(closing, 1) & before(stop, 2)))
+    lines, seps = so_far(breaks > 0), so_far(separator) - separator
+    numbers = [1 + so_far(breaks > 1), 1 + lines, 1 + so_far(begins), 1 + seps, 1 + seps + lines]
+    columns = [pa.array((at + 1).astype(np.int32)), flat, *(pa.array(x.astype(np.int32)) for x in (punctuation, *numbers))]
+    tokens = pa.StructArray.from_arrays(columns, names=[f.name for f in _TOKEN.elementType.fields])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens)
+
+
+# As if not deterministic: else a filter of what it returns would run it a second time below.
+_numbered = F.arrow_udf(_number, _TOKEN).asNondeterministic()
 
 
 #: What has a letter has a word.

@@ -85,13 +85,16 @@ def _masks(words: pa.Array) -> tuple[np.ndarray, ...]:
 _RHYTHM = StructType([StructField("n", IntegerType()), *(StructField(k, LongType()) for k in ("he", "wb", "st", "amb"))])
 
 
-@F.arrow_udf(_RHYTHM)
-def _rhythm(words: pa.Array) -> pa.Array:
+def _told(words: pa.Array) -> pa.Array:
     total, *masks = _masks(words)
     columns = [pa.array(total.astype(np.int32)), *(pa.array(m) for m in masks)]
     return pa.StructArray.from_arrays(columns, names=["n", "he", "wb", "st", "amb"])
 
 
+# As if not deterministic: else the filter by length would run it a second time below.
+_rhythm = F.arrow_udf(_told, _RHYTHM).asNondeterministic()
+
+
 def rhythms(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> DataFrame:
     """Adds n, he, wb, st and amb to units with `words`, one row a unit: heavy, word beginnings, stressed, ambiguous.
 

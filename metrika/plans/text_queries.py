@@ -185,11 +185,7 @@ def syllable_table(spark, sf_dir):
 )
 def sylls_per_line(spark, sf_dir):
     """Canonical syllables and their features by line."""
-    rows = sylls.syllables(tokens.tokens(docs(spark, sf_dir))).where("form_idx = 0 and is_punc = 0")
-    n = lambda c: F.count(F.when(F.col(c), 1))
-    return rows.groupBy("text_id", "line_num").agg(
-        F.count("*").alias("n_sylls"), n("is_stressed").alias("n_stressed"), n("is_heavy").alias("n_heavy"), n("is_functionword").alias("n_function")
-    )
+    return sylls.per_line(tokens.tokens(docs(spark, sf_dir)))
 
 
 LEXICON = [("the", "the"), ("of", "of"), ("and", "'and"), ("and", "and"), ("that", "'that"), ("that", "that"), ("with", "with")]
