@@ -226,11 +226,126 @@ def walk_together(n: np.ndarray, masks: list[np.ndarray], constraints: int, long
     return row[begins], counts, np.append(begins, len(row)), place
 
 
+def _unique(row: np.ndarray, kind: np.ndarray, total: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (rhythm, kind of the last position, packed counts)."""
+    key = np.unique((row * len(POSITIONS) + kind) << bits | total)
+    group = key >> bits
+    return group // len(POSITIONS), group % len(POSITIONS), key & ((1 << bits) - 1)
+
+
+def vectors_together(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rhythm, packed counts) of all distinct violation vectors of a batch, in order; equal partial ones go on as one. See `fits`."""
+    width = longest.bit_length() + 1
+    bits = width * constraints
+    cost = _packed(masks, len(n), constraints, longest, width)
+    last = np.array([s[-1][0] == "s" for s in POSITIONS])
+    none = np.zeros(0, np.int64)
+    ends: list[tuple[np.ndarray, ...]] = [(none,) * 3]
+    done = [(none,) * 2]
+    for end in range(1, int(n.max(initial=0)) + 1):
+        parts = []
+        for p, states in enumerate(POSITIONS):
+            begin = end - len(states)
+            if begin < 0:
+                continue
+            if begin == 0:
+                row = np.flatnonzero(n >= end)
+                total = cost[row, 0, _PAIR[None, states[0]]]
+            else:
+                own = np.flatnonzero((last[ends[begin][1]] != last[p]) & (n[ends[begin][0]] >= end))
+                row, kind, total = (x[own] for x in ends[begin])
+                step = np.array([_PAIR.get((other[-1], states[0]), 0) for other in POSITIONS])
+                total = total + cost[row, begin, step[kind]]
+            if len(states) == 2:
+                total = total + cost[row, begin + 1, _PAIR[states]]
+            parts.append((row, np.full(len(row), p), total))
+        row, kind, total = _unique(*(np.concatenate(x) for x in zip(*parts, strict=True)), bits)
+        whole = n[row] == end
+        done.append((row[whole], total[whole]))
+        ends.append((row[~whole], kind[~whole], total[~whole]))
+        if end >= 2:
+            ends[end - 2] = (none,) * 3
+    row, total = (np.concatenate(x) for x in zip(*done, strict=True))
+    row, _, total = _unique(row, np.zeros_like(row), total, bits)
+    return row, total
+
+
+#: Pairs of vectors that are compared at once.
+PAIRS_AT_ONCE = 1 << 22
+
+
+def relations(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> np.ndarray:
+    """rhythm -> (equal, bounds, unequal): how its undominated vectors stand to all its vectors, in pairs.
+
+    Both are distinct, so each undominated one equals one other, itself, and none bounds it.
+    """
+    width = longest.bit_length() + 1
+    bits = width * constraints
+    guard = sum(1 << (width * k + width - 1) for k in range(constraints))
+    row, total = vectors_together(n, masks, constraints, longest)
+    front = np.flatnonzero(_kept(row, total, bits, guard))
+    many = np.bincount(row, minlength=len(n))
+    first = np.cumsum(many) - many
+    size = many[row[front]]
+    bounds = np.zeros(len(n), np.int64)
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(front):
+        done = ends[begin - 1] if begin else 0
+        stop = max(int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")), begin + 1)
+        part, each = front[begin:stop], size[begin:stop]
+        at = np.repeat(first[row[part]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        below = ((total[at] | guard) - np.repeat(total[part], each)) & guard == guard
+        bounds += np.bincount(np.repeat(row[part], each)[below], minlength=len(n))
+        begin = stop
+    equal = np.bincount(row[front], minlength=len(n))
+    pairs = equal * many
+    return np.stack([equal, bounds - equal, pairs - bounds], axis=1)
+
+
 def fits(constraints: int, longest: int) -> bool:
     """Whether packed counts and the numbers of TOGETHER rhythms with their kinds share a long."""
     return (longest.bit_length() + 1) * constraints + (TOGETHER * len(POSITIONS)).bit_length() <= 63
 
 
+# ---- sums over all scansions -------------------------------------------------
+
+
+@lru_cache(maxsize=4)
+def ways(longest: int) -> np.ndarray:
+    """n x syllable x pair of states: how many scansions of n syllables have the pair there, so that sums over scansions are sums over syllables."""
+    index = {s: k for k, s in enumerate(STATES)}
+    after = np.zeros((longest + 1, len(STATES)), np.int64)
+    after[1] = 1  # ways to go on from a state with so many syllables left, itself included
+    for left in range(2, longest + 1):
+        for before, here in PAIRS:
+            if before is not None:
+                after[left, index[before]] += after[left - 1, index[here]]
+    out = np.zeros((longest + 1, longest, len(PAIRS)), np.int64)
+    ways_to = np.zeros((longest, len(STATES)), np.int64)
+    for i in range(longest):
+        for p, (before, here) in enumerate(PAIRS):
+            if (before is None) == (i == 0):
+                come = 1 if before is None else ways_to[i - 1, index[before]]
+                ways_to[i, index[here]] += come
+                for n in range(i + 1, longest + 1):
+                    out[n, i, p] = come * after[n - i, index[here]]
+    return out
+
+
+def summed(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of scansions, violations of each constraint summed over all of them) of a batch of rhythms, none of them made."""
+    table = ways(longest)
+    out = np.zeros((len(n), constraints), np.int64)
+    for p in range(len(PAIRS)):
+        for i in range(int(n.max(initial=0))):
+            weight = table[n, i, p]
+            if weight.any():
+                for k in range(constraints):
+                    out[:, k] += ((masks[p * constraints + k] >> i) & 1) * weight
+    return table[n, 0].sum(axis=1), out
+
+
 # ---- the lightest scansion ------------------------------------------------
 
 FAR = 1 << 60

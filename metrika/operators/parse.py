@@ -261,6 +261,63 @@ def _walked(encoded: DataFrame, meter: Meter) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(schema))
 
 
+def _per_rhythm(encoded: DataFrame, meter: Meter, tell, names: list[str], together: int = bounding.TOGETHER) -> DataFrame:
+    """Distinct signatures -> their key and the longs that tell(n, cost masks) gives of a batch of them, each in its own row."""
+    spark, key = encoded.sparkSession, meter.key
+    rows = signatures(encoded, meter)
+    kinds = dict(rows.dtypes)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).select(*key, *bounding.costs(meter.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, together):
+                part = batch.slice(first, together)
+                masks = [part.column(k).to_numpy() for k in range(len(key), part.num_columns)]
+                told = tell(part.column(0).to_numpy().astype(np.int64), masks)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(key))), *(pa.array(x) for x in told)], names=[*key, *names])
+
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), *(f"`{k}` long" for k in names)]))
+
+
+def local(meter: Meter) -> bool:
+    """Whether neighbouring syllables decide all constraints, so that scansions need not be made."""
+    return meter.max_s == meter.max_w == 2 and meter.longest <= 20 and all(C.REGISTRY[k].local for k in meter.names)
+
+
+def totals(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """signature, n_scansions and each constraint's violations, summed over all scansions of every distinct signature.
+
+    Local constraints are summed by syllables, with how many scansions have each
+    pair of neighbouring states there; else all scansions are made.
+    """
+    if not local(meter):
+        return scored(encoded, meter).groupBy(*meter.key).agg(F.count("*").alias("n_scansions"), *(F.sum(k).alias(k) for k in meter.names))
+
+    def tell(n, masks):
+        many, sums = bounding.summed(n, masks, len(meter.names), meter.longest)
+        return [many, *sums.T]
+
+    return _per_rhythm(encoded, meter, tell, ["n_scansions", *meter.names])
+
+
+def relations(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """n, relation, n_pairs: how undominated vectors stand to all vectors of their signature, over all distinct signatures.
+
+    Vectors of local constraints are made syllable by syllable, equal ones once,
+    and compared within the signature's row; else all scansions are made.
+    """
+    if not (local(meter) and bounding.fits(len(meter.names), meter.longest)):
+        v = vectors(encoded, meter).select(*meter.key, *meter.names)
+        a = undominated(encoded, meter).select(*meter.key, *(F.col(k).alias(f"a_{k}") for k in meter.names))
+        kind = relation([f"a_{k}" for k in meter.names], list(meter.names)).alias("relation")
+        return a.join(v, meter.key).groupBy("n", kind).agg(F.count("*").alias("n_pairs"))
+    kinds = ["equal", "bounds", "unequal"]
+    rows = _per_rhythm(encoded, meter, lambda n, masks: bounding.relations(n, masks, len(meter.names), meter.longest).T, kinds, bounding.TOGETHER // 8)
+    each = F.array(*(F.struct(F.lit(k).alias("relation"), F.col(k).alias("n_pairs")) for k in kinds))
+    sums = rows.groupBy("n").agg(*(F.sum(k).alias(k) for k in kinds))
+    return sums.select("n", F.inline(each)).where("n_pairs > 0")
+
+
 def ranked(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """signature, counts, score, scan_ord, parse_rank: the undominated scansions of every signature, one row each.
 

@@ -101,11 +101,12 @@ LETTER = r"\p{L}"
 def _lines(texts: DataFrame, text_id: str) -> DataFrame:
     """text_id, line (from 0), line_txt. An outer generator: for an inner one a filter would split every text a second time."""
     split = F.split(T.normalize_dashes(T.clean_text(F.col("text"))), r"\s*\n\s*")
-    return texts.select(F.col(text_id).alias("text_id"), F.posexplode_outer(split).alias("line", "line_txt")).where("line_txt is not null")
+    texts = spread(texts.select(F.col(text_id).alias("text_id"), "text"), "text_id")
+    return texts.select("text_id", F.posexplode_outer(split).alias("line", "line_txt")).where("line_txt is not null")
 
 
 def line_parts(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
-    """text_id, line_num, linepart, words: the parse units, made row by row without a shuffle.
+    """text_id, line_num, linepart, words: the parse units, made row by row; only whole texts are dealt out, by id.
 
     Lines are split at line feeds with the white space around them, parts after
     each phrase separator; linepart counts from 1 within its line. Parts without
