@@ -187,19 +187,16 @@ def expectations(rhythms: DataFrame, key: list[str], names: list[str], weights:
 def fit_rhythms(rhythms: DataFrame, key: list[str], names: list[str], regularization: float = 100.0, rounds: int = 60, tolerance: float = 1e-4) -> MeterModel:
     """Weights learned from rhythms with costs, `units` (how many observations) and o_<name> (their counts of violations, summed).
 
-    Each step is one pass over the distinct rhythms; only the sums come to the driver.
+    Each step is one pass over the distinct rhythms, each with its units in its
+    own row, so that nothing is joined or shuffled; what was observed is summed
+    once. Only the sums come to the driver.
     """
+    first = rhythms.agg(*(F.sum(f"o_{k}").alias(f"o_{k}") for k in names)).first()
+    seen = np.array([float(first[f"o_{k}"] or 0.0) for k in names])
 
     def sums(w: np.ndarray) -> tuple[float, np.ndarray]:
-        weights = dict(zip(names, w.tolist(), strict=True))
-        seen = rhythms.select(*key, "units", *(f"o_{k}" for k in names))
-        both = expectations(rhythms, key, names, weights).join(seen, key)
-        out = both.agg(
-            F.sum(F.col("units") * F.col("log_z")).alias("z"),
-            *(F.sum(F.col(f"o_{k}")).alias(f"o_{k}") for k in names),
-            *(F.sum(F.col("units") * F.col(f"e_{k}")).alias(f"e_{k}") for k in names),
-        ).first()
-        seen = np.array([float(out[f"o_{k}"] or 0.0) for k in names])
+        both = expectations(rhythms, [*key, "units"], names, dict(zip(names, w.tolist(), strict=True)))
+        out = both.agg(F.sum(F.col("units") * F.col("log_z")).alias("z"), *(F.sum(F.col("units") * F.col(f"e_{k}")).alias(f"e_{k}") for k in names)).first()
         return float(out["z"] or 0.0) + float(seen @ w), seen - np.array([float(out[f"e_{k}"] or 0.0) for k in names])
 
     return _minimised(sums, names, regularization, rounds, tolerance)
