@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from metrika.sources.scratch import dealt, discard, written
 
@@ -188,20 +192,61 @@ def pause_split(text: Column) -> Column:
 
 
 def heads(nodes: DataFrame) -> DataFrame:
-    """Constituency nodes (text_id, sent_num, node, parent, word_num) -> phrases with head_word, their last word.
+    """Constituency nodes (text_id, sent_num, node, parent, word_num) -> phrases with head_word, their last word, and n_words."""
+    whole = nodes.groupBy("text_id", "sent_num").agg(F.collect_list(F.struct("node", "parent", "word_num")).alias("w"))
+    return heads_of(whole)
+
 
-    Every word is sent to all phrases above it, found along the sentence's own
-    array of parents.
+def heads_of(sentences: DataFrame) -> DataFrame:
+    """Sentences (text_id, sent_num, w: their nodes as node, parent, word_num) -> text_id, sent_num, node, head_word, n_words.
+
+    Words are counted upwards, a node once all below it are counted, so the work
+    goes by nodes and not by the length of their paths. Parents that are not
+    there have no row, nor has what stands on a circle.
     """
-    whole = nodes.groupBy("text_id", "sent_num").agg(F.collect_list(F.struct("node", "parent", "word_num")).alias("w"))
-    above = F.map_from_entries(F.transform("w", lambda x: F.struct(x["node"], x["parent"])))
-    rows = whole.select("text_id", "sent_num", above.alias("up"), F.explode(F.filter("w", lambda x: x["word_num"].isNotNull())).alias("x"))
-    steps = F.sequence(F.lit(1), F.size("up"))
-    climb = lambda a, _: F.when(F.element_at(a, -1).isNull(), a).otherwise(F.array_append(a, F.try_element_at("up", F.element_at(a, -1))))
-    path = F.aggregate(steps, F.array(F.col("x.parent")), climb)
-    phrases = rows.select("text_id", "sent_num", F.explode(F.array_compact(path)).alias("node"), F.col("x.word_num").alias("word_num"))
-    known = phrases.join(dealt(nodes.select("text_id", "sent_num", "node")), ["text_id", "sent_num", "node"], "left_semi")
-    return known.groupBy("text_id", "sent_num", "node").agg(F.max("word_num").alias("head_word"), F.count("*").alias("n_words"))
+    kind = {f.name: f.dataType for f in sentences.schema["w"].dataType.elementType}
+    out = ArrayType(StructType([StructField("node", kind["node"]), StructField("head_word", kind["word_num"]), StructField("n_words", LongType())]))
+    return sentences.select("text_id", "sent_num", F.inline(F.arrow_udf(_words_below, out)("w")))
+
+
+def _words_below(sentences: pa.Array) -> pa.Array:
+    """The nodes of each sentence that have words below them, with the last of these and their number; a batch of sentences at a time."""
+    node, parent, word = sentences.flatten().flatten()
+    size = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy().astype(np.int64)
+    coded = pa.concat_arrays([node, parent]).dictionary_encode()
+    codes = pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy() + 1
+    kinds = len(coded.dictionary) + 1
+    first = np.repeat(np.arange(len(size)), size) * kinds
+    known, own = np.unique(first + codes[: len(node)], return_inverse=True)
+    up = first + codes[len(node) :]
+    to = np.minimum(np.searchsorted(known, up), len(known) - 1)
+    to = np.where((codes[len(node) :] > 0) & (known[to] == up), to, -1) if len(known) else up
+    order = np.argsort(own, kind="stable")
+    rows = np.bincount(own, minlength=len(known))
+    begin = np.cumsum(rows) - rows
+    least = np.iinfo(np.int64).min
+    has = word.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+    value = np.where(has > 0, pc.fill_null(word.cast(pa.int64()), 0).to_numpy(), least)
+    many, last = np.zeros(len(known), np.int64), np.full(len(known), least)
+    waits = np.bincount(to[to >= 0], minlength=len(known))
+    ready = np.flatnonzero(waits == 0)
+    done = np.zeros(len(known), bool)
+    while len(ready):
+        done[ready] = True
+        n = rows[ready]
+        edges = order[np.repeat(begin[ready] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        edges = edges[to[edges] >= 0]
+        above, below = to[edges], own[edges]
+        np.add.at(many, above, many[below] + has[edges])
+        np.maximum.at(last, above, np.maximum(last[below], value[edges]))
+        np.subtract.at(waits, above, 1)
+        ready = np.unique(above)
+        ready = ready[waits[ready] == 0]
+    found = np.flatnonzero(done & (many > 0))
+    sentence, code = np.divmod(known[found], kinds)
+    ends = np.cumsum(np.bincount(sentence, minlength=len(size)))
+    columns = [coded.dictionary.take(pa.array(code - 1)), pa.array(last[found]).cast(word.type), pa.array(many[found])]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays(columns, names=["node", "head_word", "n_words"]))
 
 
 def arto(total: Column, lexical: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from metrika.functions import ortho
@@ -207,16 +207,20 @@ deps AS (SELECT text_id, sent_num, word_num, CASE WHEN word_num = 0 THEN -1 ELSE
   CASE WHEN length(w) > 6 THEN 'NOUN' WHEN length(w) > 4 THEN 'VERB' ELSE 'ADP' END AS pos, CASE WHEN length(w) > 6 THEN 'NN' WHEN length(w) > 4 THEN 'VB' ELSE 'IN' END AS xpos FROM wd)"""
 
 
+def heap_head(k: Column) -> Column:
+    """The head of word k in a heap-shaped tree, -1 for the first."""
+    return F.when(k == 0, -1).otherwise(F.floor(k / 2).cast("int") - F.when(k % 2 == 0, 1).otherwise(0))
+
+
 def dependency_rows(spark, sf_dir):
     """A dependency table with heap-shaped trees over the words of all conversation turns: deterministic stand-in for a parser's output."""
     words = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("text_id"), F.col("turn").cast("int").alias("sent_num"),
         F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word_num", "w"),
     )
-    k, size = F.col("word_num"), F.length("w")
-    head = F.when(k == 0, -1).otherwise(F.floor(k / 2).cast("int") - F.when(k % 2 == 0, 1).otherwise(0))
+    size = F.length("w")
     return words.select(
-        "text_id", "sent_num", "word_num", head.alias("head"),
+        "text_id", "sent_num", "word_num", heap_head(F.col("word_num")).alias("head"),
         F.when(size > 6, "NOUN").when(size > 4, "VERB").otherwise("ADP").alias("pos"),
         F.when(size > 6, "NN").when(size > 4, "VB").otherwise("IN").alias("xpos"),
     )
