@@ -11,8 +11,12 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import phonology as P
 
@@ -189,3 +193,40 @@ def rime_distance(a: Column, b: Column) -> Column:
     read = lambda x: F.transform(segments(x), features)
     far = let(F.struct(read(a).alias("u"), read(b).alias("v")), aligned)
     return F.when(a == b, F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), far)
+
+
+def written_features(ipa: Column) -> Column:
+    """The features of a text's segments as one string, a sign a feature: 0 for -1, 1 for 0, 2 for 1."""
+    signs = F.transform(segments(ipa), lambda s: F.array_join(F.transform(features(s), lambda f: (f + 1).cast("string")), ""))
+    return F.array_join(signs, "")
+
+
+def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Feature edit distances over the longer one's segments; pairs of equal lengths are aligned together."""
+    out = np.full(len(left), np.nan)
+    a, b = (np.asarray(x.to_pylist(), object) for x in (left, right))
+    able = left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False)
+    m, n = (pc.fill_null(pc.binary_length(x), 0).to_numpy().astype(np.int64) // len(FEATURES) for x in (left, right))
+    sizes, kind = np.unique(np.stack([m, n], 1), axis=0, return_inverse=True)
+    order = np.argsort(np.where(able, kind.ravel(), len(sizes)), kind="stable")
+    ends = np.cumsum(np.bincount(kind.ravel()[able], minlength=len(sizes)))
+    for (p, q), which in zip(sizes, np.split(order, ends)[: len(sizes)], strict=True):
+        if p == 0 or q == 0:
+            out[which] = 1.0
+            continue
+        for first in range(0, len(which), 4096):
+            part = which[first : first + 4096]
+            u, v = (np.frombuffer("".join(x[part]).encode(), np.int8).reshape(len(part), k, len(FEATURES)) for x, k in ((a, p), (b, q)))
+            row = [np.full(len(part), float(j)) for j in range(q + 1)]
+            for i in range(p):
+                cost = np.abs(u[:, i, None, :] - v).sum(axis=2) / len(FEATURES)
+                new = [row[0] + 1]
+                for j in range(1, q + 1):
+                    new.append(np.minimum(np.minimum(new[j - 1] + 1, row[j] + 1), row[j - 1] + cost[:, j - 1]))
+                row = new
+            out[part] = row[q] / max(p, q)
+    return pa.array(out, mask=~able)
+
+
+#: The distance of `rime_distance` between two texts' written features, a batch of pairs at a time; null if either is null.
+written_distance = F.arrow_udf(_aligned, DoubleType())

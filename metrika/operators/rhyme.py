@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrika.functions import ortho, segments
-from metrika.sources.scratch import discard, written
+from metrika.sources.scratch import dealt, discard, written
 
 from .units import let
 
@@ -43,10 +43,10 @@ def rime_of_word(word: Column) -> Column:
     return let(ortho.syllables(word), made)
 
 
-def line_ends(lines: DataFrame) -> DataFrame:
-    """(text_id, line_num, words) -> text_id, line_num, word (the last, lower case), rime."""
+def line_ends(lines: DataFrame, *others: Column) -> DataFrame:
+    """(text_id, line_num, words) -> text_id, line_num, word (the last, lower case), `others`, rime."""
     word = F.lower(F.element_at("words", -1))
-    return lines.select("text_id", "line_num", word.alias("word")).withColumn("rime", rime_of_word(F.col("word")))
+    return lines.select("text_id", "line_num", word.alias("word"), *others).withColumn("rime", rime_of_word(F.col("word")))
 
 
 # Accented letters and their base letters.
@@ -60,10 +60,16 @@ def spelling_distance(a: Column, b: Column) -> Column:
 
 
 def distinct_distances(pairs: DataFrame) -> DataFrame:
-    """(a, b) -> a, b, dist: the feature edit distance, once for each distinct pair."""
+    """(a, b) -> a, b, dist: the feature edit distance, once for each distinct pair; features are read once for each distinct rime."""
+    distinct = pairs.select("a", "b").distinct()
     # Few bytes but much work each: as many parts as a shuffle has.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("a", "b").distinct().repartition(parts, "a", "b").withColumn("dist", segments.rime_distance(F.col("a"), F.col("b")))
+    rimes = distinct.select(F.explode(F.array("a", "b")).alias("r")).where("r is not null").distinct().repartition(parts, "r")
+    rimes = rimes.withColumn("v", segments.written_features(F.col("r")))
+    for k in ("a", "b"):
+        distinct = distinct.join(dealt(rimes.select(F.col("r").alias(k), F.col("v").alias(f"v{k}"))), k, "left")
+    dist = F.when(F.col("a") == F.col("b"), 0.0).otherwise(segments.written_distance(F.col("va"), F.col("vb")))
+    return distinct.select("a", "b", dist.alias("dist"))
 
 
 def rime_distances(pairs: DataFrame, max_dist: float | None = MAX_DISTANCE) -> DataFrame:
@@ -79,7 +85,7 @@ def rime_distances(pairs: DataFrame, max_dist: float | None = MAX_DISTANCE) -> D
         return rows.withColumn("dist", F.when(able & (F.col("r1") == F.col("r2")), 0.0)).drop("a", "b")
     far = distinct_distances(rows.where(able & (F.col("r1") != F.col("r2")))).withColumnRenamed("dist", "far")
     dist = F.when(able & (F.col("r1") == F.col("r2")), 0.0).when(able, F.col("far"))
-    out = rows.join(far, ["a", "b"], "left").withColumn("dist", dist).drop("a", "b", "far")
+    out = rows.join(dealt(far), ["a", "b"], "left").withColumn("dist", dist).drop("a", "b", "far")
     return out if max_dist is None else out.withColumn("dist", F.when(F.col("dist") <= max_dist, F.col("dist")))
 
 
@@ -87,37 +93,40 @@ def neighbours(ends: DataFrame, window: int = WINDOW, by: str = "spelling") -> D
     """text_id, i, j, dist of lines at most `window` apart, both ways; equal words and missing rimes give no row.
 
     Distances by 'spelling' (of base letters) or by 'features' (of segments).
-    An equi-join on (text, line): each line is sent to the 2 * window places
-    where it is wanted, so no text's lines meet in one task.
+    An equi-join on (text, line): each line is sent to the `window` places after
+    it where it is wanted, so no text's lines meet in one task; a pair is made
+    once and read both ways.
     """
-    offsets = [k for k in range(-window, window + 1) if k]
     sent = ends.where("rime is not null").select(
         "text_id", F.col("line_num").alias("i"), F.col("word").alias("wi"), F.col("rime").alias("ri"),
-        F.explode(F.array(*(F.col("line_num") + k for k in offsets))).alias("line_num"),
+        F.explode(F.array(*(F.col("line_num") + k for k in range(1, window + 1)))).alias("line_num"),
     )
-    both = sent.join(ends.where("rime is not null"), ["text_id", "line_num"]).where("wi <> word")
-    same = F.col("ri") == F.col("rime")
+    after = ends.where("rime is not null").select("text_id", "line_num", "word", "rime")
+    both = sent.join(dealt(after), ["text_id", "line_num"]).where("wi <> word").withColumnRenamed("line_num", "j")
     if by == "spelling":
-        far = spelling_distance(F.col("ri"), F.col("rime"))
-        return both.select("text_id", "i", F.col("line_num").alias("j"), F.when(same, 0.0).otherwise(far).alias("dist"))
-    if by != "features":
+        dist = F.when(F.col("ri") == F.col("rime"), 0.0).otherwise(spelling_distance(F.col("ri"), F.col("rime")))
+        met = both.select("text_id", "i", "j", dist.alias("dist"))
+    elif by == "features":
+        both = both.select("text_id", "i", "j", F.least("ri", "rime").alias("a"), F.greatest("ri", "rime").alias("b"))
+        met = both.join(dealt(distinct_distances(both)), ["a", "b"])
+    else:
         raise ValueError(f"unknown distance: {by}")
-    both = both.withColumns({"a": F.least("ri", "rime"), "b": F.greatest("ri", "rime")})
-    return both.join(distinct_distances(both), ["a", "b"]).select("text_id", "i", F.col("line_num").alias("j"), "dist")
+    ways = F.array(F.struct("i", "j", "dist"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    return met.select("text_id", F.inline(ways))
 
 
 def _nearest(ends: DataFrame, max_dist: float, window: int, by: str) -> DataFrame:
     """text_id, i, j, mutual: each line's nearest neighbour (ties to the earlier line), if it links with it."""
     near = neighbours(ends, window, by).groupBy("text_id", "i").agg(F.min(F.struct("dist", "j")).alias("m"))
-    near = near.select("text_id", "i", "m.dist", "m.j")
+    near = written(near.select("text_id", "i", "m.dist", "m.j"), "near")
     back = near.select("text_id", F.col("i").alias("j"), F.col("j").alias("back"))
-    rows = near.join(back, ["text_id", "j"], "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("i"), F.lit(False)))
+    rows = near.join(dealt(back), ["text_id", "j"], "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("i"), F.lit(False)))
     return rows.where((F.col("dist") <= max_dist) & (F.col("mutual") | (F.col("dist") <= max_dist / 2))).select("text_id", "i", "j", "mutual")
 
 
 def rhyme_edges(ends: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW, by: str = "spelling") -> DataFrame:
     """text_id, a, b (a < b): a line and its nearest neighbour, if mutual within max_dist or one-way within half of it."""
-    return _nearest(ends, max_dist, window, by).select("text_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    return _nearest(written(ends, "ends"), max_dist, window, by).select("text_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW, by: str = "spelling") -> DataFrame:
@@ -128,7 +137,11 @@ def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WI
     are no longer circles). So a group is where its lines lead to: pointers are
     doubled in joins by line until none moves, whatever the length of a text.
     """
-    ends = line_ends(lines)
+    return rhyme_ids_of(written(line_ends(lines), "ends"), max_dist, window, by)
+
+
+def rhyme_ids_of(ends: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WINDOW, by: str = "spelling") -> DataFrame:
+    """`rhyme_ids` of line ends (text_id, line_num, word, rime), which are read several times and best written before."""
     near = _nearest(ends, max_dist, window, by)
     # The earlier line of a mutual pair points to itself, as does a line that others lead to and that leads nowhere.
     out = near.select("text_id", "i", F.when(F.col("mutual") & (F.col("i") < F.col("j")), F.col("i")).otherwise(F.col("j")).alias("to"))
@@ -136,7 +149,7 @@ def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WI
     while True:
         on = at.select("text_id", F.col("i").alias("to"), F.col("to").alias("next"))
         last, at = at, written(
-            at.join(on, ["text_id", "to"], "left").select("text_id", "i", F.coalesce("next", "to").alias("next"), "to"), "rhymes"
+            at.join(dealt(on), ["text_id", "to"], "left").select("text_id", "i", F.coalesce("next", "to").alias("next"), "to"), "rhymes"
         )
         moved = at.where("next <> to").limit(1).count()
         discard(last)
@@ -146,8 +159,8 @@ def rhyme_ids(lines: DataFrame, max_dist: float = MAX_DISTANCE, window: int = WI
     members = at.select("text_id", F.col("i").alias("line_num"), F.col("to").alias("end")).unionByName(at.select("text_id", F.col("to").alias("line_num"), F.col("to").alias("end"))).distinct()
     first = members.groupBy("text_id", "end").agg(F.min("line_num").alias("root"))
     first = first.withColumn("rhyme_id", F.row_number().over(Window.partitionBy("text_id").orderBy("root")))
-    ids = members.join(first, ["text_id", "end"]).select("text_id", "line_num", "rhyme_id")
-    return ends.select("text_id", "line_num").join(ids, ["text_id", "line_num"], "left").select(
+    ids = members.join(dealt(first), ["text_id", "end"]).select("text_id", "line_num", "rhyme_id")
+    return ends.select("text_id", "line_num").join(dealt(ids), ["text_id", "line_num"], "left").select(
         "text_id", "line_num", F.coalesce("rhyme_id", F.lit(0)).alias("rhyme_id")
     )
 
@@ -198,30 +211,27 @@ def scheme_scores(ids: DataFrame) -> DataFrame:
         rows.append((k, name, scheme, size, [1000 * i + j for i, j in pairs], [sum(j <= c for _, j in pairs) for c in range(size + 1)]))
     table = F.broadcast(spark.createDataFrame(rows, "ord int, form string, scheme string, size int, codes array<int>, upto array<int>"))
     longest = max(r[3] for r in rows)
-    order = Window.partitionBy("text_id").orderBy("line_num")
-    placed = ids.select("text_id", "rhyme_id", (F.row_number().over(order) - 1).alias("at"))
-    whole = placed.groupBy("text_id").agg(F.count("*").cast("int").alias("lines"))
-    rhymed = placed.where("rhyme_id <> 0")
-    sent = rhymed.select("text_id", "rhyme_id", F.col("at").alias("i"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + longest - 1)).alias("at"))
-    pairs = sent.join(rhymed, ["text_id", "rhyme_id", "at"]).select("text_id", "i", F.col("at").alias("j"))
+    text = Window.partitionBy("text_id")
+    lines = F.count("*").over(text).cast("int")
+    placed = written(ids.select("text_id", "rhyme_id", (F.row_number().over(text.orderBy("line_num")) - 1).alias("at"), lines.alias("lines")), "placed")
+    rhymed = placed.where("rhyme_id <> 0").select("text_id", "rhyme_id", "at", "lines")
+    sent = rhymed.select("text_id", "rhyme_id", "lines", F.col("at").alias("i"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + longest - 1)).alias("at"))
+    pairs = sent.join(dealt(rhymed.drop("lines")), ["text_id", "rhyme_id", "at"]).select("text_id", "lines", "i", F.col("at").alias("j"))
     sizes = F.broadcast(spark.createDataFrame([(n,) for n in sorted({r[3] for r in rows})], "size int"))
     in_window = pairs.crossJoin(sizes).where(F.floor(F.col("i") / F.col("size")) == F.floor(F.col("j") / F.col("size"))).select(
-        "text_id", "size", F.floor(F.col("i") / F.col("size")).cast("int").alias("w"), ((F.col("i") % F.col("size") + 1) * 1000 + F.col("j") % F.col("size") + 1).alias("code")
+        "text_id", "lines", "size", F.floor(F.col("i") / F.col("size")).cast("int").alias("w"), ((F.col("i") % F.col("size") + 1) * 1000 + F.col("j") % F.col("size") + 1).alias("code")
     )
-    per = (
-        in_window.join(table.select("size", "ord", "codes"), "size")
-        .groupBy("text_id", "ord", "w")
-        .agg(F.count("*").alias("mine"), F.count(F.when(F.array_contains("codes", F.col("code")), 1)).alias("both"))
-    )
-    full = whole.crossJoin(table)
-    length = F.least(F.col("size"), F.col("lines") - F.col("w") * F.col("size"))
-    wanted = F.get("upto", length.cast("int"))
-    hit = per.join(full, ["text_id", "ord"]).groupBy("text_id", "ord").agg(F.sum(F.col("both") / (F.col("mine") + wanted - F.col("both"))).alias("hit"))
+    # A window's pairs meet once, then each scheme of its size is held against them.
+    per = in_window.groupBy("text_id", "lines", "size", "w").agg(F.collect_list("code").alias("mine")).join(table.select("size", "ord", "codes", "upto"), "size")
+    both = F.size(F.filter("mine", lambda c: F.array_contains("codes", c)))
+    wanted = F.get("upto", F.least(F.col("size"), F.col("lines") - F.col("w") * F.col("size")).cast("int"))
+    hit = per.groupBy("text_id", "ord").agg(F.sum(both / (F.size("mine") + wanted - both)).alias("hit"))
+    hits = hit.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", "hit"))).alias("hits"))
+    full = placed.where("at = 0").select("text_id", "lines").join(dealt(hits), "text_id", "left").crossJoin(table)
     windows = F.ceil(F.col("lines") / F.col("size"))
     short = (F.col("lines") % F.col("size") != 0).cast("int")
-    return full.join(hit, ["text_id", "ord"], "left").select(
-        "text_id", "ord", "form", "scheme", (F.coalesce("hit", F.lit(0.0)) / windows - short).alias("score")
-    )
+    score = F.coalesce(F.try_element_at("hits", "ord"), F.lit(0.0)) / windows - short
+    return full.select("text_id", "ord", "form", "scheme", score.alias("score"))
 
 
 def scheme_match(ids: DataFrame, top: int = 1) -> DataFrame:

@@ -128,6 +128,17 @@ def whole_lines(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
     return lines.where(F.col("line_txt").rlike(LETTER)).select("text_id", (F.col("line") + 1).alias("line_num"), T.word_array(F.col("line_txt")).alias("words"))
 
 
+#: From the last word with a letter on: read backwards from the end, no other word is cut out.
+LAST_WORD = rf"(?s)^.*(?<![\p{{L}}\p{{N}}_'])([\p{{L}}\p{{N}}_']*\p{{L}}[\p{{L}}\p{{N}}_']*)"
+
+
+def line_ends(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
+    """`whole_lines` with the last word of each line alone: all that rhymes read."""
+    lines = _lines(texts, text_id)
+    word = F.regexp_extract("line_txt", LAST_WORD, 1)
+    return lines.where(F.col("line_txt").rlike(LETTER)).select("text_id", (F.col("line") + 1).alias("line_num"), F.array(word).alias("words"))
+
+
 def sentences(texts: DataFrame, text_id: str = "doc_id") -> DataFrame:
     """text_id, sent_num, sentence: split after . ! ? (and closing quotes) before white space."""
     cut = F.split(F.regexp_replace("text", r"([.!?][\"')]?)(\s+)", "$1\u0001$2"), "\u0001")

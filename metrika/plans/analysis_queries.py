@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metrika.functions import ortho
 from metrika.operators import form, parse, rhyme, tokens, trees, units
 from metrika.sources import corpus
+from metrika.sources.scratch import dealt, written
 
 from . import sql as S
 from .parse_queries import encoded
@@ -39,10 +40,14 @@ def lines(spark, sf_dir):
     return tokens.whole_lines(docs(spark, sf_dir))
 
 
+def ends(spark, sf_dir):
+    return tokens.line_ends(docs(spark, sf_dir))
+
+
 @query(f"WITH {ENDS} SELECT * FROM ends")
 def rime(spark, sf_dir):
     """The rime of every line's last word."""
-    return rhyme.line_ends(lines(spark, sf_dir))
+    return rhyme.line_ends(ends(spark, sf_dir))
 
 
 @query(
@@ -53,7 +58,7 @@ def rime(spark, sf_dir):
 )
 def rhyming_lines_exact(spark, sf_dir):
     """Lines with an exact rhyme before them in their text, and the nearest."""
-    return rhyme.rhyming_lines(lines(spark, sf_dir))
+    return rhyme.rhyming_lines(ends(spark, sf_dir))
 
 
 EDGES = f"""{ENDS}, good AS (SELECT * FROM ends WHERE rime IS NOT NULL),
@@ -68,7 +73,7 @@ edges AS (SELECT DISTINCT n.text_id, least(n.i, n.j) AS a, greatest(n.i, n.j) AS
 @query(f"WITH {EDGES} SELECT * FROM edges")
 def rhyme_edges(spark, sf_dir):
     """Rhyme links between nearest neighbours within four lines (spelling distance)."""
-    return rhyme.rhyme_edges(rhyme.line_ends(lines(spark, sf_dir)))
+    return rhyme.rhyme_edges(rhyme.line_ends(ends(spark, sf_dir)))
 
 
 IDS = f"""{EDGES.replace('WITH ', '')},
@@ -82,7 +87,7 @@ ids AS (SELECT e.text_id, e.line_num, CAST(CASE WHEN root IS NULL THEN 0 ELSE ri
 @query(f"WITH RECURSIVE {IDS} SELECT * FROM ids")
 def rhyme_ids(spark, sf_dir):
     """Rhyme groups by line, numbered by first appearance."""
-    return rhyme.rhyme_ids(lines(spark, sf_dir))
+    return rhyme.rhyme_ids(ends(spark, sf_dir))
 
 
 _SCHEMES = ", ".join(
@@ -104,7 +109,7 @@ ranked AS (SELECT text_id, form, scheme, score, CAST(row_number() OVER (PARTITIO
 @query(f"WITH RECURSIVE {SCORES} SELECT text_id, rank, form, scheme, round(score, 6) AS accuracy FROM ranked WHERE rank <= 5")
 def scheme_match(spark, sf_dir):
     """The five named rhyme schemes that fit each text best."""
-    return rhyme.scheme_match(rhyme.rhyme_ids(lines(spark, sf_dir)), top=5)
+    return rhyme.scheme_match(rhyme.rhyme_ids(ends(spark, sf_dir)), top=5)
 
 
 LENGTHS = f"""lw AS (SELECT text_id, line_num, unnest(words) AS w FROM units),
@@ -113,8 +118,16 @@ ls AS (SELECT text_id, line_num, CAST(sum(len({S.CHUNKS('w')})) AS INTEGER) AS l
 
 def line_lengths(spark, sf_dir):
     """Canonical syllables of every line."""
-    total = F.aggregate("words", F.lit(0), lambda a, w: a + F.size(ortho.syllables(w)))
-    return lines(spark, sf_dir).select("text_id", "line_num", total.alias("length"))
+    return lines(spark, sf_dir).select("text_id", "line_num", _length())
+
+
+def _length():
+    return F.aggregate("words", F.lit(0), lambda a, w: a + F.size(ortho.syllables(w))).alias("length")
+
+
+def rhymed_lengths(spark, sf_dir):
+    """Line ends with the lines' lengths, all read from the texts once."""
+    return written(rhyme.line_ends(lines(spark, sf_dir), _length()), "ends")
 
 
 @query(
@@ -126,7 +139,8 @@ def line_lengths(spark, sf_dir):
 )
 def is_sonnet(spark, sf_dir):
     """Sonnet predicates."""
-    return form.sonnets(line_lengths(spark, sf_dir), rhyme.scheme_match(rhyme.rhyme_ids(lines(spark, sf_dir))))
+    rows = rhymed_lengths(spark, sf_dir)
+    return form.sonnets(rows.select("text_id", "line_num", "length"), rhyme.scheme_match(rhyme.rhyme_ids_of(rows)))
 
 
 def _template_sql(lengths: str, beat: bool) -> str:
@@ -193,9 +207,8 @@ def meter_type(spark, sf_dir):
 )
 def summary_rows(spark, sf_dir):
     """The rows of a text's summary."""
-    ends = rhyme.line_ends(lines(spark, sf_dir))
-    ids = rhyme.rhyme_ids(lines(spark, sf_dir))
-    rows = ids.join(ends, ["text_id", "line_num"]).join(line_lengths(spark, sf_dir), ["text_id", "line_num"])
+    found = rhymed_lengths(spark, sf_dir)
+    rows = rhyme.rhyme_ids_of(found).join(dealt(found), ["text_id", "line_num"])
     letter = rhyme.scheme_letters(F.array("rhyme_id"))
     return rows.select("text_id", "line_num", F.col("word").alias("last_word"), "rime", F.col("length").alias("n_sylls"), "rhyme_id", letter.alias("letter"))
 

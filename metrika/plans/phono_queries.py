@@ -183,7 +183,7 @@ _NEIGHBOURS = f"""{ENDS.removeprefix('WITH ')}, good AS (SELECT * FROM ends WHER
 )
 def feature_edit_distance(spark, sf_dir):
     """Feature edit distances of the distinct rimes that neighbouring lines end in."""
-    ends = rhyme.line_ends(tokens.whole_lines(docs(spark, sf_dir))).where("rime is not null")
+    ends = rhyme.line_ends(tokens.line_ends(docs(spark, sf_dir))).where("rime is not null")
     after = ends.select("text_id", (F.col("line_num") - 1).alias("line_num"), F.col("rime").alias("b"))
     pairs = ends.select("text_id", "line_num", F.col("rime").alias("a")).join(after, ["text_id", "line_num"])
     return rhyme.distinct_distances(pairs).withColumn("dist", F.round("dist", 6))
@@ -197,4 +197,4 @@ def feature_edit_distance(spark, sf_dir):
 )
 def rhyme_ids_by_features(spark, sf_dir):
     """Rhyme groups by feature edit distance of rimes."""
-    return rhyme.rhyme_ids(tokens.whole_lines(docs(spark, sf_dir)), by="features")
+    return rhyme.rhyme_ids(tokens.line_ends(docs(spark, sf_dir)), by="features")
