@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from metrika.sources import corpus, scratch
 
@@ -27,7 +30,11 @@ def parse_lists(lines: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFra
     unit compete: a scansion of one that a scansion of the other dominates is
     dropped. Equal counts never drop each other.
     """
-    distinct = units.rhythms(lines, meter.longest).select(*RHYTHM).distinct()
+    return lists_of(units.rhythms(lines, meter.longest).select(*RHYTHM).distinct(), meter)
+
+
+def lists_of(distinct: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
+    """`parse_lists` of a table of distinct RHYTHM."""
     encoded = units.variants(distinct.select(*RHYTHM, *(F.col(c).alias(f"{c}_") for c in RHYTHM)))
     of = [f"{c}_" for c in RHYTHM]
     found = encoded.join(parse.undominated(encoded, meter), meter.key)
@@ -129,24 +136,54 @@ def combined(lines: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
 
     text_id, line_num, linepart (the first part), n_product (how many pairs of
     parses), n_kept (those that no other pair dominates), best_score, and the
-    counts of the best pair. Work goes by distinct pairs of rhythms and by
-    distinct counts, each with how many pairs have them.
+    counts of the best pair. Rhythms with the same counts, each with how many
+    parses have them, share a front (told apart by 128 bits), and work goes by
+    distinct pairs of fronts, whichever comes first, each in a row of its own.
     """
     names = meter.names
-    lists = parse_lists(lines, meter)
-    each = lists.select(F.xxhash64(*RHYTHM).alias("r"), F.explode("parses").alias("p")).groupBy("r", *(F.col(f"p.v.{k}").alias(k) for k in names)).agg(F.count("*").alias("many"))
-    rows = units.rhythms(lines, meter.longest).select(*UNIT, F.xxhash64(*RHYTHM).alias("r"))
-    after = rows.select("text_id", "line_num", (F.col("linepart") - 1).alias("linepart"), F.col("r").alias("r2"))
-    pairs = rows.join(after, UNIT)
-    distinct = pairs.select("r", "r2").distinct()
-    second = each.select(F.col("r").alias("r2"), *(F.col(k).alias(f"{k}_2") for k in names), F.col("many").alias("many_2"))
-    sums = distinct.join(each, "r").join(second, "r2")
-    vectors = sums.groupBy("r", "r2", *((F.col(k) + F.col(f"{k}_2")).alias(k) for k in names)).agg(F.sum(F.col("many") * F.col("many_2")).alias("many"))
-    whole = vectors.groupBy("r", "r2").agg(F.sum("many").alias("n_product"))
-    kept = parse.undominated_of(vectors, ["r", "r2"], names).withColumn("score", C.score(names, meter.weights))
-    best = kept.groupBy("r", "r2").agg(F.sum("many").alias("n_kept"), F.min(F.struct(F.col("score").alias("best_score"), *names)).alias("b"))
-    found = whole.join(best, ["r", "r2"]).select("r", "r2", "n_product", "n_kept", "b.*")
-    return pairs.join(found, ["r", "r2"]).drop("r", "r2")
+    rows = scratch.written(units.rhythms(lines, meter.longest).select(*UNIT, F.struct(*RHYTHM).alias("r")), "rhythms")
+    lists = lists_of(rows.select("r.*").distinct(), meter)
+    each = lists.select(F.struct(*RHYTHM).alias("r"), F.explode("parses").alias("p")).groupBy("r", *(F.col(f"p.v.{k}").cast("long").alias(k) for k in names)).agg(F.count("*").alias("many"))
+    fronts = each.groupBy("r").agg(F.array_sort(F.collect_list(F.array(*names, "many"))).alias("f"))
+    fronts = scratch.written(fronts.select("r", "f", F.unhex(F.md5(F.to_json("f"))).alias("h")), "fronts")
+    at = scratch.written(rows.join(scratch.dealt(fronts.select("r", "h")), "r").select(*UNIT, "h"), "units")
+    after = at.select("text_id", "line_num", (F.col("linepart") - 1).alias("linepart"), F.col("h").alias("h2"))
+    pairs = at.join(scratch.dealt(after), UNIT).select(*UNIT, F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"))
+    kinds = fronts.groupBy("h").agg(F.first("f").alias("f"))
+    met = pairs.select("a", "b").distinct()
+    for k in ("a", "b"):
+        met = met.join(scratch.dealt(kinds.select(F.col("h").alias(k), F.col("f").alias(f"f{k}"))), k)
+    kept = F.transform(_front_sums("fa", "fb"), lambda v: F.struct(*(v[k].alias(x) for k, x in enumerate((*names, "many")))))
+    many = lambda f: F.aggregate(f, F.lit(0).cast("long"), lambda s, v: s + v[len(names)])
+    found = met.select("a", "b", (many("fa") * many("fb")).alias("n_product"), F.inline(kept)).withColumn("score", C.score(names, meter.weights))
+    best = found.groupBy("a", "b").agg(F.first("n_product").alias("n_product"), F.sum("many").alias("n_kept"), F.min(F.struct(F.col("score").alias("best_score"), *(F.col(k).cast("int").alias(k) for k in names))).alias("best"))
+    return pairs.join(scratch.dealt(best), ["a", "b"]).select(*UNIT, "n_product", "n_kept", "best.*")
+
+
+def _sums(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Sums of two fronts (counts, then how many have them): equal ones added up, dominated ones dropped."""
+
+    def added(f: list[list[int]], g: list[list[int]]) -> np.ndarray:
+        x, y = np.asarray(f, np.int64), np.asarray(g, np.int64)
+        every = (x[:, None, :-1] + y[None, :, :-1]).reshape(-1, x.shape[1] - 1)
+        vectors, place = np.unique(every, axis=0, return_inverse=True)
+        many = np.zeros(len(vectors), np.int64)
+        np.add.at(many, place.ravel(), np.outer(x[:, -1], y[:, -1]).ravel())
+        # No two vectors are equal, so what is nowhere greater is less somewhere.
+        kept = np.zeros(len(vectors), bool)
+        for first in range(0, len(vectors), 256):
+            part = vectors[first : first + 256]
+            below = np.ones((len(part), len(vectors)), bool)
+            for k in range(vectors.shape[1]):
+                below &= vectors[None, :, k] <= part[:, None, k]
+            kept[first : first + 256] = below.sum(axis=1) == 1
+        return np.column_stack([vectors, many])[kept]
+
+    found = [added(f, g) for f, g in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+    return pa.array([f.tolist() for f in found], pa.list_(pa.list_(pa.int64())))
+
+
+_front_sums = F.arrow_udf(_sums, ArrayType(ArrayType(LongType())))
 
 
 def parse_corpus(
