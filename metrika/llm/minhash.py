@@ -176,7 +176,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     more = _confirmed(rest, texts, n, percent)
     all_links = links.unionByName(more)
     discard(opened, found)
-    label = components(all_links.select("a", "b"))
+    # The components found before are stars, which the further links join.
+    known = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = components(known.unionByName(more.select("a", "b")))
 
     degree = (
         all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -80,6 +80,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts in one array; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _repeats(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Whether an equal value of the same text stands earlier."""
     out = np.zeros(len(doc), bool)
@@ -106,17 +113,21 @@ def fit(texts: list[str | None], grades: list[int], levels: int, counts: list[in
     for first, part in chunks(texts):
         row, col, value = features(part)
         key, at = np.unique((row + first) * np.int64(WIDTH) + col, return_inverse=True)
-        rows.append(key // WIDTH)
-        cols.append(key % WIDTH)
+        # The driver holds all entries of the sample at once: at half the width, and no list of parts beside them.
+        rows.append((key // WIDTH).astype(np.int32))
+        cols.append((key % WIDTH).astype(np.int32))
         values.append(np.bincount(at, weights=value))
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    del key, at
+    row, col, value = joined(rows), joined(cols), joined(values)
     size = len(y)
     spread = np.sqrt(np.bincount(col, weights=value**2, minlength=WIDTH) / size)
     often = np.bincount(col, minlength=WIDTH) >= max(3, size // 500)
     unit = np.where(often & (spread > 0), 1 / np.maximum(spread, 1e-4), 0.0) ** 0.5
-    value = value * unit[col]
+    value *= unit[col]
     used = value > 0
-    row, col, value = row[used], col[used], value[used]
+    row = row[used]
+    col = col[used]
+    value = value[used]
     weight = (1.0 / np.maximum(have, 1))[y] / (have > 0).sum()
     # Thresholds: the first free, then positive gaps; Adam on everything.
     gap = np.concatenate(([theta[0] if np.isfinite(theta[0]) else 0.0], np.log(np.maximum(np.diff(theta), 1e-2))))
@@ -191,7 +202,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = SAMP
         .orderBy("doc_id")
         .collect()
     )
-    return fit([r["text"] for r in found], [r["grade__"] for r in found], levels, [counts.get(k, 0) for k in range(levels)])
+    texts, grades = [r["text"] for r in found], [r["grade__"] for r in found]
+    del found
+    return fit(texts, grades, levels, [counts.get(k, 0) for k in range(levels)])
 
 
 def scored(docs: DataFrame, model: Model, level: int = 1) -> DataFrame:
