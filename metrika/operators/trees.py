@@ -7,9 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from metrika.sources.scratch import dealt, discard, written
+from metrika.sources.scratch import dealt, written
 
 # Tags of content words and common nouns.
 CONTENT_UPOS = ["NOUN", "VERB", "ADJ", "ADV", "PROPN"]
@@ -101,24 +101,6 @@ def prominence(rows: DataFrame, value: str, by: list[str], order: str) -> DataFr
     return rows.withColumn("strength", F.when(F.col("peak"), 1).when(F.col("valley"), -1).otherwise(0))
 
 
-def _doubled(state: DataFrame, rounds: int, merge) -> DataFrame:
-    """(keys, node, up, ...) with every pointer doubled until it leaves the tree; `merge` tells what a node takes from where it points and from who points to it.
-
-    Written in each round, so a tree of any depth takes as many joins as its
-    depth has binary digits. Nodes that still point somewhere after `rounds` stand
-    in a circle or lead into one and are left out.
-    """
-    for _ in range(rounds):
-        if not state.where("up is not null").take(1):
-            break
-        last, state = state, written(merge(state), "tree")
-        discard(last)
-    return state.where("up is null")
-
-
-_NODE = ["text_id", "sent_num", "node"]
-
-
 def tree_stress(nodes: DataFrame) -> DataFrame:
     """Constituency nodes (text_id, sent_num, node, parent, label, word_num, lstress) -> adds pstress and total to words.
 
@@ -127,47 +109,112 @@ def tree_stress(nodes: DataFrame) -> DataFrame:
     `total` is a word's lexical stress plus the sum of losses on its path. A
     daughter is stressed if a word below it is (lstress over -1; null counts as
     not stressed). Nodes whose path runs in a circle are left out; a parent that
-    is not there is the root.
+    is not there is the root. Of rows that repeat a node the first, in order of
+    parent, is the one that others stand under.
     """
-    keys = _NODE[:2]
-    most = nodes.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    rounds = int(most).bit_length() + 1
-    inner = nodes.select(*keys, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    there = nodes.select(*keys, F.col("node").alias("parent"), F.col("node").alias("up"), F.col("label").alias("above"))
-    rows = nodes.join(dealt(inner), _NODE, "left").join(dealt(there), [*keys, "parent"], "left")
-    leaf = F.col("inner").isNull()
-    rows = written(rows.select(*_NODE, "up", "above", "label", "word_num", F.col("lstress").cast("double").alias("lstress"), leaf.alias("leaf")), "nodes")
-
-    # Whether a stressed word stands below a node: what the nodes that point to it know.
-    def gathered(state: DataFrame) -> DataFrame:
-        below = state.where("up is not null").groupBy(*keys, F.col("up").alias("node")).agg(F.max("has").alias("below"))
-        further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
-        out = state.join(dealt(further), [*keys, "up"], "left").join(dealt(below), _NODE, "left")
-        return out.select(*_NODE, F.col("next").alias("up"), (F.col("has") | F.coalesce("below", F.lit(False))).alias("has"))
-
-    start = rows.select(*_NODE, "up", (F.col("leaf") & F.coalesce(F.col("lstress") > -1, F.lit(False))).alias("has"))
-    known = _doubled(written(start, "tree"), rounds, gathered).select(*_NODE, "has")
-
-    daughters = rows.join(dealt(known), _NODE).where("up is not null").select(*keys, "up", "above", "node", F.coalesce(F.col("label").startswith("NN"), F.lit(False)).alias("noun"), "has")
-    family = daughters.groupBy(*keys, "up").agg(F.first("above").alias("above"), F.array_sort(F.collect_list(F.struct("node", "noun", "has"))).alias("d"))
-    last = lambda test: F.coalesce(F.array_max(F.transform("d", lambda x, k: F.when(test(x), k).otherwise(-1))), F.lit(-1))
-    other, able = last(lambda x: ~x["noun"]), last(lambda x: x["has"])
-    nouns = F.coalesce(F.col("above") == "NP", F.lit(False)) & (F.size("d") - 1 - other > 1)
-    at = F.when(nouns, other + 1).when(able >= 0, able).otherwise(F.size("d") - 1)
-    lost = family.where(F.size("d") > 1).withColumn("head", F.get("d", at)["node"]).select(*keys, "head", F.explode("d").alias("x"))
-    lost = lost.select(*keys, F.col("x.node").alias("node"), F.when(F.col("x.node") == F.col("head"), 0).otherwise(-1).alias("loss"))
-    loss = written(rows.join(dealt(lost), _NODE, "left").select(*_NODE, "up", F.coalesce("loss", F.lit(0)).alias("loss")), "loss")
-
-    def added(state: DataFrame) -> DataFrame:
-        further = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
-        out = state.join(dealt(further), [*keys, "up"], "left")
-        return out.select(*_NODE, F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"))
-
-    sums = _doubled(written(loss.withColumnRenamed("loss", "sum"), "tree"), rounds, added).select(*_NODE, "sum")
-    words = rows.where("leaf").join(dealt(loss.select(*_NODE, "loss")), _NODE).join(dealt(sums), _NODE)
-    return words.select(
-        *keys, F.col("word_num").cast("int").alias("word_num"), "lstress", F.col("loss").cast("double").alias("pstress"), (F.col("lstress") + F.col("sum")).alias("total")
-    )
+    return _stressed(written(_sentences(nodes), "sentences"))
+
+
+def _sentences(nodes: DataFrame, *more: str) -> DataFrame:
+    """text_id, sent_num, w: the sentence's nodes in order; the one shuffle that trees take."""
+    node = F.struct("node", "parent", "label", F.col("word_num").cast("int").alias("word_num"), F.col("lstress").cast("double").alias("lstress"), *more)
+    known = nodes.where("text_id is not null and sent_num is not null and node is not null")
+    return known.groupBy("text_id", "sent_num").agg(F.array_sort(F.collect_list(node)).alias("w"))
+
+
+def _stressed(sentences: DataFrame) -> DataFrame:
+    """The words of `tree_stress`, each sentence within its row: up the tree who is stressed, then which daughters lose, then down the sums."""
+    column = lambda test: F.transform("w", test)
+    on = sentences.withColumn("up", F.arrow_udf(_parents, ArrayType(LongType()))(column(lambda x: F.struct(x["node"].alias("node"), x["parent"].alias("parent")))))
+    on = written(on, "places")
+    bare = column(lambda x: F.coalesce(x["lstress"] > -1, F.lit(False)))
+    has = F.arrow_udf(_has_below, ArrayType(BooleanType()))
+    on = written(on.withColumn("has", has("up", bare)), "stressed")
+    nouns = column(lambda x: F.coalesce(x["label"].startswith("NN"), F.lit(False)))
+    phrases = column(lambda x: F.coalesce(x["label"] == "NP", F.lit(False)))
+    sums = F.arrow_udf(_losses, ArrayType(StructType([StructField("leaf", BooleanType()), StructField("loss", LongType()), StructField("sum", LongType())])))
+    on = written(on.select("text_id", "sent_num", column(lambda x: F.struct(x["word_num"].alias("word_num"), x["lstress"].alias("lstress"))).alias("w"), sums("up", "has", nouns, phrases).alias("s")), "sums")
+    rows = on.select("text_id", "sent_num", F.inline(F.arrays_zip("w", "s"))).where("s.leaf and s.sum is not null")
+    return rows.select("text_id", "sent_num", "w.word_num", "w.lstress", F.col("s.loss").cast("double").alias("pstress"), (F.col("w.lstress") + F.col("s.sum")).alias("total"))
+
+
+def _edges(up: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of sentences: how many nodes each has, each node's parent among all (-1: none), and its rank by steps to the root (-1: none).
+
+    Pointers double, so the rounds go by the digits of the depth.
+    """
+    size = pc.list_value_length(up).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = up.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    to = np.where(place >= 0, place + np.repeat(np.cumsum(size) - size, size), -1)
+    depth, at = (to >= 0).astype(np.int64), to.copy()
+    for _ in range(int(size.max(initial=0)).bit_length() + 1):
+        on = np.flatnonzero(at >= 0)
+        if not len(on):
+            break
+        depth[on], at[on] = depth[on] + depth[at[on]], at[at[on]]
+    return size, to, np.where(at >= 0, -1, depth)
+
+
+def _levels(depth: np.ndarray, to: np.ndarray) -> list[np.ndarray]:
+    """Nodes below a root by their depth, from 1."""
+    order = np.argsort(depth, kind="stable")
+    order = order[np.searchsorted(depth[order], 1) :]
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
+
+
+def _listed(size: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values)
+
+
+def _parents(nodes: pa.Array) -> pa.Array:
+    """Where in its sentence each node's parent stands, -1 if it is not there."""
+    node, parent = nodes.flatten().flatten()
+    size = pc.list_value_length(nodes).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pa.concat_arrays([node, parent]).dictionary_encode()
+    codes = pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False) + 1
+    begin = np.cumsum(size) - size
+    base = np.repeat(np.arange(len(size)), size) * (len(coded.dictionary) + 1)
+    known, first = np.unique(base + codes[: len(node)], return_index=True)
+    wanted = base + codes[len(node) :]
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    there = (codes[len(node) :] > 0) & (known[at] == wanted) if len(known) else np.zeros(0, bool)
+    place = np.where(there, first[at] - np.repeat(begin, size), -1) if len(known) else np.zeros(0, np.int64)
+    return _listed(size, pa.array(place))
+
+
+def _has_below(up: pa.Array, stressed: pa.Array) -> pa.Array:
+    """Whether a node is a stressed word or has one below it."""
+    size, to, depth = _edges(up)
+    has = stressed.flatten().to_numpy(zero_copy_only=False).astype(bool)
+    has[to[to >= 0]] = False  # a phrase has no stress of its own
+    for level in reversed(_levels(depth, to)):
+        has[to[level[has[level]]]] = True
+    return _listed(size, pa.array(has))
+
+
+def _losses(up: pa.Array, has: pa.Array, noun: pa.Array, phrase: pa.Array) -> pa.Array:
+    """leaf, loss and its sum on the path of every node (null on circles and what leads into them)."""
+    size, to, depth = _edges(up)
+    has, noun, phrase = (x.flatten().to_numpy(zero_copy_only=False).astype(bool) for x in (has, noun, phrase))
+    leaf = np.ones(len(to), bool)
+    leaf[to[to >= 0]] = False
+    # Daughters in the order of their phrases, and within these in their own.
+    child = np.flatnonzero((to >= 0) & (depth > 0))
+    child = child[np.argsort(to[child], kind="stable")]
+    begin = np.flatnonzero(np.diff(to[child], prepend=-1))
+    many = np.diff(begin, append=len(child))
+    place = np.arange(len(child)) - np.repeat(begin, many)
+    last = lambda test: np.maximum.reduceat(np.where(test, place, -1), begin) if len(child) else begin
+    other, able = last(~noun[child]), last(has[child])
+    tail = phrase[to[child[begin]]] & (many - 1 - other > 1)
+    head = np.where(tail, other + 1, np.where(able >= 0, able, many - 1))
+    loss = np.zeros(len(to), np.int64)
+    loss[child] = -(place != np.repeat(head, many)).astype(np.int64)
+    sums = loss.copy()
+    for level in _levels(depth, to):
+        sums[level] += sums[to[level]]
+    columns = [pa.array(leaf), pa.array(loss), pa.array(sums, mask=depth < 0)]
+    return _listed(size, pa.StructArray.from_arrays(columns, names=["leaf", "loss", "sum"]))
 
 
 def sentence_grid(words: DataFrame) -> DataFrame:
@@ -277,14 +324,18 @@ def statistics(nodes: DataFrame) -> DataFrame:
     ambig_monosyll count the sentence's ambiguous words; contour writes the means
     in order. A null n_syll counts as several syllables.
     """
-    keys = _NODE[:2]
+    keys = ["text_id", "sent_num"]
     how = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for k, m in enumerate(("m1", "m2a", "m2b")))))
     mono = F.coalesce(F.col("n_syll") == 1, F.lit(False))
-    low = (F.col("how.m") == "m2b") | ((F.col("how.m") == "m2a") & mono)
-    three = nodes.withColumn("how", how)
-    three = three.withColumn("lstress", F.when(F.col("lstress") == -0.5, F.when(low, -1.0).otherwise(0.0)).otherwise(F.col("lstress")))
-    # The disambiguations are trees of their own, so all three take the joins of one.
-    found = tree_stress(three.withColumn("text_id", F.struct("text_id", "how.m"))).select("text_id.*", "sent_num", "word_num", "total")
+
+    def own_stress(x):
+        low = (F.col("how.m") == "m2b") | ((F.col("how.m") == "m2a") & x["mono"])
+        return F.when(x["lstress"] == -0.5, F.when(low, -1.0).otherwise(0.0)).otherwise(x["lstress"])
+
+    # The disambiguations are trees of their own, made of a sentence once its nodes are together.
+    three = written(_sentences(nodes.withColumn("mono", mono), "mono"), "sentences").withColumn("how", how)
+    three = three.select(F.struct("text_id", "how.m").alias("text_id"), "sent_num", F.transform("w", lambda x: x.withField("lstress", own_stress(x))).alias("w"))
+    found = _stressed(three).select("text_id.*", "sent_num", "word_num", "total")
     pick = lambda m: F.max(F.when(F.col("m") == m, F.col("total"))).alias(m)
     wide = found.groupBy(*keys, "word_num").agg(*map(pick, ("m1", "m2a", "m2b")))
     wide = wide.withColumn("mean", (F.col("m1") + F.col("m2a") + F.col("m2b")) / 3)
