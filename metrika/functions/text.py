@@ -1,7 +1,9 @@
-"""Text scalar functions: cleaning, dashes, token patterns, stress marks. Built-in functions only."""
+"""Text scalar functions: cleaning, dashes, token patterns, stress marks. Built-in functions only, but for `cleaned`."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,20 @@ def normalize_dashes(text: Column) -> Column:
     return F.regexp_replace(text, "-{2,}", "—")
 
 
+_DASHES = re.compile("-{2,}").sub
+
+
+def cleaned(text: str) -> str:
+    """`clean_text` and `normalize_dashes` of one text, for the passes that read whole texts in Python."""
+    has_entities = "&" in text  # no replacement makes the first one
+    for old, new in REPLACEMENTS:
+        if has_entities or old[0] != "&":
+            text = text.replace(old, new)
+    for old, new in zip("‘’“”", "''\"\"", strict=True):
+        text = text.replace(old, new)
+    return _DASHES("—", text) if "--" in text else text
+
+
 def token_array(text: Column) -> Column:
     """The tokens of a text in order, each with the white space before it; trailing white space is dropped."""
     marked = F.regexp_replace(normalize_dashes(text), r"[^\p{L}\p{N}_' -—–\n]", "\x01")

@@ -261,17 +261,19 @@ def _walked(encoded: DataFrame, meter: Meter) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(schema))
 
 
-def _per_rhythm(encoded: DataFrame, meter: Meter, tell, names: list[str], together: int = bounding.TOGETHER) -> DataFrame:
+def _per_rhythm(encoded: DataFrame, meter: Meter, tell, names: list[str]) -> DataFrame:
     """Distinct signatures -> their key and the longs that tell(n, cost masks) gives of a batch of them, each in its own row."""
     spark, key = encoded.sparkSession, meter.key
     rows = signatures(encoded, meter)
     kinds = dict(rows.dtypes)
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).select(*key, *bounding.costs(meter.names))
+    # Most rhythms that the constraints don't tell apart differ in heavy syllables alone: they come side by side.
+    near = [k for k in key if k != "he"]
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *near).sortWithinPartitions(*near).select(*key, *bounding.costs(meter.names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, together):
-                part = batch.slice(first, together)
+            for first in range(0, batch.num_rows, bounding.TOGETHER):
+                part = batch.slice(first, bounding.TOGETHER)
                 masks = [part.column(k).to_numpy() for k in range(len(key), part.num_columns)]
                 told = tell(part.column(0).to_numpy().astype(np.int64), masks)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(key))), *(pa.array(x) for x in told)], names=[*key, *names])
@@ -300,6 +302,26 @@ def totals(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     return _per_rhythm(encoded, meter, tell, ["n_scansions", *meter.names])
 
 
+def score_range(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """signature, least and mean: the lowest and the average score over all scansions of every distinct signature.
+
+    For local constraints and weights as in `additive` the lowest comes from a
+    min-plus pass and the average from sums by syllables; else all scansions are made.
+    """
+    if not additive(meter):
+        return scored(encoded, meter).groupBy(*meter.key).agg(F.min("score").alias("least"), F.avg("score").alias("mean"))
+    names = list(meter.names)
+    weights = np.array([round(w * MILLION) for w in meter.weights.values()], np.int64)
+
+    def tell(n, masks):
+        least, _ = bounding.lightest(n, np.column_stack(masks), weights, meter.longest)
+        many, sums = bounding.summed(n, masks, len(names), meter.longest)
+        return [least, many, *sums.T]
+
+    rows = _per_rhythm(encoded, meter, tell, ["least__", "many__", *names])
+    return rows.select(*meter.key, (F.col("least__") / MILLION).alias("least"), (C.score(meter.names, meter.weights) / F.col("many__")).alias("mean"))
+
+
 def relations(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     """n, relation, n_pairs: how undominated vectors stand to all vectors of their signature, over all distinct signatures.
 
@@ -312,7 +334,7 @@ def relations(encoded: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
         kind = relation([f"a_{k}" for k in meter.names], list(meter.names)).alias("relation")
         return a.join(v, meter.key).groupBy("n", kind).agg(F.count("*").alias("n_pairs"))
     kinds = ["equal", "bounds", "unequal"]
-    rows = _per_rhythm(encoded, meter, lambda n, masks: bounding.relations(n, masks, len(meter.names), meter.longest).T, kinds, bounding.TOGETHER // 8)
+    rows = _per_rhythm(encoded, meter, lambda n, masks: bounding.relations(n, masks, len(meter.names), meter.longest).T, kinds)
     each = F.array(*(F.struct(F.lit(k).alias("relation"), F.col(k).alias("n_pairs")) for k in kinds))
     sums = rows.groupBy("n").agg(*(F.sum(k).alias(k) for k in kinds))
     return sums.select("n", F.inline(each)).where("n_pairs > 0")

@@ -10,7 +10,9 @@ begins; n is the number of syllables.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from metrika.functions import ortho
+from metrika.functions import text as T
 
 MASKS = ["st", "he", "sg", "wk", "fn", "wb"]
 LONGEST = 18
@@ -66,7 +69,11 @@ def _masks(words: pa.Array) -> tuple[np.ndarray, ...]:
     size = np.diff(words.offsets.to_numpy()) if isinstance(words, pa.ListArray) else np.zeros(0, np.int64)
     coded = flat.dictionary_encode()
     known = np.array([shape(w.lower()) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 4)
-    n, heavy, stressed, ambiguous = known[coded.indices.to_numpy()].T
+    return _joined(*known[coded.indices.to_numpy()].T, size)
+
+
+def _joined(n: np.ndarray, heavy: np.ndarray, stressed: np.ndarray, ambiguous: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n, he, wb, st, amb) of units of so many words each, from what each word adds."""
     unit = np.repeat(np.arange(len(size)), size)
     total = np.bincount(unit, weights=n, minlength=len(size)).astype(np.int64)
     before = np.cumsum(n) - n
@@ -107,6 +114,136 @@ def rhythms(units: DataFrame, longest: int = LONGEST, shortest: int = 2) -> Data
     return out.where(F.col("v.n").between(shortest, longest)).select(*keys, "v.*")
 
 
+# ---- units of whole texts, told in the text's own row ----
+
+#: What a text is read for: words, phrase separators, line feeds with the white space after them. `\\w` has the letters, numbers and the low line.
+_PIECES = re.compile(r"[\w']+|" + T.SEPARATOR_CLASS + r"|\n[ \t\n\x0b\f\r]*").findall
+#: Texts that are read together.
+TEXTS_TOGETHER = 256
+
+
+class _Known(dict):
+    """Piece -> its row in `table`: line feed, separator, word, and the shape of a word; each distinct piece is looked at once."""
+
+    MOST = 1 << 19
+
+    def __init__(self):
+        self.new: list[tuple] = []
+        self.table = np.zeros((0, 7), np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        word = any(map(str.isalpha, piece))
+        self.new.append((piece[0] == "\n", piece in T.SEPARATORS, word, *(shape(piece.lower()) if word else (0, 0, 0, 0))))
+        self[piece] = len(self)
+        return len(self) - 1
+
+    def rows(self, found: list[list[str]]) -> np.ndarray:
+        if len(self) > self.MOST:
+            self.clear()
+            self.table = self.table[:0]
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, np.int64)])
+            self.new = []
+        return self.table[at]
+
+
+_known = _Known()
+
+
+def _read(texts: list[str | None], longest: int, shortest: int) -> tuple[np.ndarray, ...]:
+    """(text, line_num, linepart, n, he, wb, st, amb) of the line parts of a batch of texts, in order: what `tokens.line_parts` and `rhythms` tell."""
+    found = [_PIECES(T.cleaned(t)) if t else [] for t in texts]
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    feed, sep, word, *shapes = np.ascontiguousarray(_known.rows(found).T)
+    text = np.repeat(np.arange(len(size)), size)
+    begins = np.zeros(len(feed), bool)
+    begins[(np.cumsum(size) - size)[size > 0]] = True
+    feeds, seps = np.cumsum(feed), np.cumsum(sep)
+    so_far = lambda x, at: np.maximum.accumulate(np.where(at, x, 0)) if len(x) else x
+    line = 1 + feeds - so_far(feeds - feed, begins)
+    part = 1 + seps - so_far(seps - sep, begins | (feed > 0))
+    unit = np.cumsum((feed > 0) | (sep > 0) | begins)
+    own = np.flatnonzero(word)
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = unit[own][1:] != unit[own][:-1]
+    first = np.flatnonzero(fresh)
+    total, *masks = _joined(*(x[own] for x in shapes), np.diff(np.append(first, len(own))))
+    fits = (total >= shortest) & (total <= longest)
+    first = own[first[fits]]
+    return text[first], line[first], part[first], total[fits], *(m[fits] for m in masks)
+
+
+def _told_of(texts: DataFrame, text_id: str, tell: Callable[[pa.Array, tuple[np.ndarray, ...]], list], schema: str, longest: int, shortest: int) -> DataFrame:
+    """The columns that tell(ids, what `_read` gives) makes of some texts at a time; texts are dealt out by id once."""
+    spark = texts.sparkSession
+    rows = texts.select(F.col(text_id).alias("text_id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text_id")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS_TOGETHER):
+                part = batch.slice(first, TEXTS_TOGETHER)
+                yield pa.RecordBatch.from_arrays(tell(part.column(0), _read(part.column(1).to_pylist(), longest, shortest)), names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Syllables that one of the two longs of a packed rhythm has room for, twice over and with their number.
+PACKED = 20
+
+
+def _pack(n: np.ndarray, he: np.ndarray, wb: np.ndarray, st: np.ndarray, amb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return n << (2 * PACKED) | he << PACKED | wb, st << PACKED | amb
+
+
+def unpacked(first: str, second: str) -> list[Column]:
+    """n, he, wb, st and amb of a rhythm packed into two longs."""
+    low = F.lit((1 << PACKED) - 1)
+    cut = lambda c: (F.shiftright(c, PACKED).bitwiseAND(low), F.col(c).bitwiseAND(low))
+    return [F.shiftright(first, 2 * PACKED).cast("int").alias("n"), *(x.alias(k) for k, x in zip(("he", "wb", "st", "amb"), (*cut(first), *cut(second)), strict=True))]
+
+
+def rhythms_of(texts: DataFrame, text_id: str = "doc_id", longest: int = LONGEST, shortest: int = 2) -> DataFrame:
+    """n, he, wb, st, amb: the rhythms that `rhythms` tells of `tokens.line_parts`, each once for some texts that are read together.
+
+    A text's words are found and told in one go, and only rhythms new among the
+    texts at hand leave Python: repeated ones are left to a `distinct`. Up to
+    PACKED syllables.
+    """
+    if longest > PACKED:
+        raise ValueError(f"a packed rhythm has at most {PACKED} syllables")
+
+    def tell(ids: pa.Array, found: tuple[np.ndarray, ...]) -> list:
+        first, second = _pack(*found[3:])
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        fresh = np.ones(len(first), bool)
+        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        return [pa.array(first[fresh]), pa.array(second[fresh])]
+
+    rows = _told_of(texts, text_id, tell, "r1 long, r2 long", longest, shortest)
+    return rows.select(*unpacked("r1", "r2"))
+
+
+def neighbours_of(texts: DataFrame, text_id: str = "doc_id", longest: int = LONGEST, shortest: int = 2) -> DataFrame:
+    """text_id, line_num, linepart (the first part), a1, a2, b1, b2: every two neighbouring parts of a line, their rhythms packed (see `unpacked`)."""
+    if longest > PACKED:
+        raise ValueError(f"a packed rhythm has at most {PACKED} syllables")
+
+    def tell(ids: pa.Array, found: tuple[np.ndarray, ...]) -> list:
+        text, line, part, *rhythm = found
+        at = np.flatnonzero((text[1:] == text[:-1]) & (line[1:] == line[:-1]) & (part[1:] == part[:-1] + 1))
+        packed = _pack(*rhythm)
+        return [
+            ids.take(pa.array(text[at])), pa.array(line[at].astype(np.int32)), pa.array(part[at].astype(np.int32)),
+            *(pa.array(x[at + k]) for k in (0, 1) for x in packed),
+        ]
+
+    kind = dict(texts.dtypes)[text_id]
+    return _told_of(texts, text_id, tell, f"text_id {kind}, line_num int, linepart int, a1 long, a2 long, b1 long, b2 long", longest, shortest)
+
+
 def variants(rows: DataFrame) -> DataFrame:
     """Rows with n, he, wb, st and amb -> variant, n and the masks: one row per distinct variant.
 
