@@ -154,7 +154,14 @@ def _kept(group: np.ndarray, total: np.ndarray, bits: int, guard: int) -> np.nda
     key = key[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    value, of = key[fresh] & ((1 << bits) - 1), key[fresh] >> bits
+    kept = _front(key[fresh] & ((1 << bits) - 1), key[fresh] >> bits, guard)
+    out = np.zeros(len(order), bool)
+    out[order] = kept[np.cumsum(fresh) - 1]
+    return out
+
+
+def _front(value: np.ndarray, of: np.ndarray, guard: int) -> np.ndarray:
+    """Which of the distinct packed counts of each group (both ascending) no other of its group dominates."""
     kept, left = np.zeros(len(value), bool), np.arange(len(value))
     # The smallest number of a group that is left is dominated by none: what dominates is the smaller number.
     while len(left):
@@ -164,9 +171,7 @@ def _kept(group: np.ndarray, total: np.ndarray, bits: int, guard: int) -> np.nda
         kept[leads] = True
         lead = value[leads][np.cumsum(first) - 1]
         left = left[((value[left] | guard) - lead) & guard != guard]
-    out = np.zeros(len(order), bool)
-    out[order] = kept[np.cumsum(fresh) - 1]
-    return out
+    return kept
 
 
 def walk_together(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -270,8 +275,75 @@ def vectors_together(n: np.ndarray, masks: list[np.ndarray], constraints: int, l
     return row, total
 
 
-#: Pairs of vectors that are compared at once.
-PAIRS_AT_ONCE = 1 << 22
+_ONE, _TWO = ("w1", "s1"), ("w2", "s2")
+
+
+def _alike(cost: np.ndarray) -> bool:
+    """Whether no syllable's cost depends on where in its position the one before it stands, but for whether that is strong."""
+    return all(np.array_equal(cost[:, :, _PAIR[_ONE[1 - k], _ONE[k]]], cost[:, :, _PAIR[_TWO[1 - k], _ONE[k]]]) for k in (0, 1))
+
+
+def _merged(parts: list[np.ndarray], many: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The distinct keys of all parts, ascending, and the sums of what they stand for."""
+    key = np.concatenate(parts)
+    if many is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begins = np.flatnonzero(fresh)
+    return key[begins], None if many is None else np.add.reduceat(np.concatenate(many)[order], begins)
+
+
+def _sums(size: int, cost: np.ndarray, bits: int, guard: int | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """rhythm << bits | packed counts of the distinct violation vectors of rhythms of `size` syllables whose costs are `_alike`, ascending.
+
+    Partial scansions that end alike, strong or weak, go on alike, so equal ones
+    are one. With a guard, dominated ones are dropped, and how many scansions
+    have each vector is told too.
+    """
+    low = (1 << bits) - 1
+    rows = np.arange(len(cost), dtype=np.int64)
+    ones = None if guard is None else np.ones(len(cost), np.int64)
+    ends: list = [None]  # by syllables so far, for the last one weak and strong
+    for end in range(1, size + 1):
+        now = []
+        for k in (0, 1):
+            parts, many = [], []
+            for begin in range(end - 1, max(end - 3, -1), -1):
+                step = cost[:, begin, _PAIR[None if begin == 0 else _ONE[1 - k], _ONE[k]]]
+                if begin == end - 2:
+                    step = step + cost[:, end - 1, _PAIR[_ONE[k], _TWO[k]]]
+                key, have = (rows << bits, ones) if begin == 0 else ends[begin][1 - k]
+                parts.append(key + step[key >> bits])
+                many.append(have)
+            now.append(_thinned(*_merged(parts, None if guard is None else many), bits, low, guard))
+        ends.append(now)
+        if end >= 2:
+            ends[end - 2] = None
+    (weak, of_weak), (strong, of_strong) = ends[size]
+    return _thinned(*_merged([weak, strong], None if guard is None else [of_weak, of_strong]), bits, low, guard)
+
+
+def _thinned(key: np.ndarray, many: np.ndarray | None, bits: int, low: int, guard: int | None) -> tuple[np.ndarray, np.ndarray | None]:
+    if guard is None:
+        return key, many
+    kept = _front(key & low, key >> bits, guard)
+    return key[kept], many[kept]
+
+
+def _distinct(n: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the rhythms of each size with equal costs, and each rhythm's place among them: what constraints don't tell apart is worked on once."""
+    flat = np.ascontiguousarray(np.column_stack([n, cost.reshape(len(n), -1)]))
+    _, first, place = np.unique(flat.view(np.dtype((np.void, flat.itemsize * flat.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, place.ravel()
+
+
+#: Pairs of vectors that are compared at once, and rhythms whose vectors are made at once.
+PAIRS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 128
 
 
 def relations(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest: int) -> np.ndarray:
@@ -281,13 +353,31 @@ def relations(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest:
     """
     width = longest.bit_length() + 1
     bits = width * constraints
+    low = (1 << bits) - 1
     guard = sum(1 << (width * k + width - 1) for k in range(constraints))
-    row, total = vectors_together(n, masks, constraints, longest)
-    front = np.flatnonzero(_kept(row, total, bits, guard))
-    many = np.bincount(row, minlength=len(n))
+    cost = _packed(masks, len(n), constraints, longest, width)
+    first, place = _distinct(n, cost)
+    out = np.zeros((len(first), 3), np.int64)
+    for size in np.unique(n[first]):
+        own = np.flatnonzero(n[first] == size)
+        for at in range(0, len(own), ROWS_AT_ONCE):
+            part = own[at : at + ROWS_AT_ONCE]
+            chosen = first[part]
+            if _alike(cost[chosen]):
+                key, _ = _sums(int(size), cost[chosen], bits, None)
+            else:
+                row, total = vectors_together(n[chosen], [m[chosen] for m in masks], constraints, longest)
+                key = row << bits | total
+            out[part] = _related(key >> bits, key & low, guard, len(part))
+    return out[place]
+
+
+def _related(row: np.ndarray, total: np.ndarray, guard: int, rows: int) -> np.ndarray:
+    front = np.flatnonzero(_front(total, row, guard))
+    many = np.bincount(row, minlength=rows)
     first = np.cumsum(many) - many
     size = many[row[front]]
-    bounds = np.zeros(len(n), np.int64)
+    bounds = np.zeros(rows, np.int64)
     ends = np.cumsum(size)
     begin = 0
     while begin < len(front):
@@ -296,9 +386,9 @@ def relations(n: np.ndarray, masks: list[np.ndarray], constraints: int, longest:
         part, each = front[begin:stop], size[begin:stop]
         at = np.repeat(first[row[part]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         below = ((total[at] | guard) - np.repeat(total[part], each)) & guard == guard
-        bounds += np.bincount(np.repeat(row[part], each)[below], minlength=len(n))
+        bounds += np.bincount(row[part], weights=np.add.reduceat(below, np.cumsum(each) - each), minlength=rows).astype(np.int64)
         begin = stop
-    equal = np.bincount(row[front], minlength=len(n))
+    equal = np.bincount(row[front], minlength=rows)
     pairs = equal * many
     return np.stack([equal, bounds - equal, pairs - bounds], axis=1)
 
