@@ -398,6 +398,107 @@ def fits(constraints: int, longest: int) -> bool:
     return (longest.bit_length() + 1) * constraints + (TOGETHER * len(POSITIONS)).bit_length() <= 63
 
 
+# ---- fronts: undominated vectors and how many scansions have them ----
+
+
+def sum_width(longest: int) -> int:
+    """Bits of a count in a packed front: room for the sums of two fronts, and a guard."""
+    return (2 * longest).bit_length() + 1
+
+
+def sums_fit(constraints: int, longest: int) -> bool:
+    """Whether packed sums of fronts and the numbers of PAIRS_AT_ONCE rows share a long."""
+    return sum_width(longest) * constraints + PAIRS_AT_ONCE.bit_length() <= 63
+
+
+def _guard(constraints: int, width: int) -> int:
+    return sum(1 << (width * k + width - 1) for k in range(constraints))
+
+
+def fronts(n: np.ndarray, first: np.ndarray, second: np.ndarray, two: np.ndarray, constraints: int, longest: int) -> tuple[np.ndarray, ...]:
+    """(offsets, packed counts, how many scansions) of rhythms of two variants that compete, the second where `two` holds.
+
+    first, second: rhythm x (pair, constraint) as in `costs`, second for the
+    rhythms of two variants alone. The vectors of rhythm r are those from
+    offsets[r] to offsets[r + 1], ascending.
+    """
+    width = sum_width(longest)
+    bits, guard = width * constraints, _guard(constraints, width)
+    low = (1 << bits) - 1
+    packed = lambda masks: _packed(masks.T, len(masks), constraints, longest, width)
+    other = np.zeros((len(n), longest, len(PAIRS)), np.int64)
+    other[two] = packed(second)
+    cost = np.stack([packed(first), other], axis=1)
+    chosen, place = _distinct(np.where(two, -n, n), cost)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(n[chosen]):
+        own = np.flatnonzero(n[chosen] == size)
+        for at in range(0, len(own), TOGETHER):
+            part = own[at : at + TOGETHER]
+            of = np.concatenate([part, part[two[chosen[part]]]])
+            mine = np.concatenate([cost[chosen[part], 0], cost[chosen[part[two[chosen[part]]]], 1]])
+            key, many = _sums(int(size), mine, bits, guard) if _alike(mine) else _walked(int(size), mine, constraints, longest, width, guard)
+            key, many = _thinned(*_merged([of[key >> bits] << bits | key & low], [many]), bits, low, guard)
+            keys.append(key)
+            counts.append(many)
+    key, many = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, many = key[order], many[order]
+    begins = np.searchsorted(key >> bits, np.arange(len(chosen) + 1))
+    size = np.diff(begins)[place]
+    offsets = np.append(0, np.cumsum(size))
+    at = np.repeat(begins[:-1][place] - offsets[:-1], size) + np.arange(int(offsets[-1]))
+    return offsets, key[at] & low, many[at]
+
+
+def _walked(size: int, cost: np.ndarray, constraints: int, longest: int, width: int, guard: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `_sums` gives, for costs of any kind: rhythm by rhythm, path by path."""
+    keys, many = [], []
+    for row in range(len(cost)):
+        for total, paths in undominated(size, cost[row, :size].tolist(), guard, longest).items():
+            keys.append(row << (width * constraints) | total)
+            many.append(len(paths))
+    return np.array(keys, np.int64), np.array(many, np.int64)
+
+
+def leads(offsets: np.ndarray, total: np.ndarray, weights: list[float], longest: int) -> np.ndarray:
+    """The packed counts of least weight of every front, the least by its counts in their order among equals."""
+    width = sum_width(longest)
+    counts = [(total >> (width * k)) & ((1 << width) - 1) for k in range(len(weights))]
+    score = sum((c * w for c, w in zip(counts, weights, strict=True)), np.zeros(len(total)))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((*reversed(counts), score, row))
+    return total[order[offsets[:-1]]]
+
+
+def kept_sums(a: np.ndarray, va: np.ndarray, ma: np.ndarray, b: np.ndarray, vb: np.ndarray, mb: np.ndarray, constraints: int, longest: int) -> np.ndarray:
+    """How many pairs of scansions of two fronts no other pair dominates, for rows of offsets, packed counts and numbers of scansions.
+
+    With a front of one vector the other one's stay undominated, so all pairs do.
+    """
+    width = sum_width(longest)
+    bits, guard = width * constraints, _guard(constraints, width)
+    low = (1 << bits) - 1
+    so_far = lambda m: np.append(0, np.cumsum(m))
+    out = np.diff(so_far(ma)[a]) * np.diff(so_far(mb)[b])
+    many_a, many_b = np.diff(a), np.diff(b)
+    own = np.flatnonzero((many_a > 1) & (many_b > 1))
+    ends = np.cumsum(many_a[own] * many_b[own])
+    begin = 0
+    while begin < len(own):
+        done = ends[begin - 1] if begin else 0
+        stop = max(int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")), begin + 1)
+        part = own[begin:stop]
+        each = many_a[part] * many_b[part]
+        row = np.repeat(np.arange(len(part)), each)
+        at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        x, y = a[part][row] + at // many_b[part][row], b[part][row] + at % many_b[part][row]
+        key, many = _thinned(*_merged([row << bits | va[x] + vb[y]], [ma[x] * mb[y]]), bits, low, guard)
+        out[part] = np.add.reduceat(many, np.searchsorted(key >> bits, np.arange(len(part))))
+        begin = stop
+    return out
+
+
 # ---- sums over all scansions -------------------------------------------------
 
 

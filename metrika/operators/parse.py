@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -118,6 +119,59 @@ def _lightest(meter: Meter):
     return found
 
 
+def _both(rows: DataFrame, ids: list[str], meter: Meter) -> tuple[DataFrame, Column]:
+    """Rows of n, he, wb, st, amb with c0__, the costs of the first variant, and masks for the second's; the second's costs, null without one."""
+    costs = F.array(*bounding.costs(meter.names))
+    one = units.masked(rows, [*ids, "amb"]).select(*ids, "amb", "n", "he", "wb", "st", costs.alias("c0__"))
+    two = units.masked(one.withColumn("st", F.col("st").bitwiseOR(F.col("amb"))), [*ids, "amb", F.col("st").alias("st2__"), "c0__"])
+    return two, F.when(F.col("amb") != 0, costs)
+
+
+def fronts(rhythms: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
+    """Distinct r1, r2 (packed rhythms, see `units.unpacked`) -> adds v, many, size and lead: each rhythm's undominated vectors of both variants.
+
+    v: array of packed counts, see `bounding.sum_width`; many: how many scansions
+    have each; size: how many have any; lead: the counts of the best one, the
+    least by the meter's order among equals. For meters as `sums_local` has them.
+    """
+    if not sums_local(meter):
+        raise ValueError("constraints are local and their counts fit a long")
+    # Most rhythms that the constraints don't tell apart differ in heavy syllables alone: they come side by side.
+    near = ["n", "wb", "st", "amb"]
+    rows = rhythms.select("r1", "r2", *units.unpacked("r1", "r2"))
+    rows = rows.repartition(int(rhythms.sparkSession.conf.get("spark.sql.shuffle.partitions")), *near).sortWithinPartitions(*near)
+    rows, second = _both(rows, ["r1", "r2"], meter)
+    names, weights = meter.names, list(meter.weights.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, (first, other) = batch.column(2).to_numpy().astype(np.int64), (batch.column(k) for k in (3, 4))
+            masks = [x.drop_null().flatten().to_numpy().reshape(-1, len(bounding.PAIRS) * len(names)) for x in (first, other)]
+            offsets, v, many = bounding.fronts(n, *masks, other.is_valid().to_numpy(zero_copy_only=False), len(names), meter.longest)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (v, many)]
+            size, lead = np.add.reduceat(many, offsets[:-1]), bounding.leads(offsets, v, weights, meter.longest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(size), pa.array(lead)], names=["r1", "r2", "v", "many", "size", "lead"])
+
+    return rows.select("r1", "r2", "n", "c0__", second.alias("c1__")).mapInArrow(run, "r1 long, r2 long, v array<long>, many array<long>, size long, lead long")
+
+
+def sums_local(meter: Meter) -> bool:
+    """Whether fronts and their sums are told syllable by syllable, in packed counts."""
+    return local(meter) and bounding.sums_fit(len(meter.names), meter.longest) and min(meter.weights.values()) >= 0
+
+
+def kept_sums(meter: Meter):
+    """An Arrow function of v and many of two fronts -> how many pairs of their scansions no other pair dominates."""
+
+    @F.arrow_udf(LongType())
+    def kept(va: pa.Array, ma: pa.Array, vb: pa.Array, mb: pa.Array) -> pa.Array:
+        flat = lambda x: x.flatten().to_numpy()
+        ends = lambda x: np.append(0, np.cumsum(pc.list_value_length(x).to_numpy().astype(np.int64)))
+        return pa.array(bounding.kept_sums(ends(va), flat(va), flat(ma), ends(vb), flat(vb), flat(mb), len(meter.names), meter.longest))
+
+    return kept
+
+
 def likeliest(rhythms: DataFrame, meter: Meter) -> DataFrame:
     """Distinct rhythms (meter.key) -> adds least, the lowest score, and scan_ord, the first scansion that has it.
 
@@ -144,10 +198,7 @@ def best_of(lines: DataFrame, meter: Meter = DEFAULT) -> DataFrame:
     ids = [c for c in lines.columns if c != "words"]
     both = F.when(F.col("variant") == 1, F.col("st").bitwiseOR(F.col("amb"))).otherwise(F.col("st"))
     if additive(meter):
-        costs = F.array(*bounding.costs(meter.names))
-        one = units.masked(rows, [*ids, "amb"]).select(*ids, "amb", "n", "he", "wb", "st", costs.alias("c0__"))
-        two = units.masked(one.withColumn("st", F.col("st").bitwiseOR(F.col("amb"))), [*ids, "amb", F.col("st").alias("st2__"), "c0__"])
-        second = F.when(F.col("amb") != 0, costs)
+        two, second = _both(rows, ids, meter)
         at = two.select(*ids, "n", "he", "wb", F.col("st").bitwiseAND(F.bitwise_not("amb")).alias("st"), "amb", _lightest(meter)("n", "c0__", second).alias("b__"))
         at = at.select(*ids, "n", "he", "wb", "st", "amb", (F.col("b__.score") / MILLION).alias("score"), "b__.variant", "b__.scan_ord")
     else:

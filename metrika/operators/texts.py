@@ -12,8 +12,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from metrika.sources import corpus, scratch
 
+from . import bounding, parse, scansion, tokens, units
 from . import constraints as C
-from . import parse, scansion, tokens, units
 
 RHYTHM = ["n", "he", "wb", "st", "amb"]
 UNIT = ["text_id", "line_num", "linepart"]
@@ -139,7 +139,13 @@ def combined(lines: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
     counts of the best pair. Rhythms with the same counts, each with how many
     parses have them, share a front (told apart by 128 bits), and work goes by
     distinct pairs of fronts, whichever comes first, each in a row of its own.
+    Meters whose fronts are told syllable by syllable need no lists of parses:
+    see `combined_neighbours`, which takes the pairs of parts as they are.
     """
+    if parse.sums_local(meter):
+        at = scratch.written(units.rhythms(lines, meter.longest).select(*UNIT, *units.packed()), "rhythms")
+        after = at.select("text_id", "line_num", (F.col("linepart") - 1).alias("linepart"), F.col("r1").alias("b1"), F.col("r2").alias("b2"))
+        return combined_neighbours(at.withColumnsRenamed({"r1": "a1", "r2": "a2"}).join(scratch.dealt(after), UNIT), meter)
     names = meter.names
     rows = scratch.written(units.rhythms(lines, meter.longest).select(*UNIT, F.struct(*RHYTHM).alias("r")), "rhythms")
     lists = lists_of(rows.select("r.*").distinct(), meter)
@@ -160,6 +166,27 @@ def combined(lines: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
     return pairs.join(scratch.dealt(best), ["a", "b"]).select(*UNIT, "n_product", "n_kept", "best.*")
 
 
+def combined_neighbours(pairs: DataFrame, meter: parse.Meter = parse.DEFAULT) -> DataFrame:
+    """What `combined` gives, of pairs of neighbouring parts: any columns, and the packed rhythms a1, a2 and b1, b2 (see `units.neighbours_of`).
+
+    Each distinct rhythm has its front made once and met by both sides of the
+    pairs. Scores and the order of counts add up, so the best pair is the pair of
+    the best; only what is dominated needs the sums, made in the pair's own row.
+    """
+    ids = [c for c in pairs.columns if c not in ("a1", "a2", "b1", "b2")]
+    pairs = scratch.written(pairs, "neighbours")
+    sides = F.array(*(F.struct(F.col(f"{k}1").alias("r1"), F.col(f"{k}2").alias("r2")) for k in "ab"))
+    fronts = scratch.written(parse.fronts(pairs.select(F.inline(sides)).distinct(), meter), "fronts")
+    for k in "ab":
+        own = fronts.select(F.col("r1").alias(f"{k}1"), F.col("r2").alias(f"{k}2"), *(F.col(c).alias(f"{c}_{k}") for c in ("v", "many", "size", "lead")))
+        pairs = pairs.join(scratch.dealt(own), [f"{k}1", f"{k}2"]).drop(f"{k}1", f"{k}2")
+    width = bounding.sum_width(meter.longest)
+    rows = pairs.select(*ids, (F.col("size_a") * F.col("size_b")).alias("n_product"), parse.kept_sums(meter)("v_a", "many_a", "v_b", "many_b").alias("n_kept"), (F.col("lead_a") + F.col("lead_b")).alias("lead"))
+    counts = [F.shiftright("lead", width * j).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias(k) for j, k in enumerate(meter.names)]
+    rows = rows.select(*ids, "n_product", "n_kept", *counts)
+    return rows.select(*ids, "n_product", "n_kept", C.score(meter.names, meter.weights).alias("best_score"), *meter.names)
+
+
 def _sums(left: pa.Array, right: pa.Array) -> pa.Array:
     """Sums of two fronts (counts, then how many have them): equal ones added up, dominated ones dropped."""
 

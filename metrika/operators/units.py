@@ -204,6 +204,13 @@ def unpacked(first: str, second: str) -> list[Column]:
     return [F.shiftright(first, 2 * PACKED).cast("int").alias("n"), *(x.alias(k) for k, x in zip(("he", "wb", "st", "amb"), (*cut(first), *cut(second)), strict=True))]
 
 
+def packed() -> list[Column]:
+    """r1 and r2, the two longs of a rhythm: what `unpacked` takes apart."""
+    put = lambda c, by: F.shiftleft(F.col(c).cast("long"), by)
+    first = put("n", 2 * PACKED).bitwiseOR(put("he", PACKED)).bitwiseOR(F.col("wb"))
+    return [first.alias("r1"), put("st", PACKED).bitwiseOR(F.col("amb")).alias("r2")]
+
+
 def rhythms_of(texts: DataFrame, text_id: str = "doc_id", longest: int = LONGEST, shortest: int = 2) -> DataFrame:
     """n, he, wb, st, amb: the rhythms that `rhythms` tells of `tokens.line_parts`, each once for some texts that are read together.
 

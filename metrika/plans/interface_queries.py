@@ -82,7 +82,7 @@ def export_unbounded(spark, sf_dir):
 )
 def combine_parses(spark, sf_dir):
     """Neighbouring parts parsed as one: the product of their parse lists, bounded and ranked again."""
-    return texts.combined(tokens.line_parts(docs(spark, sf_dir)))
+    return texts.combined_neighbours(units.neighbours_of(docs(spark, sf_dir)))
 
 
 def _merged(k: int, last: int) -> str:
