@@ -54,11 +54,24 @@ def cleaned(text: str) -> str:
 
 def token_array(text: Column) -> Column:
     """The tokens of a text in order, each with the white space before it; trailing white space is dropped."""
-    marked = F.regexp_replace(normalize_dashes(text), r"[^\p{L}\p{N}_' -—–\n]", "\x01")
-    found = F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(marked(normalize_dashes(text)), F.lit(TOKEN), F.lit(0))
     return F.transform(found, lambda t: F.replace(t, F.lit("\x01"), F.lit("")))
 
 
+def marked(text: Column) -> Column:
+    """\\x01 for every character that no token has."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_' -—–\n]", "\x01")
+
+
+_TOKENS = re.compile(TOKEN.replace(WORD, r"[\w']+")).findall
+
+
+def tokens_of(text: str) -> list[str]:
+    """What `token_array` finds in one text that is `cleaned` and `marked`; \\w has the letters, numbers and the low line."""
+    found = _TOKENS(text)
+    return [t.replace("\x01", "") for t in found] if "\x01" in text else found
+
+
 def is_punctuation(token: Column) -> Column:
     """1 if no character is a letter."""
     return F.when(token.rlike(r"\p{L}"), 0).otherwise(1)
