@@ -319,6 +319,7 @@ def _per_rhythm(encoded: DataFrame, meter: Meter, tell, names: list[str]) -> Dat
     kinds = dict(rows.dtypes)
     # Most rhythms that the constraints don't tell apart differ in heavy syllables alone: they come side by side.
     near = [k for k in key if k != "he"]
+    near = near if len(near) > 1 else key
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *near).sortWithinPartitions(*near).select(*key, *bounding.costs(meter.names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
