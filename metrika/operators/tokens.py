@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -106,12 +107,21 @@ _numbered = F.arrow_udf(_number, TOKEN).asNondeterministic()
 BETWEEN = "\x1f"
 
 
+#: Texts of an Arrow batch that are Python's at one time.
+TEXTS_TOGETHER = 128
+
+
+def _each(texts: pa.Array, tell: Callable[[str], str]) -> pa.Array:
+    parts = (texts.slice(k, TEXTS_TOGETHER).to_pylist() for k in range(0, len(texts), TEXTS_TOGETHER))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else tell(t) for t in part], pa.string()) for part in parts)])
+
+
 def _clean(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else T.cleaned(t) for t in texts.to_pylist()], pa.string())
+    return _each(texts, T.cleaned)
 
 
 def _found(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else BETWEEN.join(T.tokens_of(t)) for t in texts.to_pylist()], pa.string())
+    return _each(texts, lambda t: BETWEEN.join(T.tokens_of(t)))
 
 
 _cleaned = F.arrow_udf(_clean, StringType()).asNondeterministic()
